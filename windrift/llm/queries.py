@@ -21,6 +21,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from windrift.llm.suffixes import repeated_passages
+
+    return repeated_passages(Scratch(spark), table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from windrift.llm.mixing import mix_documents
 
@@ -39,6 +45,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(Scratch(spark), table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from windrift.llm.recompression import remove_repeats
+
+    return remove_repeats(Scratch(spark), table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from windrift.llm.quality import quality_rules
 
@@ -47,9 +59,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_mixing": op4_mixing,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_recompression_dedup": op8_recompression_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
