@@ -45,6 +45,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(Scratch(spark), table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_weighted_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from windrift.llm.weighted_minhash import near_duplicate_classes
+
+    return near_duplicate_classes(Scratch(spark), table(spark, sf_dir, "documents")).drop("uid")
+
+
 def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from windrift.llm.recompression import remove_repeats
 
@@ -63,6 +69,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_weighted_minhash_dedup": op7_weighted_minhash_dedup,
     "op8_recompression_dedup": op8_recompression_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
