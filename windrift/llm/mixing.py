@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -151,7 +152,8 @@ class Plan:
         cut = named.where(size > 0).withColumn("block", F.explode(F.sequence(F.floor(before / b), F.floor((before + size - 1) / b))))
         start = F.greatest(before, F.col("block") * b)
         stop = F.least(before + size, (F.col("block") + 1) * b)
-        return cut.select("source_no", "block", "at", (stop - start).alias("words"), (start - before).alias("word"))
+        carried = ["uid"] if "uid" in self.rows.columns else []
+        return cut.select("source_no", "block", "at", *carried, (stop - start).alias("words"), (start - before).alias("word"))
 
     def uses(self) -> DataFrame:
         """How often the mix takes each block."""
@@ -167,3 +169,35 @@ def mix_documents(scratch: Scratch, docs: DataFrame, mix: Mix = Mix()) -> DataFr
     taken = plan.pieces().join(plan.uses(), ["source_no", "block"]).groupBy("source_no", "at").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     rows = plan.rows.alias("r").join(F.broadcast(plan.sources), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source_size", "target", "source_no", "at")
     return rows.join(taken, ["source_no", "at"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_texts(scratch: Scratch, docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix itself as rows of docs: each row's taken words as its text, once for each time around.
+
+    A row whose blocks are all taken once gives one row; blocks taken again make up a second and a
+    third row of the same doc_id, in the order of their words. Rows of which nothing is taken go.
+    n_chars, if docs has it, is the new text's length; other columns stay.
+    """
+    schema = docs.schema
+    others = [c for c in docs.columns if c != "text"]
+    base = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+    plan = Plan(scratch, base, mix, carry=("uid",))
+    shares = plan.pieces().join(plan.uses(), ["source_no", "block"]).groupBy("source_no", "at", "uid").agg(F.sort_array(F.collect_list(F.struct("word", "words", "uses"))).alias("shares"))
+    wanted = arrow_schema(schema)
+
+    def run(batches):
+        for b in slices(batches):
+            index, texts = [], []
+            for i, (text, some) in enumerate(zip(b.column("text").to_pylist(), b.column("shares").to_pylist(), strict=True)):
+                words = text.encode().split()
+                for turn in range(1, max(s["uses"] for s in some) + 1):
+                    kept = [w for s in some if s["uses"] >= turn for w in words[s["word"] : s["word"] + s["words"]]]
+                    index.append(i)
+                    texts.append(b" ".join(kept).decode())
+            at = pa.array(index, pa.int64())
+            columns = {c: b.column(c).take(at) for c in others} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([len(t) for t in texts]).cast(wanted.field("n_chars").type)
+            yield record(wanted, **columns)
+
+    return base.dropDuplicates(["uid"]).join(shares.select("uid", "shares"), "uid").select(*docs.columns, "shares").mapInArrow(run, schema)

@@ -14,6 +14,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from windrift.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from windrift.llm.sharding import shard_documents
 
@@ -57,13 +63,26 @@ def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(Scratch(spark), table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from windrift.llm.language_model import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from windrift.llm.quality import quality_rules
 
     return quality_rules(table(spark, sf_dir, "documents"), keep_columns=["doc_id"])
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_sharding": op2_sharding,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_mixing": op4_mixing,
@@ -71,7 +90,9 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_weighted_minhash_dedup": op7_weighted_minhash_dedup,
     "op8_recompression_dedup": op8_recompression_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}

@@ -136,11 +136,12 @@ def anchors(w: Words, rules: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def remove_repeats(scratch: Scratch, docs: DataFrame, rules: Repeats = Repeats(), with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 for each row; with_text adds `kept_text`, the kept words joined by a space.
+    """doc_id, n_words, n_removed and kept_sha256 for each row; with_text adds `kept_text` (the text itself where
+    nothing goes, else the kept words joined by a space) and the other columns of docs.
 
     Words in any window of `window` words that also starts elsewhere (in this or any other row) are
     removed, all at once. Null or empty text: no words, and the checksum of nothing. Rows equal in
-    every way repeat each other, and so lose all windows. Other columns of docs are carried along.
+    every way repeat each other, and so lose all windows.
     """
     spark = scratch.spark
     parts = partitions_of(spark)
@@ -209,7 +210,8 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, rules: Repeats = Repeats()
                 if sums[z] > sums[a]:
                     words = [x for x, g in zip(words, gone[a:z].tolist(), strict=True) if not g]
                 joined.append(b" ".join(words))
-            more = {"kept_text": pa.array(joined, pa.binary()).cast(pa.string())} if with_text else {}
+            changed = sums[w.bounds[1:]] > sums[w.bounds[:-1]]
+            more = {"kept_text": pa.array([x.decode() if c else t for x, c, t in zip(joined, changed, b.column("text").to_pylist(), strict=True)], pa.string())} if with_text else {}
             yield record(wanted, doc_id=b.column("doc_id"), n_words=w.counts, n_removed=sums[w.bounds[1:]] - sums[w.bounds[:-1]], kept_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in joined], pa.string()), **more, **{c: b.column(c) for c in others})
 
     return base.join(verdict, "uid", "left").select("doc_id", "text", "places", "copied", *others).mapInArrow(cut, schema)
