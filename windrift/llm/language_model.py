@@ -8,8 +8,8 @@ the more it is like the target.
 Vocabulary: words that make up at least `frequent` of all words of the corpus, so no more than
 1 / frequent of them at any size; other words share tokens by length and by whether they are plain
 letters. Bigrams that make up at least `frequent_pair` of a model's words have counts of their own, so
-the models have a size bound too; P(w | v) = (c(v, w) + m p(w)) / (c(v) + m), where c(v) adds up the
-bigrams kept, so each distribution sums to one. All counts are over whole texts of all documents.
+the models have a size bound too; P(w | v) = (c(v, w) + r p(w)) / (n(v) + m), where n(v) counts v as a
+first word and r = m + n(v) less its bigrams kept, so each distribution sums to one. All counts are over whole texts of all documents.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from windrift.llm.words import Words
 class Language:
     frequent: float = 1e-5
     frequent_pair: float = 1e-6
-    at_least: int = 3  # occurrences, so that a small corpus is not learnt by heart
+    at_least: int = 10  # occurrences, so that a small corpus is not learnt by heart
     prior: float = 50.0  # m: weight of the unigram model
     shared: float = 5000.0  # words' worth of the distribution of all words in either unigram model
     block: int = 2_000_000  # words that a task counts at a time
@@ -128,6 +128,7 @@ class Model:
 
         pairs = scratch.save(counted(docs, pairs_of, language.block))
         width = self.size + 1
+        context = pairs.groupBy(F.expr(f"key div {width}").alias("token")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
         single = pairs.groupBy((F.col("key") % width).alias("token")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
         least = [max(language.at_least, language.frequent_pair * n) for n in self.totals]
         frequent = pairs.where((F.col("target") >= least[0]) | (F.col("background") >= least[1])).toArrow()
@@ -143,14 +144,19 @@ class Model:
         counts = np.stack([frequent.column(c).to_numpy()[order] for c in ("target", "background")]).astype(float)
         counts[0][counts[0] < least[0]] = 0
         counts[1][counts[1] < least[1]] = 0
-        if self.totals[1]:
-            counts[1] *= self.totals[0] / self.totals[1]
+        all_from = np.zeros((2, width))
+        for i, c in enumerate(("target", "background")):
+            all_from[i, context.column("token").to_numpy()] = context.column(c).to_numpy()
+        scale = self.totals[0] / self.totals[1] if self.totals[0] else 1.0
+        counts[1] *= scale
+        all_from[1] *= scale
         from_ = self.pairs // width
         mass = np.stack([np.bincount(from_, c, minlength=width) for c in counts])
         m = language.prior
+        rest = np.maximum(all_from - mass, 0) + m
         self.log_single = np.log(unigram).astype(np.float32)
-        self.log_rest = np.log(m / (mass + m)).astype(np.float32)  # of v, when (v, w) is not kept
-        self.log_pair = np.log((counts + m * unigram[:, self.pairs % width]) / (mass[:, from_] + m)).astype(np.float32)
+        self.log_rest = np.log(rest / (all_from + m)).astype(np.float32)  # of v, when (v, w) is not kept
+        self.log_pair = np.log((counts + rest[:, from_] * unigram[:, self.pairs % width]) / (all_from[:, from_] + m)).astype(np.float32)
 
 
 def tokens(w: Words, words: np.ndarray) -> np.ndarray:
