@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrift.llm.common import Scratch, arrow_schema, partitions_of, record, slices
-from windrift.llm.repeats import by_text, gather, places_of, repeated, uid
+from windrift.llm.repeats import gather, places_of, repeated, uid
 from windrift.llm.words import Runs, Words, covered, mix
 
 
@@ -167,7 +167,7 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, rules: Repeats = Repeats()
         p = pairs[:, 0].astype(np.int64)
         return pairs[:, 1], text[p], p - w.bounds[text[p]]
 
-    shared = by_text(repeated(gather(base, anchor_keys, parts), parts))
+    shared = repeated(gather(base, anchor_keys, parts), parts)
     chosen = scratch.save(shared.join(copied.where(~F.col("speaks")), "uid", "left_anti"))
 
     def window_keys(b):
@@ -181,7 +181,7 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, rules: Repeats = Repeats()
         at = at[hot[place[at]]]
         return Runs(w.hashes).of(at, size), text[at], at - w.bounds[text[at]]
 
-    again = by_text(repeated(gather(base.join(chosen, "uid"), window_keys, parts, carry=("places",)), parts))
+    again = repeated(gather(base.join(chosen, "uid"), window_keys, parts, carry=("places",)), parts)
     whole = copied.select("uid", F.lit(True).alias("copied"))
     verdict = scratch.save(again.join(whole, "uid", "full_outer"))
     scratch.drop(chosen, copied)

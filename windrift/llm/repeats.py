@@ -2,7 +2,7 @@
 
 Keys are dealt to tasks by their value, packed: a slice of texts sends each task one row with all
 keys meant for it. The receiving task sorts its keys and reports, text by text, the places whose
-key it saw again. A key that every text holds costs one entry a text, never a list or a pair.
+key it saw again, packed for the tasks that gather each text's places. A key that every text holds costs one entry a text, never a list or a pair.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from windrift.llm.common import arrow_schema, partitions_of, record, slices
 
 PACKED = T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "uids", "docs", "places"))])
+MOVED = T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("uids", "counts", "places"))])
 FOUND = T.StructType([T.StructField("uid", T.LongType()), T.StructField("places", T.BinaryType())])
 
 
@@ -42,10 +43,10 @@ def pack(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, uids: np.ndarra
 
 
 def repeated(packed: DataFrame, parts: int) -> DataFrame:
-    """(uid, places): the places whose key occurs at more than one place of the corpus, as int32 bytes; a text can have several rows."""
-    wanted = arrow_schema(FOUND)
+    """(uid, places): for each text that has any, the places whose key occurs at more than one place of the corpus, as int32 bytes in order."""
+    wanted, moved = arrow_schema(FOUND), arrow_schema(MOVED)
 
-    def run(batches):
+    def meet(batches):
         keys, uids, places = [], [], []
         for b in batches:
             for row in b.to_pylist():
@@ -60,24 +61,39 @@ def repeated(packed: DataFrame, parts: int) -> DataFrame:
         equal = np.r_[False, k[order[1:]] == k[order[:-1]]]
         equal[:-1] |= equal[1:]
         order = order[equal]
-        u, p = u[order], p[order]
-        order = np.argsort(u, kind="stable")
         u, p = u[order], p[order].astype(np.int32)
-        starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]][: len(u)])
+        # Back to the texts, packed again: one row for each task that has texts.
+        part = (u.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        u, p, part = u[order], p[order], part[order]
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+        for a, z in zip(starts, np.r_[starts[1:], len(part)], strict=True):
+            own = np.argsort(u[a:z], kind="stable") + a
+            texts, counts = np.unique(u[own], return_counts=True)
+            yield record(moved, part=part[a : a + 1], uids=pa.array([texts.tobytes()], pa.binary()), counts=pa.array([counts.astype(np.uint32).tobytes()], pa.binary()), places=pa.array([p[own].tobytes()], pa.binary()))
+
+    def collect(batches):
+        uids, places = [], []
+        for b in batches:
+            for row in b.to_pylist():
+                uids.append(np.repeat(np.frombuffer(row["uids"], np.int64), np.frombuffer(row["counts"], np.uint32)))
+                places.append(np.frombuffer(row["places"], np.int32))
+        if not uids:
+            return
+        u, p = np.concatenate(uids), np.concatenate(places)
+        order = np.lexsort((p, u))
+        u, p = u[order], p[order]
+        starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
         for a in range(0, len(starts), 5000):
             cut = np.r_[starts[a : a + 5000], starts[a + 5000] if a + 5000 < len(starts) else len(u)]
             yield record(wanted, uid=u[cut[:-1]], places=pa.array([p[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
 
-    return packed.repartitionById(parts, F.col("part")).mapInArrow(run, FOUND)
-
-
-def by_text(found: DataFrame) -> DataFrame:
-    """(uid, places array<binary>): at most as many bytes as the text has places."""
-    return found.groupBy("uid").agg(F.collect_list("places").alias("places"))
+    met = packed.repartitionById(parts, F.col("part")).mapInArrow(meet, MOVED)
+    return met.repartitionById(parts, F.col("part")).mapInArrow(collect, FOUND)
 
 
-def places_of(value: list[bytes] | None) -> np.ndarray:
-    return np.sort(np.concatenate([np.frombuffer(x, np.int32) for x in value])).astype(np.int64) if value else np.empty(0, np.int64)
+def places_of(value: bytes | None) -> np.ndarray:
+    return np.frombuffer(value, np.int32).astype(np.int64) if value else np.empty(0, np.int64)
 
 
 def gather(docs: DataFrame, keyed: Callable, parts: int, spark=None, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrift.llm.common import Scratch, arrow_schema, partitions_of, record, slices
-from windrift.llm.repeats import by_text, gather, places_of, repeated, uid
+from windrift.llm.repeats import gather, places_of, repeated, uid
 from windrift.llm.words import Runs, Words
 
 
@@ -91,7 +91,7 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, rules: Passages = Passa
         text = w.text_index()[at]
         return key, text, at - w.bounds[text]
 
-    shared = by_text(repeated(gather(base, seed_keys, parts), parts))
+    shared = repeated(gather(base, seed_keys, parts), parts)
     chosen = scratch.save(shared.join(copied.where("not speaks"), "uid", "left_anti"))
 
     suffix = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), T.StructField("place", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("after", T.BinaryType()), T.StructField("before", T.BinaryType())])
