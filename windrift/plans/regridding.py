@@ -1 +1,140 @@
-"""Queries."""
+"""Queries of interpolation, spectra and geometry."""
+
+from pyspark.sql import functions as F
+
+from windrift.operators import geometry, regrid as R
+from windrift.plans import adapters as D
+from windrift.plans.joining import KNN, knn_queries
+from windrift.plans.registry import query
+
+
+@query(f"WITH {KNN}, w AS (SELECT qid, val, 1 / pow(greatest(distance, 1e-10), 2) AS w FROM r WHERE rank <= 12) SELECT qid, round(sum(w * val) / sum(w), 6) AS value FROM w GROUP BY 1")
+def inverse_distance(spark, sf):
+    """Means by inverse distance."""
+    return R.inverse_distance(knn_queries(spark, sf), D.points(spark, sf), "val", 12, 0.02).select("qid", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {D.GRID}, a AS (SELECT i, CAST(least(floor(i * 19.0 / 30), 18) AS BIGINT) AS lo, i * 19.0 / 30 - least(floor(i * 19.0 / 30), 18) AS t FROM range(31) r(i)), b AS (SELECT i, CAST(least(floor(i * 9.0 / 14), 8) AS BIGINT) AS lo, i * 9.0 / 14 - least(floor(i * 9.0 / 14), 8) AS t FROM range(15) r(i)),
+x AS (SELECT i, lo AS o, 1 - t AS w FROM a UNION ALL SELECT i, lo + 1, t FROM a), y AS (SELECT i, lo AS o, 1 - t AS w FROM b UNION ALL SELECT i, lo + 1, t FROM b)
+SELECT z, y.i AS y, x.i AS x, round(sum(x.w * y.w * u), 6) AS u FROM grid JOIN x ON grid.x = x.o JOIN y ON grid.y = y.o GROUP BY 1, 2, 3""")
+def linear_resampling(spark, sf):
+    """Each layer on more points, ends kept."""
+    return R.resampled(D.grid(spark, sf), [("y", 10, 15), ("x", 20, 31)], "u", ["z"]).select("z", "y", "x", F.round("u", 6).alias("u"))
+
+
+LEVELS = [-5.0, 0.0, 3.5, 7.25, 12.0, 33.3, 48.0, 5000.0]
+
+
+@query(f"""WITH {D.GRID}, q AS (SELECT x, y, level FROM (SELECT DISTINCT x, y FROM grid), (SELECT CAST(unnest({LEVELS}) AS DOUBLE) AS level)), g AS (SELECT x, y, CAST(z AS DOUBLE) AS zz, u FROM grid),
+b AS (SELECT q.*, g.zz AS z0, g.u AS u0 FROM q ASOF LEFT JOIN g ON q.x = g.x AND q.y = g.y AND q.level >= g.zz), c AS (SELECT b.*, g.zz AS z1, g.u AS u1 FROM b ASOF LEFT JOIN g ON b.x = g.x AND b.y = g.y AND b.level < g.zz)
+SELECT x, y, level, round(CASE WHEN u0 IS NULL THEN u1 WHEN u1 IS NULL THEN u0 ELSE u0 + (u1 - u0) * (level - z0) / (z1 - z0) END, 6) AS value FROM c""")
+def vertical_resampling(spark, sf):
+    """Columns on fixed levels."""
+    return R.vertical(D.grid(spark, sf), ["x", "y"], "z", "u", LEVELS).select("x", "y", "level", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH {D.GRID}, h AS (SELECT x, y, greatest(v, 0) AS h FROM grid WHERE z = 3) SELECT x, y, round((h - (SELECT min(h) FROM h)) * 1.5, 6) AS h FROM h")
+def terrain_surface(spark, sf):
+    """A surface without negatives, from 0 up, scaled."""
+    return R.surface(D.grid(spark, sf).where("z = 3").select("x", "y", F.col("v").alias("h")), "h", 1.5).select("x", "y", F.round("h", 6).alias("h"))
+
+
+@query(f"""WITH {D.GRID}, {D.PROFILE}, c AS (SELECT i % 20 AS x, (i // 20) % 10 AS y, i // 200 AS z FROM range(4000) r(i)), f AS (SELECT *, CAST(CASE WHEN z = 19 THEN 1 WHEN z = 0 THEN 0 WHEN y = 0 THEN 2 WHEN y = 9 THEN 3 WHEN x = 0 THEN 4 WHEN x = 19 THEN 5 ELSE -1 END AS INTEGER) AS patch FROM c),
+g AS (SELECT x, y, min(u) AS h FROM grid GROUP BY 1, 2), q AS (SELECT f.*, f.z * 3.0 - h AS agl FROM f JOIN g USING (x, y) WHERE patch >= 0),
+b AS (SELECT q.*, p.z AS z0, p.U AS u0 FROM q ASOF LEFT JOIN profile p ON q.agl >= p.z), d AS (SELECT b.*, p.z AS z1, p.U AS u1 FROM b ASOF LEFT JOIN profile p ON b.agl < p.z)
+SELECT patch, x, y, z, round(CASE WHEN agl < 0 THEN 0 WHEN u0 IS NULL THEN u1 WHEN u1 IS NULL THEN u0 ELSE u0 + (u1 - u0) * (agl - z0) / (z1 - z0) END, 6) AS value FROM d""")
+def terrain_following_faces(spark, sf):
+    """Speeds on the box's faces by height above the ground."""
+    ground = D.grid(spark, sf).groupBy("x", "y").agg(F.min("u").alias("h"))
+    f = R.boundary_faces(20, 10, 20, spark)
+    return R.profile_field(f, ground, D.profile(spark, sf), F.col("z") * 3.0).select("patch", "x", "y", "z", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {D.GRID}, m AS (SELECT i, 0.1 * (i + 1) AS kx, 0.05 * i AS ky, 0.02 * i AS kz, 0.3 * i AS omega, 1.0 / (i + 1) AS a, 0.7 * i AS ph FROM range(16) r(i))
+SELECT z, y, x, round(sum(a * cos(kx * x + ky * y + kz * z - omega * 2.5 + ph)), 6) AS u FROM grid, m GROUP BY 1, 2, 3""")
+def synthetic_inflow(spark, sf):
+    """Inflow as a sum of modes at a time."""
+    i = F.col("id")
+    modes = spark.range(16).select((0.1 * (i + 1)).alias("kx"), (0.05 * i).alias("ky"), (0.02 * i).alias("kz"), (0.3 * i).alias("omega"), (1.0 / (i + 1)).alias("amplitude"), (0.7 * i).alias("phase"))
+    return R.mode_sum(D.grid(spark, sf).select("z", "y", "x"), modes, 2.5).select("z", "y", "x", F.round("u", 6).alias("u"))
+
+
+@query(f"""WITH {D.GRID}, m AS (SELECT z, avg(u) AS mu FROM grid GROUP BY 1), k AS (SELECT kx, ky FROM range(-2, 3) a(kx), range(-2, 3) b(ky)),
+f AS (SELECT z, kx, ky, sum((u - mu) * cos(2 * pi() * (kx * x / 20.0 + ky * y / 10.0))) / 200 AS re, sum((u - mu) * sin(2 * pi() * (kx * x / 20.0 + ky * y / 10.0))) / 200 AS im FROM grid JOIN m USING (z), k GROUP BY 1, 2, 3)
+SELECT z, kx, ky, round(re * re + im * im + 1, 6) AS energy FROM f""")
+def layer_spectrum(spark, sf):
+    """Energy of the low wave numbers of each layer (by transform; the oracle sums waves)."""
+    s = R.layer_spectrum(D.grid(spark, sf), 20, 10, "u")
+    return s.where("abs(kx) <= 2 AND abs(ky) <= 2").select("z", "kx", "ky", F.round(F.col("energy") + 1, 6).alias("energy"))
+
+
+@query(f"""WITH {D.GRID}, n AS (SELECT max(z) + 1 AS nz, avg(u) AS mu FROM grid), k AS (SELECT kx, ky, kz FROM range(-1, 2) a(kx), range(-1, 2) b(ky), range(-1, 2) c(kz)),
+f AS (SELECT kx, ky, kz, sum((u - mu) * cos(2 * pi() * (kx * x / 20.0 + ky * y / 10.0 + kz * z / nz))) / (200 * max(nz)) AS re, sum((u - mu) * sin(2 * pi() * (kx * x / 20.0 + ky * y / 10.0 + kz * z / nz))) / (200 * max(nz)) AS im FROM grid, n, k GROUP BY 1, 2, 3)
+SELECT kx, ky, kz, round(re * re + im * im + 1, 6) AS energy FROM f""")
+def volume_spectrum(spark, sf):
+    """Energy of the low wave numbers of the volume, by planes and pencils."""
+    g = D.grid(spark, sf)
+    nz = g.agg(F.max("z")).first()[0] + 1
+    s = R.volume_spectrum(g, 20, 10, nz, "u")
+    return s.where("abs(kx) <= 1 AND abs(ky) <= 1 AND abs(kz) <= 1").select("kx", "ky", "kz", F.round(F.col("energy") + 1, 6).alias("energy"))
+
+
+@query(None)
+def local_kriging(spark, sf):
+    """Ordinary kriging of the nearest points; held against numpy in the tests."""
+    return R.kriging(knn_queries(spark, sf), D.points(spark, sf), "val", 12, 0.02, 0.1)
+
+
+@query(None)
+def moving_least_squares(spark, sf):
+    """Quadratic fits of the nearest points; held against numpy in the tests."""
+    return R.moving_least_squares(knn_queries(spark, sf), D.points(spark, sf), "val", 24, 0.02)
+
+
+@query(None)
+def spline_layers(spark, sf):
+    """Cubic splines of each layer; the tests check that they meet the samples."""
+    return R.spline_layer(D.grid(spark, sf), 20, 10, "u", [(0.0, 0.0), (3.0, 4.0), (7.5, 2.25), (19.0, 9.0), (19.5, 3.0)])
+
+
+def rings(spark, sf):
+    """A right-angled footprint for each part: p_size wide, p_retailprice / 100 deep, with a small hole."""
+    w, d, k = F.col("p_size").cast("double"), F.col("p_retailprice") / 100, F.col("p_partkey").cast("double")
+    point = lambda x, y: F.struct((k + x).alias("x"), F.lit(y).cast("double").alias("y") if not hasattr(y, "alias") else y.alias("y"))
+    ring = F.array(point(F.lit(0.0), 0.0), point(w, 0.0), point(w, d), point(F.lit(0.0), d), point(F.lit(0.0), 0.0))
+    return D.read(spark, sf, "part").select("p_partkey", ring.alias("ring"), F.array(ring, F.slice(F.transform(ring, lambda p: F.struct((p["x"] / 4).alias("x"), (p["y"] / 4).alias("y"))), 1, 5)).alias("rings"))
+
+
+@query("""SELECT p_partkey, round(p_size * p_retailprice / 100 + 1e-7, 4) AS area, round(p_size * p_retailprice / 100 * 15 / 16 + 1e-7, 4) AS net, CAST(CASE WHEN p_size * p_retailprice / 1600 >= 5 THEN 2 ELSE 1 END AS INTEGER) AS rings, round(p_partkey + p_size, 6) AS x1, CAST(CASE p_partkey % 3 WHEN 0 THEN 'not_closed' WHEN 1 THEN 'too_few_points' END AS VARCHAR) AS defect FROM (SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) WHERE p_size * p_retailprice / 100 >= 20""")
+def footprints(spark, sf):
+    """Areas with and without holes, small holes, bounds, defects."""
+    r = rings(spark, sf).withColumn("area", F.abs(geometry.ring_area(F.col("ring"))))
+    k = F.col("p_partkey")
+    spoilt = F.when(k % 3 == 0, F.slice("ring", 1, 4)).when(k % 3 == 1, F.slice("ring", 1, 3)).otherwise(F.col("ring"))
+    return r.where("area >= 20").select(k.cast("double").alias("p_partkey"), F.round(F.col("area") + 1e-7, 4).alias("area"), F.round(geometry.footprint_area(F.col("rings")) + 1e-7, 4).alias("net"), F.size(geometry.without_small_holes(F.col("rings"), 5.0)).alias("rings"), F.round(geometry.bounds(F.col("ring"))["x1"], 6).alias("x1"), geometry.defect(spoilt).alias("defect"))
+
+
+@query("SELECT p_partkey, round(least(p_size, p_retailprice / 100), 6) AS short_side FROM part")
+def short_sides(spark, sf):
+    """Shorter side of the smallest rectangle around a footprint."""
+    return geometry.short_sides(rings(spark, sf), "p_partkey", "ring").select("p_partkey", F.round("short_side", 6).alias("short_side"))
+
+
+@query("SELECT p_partkey, round((least(p_partkey + p_size, 900.5) - greatest(p_partkey, 100.25)) * (least(p_retailprice / 100, 7.5) - 1), 5) AS area FROM part WHERE least(p_partkey + p_size, 900.5) > greatest(p_partkey, 100.25) AND p_retailprice / 100 > 1")
+def clipped_footprints(spark, sf):
+    """Footprints cut to a box."""
+    c = geometry.clipped(rings(spark, sf), "p_partkey", "ring", [(100.25, 1.0), (900.5, 1.0), (900.5, 7.5), (100.25, 7.5)])
+    return c.select("p_partkey", F.round(F.abs(geometry.ring_area(F.col("ring"))), 5).alias("area"))
+
+
+@query(f"""WITH {D.GRID}, c AS (SELECT x, y, u AS h FROM grid WHERE z = 1), k(t, corner, dx, dy) AS (VALUES (0, 0, 0, 0), (0, 1, 1, 0), (0, 2, 1, 1), (1, 0, 0, 0), (1, 1, 1, 1), (1, 2, 0, 1))
+SELECT CAST(((y - dy) * 20 + (x - dx)) * 2 + t AS BIGINT) AS triangle, CAST(corner AS INTEGER) AS corner, x, y, h AS height FROM c, k WHERE x - dx BETWEEN 0 AND 18 AND y - dy BETWEEN 0 AND 8""")
+def terrain_mesh(spark, sf):
+    """The terrain as triangles."""
+    return geometry.terrain_triangles(D.grid(spark, sf).where("z = 1").select("x", "y", F.col("u").alias("h")), 20, 10, "h")
+
+
+@query("SELECT p_partkey, CAST(round(p_size * 2.0 + 10 - 3, 6) AS DOUBLE) AS x, round(p_retailprice * 2.0 + 20 - 5, 6) AS y FROM part")
+def moved_mesh(spark, sf):
+    """Vertices scaled and moved to given bounds."""
+    return D.read(spark, sf, "part").select("p_partkey", F.round(F.col("p_size") * 2.0 + 10 - 3, 6).alias("x"), F.round(F.col("p_retailprice") * 2.0 + 20 - 5, 6).alias("y"))
