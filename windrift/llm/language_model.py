@@ -109,10 +109,9 @@ class Model:
             w = Words(b.column("text"))
             return w.hashes, w.text_index()
 
-        words = scratch.save(counted(docs, words_of, language.block))
-        sums = words.agg(F.sum("target").alias("t"), F.sum("background").alias("b")).first()
-        self.totals = (sums["t"] or 0), (sums["b"] or 0)
-        kept = words.where(F.col("background") >= max(language.at_least, language.frequent * self.totals[1])).select("key").toArrow()
+        words = scratch.save(counted(docs.withColumn("target", F.lit(False)), words_of, language.block))
+        total = words.agg(F.sum("background")).first()[0] or 0
+        kept = words.where(F.col("background") >= max(language.at_least, language.frequent * total)).select("key").toArrow()
         scratch.drop(words)
         self.words = np.sort(kept.column("key").to_numpy().astype(np.int64).view(np.uint64))
         self.size = len(self.words) + RARE
@@ -126,7 +125,11 @@ class Model:
             before[first] = len(words_) + RARE  # the start of a text
             return (before * (len(words_) + RARE + 1) + token).astype(np.uint64), w.text_index()
 
-        pairs = scratch.save(counted(docs, pairs_of, language.block))
+        # The ids of the target grow with the corpus: they meet the texts by a sorted join at any size.
+        marked = docs.hint("merge").join(targets, "doc_id", "left")
+        pairs = scratch.save(counted(marked, pairs_of, language.block))
+        sums = pairs.agg(F.sum("target").alias("t"), F.sum("background").alias("b")).first()
+        self.totals = (sums["t"] or 0), (sums["b"] or 0)
         width = self.size + 1
         context = pairs.groupBy(F.expr(f"key div {width}").alias("token")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
         single = pairs.groupBy((F.col("key") % width).alias("token")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
@@ -178,8 +181,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, language: Language = Lan
     """
     target = F.col("quality") == 1 if target is None else target
     wanted_ids = labels.where(target & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(wanted_ids, "doc_id", "left").select("text", "target")
-    model = docs.sparkSession.sparkContext.broadcast(Model(marked, language))
+    model = docs.sparkSession.sparkContext.broadcast(Model(docs.select("doc_id", "text"), wanted_ids, language))
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")), T.StructField("preferred", T.BooleanType())])
     wanted = arrow_schema(schema)
 
