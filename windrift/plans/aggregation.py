@@ -60,10 +60,11 @@ def speeds(spark):
     return A.bin_speeds(spark.createDataFrame([(k, 50.0 * k, 50.0 * k + 50 if k < 6 else None) for k in range(7)], "bin bigint, lower double, upper double"))
 
 
-@query(f"WITH {WEIGHTS} SELECT CAST(angle AS DOUBLE) AS angle, round(p, 9) AS p, round(wv, 9) AS velocity_weight, round(we, 9) AS energy_weight FROM weights")
+@query(f"WITH {WEIGHTS} SELECT CAST(angle AS DOUBLE) AS angle, round(p + 3e-9, 7) AS p, round(wv + 3e-9, 7) AS velocity_weight, round(we + 3e-9, 7) AS energy_weight FROM weights")
 def direction_weights(spark, sf):
     """Weights of the wind directions."""
-    return rounded(A.direction_weights(D.windrose(spark, sf), speeds(spark), 160.0), "p", "velocity_weight", "energy_weight", digits=9)
+    w = A.direction_weights(D.windrose(spark, sf), speeds(spark), 160.0)
+    return w.select("angle", *(F.round(F.col(c) + 3e-9, 7).alias(c) for c in ("p", "velocity_weight", "energy_weight")))
 
 
 @query(f"""WITH {D.WINDROSE}, {BINS}, {D.PROFILE}, {D.GRID},
@@ -121,10 +122,10 @@ def counts_by_reason(spark, sf):
 
 
 @query(f"""WITH {D.SAMPLES}, f AS (SELECT patch, un, un * area AS f FROM samples)
-SELECT patch, round(sum(CASE WHEN f > 0 THEN f ELSE 0 END), 3) AS flux_out, round(sum(CASE WHEN f < 0 THEN -f ELSE 0 END), 3) AS flux_in, round(sum(f), 3) AS net, round(avg(abs(un)), 6) AS mean_size FROM f GROUP BY ROLLUP (patch)""")
+SELECT patch, round(sum(CASE WHEN f > 0 THEN f ELSE 0 END) + 1e-5, 3) AS flux_out, round(sum(CASE WHEN f < 0 THEN -f ELSE 0 END) + 1e-5, 3) AS flux_in, round(sum(f) + 1e-5, 3) AS net, round(avg(abs(un)), 6) AS mean_size FROM f GROUP BY ROLLUP (patch)""")
 def boundary_flux(spark, sf):
     """Flux through each face and all."""
-    return A.boundary_flux(D.samples(spark, sf), "patch", "un", "area").select("patch", *(F.round(c, 3).alias(c) for c in ("flux_out", "flux_in", "net")), F.round("mean_size", 6).alias("mean_size"))
+    return A.boundary_flux(D.samples(spark, sf), "patch", "un", "area").select("patch", *(F.round(F.col(c) + 1e-5, 3).alias(c) for c in ("flux_out", "flux_in", "net")), F.round("mean_size", 6).alias("mean_size"))
 
 
 @query(f"""WITH {D.SAMPLES}, d AS (SELECT sum(un * area) / sum(area) AS excess FROM samples)

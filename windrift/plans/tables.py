@@ -1 +1,194 @@
-"""Queries."""
+"""Queries of readers, writers and decks: rows are written out in the format at hand and read back."""
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from windrift.operators import deck
+from windrift.plans import adapters as D
+from windrift.plans.registry import query
+from windrift.sources import tables as S
+
+
+def shared_folder(spark) -> str:
+    """A new folder that executors see too: under spark.checkpoint.dir, or a temporary one on a local master."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="windrift-")
+    path = f"{root}/tables-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
+@query(f"WITH {D.GRID} SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(u AS FLOAT) AS u, CAST(w AS FLOAT) AS w FROM grid WHERE z BETWEEN 2 AND 30")
+def vtk_round_trip(spark, sf):
+    """A grid written as a legacy VTK file, read back by layers, two fields of three."""
+    from windrift.sources.vtk import VtkSource
+
+    spark.dataSource.register(VtkSource)
+    folder = shared_folder(spark)
+    whole = D.grid(spark, sf).repartitionByRange(4, "z").sortWithinPartitions("z", "y", "x")
+    whole.select(*(F.col(c).cast("int") for c in ("z", "y", "x")), "u", "v", "w").write.format("vtk").option("spacing", "2,2,5").mode("append").save(folder)
+    return spark.read.format("vtk").option("fields", "u,w").option("z_min", "2").option("z_max", "30").load(folder)
+
+
+@query(f"WITH {D.GRID} SELECT CAST(z - 3 AS INTEGER) AS z, CAST(y - 1 AS INTEGER) AS y, CAST(x - 4 AS INTEGER) AS x, CAST(u AS FLOAT) AS u FROM grid WHERE x BETWEEN 4 AND 9 AND y BETWEEN 1 AND 7 AND z BETWEEN 3 AND 8")
+def vtk_cropped(spark, sf):
+    """A window of a grid as a file of its own, its indices from zero again."""
+    from windrift.sources.vtk import VtkSource
+
+    spark.dataSource.register(VtkSource)
+    folder = shared_folder(spark)
+    part = D.grid(spark, sf).where("x BETWEEN 4 AND 9 AND y BETWEEN 1 AND 7 AND z BETWEEN 3 AND 8").select((F.col("z") - 3).cast("int").alias("z"), (F.col("y") - 1).cast("int").alias("y"), (F.col("x") - 4).cast("int").alias("x"), "u")
+    part.repartitionByRange(2, "z").write.format("vtk").option("origin", "8,2,15").option("spacing", "2,2,5").mode("append").save(folder)
+    return spark.read.format("vtk").load(folder)
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS facet, CAST(k AS INTEGER) AS corner, CAST(p_partkey + CASE k WHEN 1 THEN 1 ELSE 0 END AS FLOAT) AS x, CAST(CASE k WHEN 2 THEN p_size ELSE 0 END AS FLOAT) AS y, CAST(0 AS FLOAT) AS z FROM part, range(3) r(k) WHERE p_partkey < 300")
+def stl_round_trip(spark, sf):
+    """Triangles written as a binary mesh and read back."""
+    from windrift.sources.mesh import StlSource, write_stl
+
+    spark.dataSource.register(StlSource)
+    k = F.col("k")
+    corners = D.read(spark, sf, "part").where("p_partkey < 300").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    corners = corners.select(F.col("p_partkey").alias("facet"), k.alias("corner"), (F.col("p_partkey") + F.when(k == 1, 1).otherwise(0)).cast("float").alias("x"), F.when(k == 2, F.col("p_size")).otherwise(0).cast("float").alias("y"), F.lit(0).cast("float").alias("z"))
+    first = corners.agg(F.min("facet")).first()[0]
+    path = f"{shared_folder(spark)}/mesh.stl"
+    write_stl(corners, path)
+    return spark.read.format("stl").load(path).withColumn("facet", F.col("facet") + F.lit(first or 0))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS record, n_name AS NAME, CAST(n_nationkey * 2.5 AS DOUBLE) AS HEIGHT, CAST(5 AS INTEGER) AS points, round(CAST(n_nationkey + 1 AS DOUBLE) * 2, 6) AS area FROM nation")
+def shp_round_trip(spark, sf):
+    """Footprints with attributes written as a layer and read back, shape and row by record number."""
+    from windrift.operators.geometry import ring_area
+    from windrift.sources.mesh import ShpSource, write_shp
+
+    spark.dataSource.register(ShpSource)
+    rows = [([[(k, 0), (k, 2), (k + k + 1, 2), (k + k + 1, 0), (k, 0)]], {"NAME": n, "HEIGHT": k * 2.5}) for k, n in sorted((r["n_nationkey"], r["n_name"]) for r in D.read(spark, sf, "nation").collect())]
+    base = f"{shared_folder(spark)}/layer"
+    write_shp([([[(float(x), float(y)) for x, y in r] for r in rings], v) for rings, v in rows], base)
+    out = spark.read.format("shp").load(base + ".shp")
+    return out.select("record", "NAME", "HEIGHT", F.size(F.col("rings")[0]).alias("points"), F.round(F.abs(ring_area(F.col("rings")[0])), 6).alias("area"))
+
+
+@query(f"WITH {D.PROFILE} SELECT z, round(\"U\", 3) AS \"U\" FROM profile WHERE z <= 40")
+def profile_table(spark, sf):
+    """A profile from lines with comments, mixed separators and bad rows."""
+    p = D.profile(spark, sf)
+    sep = F.element_at(F.array(*map(F.lit, [" , ", ";", "\t", "  "])), (F.col("z") % 4 + 1).cast("int"))
+    lines = p.select(F.concat(F.col("z").cast("string"), sep, F.format_string("%.3f", "U"), F.lit(" // m")).alias("value"))
+    noise = spark.range(1).select(F.explode(F.array(*map(F.lit, ["# z,U", "z,U", "", "1,x", "// 3 4"]))).alias("value"))
+    return S.profile(lines.union(noise), top=40.0)
+
+
+@query(f"WITH {D.WINDROSE} SELECT CAST(angle AS DOUBLE) AS angle, CAST(bin AS BIGINT) AS bin, CAST(bin * 50 AS DOUBLE) AS lower, CAST(CASE WHEN bin < 6 THEN bin * 50 + 50 END AS DOUBLE) AS upper, round(p, 6) AS p FROM windrose WHERE round(100 * p, 6) > 0")
+def wind_rose_table(spark, sf):
+    """A wide wind-rose table in percent with a preamble, found by its header."""
+    from windrift.functions.text import COMPASS
+
+    rose = D.windrose(spark, sf)
+    wide = rose.groupBy("angle").pivot("bin", list(range(7))).agg(F.first("p")).na.fill(0.0)
+    label = F.element_at(F.array(*map(F.lit, COMPASS)), (F.col("angle") / 22.5 + 1).cast("int"))
+    cells = F.array(label, F.lit(""), *(F.format_string("%.10f", F.col(str(k)) * 100) for k in range(7)))
+    body = wide.select((F.col("angle").cast("int") + 10).alias("line_no"), cells.alias("cells"))
+    head = ["dir", "deg", *(f"C{k}_{50 * k}p0_{f'{50 * k + 50}p0' if k < 6 else 'inf'}" for k in range(7))]
+    top = spark.createDataFrame([(0, ["Station", "7"]), (1, head), (900, ["ALL", "", *["9"] * 7])], "line_no int, cells array<string>")
+    return S.wind_rose(body.unionByName(top)).where(F.round(F.col("p") * 100, 6) > 0).select("angle", "bin", "lower", "upper", F.round("p", 6).alias("p"))
+
+
+@query(f"""WITH {D.SAMPLES} SELECT CAST(l_orderkey AS DOUBLE) AS "X", CAST(l_linenumber AS DOUBLE) AS "Y", "T" AS "Z", un AS u, un AS v, un AS w, CAST(NULL AS DOUBLE) AS "T", CAST(l_linenumber % 6 AS INTEGER) AS patch FROM samples""")
+def boundary_samples(spark, sf):
+    """Boundary samples without names; the seventh column is a patch."""
+    s = D.samples(spark, sf)
+    cols = ["l_orderkey", "l_linenumber", "T", "un", "un", "un", "patch"]
+    return S.boundary_samples(s.select(*(F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(cols))))
+
+
+@query(f"WITH {D.GRID} SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(u, 3) AS elevation FROM grid WHERE z = 0 AND (x IN (0, 19) OR y IN (0, 9))")
+def elevation_table(spark, sf):
+    """Terrain from lines, perimeter only."""
+    g = D.grid(spark, sf).where("z = 0")
+    lines = S.perimeter(g, 20, 10).select(F.concat_ws(";", F.col("x").cast("string"), F.col("y").cast("string"), F.format_string("%.3f", F.round("u", 3))).alias("value"))
+    return S.elevations(lines)
+
+
+@query("SELECT 'case' || o_orderkey AS \"case\", CAST(max(o_orderkey % 977) + 0.25 AS DOUBLE) AS asl FROM orders WHERE o_orderkey <= 400 GROUP BY 1")
+def terrain_minima(spark, sf):
+    """Lines of cases and their lowest terrain, the name carried forward."""
+    o = D.read(spark, sf, "orders").where("o_orderkey <= 400")
+    value = F.concat((F.col("o_orderkey") % 977).cast("string"), F.lit(".25"))
+    lines = o.select((F.col("o_orderkey") * 2).alias("n"), F.array(F.concat(F.lit("case"), F.col("o_orderkey").cast("string")), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("terrain_min_asl_m = "), value)).otherwise(F.concat(value, F.lit(" m")))).alias("v"))
+    return S.terrain_minima(lines.select("n", F.posexplode("v").alias("i", "value")).select((F.col("n") + F.col("i")).alias("line_no"), "value"))
+
+
+@query(f"WITH {D.GRID} SELECT CAST(z AS DOUBLE) AS height, x AS t, round(u, 6) AS u, round(v, 6) AS v, round(w, 6) AS w FROM grid WHERE y = 0")
+def packed_probes(spark, sf):
+    """Probe series as a wide table of packed cells, and back."""
+    s = D.grid(spark, sf).where("y = 0").select(F.col("z").cast("double").alias("height"), F.col("x").alias("t"), *(F.round(c, 6).alias(c) for c in "uvw"))
+    long = S.unpacked_probes(S.packed_probes(s))
+    return long.select("height", "t", *(F.round(c, 6).alias(c) for c in "uvw"))
+
+
+@query("SELECT page_id, CASE WHEN k > 1 THEN stem || '_' || (k - 1) ELSE stem END AS output FROM (SELECT page_id, 'field_' || page_id % 7 AS stem, row_number() OVER (PARTITION BY page_id % 7 ORDER BY lpad(CAST(page_id AS VARCHAR), 9, '0')) AS k FROM pages)")
+def output_names(spark, sf):
+    """Safe column names, numbered where they repeat."""
+    key = F.lpad(F.col("page_id").cast("string"), 9, "0")
+    p = D.read(spark, sf, "pages").select("page_id", F.concat(F.lit(" field "), (F.col("page_id") % 7).cast("string"), F.lit("!")).alias("name"), key.alias("k"))
+    from pyspark.sql import Window
+
+    from windrift.functions.text import file_stem
+
+    safe = file_stem(F.col("name"))
+    n = F.row_number().over(Window.partitionBy(safe).orderBy("k"))
+    return p.select("page_id", F.when(n > 1, F.concat_ws("_", safe, n - 1)).otherwise(safe).alias("output"))
+
+
+DECK = """o_orderkey AS deck, concat('// Project', chr(10), 'Case Name = "c', o_orderkey, '" // a name', chr(10), '// Mesh', chr(10), 'grid-size = ', o_orderkey % 7 + 1, 'p5', chr(10), 'high_order = yes', chr(10), 'high_order = ', CASE o_orderkey % 3 WHEN 0 THEN 'off' WHEN 1 THEN '2' ELSE 'maybe' END, chr(10), 'z_1imit = 9', chr(10), 'cut_lon_manual = [12, ', o_orderkey % 20, ']') AS text"""
+
+
+def decks(spark, sf):
+    k = F.col("o_orderkey")
+    s = lambda c: c.cast("string")
+    choice = F.element_at(F.array(*map(F.lit, ["off", "2", "maybe"])), (k % 3 + 1).cast("int"))
+    text = F.concat(F.lit('// Project\nCase Name = "c'), s(k), F.lit('" // a name\n// Mesh\ngrid-size = '), s(k % 7 + 1), F.lit("p5\nhigh_order = yes\nhigh_order = "), choice, F.lit("\nz_1imit = 9\ncut_lon_manual = [12, "), s(k % 20), F.lit("]"))
+    return D.read(spark, sf, "orders").select(k.alias("deck"), text.alias("text"))
+
+
+@query("""SELECT o_orderkey AS deck, CASE o_orderkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS high_order, CAST(o_orderkey % 7 + 1.5 AS DOUBLE) AS cell_size, CAST(least(12, o_orderkey % 20) AS DOUBLE) AS west, CAST(5 AS BIGINT) AS keys, CAST(3 AS BIGINT) AS known FROM orders""")
+def deck_values(spark, sf):
+    """Decks parsed; aliases, repeated keys, odd values, unknown keys kept."""
+    e = deck.typed(deck.effective(deck.parse(decks(spark, sf))))
+    pick = lambda key, c: F.max(F.when(F.col("key") == key, F.col(c)))
+    return e.groupBy("deck").agg(pick("high_order", "as_bool").alias("high_order"), pick("cell_size", "as_double").alias("cell_size"), F.array_min(F.first(F.when(F.col("key") == "cut_lon_manual", F.col("as_list")), ignorenulls=True)).alias("west"), F.count("*").alias("keys"), F.sum(F.col("known").cast("bigint")).alias("known"))
+
+
+@query("SELECT o_orderkey AS deck, 'high_order' AS key, CAST(2 AS BIGINT) AS n FROM orders")
+def deck_duplicates(spark, sf):
+    """Keys that a deck says more than once."""
+    return deck.duplicates(deck.parse(decks(spark, sf)))
+
+
+@query("""WITH k(rank, section, key, value, filled) AS (VALUES (1, 'project', 'datetime', '20990101120000', true), (4, 'domain', 'base_height', '50', true), (7, 'solver', 'n_gpu', '[1, 1, 1]', true), (8, 'mesh', 'mesh_control', 'gpu_memory', true), (10, 'solver', 'flux_correction', 'true', true), (11, 'solver', 'coriolis_term', 'true', true), (16, 'terrain', 'terr_voxel_approach', 'idw', true))
+SELECT o_orderkey AS deck, section, key, value, filled FROM orders, k UNION ALL
+SELECT o_orderkey, 'solver', 'high_order', CASE o_orderkey % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'true' ELSE 'maybe' END, false FROM orders UNION ALL
+SELECT o_orderkey, 'mesh', 'cell_size', (o_orderkey % 7 + 1) || 'p5', false FROM orders UNION ALL
+SELECT o_orderkey, 'domain', 'cut_lon_manual', '[' || least(12, o_orderkey % 20) || '.0, ' || greatest(12, o_orderkey % 20) || '.0]', false FROM orders UNION ALL
+SELECT o_orderkey, 'custom', 'case_name', 'c' || o_orderkey, false FROM orders UNION ALL SELECT o_orderkey, 'custom', 'z_1imit', '9', false FROM orders""")
+def deck_repair(spark, sf):
+    """Decks with repeats gone, defaults filled in, values in their written form, unknown keys kept."""
+    d = decks(spark, sf)
+    return deck.repaired(deck.parse(d), d).select("deck", "section", "key", "value", "filled")
+
+
+@query("SELECT o_orderkey AS deck, '// Project' AS first_line, CAST(18 AS INTEGER) AS lines FROM orders")
+def deck_rendering(spark, sf):
+    """Decks written again in canonical order."""
+    d = decks(spark, sf)
+    out = deck.rendered(deck.repaired(deck.parse(d), d))
+    return out.select("deck", F.split("text", "\n")[0].alias("first_line"), F.size(F.split("text", "\n")).alias("lines"))
