@@ -100,8 +100,8 @@ def counted(docs: DataFrame, keys_of, block: int) -> DataFrame:
 class Model:
     """The vocabulary and both models' log probabilities."""
 
-    def __init__(self, docs: DataFrame, language: Language):
-
+    def __init__(self, docs: DataFrame, targets: DataFrame, language: Language):
+        """docs: doc_id and text of all documents; targets: doc_id and target for those of the target."""
         self.language = language
         scratch = Scratch(docs.sparkSession)
 
