@@ -9,7 +9,7 @@ The packing: best-fit decreasing gives the incumbent. Bin completion takes the l
 enumerates the undominated fillings of the room beside it (larger pieces first), and branches on
 them in order of waste, applying a filling as often as counts allow; a branch is cut when the waste
 so far leaves no chance to beat the incumbent, and the search ends when the incumbent meets the
-lower bound ceil(total / capacity).
+lower bound.
 """
 
 from __future__ import annotations
@@ -161,10 +161,22 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(tuple(c), m) for group in open_.values() for c, m in group]
 
 
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that no packing can do without: all tokens, or pieces too large to share one and what fits beside them."""
+    best = -(-sum(s * n for s, n in counts.items()) // capacity)
+    for k in {s for s in counts if 2 * s <= capacity} | {0}:
+        alone = sum(n for s, n in counts.items() if s > capacity - k)
+        large = [(s, n) for s, n in counts.items() if 2 * s > capacity and s <= capacity - k]
+        small = sum(s * n for s, n in counts.items() if k <= s and 2 * s <= capacity)
+        room = sum((capacity - s) * n for s, n in large)
+        best = max(best, alone + sum(n for _, n in large) + max(0, -(-(small - room) // capacity)))
+    return best
+
+
 def pack_counts(counts: dict[int, int], pack: Pack = Pack()) -> list[Pattern]:
     """Patterns that hold every piece once, in as few sequences as the search finds."""
     counts = {s: n for s, n in counts.items() if n}
-    bound = -(-sum(s * n for s, n in counts.items()) // pack.capacity)
+    bound = lower_bound(counts, pack.capacity)
     best = best_fit(counts, pack.capacity)
     most = [sum(m for _, m in best)]
     spare = lambda bins: bins * pack.capacity - sum(s * n for s, n in counts.items())
