@@ -52,10 +52,13 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, size: float, ring:
     queries: qid, qx, qy; points: vec_id, px, py. Queries meet points in the buckets within `ring`.
     A result is exact when its k-th distance is at most ring * size; the queries for which it is
     not are taken again with twice the size, until none is left, so thin places cost more rounds
-    and dense ones never meet far points.
+    and dense ones never meet far points. Rows without a place are left out.
     """
-    total = points.count()
-    k = min(k, total)
+    placed = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    points, queries = points.where(placed("px", "py")), queries.where(placed("qx", "qy"))
+    k = min(k, points.count())
+    if not k:
+        return queries.select("qid", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank")).where("false")
     done, open_ = None, queries
     while True:
         own = points.withColumn("b", buckets(F.col("px"), F.col("py"), size))
@@ -66,7 +69,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, size: float, ring:
         sure = ranked.groupBy("qid").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= ring * size)).select("qid")
         good = ranked.join(sure, "qid", "left_semi")
         done = good if done is None else done.unionByName(good)
-        open_ = open_.join(sure, "qid", "left_anti").persist()
+        open_ = open_.join(sure, "qid", "left_anti")
         if open_.isEmpty():
             return done
         size *= 4

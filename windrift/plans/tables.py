@@ -31,8 +31,10 @@ def vtk_round_trip(spark, sf):
 
     spark.dataSource.register(VtkSource)
     folder = shared_folder(spark)
-    whole = D.grid(spark, sf).repartitionByRange(4, "z").sortWithinPartitions("z", "y", "x")
-    whole.select(*(F.col(c).cast("int") for c in ("z", "y", "x")), "u", "v", "w").write.format("vtk").option("spacing", "2,2,5").mode("append").save(folder)
+    g = D.grid(spark, sf)
+    layers = g.agg(F.max("z")).first()[0] + 1
+    whole = g.repartitionByRange(4, "z").sortWithinPartitions("z", "y", "x")
+    whole.select(*(F.col(c).cast("int") for c in ("z", "y", "x")), "u", "v", "w").write.format("vtk").option("dims", f"20,10,{layers}").option("spacing", "2,2,5").mode("append").save(folder)
     return spark.read.format("vtk").option("fields", "u,w").option("z_min", "2").option("z_max", "30").load(folder)
 
 
@@ -44,23 +46,23 @@ def vtk_cropped(spark, sf):
     spark.dataSource.register(VtkSource)
     folder = shared_folder(spark)
     part = D.grid(spark, sf).where("x BETWEEN 4 AND 9 AND y BETWEEN 1 AND 7 AND z BETWEEN 3 AND 8").select((F.col("z") - 3).cast("int").alias("z"), (F.col("y") - 1).cast("int").alias("y"), (F.col("x") - 4).cast("int").alias("x"), "u")
-    part.repartitionByRange(2, "z").write.format("vtk").option("origin", "8,2,15").option("spacing", "2,2,5").mode("append").save(folder)
+    part.repartitionByRange(2, "z").write.format("vtk").option("dims", "6,7,6").option("origin", "8,2,15").option("spacing", "2,2,5").mode("append").save(folder)
     return spark.read.format("vtk").load(folder)
 
 
 @query("SELECT CAST(p_partkey AS BIGINT) AS facet, CAST(k AS INTEGER) AS corner, CAST(p_partkey + CASE k WHEN 1 THEN 1 ELSE 0 END AS FLOAT) AS x, CAST(CASE k WHEN 2 THEN p_size ELSE 0 END AS FLOAT) AS y, CAST(0 AS FLOAT) AS z FROM part, range(3) r(k) WHERE p_partkey < 300")
 def stl_round_trip(spark, sf):
     """Triangles written as a binary mesh and read back."""
-    from windrift.sources.mesh import StlSource, write_stl
+    from windrift.sources.mesh import StlSource, facets_of
 
     spark.dataSource.register(StlSource)
     k = F.col("k")
     corners = D.read(spark, sf, "part").where("p_partkey < 300").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     corners = corners.select(F.col("p_partkey").alias("facet"), k.alias("corner"), (F.col("p_partkey") + F.when(k == 1, 1).otherwise(0)).cast("float").alias("x"), F.when(k == 2, F.col("p_size")).otherwise(0).cast("float").alias("y"), F.lit(0).cast("float").alias("z"))
-    first = corners.agg(F.min("facet")).first()[0]
+    first, last = corners.agg(F.min("facet"), F.max("facet")).first()
     path = f"{shared_folder(spark)}/mesh.stl"
-    write_stl(corners, path)
-    return spark.read.format("stl").load(path).withColumn("facet", F.col("facet") + F.lit(first or 0))
+    facets_of(corners).withColumn("facet", F.col("facet") - first).write.format("stl").option("facets", last - first + 1).mode("append").save(path)
+    return spark.read.format("stl").load(path).withColumn("facet", F.col("facet") + first)
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS record, n_name AS NAME, CAST(n_nationkey * 2.5 AS DOUBLE) AS HEIGHT, CAST(5 AS INTEGER) AS points, round(CAST(n_nationkey + 1 AS DOUBLE) * 2, 6) AS area FROM nation")

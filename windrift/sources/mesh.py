@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 FACET = np.dtype([("normal", "<f4", 3), ("v", "<f4", (3, 3)), ("attribute", "<u2")])
 STL = T.StructType([T.StructField("facet", T.LongType()), T.StructField("corner", T.IntegerType()), *(T.StructField(c, T.FloatType()) for c in "xyz")])
@@ -50,6 +51,38 @@ class StlReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(part.low + np.arange(n) // 3), pa.array((np.arange(n) % 3).astype(np.int32)), *(pa.array(v[:, i].astype(np.float32)) for i in range(3))], schema=to_arrow_schema(STL))
 
 
+class StlWriter(DataSourceWriter):
+    """Tasks write facets straight into their places of one file. Option facets: how many there are, numbered from 0."""
+
+    def __init__(self, options: dict):
+        self.target = _local(options["path"])
+        self.fresh = f"{self.target}.{uuid.uuid4().hex}"
+        os.makedirs(os.path.dirname(self.target), exist_ok=True)
+        n = int(options["facets"])
+        with open(self.fresh, "wb") as f:
+            f.write(b"\0" * 80 + struct.pack("<I", n))
+            f.truncate(84 + 50 * n)
+
+    def write(self, rows) -> WriterCommitMessage:
+        with open(self.fresh, "r+b") as f:
+            for r in rows:
+                p = np.array([(c["x"], c["y"], c["z"]) for c in r["corners"]], np.float32)
+                normal = np.cross(p[1] - p[0], p[2] - p[0])
+                size = np.linalg.norm(normal)
+                one = np.zeros(1, FACET)
+                one["normal"], one["v"] = normal / size if size else normal, p
+                f.seek(84 + 50 * r["facet"])
+                f.write(one.tobytes())
+        return WriterCommitMessage()
+
+    def commit(self, messages) -> None:
+        os.replace(self.fresh, self.target)
+
+    def abort(self, messages) -> None:
+        if os.path.exists(self.fresh):
+            os.remove(self.fresh)
+
+
 class StlSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -61,25 +94,14 @@ class StlSource(DataSource):
     def reader(self, schema) -> StlReader:
         return StlReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> StlWriter:
+        return StlWriter(self.options)
+
 
-def write_stl(corners: DataFrame, path: str) -> int:
-    """One binary file of (facet, corner, x, y, z) rows; rows come to the driver partition by partition."""
-    facets = corners.groupBy("facet").agg(F.array_sort(F.collect_list(F.struct("corner", "x", "y", "z"))).alias("v")).where(F.size("v") == 3).orderBy("facet")
-    n = 0
-    with open(path + ".new", "wb") as f:
-        f.write(b"\0" * 84)
-        for row in facets.toLocalIterator():
-            p = np.array([(c["x"], c["y"], c["z"]) for c in row["v"]], np.float32)
-            normal = np.cross(p[1] - p[0], p[2] - p[0])
-            size = np.linalg.norm(normal)
-            one = np.zeros(1, FACET)
-            one["normal"], one["v"] = normal / size if size else normal, p
-            f.write(one.tobytes())
-            n += 1
-        f.seek(80)
-        f.write(struct.pack("<I", n))
-    os.replace(path + ".new", path)
-    return n
+def facets_of(corners: DataFrame) -> DataFrame:
+    """(facet, corners) as the stl writer takes them, from (facet, corner, x, y, z); facets without three corners go."""
+    rows = corners.groupBy("facet").agg(F.array_sort(F.collect_list(F.struct("corner", "x", "y", "z"))).alias("corners"))
+    return rows.where(F.size("corners") == 3)
 
 
 RINGS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))

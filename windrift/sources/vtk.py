@@ -2,18 +2,17 @@
 
     spark.dataSource.register(VtkSource)
     spark.read.format("vtk").option("fields", "u_avg,rho").load(path)
-    df.write.format("vtk").option("spacing", "2,2,5").mode("append").save(folder)
+    df.write.format("vtk").option("dims", "20,10,50").option("spacing", "2,2,5").mode("append").save(folder)
 
 A read row is (z, y, x, one column for each scalar, name_x/_y/_z for vectors). A layer block is one
-partition and only the wanted fields' bytes are read. A written grid is one file, put together from
-the parts that tasks wrote next to it, so rows must be whole layers in order of z.
+partition and only the wanted fields' bytes are read. Tasks write into their own places
+of one new file, so no process holds a grid; rows in order of z keep a task's memory at one layer.
 Paths are those of a file system that all executors mount (a shared folder).
 """
 
 from __future__ import annotations
 
 import os
-import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -134,54 +133,66 @@ class VtkReader(DataSourceReader):
 
 
 @dataclass
-class Part(WriterCommitMessage):
-    path: str | None
-    low: int
-    rows: int
+class Written(WriterCommitMessage):
+    cells: int
 
 
 class VtkWriter(DataSourceWriter):
+    """Tasks write their layers straight into their places of one file, which gets its name when all are done.
+
+    Option dims (nx,ny,nz) fixes the places; cells that no row gives stay zero.
+    """
+
     def __init__(self, options: dict, schema: T.StructType):
-        self.options, self.schema = options, schema
-        self.folder = options["path"].removeprefix("file://").removeprefix("file:")
-        self.name = options.get("name", "grid")
+        folder, name = options["path"].removeprefix("file://").removeprefix("file:"), options.get("name", "grid")
+        self.dims = tuple(int(n) for n in options["dims"].split(","))
         self.fields = [f.name for f in schema if f.name not in ("z", "y", "x")]
-        self.run = uuid.uuid4().hex
-
-    def write(self, rows) -> Part:
-        cells = [(r["z"], r["y"], r["x"], *(r[f] for f in self.fields)) for r in rows]
-        if not cells:
-            return Part(None, 0, 0)
-        a = np.array(cells, float)
-        a = a[np.lexsort((a[:, 2], a[:, 1], a[:, 0]))]
-        os.makedirs(self.folder, exist_ok=True)
-        path = f"{self.folder}/.{self.run}-{uuid.uuid4().hex}.npy"
-        np.save(path, a)
-        return Part(path, int(a[0, 0]), len(a))
-
-    def commit(self, messages: list[Part]) -> None:
-        """One file from the parts, field by field; a part is mapped, never loaded whole."""
-        parts = sorted((m for m in messages if m and m.path), key=lambda m: m.low)
-        arrays = [np.load(p.path, mmap_mode="r") for p in parts]
-        if arrays:
-            nx, ny = (1 + max(int(a[:, i].max()) for a in arrays) for i in (2, 1))
-            nz = sum(len(a) for a in arrays) // (nx * ny)
-            triple = lambda key, default: " ".join(self.options.get(key, default).split(","))
-            target = f"{self.folder}/{self.name}.vtk"
-            with open(target + ".new", "wb") as f:
-                f.write(f"# vtk DataFile Version 3.0\n{self.name}\nBINARY\nDATASET STRUCTURED_POINTS\nDIMENSIONS {nx} {ny} {nz}\nORIGIN {triple('origin', '0,0,0')}\nSPACING {triple('spacing', '1,1,1')}\nPOINT_DATA {nx * ny * nz}\n".encode())
-                for i, name in enumerate(self.fields):
-                    f.write(f"SCALARS {name} float 1\nLOOKUP_TABLE default\n".encode())
-                    for a in arrays:
-                        f.write(a[:, 3 + i].astype(">f4").tobytes())
-                    f.write(b"\n")
-            os.replace(target + ".new", target)
-        self.abort(messages)
+        self.target = f"{folder}/{name}.vtk"
+        self.fresh = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        nx, ny, nz = self.dims
+        triple = lambda key, default: " ".join(options.get(key, default).split(","))
+        head = f"# vtk DataFile Version 3.0\n{name}\nBINARY\nDATASET STRUCTURED_POINTS\nDIMENSIONS {nx} {ny} {nz}\nORIGIN {triple('origin', '0,0,0')}\nSPACING {triple('spacing', '1,1,1')}\nPOINT_DATA {nx * ny * nz}\n"
+        os.makedirs(folder, exist_ok=True)
+        self.offsets = []
+        with open(self.fresh, "wb") as f:
+            f.write(head.encode())
+            for field_ in self.fields:
+                f.write(f"SCALARS {field_} float 1\nLOOKUP_TABLE default\n".encode())
+                self.offsets.append(f.tell())
+                f.seek(4 * nx * ny * nz, 1)
+                f.write(b"\n")
+
+    def write(self, rows) -> Written:
+        nx, ny, _ = self.dims
+        plane, held, n = nx * ny, {}, 0
+        with open(self.fresh, "r+b") as f:
+
+            def put(z: int, cells: list) -> None:
+                a = np.array(cells, float)
+                order = np.argsort(a[:, 0])
+                at, values = a[order, 0].astype(int), a[order, 1:].astype(">f4")
+                runs = np.flatnonzero(np.r_[True, np.diff(at) != 1, True])
+                for i, j in zip(runs, runs[1:], strict=False):
+                    for k, offset in enumerate(self.offsets):
+                        f.seek(offset + 4 * (z * plane + at[i]))
+                        f.write(values[i:j, k].tobytes())
+
+            for r in rows:
+                cells = held.setdefault(r["z"], [])
+                cells.append((r["y"] * nx + r["x"], *(float("nan") if r[c] is None else r[c] for c in self.fields)))
+                n += 1
+                if len(cells) == plane:  # a whole layer needs no more memory
+                    put(r["z"], held.pop(r["z"]))
+            for z, cells in held.items():
+                put(z, cells)
+        return Written(n)
+
+    def commit(self, messages: list[Written]) -> None:
+        os.replace(self.fresh, self.target)
 
     def abort(self, messages) -> None:
-        for m in messages:
-            if m and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+        if os.path.exists(self.fresh):
+            os.remove(self.fresh)
 
 
 class VtkSource(DataSource):
@@ -210,4 +221,4 @@ class VtkSource(DataSource):
 
 def meta(path: str) -> dict:
     h = read_header(path)
-    return {"nx": h.dims[0], "ny": h.dims[1], "nz": h.dims[2], "origin": h.origin, "spacing": h.spacing, "fields": [f.name for f in h.fields], "bytes": struct.calcsize("B") * os.path.getsize(path)}
+    return {"nx": h.dims[0], "ny": h.dims[1], "nz": h.dims[2], "origin": h.origin, "spacing": h.spacing, "fields": [f.name for f in h.fields], "bytes": os.path.getsize(path)}
