@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Checkpoints go to the folder of spark.checkpoint.dir; to a temporary one only where it is unset on a local master."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="windrift-"))
+
+
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links (a, b) reach, for every node.
 
     Each round takes the smallest label near, then that label's own label, so long chains settle in
     few rounds. Rounds are cut by checkpoints in the shared folder of spark.checkpoint.dir.
     """
-    spark = links.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="windrift-"))
+    checkpoint_folder(links.sparkSession)
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = nodes.select("node", F.col("node").alias("component")).checkpoint()
     while True:

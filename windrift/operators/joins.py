@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windrift.operators.graph import checkpoint_folder
+
 
 def bracketed(queries: DataFrame, profile: DataFrame, at: str, z: str, value: str) -> DataFrame:
     """queries with the profile's value at `at`: linear between the samples below and above, held at the ends.
@@ -59,6 +61,7 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, size: float, ring:
     k = min(k, points.count())
     if not k:
         return queries.select("qid", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank")).where("false")
+    checkpoint_folder(points.sparkSession)
     done, open_ = None, queries
     while True:
         own = points.withColumn("b", buckets(F.col("px"), F.col("py"), size))
@@ -67,9 +70,10 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, size: float, ring:
         met = asked.join(own, "b").select("qid", "vec_id", d.alias("distance"))
         ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
         sure = ranked.groupBy("qid").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= ring * size)).select("qid")
-        good = ranked.join(sure, "qid", "left_semi")
+        # Each round is cut by a checkpoint, else its plan would hold the rounds before it twice.
+        good = ranked.join(sure, "qid", "left_semi").checkpoint()
         done = good if done is None else done.unionByName(good)
-        open_ = open_.join(sure, "qid", "left_anti")
+        open_ = open_.join(good.select("qid").distinct(), "qid", "left_anti").checkpoint()
         if open_.isEmpty():
             return done
         size *= 4

@@ -46,7 +46,8 @@ def vtk_cropped(spark, sf):
     spark.dataSource.register(VtkSource)
     folder = shared_folder(spark)
     part = D.grid(spark, sf).where("x BETWEEN 4 AND 9 AND y BETWEEN 1 AND 7 AND z BETWEEN 3 AND 8").select((F.col("z") - 3).cast("int").alias("z"), (F.col("y") - 1).cast("int").alias("y"), (F.col("x") - 4).cast("int").alias("x"), "u")
-    part.repartitionByRange(2, "z").write.format("vtk").option("dims", "6,7,6").option("origin", "8,2,15").option("spacing", "2,2,5").mode("append").save(folder)
+    layers = (part.agg(F.max("z")).first()[0] or 0) + 1
+    part.repartitionByRange(2, "z").write.format("vtk").option("dims", f"6,7,{layers}").option("origin", "8,2,15").option("spacing", "2,2,5").mode("append").save(folder)
     return spark.read.format("vtk").load(folder)
 
 
