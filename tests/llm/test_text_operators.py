@@ -118,5 +118,22 @@ def test_near_duplicate_classes_equal_brute_force(spark, documents, words):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_near_duplicates_that_meet_only_in_long_runs(spark, words):
+    template = [f"t{i}" for i in range(284)]
+    tail = lambda k: [f"p{k // 2 if k < 40 else k}", *(f"u{k}x{j}" for j in range(4))]
+    rows = [(k, " ".join(template + tail(k))) for k in range(240)]
+    bags = [shingle_counts(words(t)) for _, t in rows]
+    df = Counter(s for b in bags for s in b)
+    weight = {s: math.log(1 + len(rows) / df[s]) for s in df}
+    least = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        shared = sum(weight[s] for s in set(bags[a]) & set(bags[b]))
+        if shared >= 0.8 * sum(weight[s] for s in set(bags[a]) | set(bags[b])):
+            least[b] = min(least[b], a)
+    assert sum(x != k for k, x in enumerate(least)) == 20  # twenty pairs, the others are alike to nothing
+    got = near_duplicate_classes(Scratch(spark), spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in got) == list(enumerate(least))
+
+
 def test_near_duplicate_classes_on_nothing(spark, empty):
     assert near_duplicate_classes(Scratch(spark), empty).count() == 0
