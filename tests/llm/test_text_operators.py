@@ -3,12 +3,15 @@
 import hashlib
 import itertools
 import math
+import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from windrift.llm.common import Scratch
 from windrift.llm.quality import quality_rules
 from windrift.llm.recompression import remove_repeats
-from windrift.llm.suffixes import repeated_passages
+from windrift.llm.suffixes import Passages, repeated_passages
 from windrift.llm.weighted_minhash import near_duplicate_classes
 
 
@@ -77,6 +80,49 @@ def test_sparse_suffixes_find_all_passages(spark, documents, words):
         assert got[i] == want
 
 
+@pytest.fixture
+def partitions(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda n: spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_texts_without_repeats(spark, partitions, n):
+    partitions(n)
+    clean = spark.createDataFrame([(1, " ".join(f"a{i}" for i in range(60))), (2, " ".join(f"b{i}" for i in range(60)))], "doc_id bigint, text string")
+    none = spark.createDataFrame([(1, None), (None, None), (None, "")], "doc_id bigint, text string")
+    for docs in (clean, none):
+        assert repeated_passages(Scratch(spark), docs).count() == 0
+        assert [r["n_removed"] for r in remove_repeats(Scratch(spark), docs).collect()] == [0] * docs.count()
+    if n == 1:
+        assert sorted(r["class_size"] for r in near_duplicate_classes(Scratch(spark), clean.union(none)).collect()) == [1] * 5
+
+
+@pytest.mark.parametrize("n,crowd", [(64, 4000), (8, 3)])
+def test_no_passage_is_lost_between_tasks(spark, partitions, n, crowd):
+    """Pairs of texts that share fifty words, some of them around a passage that all share, and a null id."""
+    partitions(n)
+    rng = random.Random(n)
+    say = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    hot, rows, want = say(26), [], {}
+    for k in range(200):
+        left = rng.randrange(25)
+        passage = say(left) + hot + say(24 - left) if k % 2 else say(50)
+        for half in (2 * k, 2 * k + 1):
+            head = say(rng.randrange(1, 30))
+            rows.append((None if half == 399 else half, " ".join(head + passage + say(rng.randrange(30)))))
+            want[half] = (len(head), len(head) + 50, half ^ 1)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["start_word"], r["end_word"], r["partner_doc_id"]) for r in repeated_passages(Scratch(spark), docs, Passages(crowd=crowd)).collect()}
+    assert len(got) == 400
+    for half, (a, z, other) in want.items():
+        found = got[None if half == 399 else half]
+        assert found[:2] == (a, z)
+        if crowd > 3 or half // 2 % 2 == 0:  # the partner in a crowd is any row that holds a part
+            assert found[2] == (None if other == 399 else other)
+
+
 def test_sparse_suffixes_on_nothing(spark, empty):
     assert repeated_passages(Scratch(spark), empty).count() == 0
 

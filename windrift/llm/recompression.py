@@ -11,8 +11,9 @@ A window of `window` words takes as its anchor one symbol whose context lies ins
 a function of the window's words alone, so equal windows have equal anchors. Symbols of the
 `level`-th round come first (long ones, then those of smaller hash), then those of lower rounds;
 words themselves are the last resort, so no window is without one. Spark finds the anchors that
-occur at more than one place; only windows with such an anchor can occur again, and for those the
-full windows are compared. Words in a repeated window go.
+occur at more than one place of the corpus; only windows with such an anchor can occur again, and
+those are verified by two independent hashes of all their words, 128 bits, over the corpus. Words
+in a repeated window go.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrift.llm.common import Scratch, arrow_schema, partitions_of, record, slices
-from windrift.llm.repeats import gather, places_of, repeated, uid
-from windrift.llm.words import Runs, Words, covered, mix
+from windrift.llm.common import Scratch, arrow_schema, record, slices
+from windrift.llm.repeats import same_text, uid, with_groups
+from windrift.llm.tallies import expand, ints_of, repeated
+from windrift.llm.words import Words, covered, mix, names128
 
 
 @dataclass(frozen=True)
@@ -143,45 +145,39 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, rules: Repeats = Repeats()
     removed, all at once. Null or empty text: no words, and the checksum of nothing. Rows equal in
     every way repeat each other, and so lose all windows.
     """
-    spark = scratch.spark
-    parts = partitions_of(spark)
     size = rules.window
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept_text", "uid", "places", "copies")] if with_text else []
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed", "kept_sha256", "kept_text", "uid", "starts", "lengths", "copied")] if with_text else []
     base = docs.select("doc_id", "text", *others).withColumn("uid", uid())
 
     # Copies of a text: all their windows repeat. One of them speaks for the group below.
-    group = ["h", "c"]
-    thin = base.select("uid", "doc_id", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c"))
-    copies = thin.groupBy(*group).agg(F.count("*").alias("copies"), F.min("uid").alias("speaker")).where("copies > 1")
-    copied = scratch.save(thin.join(copies, group).groupBy("uid").agg(F.max(F.col("uid") == F.col("speaker")).alias("speaks")))
+    thin = base.select("uid", *same_text()).where("bytes > 0")
+    copies = with_groups(scratch, thin, ["h", "c", "bytes"], {"speaker": F.min("uid")})
+    copied = scratch.save(copies.groupBy("uid").agg(F.max(F.col("uid") == F.col("speaker")).alias("speaks")))
 
-    def anchor_keys(b):
+    def anchor_runs(b):
+        """A range for each run of windows with one anchor."""
         w = Words(b.column("text"))
         fits, name, place = anchors(w, rules)
-        at = np.unique(place[fits])
-        here = np.full(w.n, 0, np.uint64)
-        here[place[fits]] = name[fits]
-        # A symbol's first word is the same for symbols of several rounds; tell them apart by name.
-        pairs = np.unique(np.stack([place[fits].astype(np.uint64), name[fits]], axis=1), axis=0) if len(at) else np.empty((0, 2), np.uint64)
-        text = w.text_index()
-        p = pairs[:, 0].astype(np.int64)
-        return pairs[:, 1], text[p], p - w.bounds[text[p]]
-
-    shared = repeated(gather(base, anchor_keys, parts), parts)
-    chosen = scratch.save(shared.join(copied.where(~F.col("speaks")), "uid", "left_anti"))
+        at = np.flatnonzero(fits)
+        text = w.text_index()[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (np.diff(at) > 1) | (text[1:] != text[:-1]) | (place[at[1:]] != place[at[:-1]]) | (name[at[1:]] != name[at[:-1]])
+        first = np.flatnonzero(new)
+        head = at[first]
+        return name[head], text[first], head - w.bounds[text[first]], np.diff(np.r_[first, len(at)]), place[head] - w.bounds[text[first]]
+
+    shared = repeated(scratch, base.select("uid", "text"), anchor_runs).select("uid", "starts", "lengths")
+    chosen = scratch.save(shared.join(copied.where(~F.col("speaks")).select("uid"), "uid", "left_anti").dropDuplicates(["uid"]))
 
     def window_keys(b):
         w = Words(b.column("text"))
-        fits, _, place = anchors(w, rules)
-        text = w.text_index()
-        hot = np.zeros(w.n, bool)
-        for i, value in enumerate(b.column("places").to_pylist()):
-            hot[places_of(value) + w.bounds[i]] = True
-        at = np.flatnonzero(fits)
-        at = at[hot[place[at]]]
-        return Runs(w.hashes).of(at, size), text[at], at - w.bounds[text[at]]
+        some = [(ints_of(s), ints_of(n)) for s, n in zip(b.column("starts").to_pylist(), b.column("lengths").to_pylist(), strict=True)]
+        place = [expand(s, n) for s, n in some]
+        text = np.repeat(np.arange(b.num_rows), [len(p) for p in place])
+        place = np.concatenate(place) if place else np.empty(0, np.int64)
+        return names128(w.hashes, place + w.bounds[text], size), text, place, np.ones(len(place), np.int64), place
 
-    again = repeated(gather(base.join(chosen, "uid"), window_keys, parts, carry=("places",)), parts)
+    again = repeated(scratch, base.select("uid", "text").join(chosen, "uid"), window_keys, width=2).select("uid", "starts").dropDuplicates(["uid"])
     whole = copied.select("uid", F.lit(True).alias("copied"))
     verdict = scratch.save(again.join(whole, "uid", "full_outer"))
     scratch.drop(chosen, copied)
@@ -194,12 +190,12 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, rules: Repeats = Repeats()
             w = Words(b.column("text"), hashed=False)
             gone = np.zeros(w.n, bool)
             full = b.column("copied").to_pylist()
-            for i, value in enumerate(b.column("places").to_pylist()):
+            for i, value in enumerate(b.column("starts").to_pylist()):
                 a, z = int(w.bounds[i]), int(w.bounds[i + 1])
                 if full[i]:
                     gone[a:z] = z - a >= size
                 elif value:
-                    p = places_of(value)
+                    p = ints_of(value)
                     gone[a:z] = covered(p, p + size, z - a)
             sums = np.r_[0, np.cumsum(gone)]
             joined = []
@@ -214,4 +210,4 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, rules: Repeats = Repeats()
             more = {"kept_text": pa.array([x.decode() if c else t for x, c, t in zip(joined, changed, b.column("text").to_pylist(), strict=True)], pa.string())} if with_text else {}
             yield record(wanted, doc_id=b.column("doc_id"), n_words=w.counts, n_removed=sums[w.bounds[1:]] - sums[w.bounds[:-1]], kept_sha256=pa.array([hashlib.sha256(x).hexdigest() for x in joined], pa.string()), **more, **{c: b.column(c) for c in others})
 
-    return base.join(verdict, "uid", "left").select("doc_id", "text", "places", "copied", *others).mapInArrow(cut, schema)
+    return base.join(verdict, "uid", "left").select("doc_id", "text", "starts", "copied", *others).mapInArrow(cut, schema)

@@ -1,25 +1,16 @@
-"""Places of texts whose 64-bit keys occur more than once in the corpus.
-
-Keys are dealt to tasks by their value, packed: a slice of texts sends each task one row with all
-keys meant for it. The receiving task sorts its keys and reports, text by text, the places whose
-key it saw again, packed for the tasks that gather each text's places. A key that every text holds costs one entry a text, never a list or a pair.
-"""
+"""What tells rows apart, groups of equal texts, and keys packed for the tasks that count them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrift.llm.common import arrow_schema, partitions_of, record, slices
+from windrift.llm.common import Scratch, arrow_schema
 
 PACKED = T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("keys", "uids", "docs", "places"))])
-MOVED = T.StructType([T.StructField("part", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in ("uids", "counts", "places"))])
-FOUND = T.StructType([T.StructField("uid", T.LongType()), T.StructField("places", T.BinaryType())])
 
 
 def uid() -> Column:
@@ -27,6 +18,25 @@ def uid() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def same_text(text: str = "text") -> list[Column]:
+    """What equal texts share and others do not: two hashes and the length."""
+    return [F.xxhash64(text).alias("h"), F.crc32(F.col(text).cast("binary")).alias("c"), F.octet_length(text).alias("bytes")]
+
+
+def with_groups(scratch: Scratch, rows: DataFrame, on: list[str], values: dict[str, Column]) -> DataFrame:
+    """The rows of groups of two and more, each with its group's values.
+
+    A group may hold a third of all rows: groups of more than a 10,000th of the rows, fewer than
+    10,000 of them, are sent to every task, so their rows stay where they are; the others are joined.
+    """
+    groups = scratch.save(rows.groupBy(*on).agg(F.count("*").alias("members"), *(v.alias(k) for k, v in values.items())).where("members > 1"))
+    total = groups.agg(F.sum("members")).first()[0] or 0
+    large = groups.where(F.col("members") > total / 10_000)
+    small = groups.where(F.col("members") <= total / 10_000)
+    there = rows.join(F.broadcast(large), on)
+    return there.unionByName(rows.join(F.broadcast(large.select(*on)), on, "left_anti").join(small, on))
+
+
 def pack(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, uids: np.ndarray, parts: int) -> pa.RecordBatch:
     part = (keys % np.uint64(parts)).astype(np.int32)
     order = np.argsort(part, kind="stable")
@@ -40,70 +50,3 @@ def pack(keys: np.ndarray, docs: np.ndarray, places: np.ndarray, uids: np.ndarra
             for c, v in (("part", p), ("keys", keys[a:b].tobytes()), ("uids", uids[some].tobytes()), ("docs", index.astype(np.uint32).tobytes()), ("places", places[a:b].astype(np.uint32).tobytes())):
                 out[c].append(v)
     return pa.RecordBatch.from_pydict(out, schema=arrow_schema(PACKED))
-
-
-def repeated(packed: DataFrame, parts: int) -> DataFrame:
-    """(uid, places): for each text that has any, the places whose key occurs at more than one place of the corpus, as int32 bytes in order."""
-    wanted, moved = arrow_schema(FOUND), arrow_schema(MOVED)
-
-    def meet(batches):
-        keys, uids, places = [], [], []
-        for b in batches:
-            for row in b.to_pylist():
-                keys.append(np.frombuffer(row["keys"], np.uint64))
-                uids.append(np.frombuffer(row["uids"], np.int64)[np.frombuffer(row["docs"], np.uint32)])
-                places.append(np.frombuffer(row["places"], np.uint32))
-        if not keys:
-            return
-        k, u, p = np.concatenate(keys), np.concatenate(uids), np.concatenate(places)
-        del keys, uids, places
-        order = np.argsort(k, kind="stable")
-        equal = np.r_[False, k[order[1:]] == k[order[:-1]]]
-        equal[:-1] |= equal[1:]
-        order = order[equal]
-        u, p = u[order], p[order].astype(np.int32)
-        # Back to the texts, packed again: one row for each task that has texts.
-        part = (u.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        u, p, part = u[order], p[order], part[order]
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
-        for a, z in zip(starts, np.r_[starts[1:], len(part)], strict=True):
-            own = np.argsort(u[a:z], kind="stable") + a
-            texts, counts = np.unique(u[own], return_counts=True)
-            yield record(moved, part=part[a : a + 1], uids=pa.array([texts.tobytes()], pa.binary()), counts=pa.array([counts.astype(np.uint32).tobytes()], pa.binary()), places=pa.array([p[own].tobytes()], pa.binary()))
-
-    def collect(batches):
-        uids, places = [], []
-        for b in batches:
-            for row in b.to_pylist():
-                uids.append(np.repeat(np.frombuffer(row["uids"], np.int64), np.frombuffer(row["counts"], np.uint32)))
-                places.append(np.frombuffer(row["places"], np.int32))
-        if not uids:
-            return
-        u, p = np.concatenate(uids), np.concatenate(places)
-        order = np.lexsort((p, u))
-        u, p = u[order], p[order]
-        starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
-        for a in range(0, len(starts), 5000):
-            cut = np.r_[starts[a : a + 5000], starts[a + 5000] if a + 5000 < len(starts) else len(u)]
-            yield record(wanted, uid=u[cut[:-1]], places=pa.array([p[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
-
-    met = packed.repartitionById(parts, F.col("part")).mapInArrow(meet, MOVED)
-    return met.repartitionById(parts, F.col("part")).mapInArrow(collect, FOUND)
-
-
-def places_of(value: bytes | None) -> np.ndarray:
-    return np.frombuffer(value, np.int32).astype(np.int64) if value else np.empty(0, np.int64)
-
-
-def gather(docs: DataFrame, keyed: Callable, parts: int, spark=None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Packed keys of `docs` (uid, text, and columns to carry): keyed(batch) gives (keys, text numbers, places)."""
-    parts = parts or partitions_of(spark)
-
-    def run(batches):
-        for b in slices(batches):
-            keys, at, places = keyed(b)
-            if len(keys):
-                yield pack(keys, at, places, b.column("uid").to_numpy(zero_copy_only=False), parts)
-
-    return docs.select("uid", "text", *carry).mapInArrow(run, PACKED)

@@ -3,11 +3,18 @@
 Of all suffixes of all texts only those are kept that begin at a minimiser: the smallest hash of
 `seed` words among the starts in a window of `min_words` words. Every repeated passage of
 `min_words` words holds a minimiser, the same at each of its places, so nothing longer is missed.
-Suffixes whose first `seed` words occur once cannot match and go first. The rest are sorted by
-content over the whole cluster (seed, words after it, words before it), each is compared with the
-neighbours before it, and matches are extended to the right and left word by word. Only
-`min_words - seed` words on either side can matter: a longer passage holds further minimisers
-whose matches take over from there, and overlapping matches of a text are united.
+Suffixes whose first `seed` words occur once cannot match and go first. The rest are dealt by their
+seed, so that all suffixes of a seed are in one task, and sorted by content (seed, words after it,
+words before it). Each is compared with the neighbours before it, and matches are extended to the
+right and left word by word. Only `min_words - seed` words on either side can matter: a longer
+passage holds further minimisers whose matches take over from there, and overlapping matches of a
+text are united.
+
+Neighbours share most to the right. Where a seed has more suffixes than neighbours are compared, a
+match that lies mostly to the left is found by sorting again: for each number of words r to the
+right, suffixes with equal r words after and equal min_words - seed - r words before the seed.
+Seeds at more than `crowd` places are too many for one task: the windows around them are counted
+over the corpus instead, each named by two hashes of all its words.
 """
 
 from __future__ import annotations
@@ -21,8 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrift.llm.common import Scratch, arrow_schema, partitions_of, record, slices
-from windrift.llm.repeats import gather, places_of, repeated, uid
-from windrift.llm.words import Runs, Words
+from windrift.llm.repeats import same_text, uid, with_groups
+from windrift.llm.tallies import expand, ints_of, repeated
+from windrift.llm.words import Runs, Words, mix, names128
 
 
 @dataclass(frozen=True)
@@ -30,6 +38,7 @@ class Passages:
     min_words: int = 50
     seed: int = 25
     neighbours: int = 4
+    crowd: int = 4000  # places of a seed up to which one task compares them
 
 
 def sliding(x: np.ndarray, size: int, pick) -> np.ndarray:
@@ -60,12 +69,56 @@ def common_length(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(axis=1), a.shape[1], same.argmin(axis=1))
 
 
+def matches(run: np.ndarray, after: np.ndarray, before: np.ndarray, neighbours: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, partner): how far each suffix's matches reach, and a suffix that it matches; partner -1 where none does.
+
+    Rows are sorted by run (the seed), after and before, and hold whole runs.
+    """
+    n, reach = after.shape
+    left, right, partner = np.full(n, -1), np.full(n, -1), np.full(n, -1)
+    for d in range(1, min(neighbours, n - 1) + 1):
+        j = np.flatnonzero(run[d:] == run[:-d]) + d
+        i = j - d
+        r, f = common_length(after[i], after[j]), common_length(before[i], before[j])
+        good = r + f >= reach
+        i, j, r, f = i[good], j[good], r[good], f[good]
+        for x, y in ((i, j), (j, i)):
+            better = right[x] + left[x] < r + f
+            partner[x[better]] = y[better]
+            left[x], right[x] = np.maximum(left[x], f), np.maximum(right[x], r)
+    long = np.flatnonzero(np.bincount(run)[run] > neighbours + 1)
+    if not len(long):
+        return left, right, partner
+    # Names of the first k words to either side, for each k; a text that ends there has none.
+    step = np.uint64(0xA24BAED4963EE407)
+    zero = np.zeros(len(long), np.uint64)
+    to_right, to_left = [zero], [zero]
+    for k in range(reach):
+        to_right.append(mix(to_right[-1] * step + after[long, k].astype(np.uint64) + np.uint64(1)))
+        to_left.append(mix(to_left[-1] * step + before[long, k].astype(np.uint64) + np.uint64(1)))
+    ends_right, ends_left = (np.where((m[long] == 0).any(axis=1), (m[long] == 0).argmax(axis=1), reach) for m in (after, before))
+    seeds = mix(run[long].astype(np.uint64))
+    for r in range(reach + 1):
+        f = reach - r
+        fine = np.flatnonzero((ends_right >= r) & (ends_left >= f))
+        name = mix(to_right[r][fine] + mix(to_left[f][fine] + np.uint64(f)) * step + seeds[fine])
+        order = np.argsort(name, kind="stable")
+        same = np.r_[name[order[1:]] == name[order[:-1]], False] if len(order) else np.zeros(0, bool)
+        x, y = long[fine[order[:-1][same[:-1]]]], long[fine[order[1:][same[:-1]]]]
+        for a, b in ((x, y), (y, x)):
+            left[a], right[a] = np.maximum(left[a], f), np.maximum(right[a], r)
+            none = partner[a] < 0
+            partner[a[none]] = b[none]
+    return left, right, partner
+
+
 def repeated_passages(scratch: Scratch, docs: DataFrame, rules: Passages = Passages()) -> DataFrame:
     """One row for each maximal run of repeated words of a row: doc_id, start_word, end_word, n_words, partner_doc_id.
 
     A passage counts from `min_words` words on, repeated in another row or the same. The partner is
     a row that holds a part of the run. Copies of a whole text give one run over all their words.
-    Null, empty and short texts give nothing; neither do texts without a repeat.
+    Null, empty and short texts give nothing; neither do texts without a repeat. A null doc_id is a
+    row like others; as a partner it shows only where no other row will do.
     """
     spark = scratch.spark
     parts = partitions_of(spark)
@@ -73,26 +126,29 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, rules: Passages = Passa
     base = docs.select("doc_id", "text").withColumn("uid", uid())
     id_type = docs.schema["doc_id"].dataType
 
-    counted = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), T.StructField("h", T.LongType()), T.StructField("words", T.LongType())])
+    counted = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), *(T.StructField(c, T.LongType()) for c in ("h", "c", "bytes", "words"))])
     counted_arrow = arrow_schema(counted)
 
     def count(batches):
         for b in slices(batches):
-            yield record(counted_arrow, uid=b.column("uid"), doc_id=b.column("doc_id"), h=b.column("h"), words=Words(b.column("text"), hashed=False).counts)
+            words = Words(b.column("text"), hashed=False).counts
+            yield record(counted_arrow, **{c: b.column(c).cast(counted_arrow.field(c).type) for c in ("uid", "doc_id", "h", "c", "bytes")}, words=words)
 
-    thin = scratch.save(base.withColumn("h", F.xxhash64("text")).mapInArrow(count, counted).where(F.col("words") >= rules.min_words))
-    group = ["h", "words"]
-    copies = thin.groupBy(*group).agg(F.count("*").alias("copies"), F.min_by("doc_id", "uid").alias("one"), F.max_by("doc_id", "uid").alias("two"), F.min("uid").alias("speaker")).where("copies > 1")
-    copied = scratch.save(thin.join(copies, group).select("uid", "doc_id", "words", (F.col("uid") == F.col("speaker")).alias("speaks"), F.when(F.col("uid") == F.col("speaker"), F.col("two")).otherwise(F.col("one")).alias("partner")))
+    thin = scratch.save(base.select("uid", "doc_id", "text", *same_text()).mapInArrow(count, counted).where(F.col("words") >= rules.min_words))
+    copies = with_groups(scratch, thin, ["h", "c", "bytes"], {"one": F.min_by("doc_id", "uid"), "two": F.max_by("doc_id", "uid"), "speaker": F.min("uid")})
+    copied = scratch.save(copies.select("uid", "doc_id", "words", (F.col("uid") == F.col("speaker")).alias("speaks"), F.when(F.col("uid") == F.col("speaker"), F.col("two")).otherwise(F.col("one")).alias("partner")))
 
     def seed_keys(b):
         w = Words(b.column("text"))
         at, key = minimisers(w, rules)
         text = w.text_index()[at]
-        return key, text, at - w.bounds[text]
+        place = at - w.bounds[text]
+        return key, text, place, np.ones(len(at), np.int64), place
 
-    shared = repeated(gather(base, seed_keys, parts), parts)
-    chosen = scratch.save(shared.join(copied.where("not speaks"), "uid", "left_anti"))
+    # Copies of a text are heard once: one of them tells what other texts share with all of them.
+    shared = repeated(scratch, base.select("uid", "text"), seed_keys, crowd=rules.crowd)
+    chosen = scratch.save(shared.join(copied.where("not speaks").select("uid"), "uid", "left_anti").dropDuplicates(["uid"]))
+    texts = base.join(chosen, "uid")
 
     suffix = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), T.StructField("place", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("after", T.BinaryType()), T.StructField("before", T.BinaryType())])
     suffix_arrow = arrow_schema(suffix)
@@ -100,7 +156,7 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, rules: Passages = Passa
     def suffixes(batches):
         for b in slices(batches):
             w = Words(b.column("text"))
-            some = [places_of(v) for v in b.column("places").to_pylist()]
+            some = [ints_of(v)[ints_of(c, np.uint8) == 0] for v, c in zip(b.column("starts").to_pylist(), b.column("crowded").to_pylist(), strict=True)]
             text = np.repeat(np.arange(b.num_rows), [len(p) for p in some])
             place = np.concatenate(some) if some else np.empty(0, np.int64)
             at = place + w.bounds[text]
@@ -115,62 +171,100 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, rules: Passages = Passa
             rows = lambda m: pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * reach), len(m), [None, pa.py_buffer(np.ascontiguousarray(m).tobytes())]).cast(pa.binary())
             yield record(suffix_arrow, uid=b.column("uid").take(text), doc_id=b.column("doc_id").take(text), place=place.astype(np.int32), key=Runs(w.hashes).of(at, rules.seed).astype(np.int64), after=rows(after), before=rows(before))
 
-    ordered = base.join(chosen, "uid").select("uid", "doc_id", "text", "places").mapInArrow(suffixes, suffix)
-    ordered = ordered.repartitionByRange(parts, "key", "after", "before", "uid", "place").sortWithinPartitions("key", "after", "before", "uid", "place")
+    ordered = texts.select("uid", "doc_id", "text", "starts", "crowded").mapInArrow(suffixes, suffix)
+    ordered = ordered.repartition(parts, "key").sortWithinPartitions("key", "after", "before", "uid", "place")
 
     span = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("partner", id_type)])
     span_arrow = arrow_schema(span)
 
     def compare(batches):
-        carried = None  # the last rows so far: they are neighbours of the next batch
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b]) if carried is None else pa.concat_tables([carried, pa.Table.from_batches([b])])
+        def found(t):
             t = t.combine_chunks()
             n = t.num_rows
             key = t.column("key").to_numpy()
-            place = t.column("place").to_numpy().astype(np.int64)
+            run = np.cumsum(np.r_[False, key[1:] != key[:-1]])
             wide = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), ">u2").reshape(n, reach)
-            after, before = wide("after"), wide("before")
-            left, right, partner, best = np.full(n, -1), np.full(n, -1), np.full(n, -1), np.full(n, -1)
-            for d in range(1, min(rules.neighbours, n - 1) + 1):
-                j = np.flatnonzero(key[d:] == key[:-d]) + d
-                i = j - d
-                r, f = common_length(after[i], after[j]), common_length(before[i], before[j])
-                good = r + f >= reach
-                i, j, r, f = i[good], j[good], r[good], f[good]
-                for x, y in ((i, j), (j, i)):
-                    better = best[x] < r + f
-                    partner[x[better]], best[x[better]] = y[better], (r + f)[better]
-                    left[x], right[x] = np.maximum(left[x], f), np.maximum(right[x], r)
-            hit = np.flatnonzero(best >= 0)
-            ids = t.column("doc_id").combine_chunks()
-            for chunk in pa.table({"uid": t.column("uid").take(hit), "doc_id": ids.take(hit), "from": (place - left)[hit].astype(np.int32), "to": (place + rules.seed + right)[hit].astype(np.int32), "partner": ids.take(partner[hit])}, schema=span_arrow).combine_chunks().to_batches():
-                yield chunk
-            carried = t.slice(max(0, n - rules.neighbours))
-
-    found = ordered.mapInArrow(compare, span).groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("from", "to", "partner"))).alias("spans"))
+            left, right, partner = matches(run, wide("after"), wide("before"), rules.neighbours)
+            hit = np.flatnonzero(partner >= 0)
+            place, ids = t.column("place").to_numpy().astype(np.int64), t.column("doc_id").combine_chunks()
+            yield from pa.table({"uid": t.column("uid").take(hit), "doc_id": ids.take(hit), "from": (place - left)[hit].astype(np.int32), "to": (place + rules.seed + right)[hit].astype(np.int32), "partner": ids.take(partner[hit])}, schema=span_arrow).combine_chunks().to_batches()
+
+        held = None  # the last seed's suffixes so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            key = t.column("key").to_numpy()
+            whole = int(np.searchsorted(key, key[-1], "left"))
+            if whole:
+                yield from found(t.slice(0, whole))
+            held = t.slice(whole)
+        if held is not None:
+            yield from found(held)
+
+    # Windows around crowded seeds.
+    def crowded_windows(b):
+        w = Words(b.column("text"))
+        near = np.zeros(w.n + 1, np.int64)
+        for i, (v, c) in enumerate(zip(b.column("starts").to_pylist(), b.column("crowded").to_pylist(), strict=True)):
+            p = ints_of(v)[ints_of(c, np.uint8) > 0]
+            np.add.at(near, w.bounds[i] + np.maximum(p - reach, 0), 1)
+            np.add.at(near, w.bounds[i] + p + 1, -1)
+        at = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (w.words_left() >= rules.min_words))
+        text = w.text_index()[at]
+        place = at - w.bounds[text]
+        return names128(w.hashes, at, rules.min_words), text, place, np.ones(len(at), np.int64), place
+
+    held = texts.where(F.instr(F.hex("crowded"), "01") > 0)
+    around = repeated(scratch, held.select("uid", "text", "starts", "crowded"), crowded_windows, width=2)
+    crowds = scratch.save(around.select("uid", F.col("starts").alias("windows")).dropDuplicates(["uid"]))
+
+    crowd_row = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("key", T.LongType())])
+    crowd_arrow = arrow_schema(crowd_row)
+
+    def spans_of(batches):
+        for b in slices(batches):
+            w = Words(b.column("text"))
+            names = Runs(w.hashes)
+            out: list[tuple] = []
+            for i, (v, c, win) in enumerate(zip(b.column("starts").to_pylist(), b.column("crowded").to_pylist(), b.column("windows").to_pylist(), strict=True)):
+                s, p = ints_of(win), ints_of(v)[ints_of(c, np.uint8) > 0]
+                cut = np.flatnonzero(np.r_[True, s[1:] > s[:-1] + rules.min_words])
+                for a, z in zip(s[cut], s[np.r_[cut[1:], len(s)] - 1] + rules.min_words, strict=True):
+                    seed = p[min(int(np.searchsorted(p, a)), len(p) - 1)]
+                    out.append((i, a, z, int(names.of(np.array([w.bounds[i] + seed]), rules.seed).astype(np.int64)[0])))
+            if out:
+                i, a, z, key = (np.array(x, np.int64) for x in zip(*out, strict=True))
+                yield record(crowd_arrow, uid=b.column("uid").take(i), doc_id=b.column("doc_id").take(i), **{"from": a.astype(np.int32), "to": z.astype(np.int32)}, key=key)
+
+    in_crowds = scratch.save(held.join(crowds, "uid").select("uid", "doc_id", "text", "starts", "crowded", "windows").mapInArrow(spans_of, crowd_row))
+    told = with_groups(scratch, in_crowds, ["key"], {"one": F.min("doc_id"), "two": F.max("doc_id")})
+    told = told.select("uid", "doc_id", "from", "to", F.when(F.col("one").eqNullSafe(F.col("doc_id")), F.col("two")).otherwise(F.col("one")).alias("partner"))
+    spans = ordered.mapInArrow(compare, span).unionByName(told)
+
+    # A text's spans are no more than its minimisers, so a row's list is bounded by its text.
+    found_spans = spans.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("from", "to", "partner"))).alias("spans"))
     result = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("partner_doc_id", id_type)])
     result_arrow = arrow_schema(result)
 
     def merge(batches):
         for b in batches:
             out: list[tuple] = []
-            for i, spans in enumerate(b.column("spans").to_pylist()):
+            for i, some in enumerate(b.column("spans").to_pylist()):
                 low = high = partner = None
-                for s in spans:
+                for s in some:
                     if high is None or s["from"] > high:
                         if high is not None:
                             out.append((i, low, high, partner))
                         low, high, partner = s["from"], s["to"], s["partner"]
                     else:
-                        high, partner = max(high, s["to"]), min(partner, s["partner"])
+                        high = max(high, s["to"])
+                        partner = min((p for p in (partner, s["partner"]) if p is not None), default=None)
                 out.append((i, low, high, partner))
             if out:
                 i, low, high, partner = zip(*out, strict=True)
                 yield record(result_arrow, uid=b.column("uid").take(pa.array(i)), doc_id=b.column("doc_id").take(pa.array(i)), start_word=np.array(low, np.int64), end_word=np.array(high, np.int64), partner_doc_id=pa.array(partner, result_arrow.field("partner_doc_id").type))
 
-    runs = found.mapInArrow(merge, result).join(copied, "uid", "left_anti").drop("uid")
+    runs = found_spans.mapInArrow(merge, result).join(copied.select("uid"), "uid", "left_anti").drop("uid")
     whole = copied.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"), F.col("partner").alias("partner_doc_id"))
     return runs.unionByName(whole).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "partner_doc_id")

@@ -115,3 +115,8 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, ends, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def names128(items: np.ndarray, starts: np.ndarray, lengths) -> np.ndarray:
+    """[n, 2] names of runs of items by two independent hashes of all their items, 128 bits together."""
+    return np.stack([Runs(items).of(starts, lengths), Runs(mix(items ^ np.uint64(0x632BE59BD9B4E019))).of(starts, lengths)], axis=1)
