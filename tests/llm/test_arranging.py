@@ -196,6 +196,39 @@ def test_embedding_links_equal_brute_force(spark):
         assert got[i]["component_id"] == min(seen) and got[i]["kept"] == (i == min(seen))
 
 
+def link_counts(x, threshold=0.93):
+    x = x.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return np.concatenate([(x[a : a + 2000] @ x.T >= threshold).sum(axis=1) - 1 for a in range(0, len(x), 2000)])
+
+
+def test_links_in_a_dense_group_are_counted_in_full(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal(64) + 0.27 * rng.standard_normal((6000, 64))).astype(np.float32)
+    want = link_counts(x)
+    assert 1000 < np.median(want) < 5900  # many links, but not all to all
+    got = near_duplicates(Scratch(spark), spark.createDataFrame([(k, [float(y) for y in v], 1) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")).toPandas().sort_values("vec_id")
+    assert (got["n_links"].to_numpy() == want).all()
+
+
+def test_links_of_spread_vectors_over_many_blocks(spark):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((10_000, 64))
+    x = np.r_[base, base + 0.36 * rng.standard_normal(base.shape)].astype(np.float32)  # pairs near the threshold
+    want = link_counts(x)
+    got = near_duplicates(Scratch(spark), spark.createDataFrame([(k, [float(y) for y in v], 1) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")).toPandas().sort_values("vec_id")
+    found = got["n_links"].to_numpy()
+    assert (found <= want).all() and found.sum() >= 0.998 * want.sum() > 5000
+
+
+def test_repeated_vector_ids_are_rows_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (None, [0.0, 1.0], 1), (3, None, None)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id bigint, embedding array<float>, label int, rep string, n string")
+    got = near_duplicates(Scratch(spark), docs).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got), key=key) == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (1, 1, 1, True), (None, 1, 1, False), (3, 0, 3, True)], key=key)
+
+
 def test_embeddings_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")
     assert near_duplicates(Scratch(spark), none).count() == 0
