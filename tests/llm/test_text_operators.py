@@ -30,9 +30,14 @@ def test_quality_rules_equal_brute_force(documents, words):
                 hit.update(range(k, k + 5))
         lines = [x for x in (t or "").split("\n") if words(x)]
         failed = len(w) < 10 or 100 * len(hit) > 20 * len(w)
-        longest = max((n for n in range(5, len(w)) if max(Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)).values()) > 1), default=0) if hit and len(w) < 700 else 0
-        want.append((i, len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), failed, not failed and len(hit) <= 0.2 * len(w) and longest <= 100, longest))
-    got = [(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"], r["longest_repeat"]) for r in quality_rules(documents, keep_columns=["doc_id"]).collect()]
+        longest = max((n for n in range(8, len(w)) if max(Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)).values()) > 1), default=0) if hit and len(w) < 700 else 0
+        eights, long = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7)), set()
+        for k in range(len(w) - 7):
+            if eights[tuple(w[k : k + 8])] > 1:
+                long.update(range(k, k + 8))
+        verdict = not failed and len(long) <= 0.15 * len(w) and longest <= 50
+        want.append((i, len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), failed, verdict, len(long), longest))
+    got = [(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["kept"], r["covered_words"], r["longest_repeat"]) for r in quality_rules(documents, keep_columns=["doc_id"]).collect()]
     assert sorted(got) == sorted(want)
 
 
@@ -40,6 +45,20 @@ def test_quality_rules_on_nothing(empty):
     assert quality_rules(empty).count() == 0
 
 
+def test_long_repeats_decide_where_base_rules_do_not(spark):
+    say = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, say("a", 400)), (2, say("b", 60) + " " + say("c", 600) + " " + say("b", 60)), (3, say("d", 20) + " " + say("e", 210) + " " + say("d", 20)), (4, " ".join(f"{say(f'f{k}x', 6)} {say(f'g{k}x', 60)} {say(f'f{k}x', 6)}" for k in range(5)))]
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [(got[k]["kept"], got[k]["covered_words"], got[k]["longest_repeat"]) for k in (1, 2, 3, 4)] == [(True, 0, 0), (False, 120, 60), (False, 40, 20), (True, 0, 0)]
+
+
+def test_a_long_text_of_one_phrase(spark):
+    text = "one two three four five six seven eight nine " * 60_000
+    r = quality_rules(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()[0]
+    assert (r["n_words"], r["covered_words"], r["longest_repeat"], r["kept"]) == (540_000, 540_000, 539_991, False)
+
+
 def test_recompression_equals_brute_force(spark, documents, words):
     rows = rows_of(documents)
     count = Counter(tuple(w[k : k + 35]) for _, t in rows for w in [words(t)] for k in range(len(w) - 34))

@@ -3,9 +3,11 @@
 The words that lie in a repeat of at least `shingle` words are found first, by hashes; only those
 runs enter the suffix array, with a unique break after each run, so the array is exact for every
 repeat of that length and small where texts are clean. Ranks come from prefix doubling, common
-prefix lengths from the stored ranks of each doubling. Each maximal repeat (an interval of the
-common-prefix array) marks its span at every place it starts; the spans' union gives the covered
-fraction, the largest interval the longest repeat.
+prefix lengths from a search by the names of prefixes, so memory is a few arrays of the repeated
+words. Each maximal repeat of `min_repeat` words or more (an interval of the common-prefix array)
+marks its span at every place it starts; the spans' union gives the covered fraction, the largest
+interval the longest repeat. Both are limited: long repeats weigh more than the short ones that
+the base rule counts, which prose has by chance.
 
 Null text: no words. Rows pass through one by one; repeated rows give repeated results.
 """
@@ -24,14 +26,14 @@ from windrift.llm.words import Runs, Words, covered, mix, segment_hashes
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the rules; `min_repeat` words make a repeat, `max_longest` words are too long a one."""
+    """Limits of the rules; `min_repeat` words (at least `shingle`) make a repeat, `max_longest` words are too long a one."""
 
     shingle: int = 5
     min_words: int = 10
     max_repeat_percent: int = 20
-    min_repeat: int = 5
-    max_covered: float = 0.2
-    max_longest: int = 100
+    min_repeat: int = 8
+    max_covered: float = 0.15
+    max_longest: int = 50
 
 
 SYMBOLS = b"#*$%&|<>"
@@ -46,10 +48,8 @@ def suffix_repeats(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if n < 2:
         return np.zeros(n, np.int64)
-    ranks, k = [np.unique(ids, return_inverse=True)[1].astype(np.int64)], 1
-    order = np.argsort(ranks[0], kind="stable")
+    rank, k = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
     while True:
-        rank = ranks[-1]
         if int(rank.max()) == n - 1 or k >= n:
             break
         later = np.full(n, -1, np.int64)
@@ -57,21 +57,20 @@ def suffix_repeats(ids: np.ndarray) -> np.ndarray:
         key = rank * (n + 1) + later + 1
         order = np.argsort(key, kind="stable")
         step = np.r_[0, (key[order[1:]] != key[order[:-1]]).astype(np.int64)]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(step)
-        ranks.append(new)
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(step)
         k *= 2
-    order = np.argsort(ranks[-1], kind="stable")
+    order = np.argsort(rank, kind="stable")
+    names = Runs(mix(ids.astype(np.uint64) + np.uint64(1)))
     a, b = order[:-1].copy(), order[1:].copy()
     common = np.zeros(n - 1, np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        inside = (a < n) & (b < n)
-        same = np.zeros(n - 1, bool)
-        same[inside] = ranks[level][a[inside]] == ranks[level][b[inside]]
-        same &= (a + (1 << level) <= n) & (b + (1 << level) <= n)
-        common[same] += 1 << level
-        a[same] += 1 << level
-        b[same] += 1 << level
+    length = 1 << max(0, n.bit_length() - 1)
+    while length:
+        inside = np.flatnonzero(np.maximum(a, b) + length <= n)
+        same = inside[names.of(a[inside], length) == names.of(b[inside], length)]
+        for x in (common, a, b):
+            x[same] += length
+        length //= 2
     out = np.zeros(n, np.int64)
     out[order[:-1]] = common
     out[order[1:]] = np.maximum(out[order[1:]], common)
