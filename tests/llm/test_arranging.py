@@ -12,7 +12,7 @@ from windrift.llm.common import Scratch, components
 from windrift.llm.embeddings import near_duplicates
 from windrift.llm.language_model import score_documents
 from windrift.llm.mixing import Mix, mix_documents, mixed_texts, permuted, targets
-from windrift.llm.packing import Pack, lower_bound, pack_counts, pack_documents, tokenizer
+from windrift.llm.packing import Pack, best_fit, complete_bins, dominated, fillings, lower_bound, pack_counts, pack_documents, tokenizer
 from windrift.llm.queries import tokenizer_path
 from windrift.llm.sharding import shard_documents
 
@@ -160,6 +160,60 @@ def test_completion_beats_or_meets_best_fit():
         assert held == counts
 
 
+def fewest(sizes, capacity):
+    """The least number of bins, by trying every set of pieces as the next bin."""
+    n = len(sizes)
+    fits = [sum(sizes[i] for i in range(n) if m >> i & 1) <= capacity for m in range(1 << n)]
+    least = [0] + [n] * ((1 << n) - 1)
+    for m in range(1, 1 << n):
+        low, rest = m & -m, m & ~(m & -m)
+        part = rest
+        while True:
+            if fits[part | low]:
+                least[m] = min(least[m], least[rest & ~part] + 1)
+            if not part:
+                break
+            part = (part - 1) & rest
+    return least[-1]
+
+
+def test_completion_equals_exhaustive_search():
+    better = 0
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(3, 15, 10).tolist() if seed % 2 else rng.choice([4, 5, 6, 7, 9], 10).tolist()
+        counts = dict(Counter(sizes))
+        got, want = complete_bins(counts, Pack(capacity=20, nodes=100_000)), fewest(sizes, 20)
+        assert got.proved and got.sequences == want >= got.bound
+        better += want < sum(m for _, m in best_fit(counts, 20))
+    assert better
+
+
+def test_completion_is_never_above_best_fit_and_tells_its_gap():
+    for seed in range(6):
+        sizes = np.random.default_rng(seed).integers(200, 690, 400)
+        counts = {int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True), strict=True)}
+        got = complete_bins(counts, Pack(nodes=300))
+        assert got.bound <= got.sequences <= sum(m for _, m in best_fit(counts, 1024))
+        assert got.proved or got.nodes == 300
+
+
+def test_undominated_fillings():
+    assert list(fillings({5: 1, 3: 1, 2: 1}, 6)) == [(1, ((5, 1),))]  # 3 and 2 together are no more than 5
+    assert dominated(((3, 1),), {3: 1, 4: 1}, 1) and not dominated(((3, 1),), {3: 1, 5: 1}, 1)
+    assert [f for _, f in fillings({4: 2}, 9)] == [((4, 2),)]
+
+
+def test_tokens_of_all_texts_equal_the_tokenizers_library(spark):
+    from tokenizers import Tokenizer
+
+    exact, encode = Tokenizer.from_file(tokenizer_path()), tokenizer(tokenizer_path())
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts += [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    for t, e in zip(texts, exact.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(t).tolist() == e.ids
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
     got = dict(components(Scratch(spark), spark.createDataFrame(links, "a bigint, b bigint")).collect())

@@ -5,17 +5,21 @@ So the pieces' sizes are counted by Spark, the counts (at most `capacity` rows,
 size) are packed on the driver, and the result is a list of patterns with multiplicities. Each
 piece then finds its place by its rank among the pieces of its size.
 
-The packing: best-fit decreasing gives the incumbent. Bin completion takes the largest size left,
-enumerates the undominated fillings of the room beside it (larger pieces first), and branches on
-them in order of waste, applying a filling as often as counts allow; a branch is cut when the waste
-so far leaves no chance to beat the incumbent, and the search ends when the incumbent meets the
-lower bound.
+The packing: best-fit decreasing gives the incumbent. Bin completion takes the largest size left
+and enumerates, by waste, the fillings of the room beside it that no other filling dominates: none
+of a filling's pieces, alone or some together, could make way for one piece left over that is no
+smaller and fits. It branches on each filling in turn and on how many sequences take it, most first,
+and comes back to every branch not yet closed. A branch is cut when the sequences so far and a lower
+bound of the rest do not beat the incumbent. The search ends with a proof, when the incumbent meets
+the lower bound or no branch is open, or when its budget of nodes is spent; `Packed` says which, and
+how far the lower bound lies.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,7 +35,7 @@ from windrift.llm.common import Scratch, arrow_schema, in_order, record, slices
 class Pack:
     capacity: int = 1024
     end_id: int = 2
-    nodes: int = 20_000  # branches the search may open before it settles for its best packing
+    nodes: int = 4_000  # branches the search may open before it settles for its best packing
 
 
 # ---------------------------------------------------------------- tokens
@@ -62,7 +66,7 @@ def tokenizer(json_path: str):
         try:
             return quick.encode_to_numpy(text, allowed_special="all")
         except BaseException as e:  # the library's own panics are no Exceptions
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+            if not isinstance(e, ValueError) and type(e).__name__ != "PanicException":
                 raise
             return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -100,38 +104,63 @@ def cut_pieces(docs: DataFrame, json_path: str, pack: Pack = Pack()) -> DataFram
 Pattern = tuple[tuple[tuple[int, int], ...], int]  # ((size, how often in a sequence), ...), number of such sequences
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, limit: int = 64, steps: int = 20_000):
-    """Undominated fillings of room, least waste first: [(waste, ((size, times), ...))].
-
-    A filling is dominated if one of its pieces could be swapped for a larger one left over that
-    still fits, so a branch never leaves room that the next smaller size used fits with a larger.
-    """
-    out: list[tuple[int, tuple]] = []
-    best = room + 1
-    budget = [steps]
-
-    def go(i: int, left: int, chosen: tuple) -> bool:
-        nonlocal best
-        budget[0] -= 1
-        while i < len(sizes) and sizes[i] > left:
+def smeared(bits: int, first: int, last: int) -> int:
+    """The set of x + t for x in bits and first <= t <= last; sets are the bits of an integer."""
+    if last < first:
+        return 0
+    out, width = bits << first, 1
+    while width < last - first + 1:
+        step = min(width, last - first + 1 - width)
+        out, width = out | (out << step), width + step
+    return out
+
+
+def dominated(filling: tuple[tuple[int, int], ...], counts: dict[int, int], waste: int) -> bool:
+    """Whether a piece left over fits beside the filling, or in place of a smaller one of its pieces, or of several that are no larger together."""
+    used = dict(filling)
+    one = many = spare = 0
+    for size, times in filling:
+        for _ in range(times):
+            many |= (many | one) << size
+            one |= 1 << size
+    for size, n in counts.items():
+        if n > used.get(size, 0):
+            spare |= 1 << size
+    return bool((smeared(one | 1, 1, waste) | smeared(many, 0, waste)) & spare)
+
+
+def fillings(counts: dict[int, int], room: int) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+    """(waste, ((size, times), ...)): every undominated filling of room, by waste, larger pieces first."""
+    sizes = sorted((s for s in counts if s <= room), reverse=True)
+    full = (1 << (room + 1)) - 1
+    # sums[i]: what the sizes from i on can add up to.
+    sums = [1]
+    for s in reversed(sizes):
+        reach, left, step = sums[-1], min(counts[s], room // s), 1
+        while left > 0:
+            step = min(step, left)
+            reach |= (reach << (s * step)) & full
+            left, step = left - step, 2 * step
+        sums.append(reach)
+    sums.reverse()
+
+    def go(i: int, left: int) -> Iterator[tuple]:
+        if not left:
+            yield ()
+            return
+        while i < len(sizes) and sums[i] >> left & 1:
+            s = sizes[i]
+            for times in range(min(counts[s], left // s), 0, -1):
+                if sums[i + 1] >> (left - times * s) & 1:
+                    for tail in go(i + 1, left - times * s):
+                        yield ((s, times), *tail)
             i += 1
-        if i == len(sizes) or not left:
-            if left < best or len(out) < limit:
-                out.append((left, chosen))
-                best = min(best, left)
-            return left == 0
-        if budget[0] < 0:
-            return True
-        s = sizes[i]
-        for times in range(min(counts[s], left // s), -1, -1):
-            if not times and chosen and left >= s and i + 1 == len(sizes):
-                break  # room for a piece that is there: dominated
-            if go(i + 1, left - times * s, (*chosen, (s, times)) if times else chosen):
-                return True
-        return False
-
-    go(0, room, ())
-    return sorted(out, key=lambda x: x[0])[:limit]
+
+    for waste in range(room + 1):
+        if sums[0] >> (room - waste) & 1:
+            for filling in go(0, room - waste):
+                if not dominated(filling, counts, waste):
+                    yield waste, filling
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
@@ -162,59 +191,75 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """Sequences that no packing can do without: all tokens, or pieces too large to share one and what fits beside them."""
-    best = -(-sum(s * n for s, n in counts.items()) // capacity)
-    for k in {s for s in counts if 2 * s <= capacity} | {0}:
-        alone = sum(n for s, n in counts.items() if s > capacity - k)
-        large = [(s, n) for s, n in counts.items() if 2 * s > capacity and s <= capacity - k]
-        small = sum(s * n for s, n in counts.items() if k <= s and 2 * s <= capacity)
-        room = sum((capacity - s) * n for s, n in large)
-        best = max(best, alone + sum(n for _, n in large) + max(0, -(-(small - room) // capacity)))
-    return best
+    """Sequences that no packing can do without: for each k, pieces too large for one of k beside them, those of
+    more than half, and what the other pieces from k on need beyond the room beside these."""
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    size = np.arange(capacity + 1)
+    below = np.r_[0, np.cumsum(n)]  # pieces smaller than s
+    mass = np.r_[0, np.cumsum(n * size)]
+    half = capacity // 2
+    k = np.arange(half + 1)
+    alone = below[-1] - below[capacity - k + 1]
+    large = np.maximum(0, below[capacity - k + 1] - below[half + 1])
+    room = capacity * large - np.maximum(0, mass[capacity - k + 1] - mass[half + 1])
+    small = mass[half + 1] - mass[k]
+    return int(max(-(-int(mass[-1]) // capacity), (alone + large + np.maximum(0, -(-(small - room) // capacity))).max()))
 
 
-def pack_counts(counts: dict[int, int], pack: Pack = Pack()) -> list[Pattern]:
+@dataclass(frozen=True)
+class Packed:
+    patterns: list[Pattern]
+    sequences: int
+    bound: int  # no packing has fewer sequences
+    proved: bool  # no packing has fewer than this one: the bound is met, or every branch was closed
+    nodes: int
+
+
+def complete_bins(counts: dict[int, int], pack: Pack = Pack()) -> Packed:
     """Patterns that hold every piece once, in as few sequences as the search finds."""
     counts = {s: n for s, n in counts.items() if n}
     bound = lower_bound(counts, pack.capacity)
     best = best_fit(counts, pack.capacity)
-    most = [sum(m for _, m in best)]
-    spare = lambda bins: bins * pack.capacity - sum(s * n for s, n in counts.items())
-    nodes = [pack.nodes]
-
-    def search(left: dict[int, int], done: list[Pattern], used: int, waste: int) -> None:
-        nonlocal best
-        while True:
-            if most[0] <= bound or nodes[0] <= 0:
-                return
-            nodes[0] -= 1
-            if not left:
-                if used < most[0]:
-                    best, most[0] = list(done), used
-                return
-            if waste > spare(most[0] - 1):
-                return
-            s = max(left)
-            rest = dict(left)
-            rest[s] -= 1
-            if not rest[s]:
-                del rest[s]
-            options = fillings(sorted(rest, reverse=True), rest, pack.capacity - s)
-            branches = []
-            for lost, filling in options[:4]:
-                need: dict[int, int] = {s: 1}
-                for size, times in filling:
-                    need[size] = need.get(size, 0) + times
-                many = min(left[size] // times for size, times in need.items())
-                after = {size: n - many * need.get(size, 0) for size, n in left.items()}
-                branches.append((lost, tuple(sorted(need.items(), reverse=True)), many, {k: v for k, v in after.items() if v}))
-            for lost, pattern, many, after in branches[1:][::-1] if waste + branches[0][0] * branches[0][2] > spare(most[0] - 1) else []:
-                search(after, [*done, (pattern, many)], used + many, waste + lost * many)
-            lost, pattern, many, after = branches[0]  # the least waste goes on in this call
-            left, done, used, waste = after, [*done, (pattern, many)], used + many, waste + lost * many
-
-    search(dict(counts), [], 0, 0)
-    return best
+    most = sum(m for _, m in best)
+    opened = 0
+
+    def branches(left: dict[int, int], after: tuple | None) -> Iterator[tuple[tuple, int, dict[int, int], tuple]]:
+        s = max(left)
+        rest = {k: n - (k == s) for k, n in left.items() if n > (k == s)}
+        for waste, filling in fillings(rest, pack.capacity - s):
+            # Sequences of one largest size are taken in order of their fillings, so that no set of them comes twice.
+            key = (s, waste, tuple(-size for size, times in filling for _ in range(times)))
+            if after and after[0] == s and key <= after:
+                continue
+            need = dict(filling)
+            need[s] = need.get(s, 0) + 1
+            for many in range(min(left[size] // times for size, times in need.items()), 0, -1):
+                yield tuple(sorted(need.items(), reverse=True)), many, {k: n - many * need.get(k, 0) for k, n in left.items() if n > many * need.get(k, 0)}, key
+
+    path: list[Pattern] = []
+    stack = [(branches(counts, None), 0)] if counts and most > bound else []
+    while stack and opened < pack.nodes and most > bound:
+        options, used = stack[-1]
+        option = next(options, None)
+        if option is None:
+            stack.pop()
+            if path:
+                path.pop()
+            continue
+        pattern, many, left, key = option
+        opened += 1
+        if not left:
+            if used + many < most:
+                best, most = [*path, (pattern, many)], used + many
+        elif used + many + lower_bound(left, pack.capacity) < most:
+            path.append((pattern, many))
+            stack.append((branches(left, key), used + many))
+    return Packed(best, most, bound, most <= bound or not stack, opened)
+
+
+def pack_counts(counts: dict[int, int], pack: Pack = Pack()) -> list[Pattern]:
+    return complete_bins(counts, pack).patterns
 
 
 def place(scratch: Scratch, pieces: DataFrame, pack: Pack = Pack()) -> DataFrame:
