@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrift.llm.common import Scratch, arrow_schema, components, in_order, record
+from windrift.llm.repeats import with_groups
 
 
 @dataclass(frozen=True)
@@ -180,8 +181,12 @@ def near_duplicates(scratch: Scratch, vectors: DataFrame, near: Near = Near()) -
 
     per_class = squares.groupBy("square").applyInArrow(count, count_schema).groupBy("rep").agg(F.sum("n").alias("n"))
     found = classes.join(per_class, "rep", "left").join(linked.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    found = scratch.save(found.select("label", "embedding", "component", "least", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
-    least = found.groupBy("component").agg(F.min("least").alias("component_id"))
-    found = found.join(least, "component").select("label", "embedding", "n_links", "component_id")
-    joined = base.where(sound).join(found, ["label", "embedding"]).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id").eqNullSafe(F.col("component_id")), F.lit(True)).alias("kept"))
+    found = scratch.save(found.select("label", "embedding", "component", "least", "size", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")))
+    found = with_groups(scratch, found, ["component"], {"component_id": F.min("least")}, least=1).select("label", "embedding", "size", "n_links", "component_id")
+    # Copies of one vector may be a third of all rows: classes of more than a 10,000th of them go to every task.
+    found = scratch.save(found)
+    many = F.col("size") > (found.agg(F.sum("size")).first()[0] or 0) / 10_000
+    rows, key = base.where(sound), ["label", "embedding"]
+    joined = rows.join(F.broadcast(found.where(many)), key).unionByName(rows.join(F.broadcast(found.where(many).select(*key)), key, "left_anti").join(found.where(~many), key))
+    joined = joined.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id").eqNullSafe(F.col("component_id")), F.lit(True)).alias("kept"))
     return joined.unionByName(lonely(base.where(~sound)))

@@ -1,15 +1,18 @@
 """Language-model scoring by cross-entropy difference.
 
-Two word bigram models, of the target documents and of all documents, share one vocabulary, order
-and smoothing, and the background's counts are scaled to the target's size. A document's score is
-its loss under the target model minus its loss under the background model, per token: the lower,
-the more it is like the target.
-
-Vocabulary: words that make up at least `frequent` of all words of the corpus, so no more than
-1 / frequent of them at any size; other words share tokens by length and by whether they are plain
-letters. Bigrams that make up at least `frequent_pair` of a model's words have counts of their own, so
-the models have a size bound too; P(w | v) = (c(v, w) + r p(w)) / (n(v) + m), where n(v) counts v as a
-first word and r = m + n(v) less its bigrams kept, so each distribution sums to one. All counts are over whole texts of all documents.
+Two word bigram models, of the target documents and of all documents, share one vocabulary (every
+word of the corpus), order and smoothing. A document's score is its loss under the target model
+minus its loss under the background model, per token: the lower, the more it is like the target.
+
+All words and word pairs of the corpus count, however rare: each block of documents asks the corpus
+for the counts of its own words and pairs, so what is gathered grows with the input and no task
+holds a model. Every document is scored by models that have not seen it: its own counts are taken
+off, from the background always, from the target if it trained it.
+
+P(w | v) = (c(v, w) + m p(w)) / (c(v) + m) and p(w) = (c(w) + s q(w)) / (N + s), where q(w) is the
+share of w among all words of the corpus, the same in both models. A text's end is an event too, so
+the words that can follow v share what it leaves. The background's counts are scaled to the size of
+the target, so that neither model is the surer for having read more.
 """
 
 from __future__ import annotations
@@ -22,153 +25,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrift.llm.common import Scratch, arrow_schema, partitions_of, record, slices
-from windrift.llm.repeats import PACKED, pack
-from windrift.llm.words import Words
+from windrift.llm.common import Scratch, arrow_schema, record
+from windrift.llm.tallies import ask
+from windrift.llm.words import Words, mix
 
 
 @dataclass(frozen=True)
 class Language:
-    frequent: float = 1e-5
-    frequent_pair: float = 1e-6
-    at_least: int = 10  # occurrences, so that a small corpus is not learnt by heart
-    prior: float = 50.0  # m: weight of the unigram model
-    shared: float = 5000.0  # words' worth of the distribution of all words in either unigram model
-    block: int = 2_000_000  # words that a task counts at a time
+    prior: float = 1000.0  # m: weight of the unigram model; rare pairs count too, so it is large
+    shared: float = 5000.0  # s: words' worth of the distribution of all words in either unigram model
+    block: int = 2_000_000  # distinct words and pairs of texts that ask together
 
 
-LENGTHS = 16
-RARE = 2 * LENGTHS  # tokens for words outside the vocabulary
-LETTER = np.zeros(256, bool)
-LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Names of what is no word: the start of a text, and the sum of all words.
+START, ALL = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0x2545F4914F6CDD1D)
+PAIR = np.uint64(0xD1342543DE82EF95)
+#: Counts as answers; beyond 2^24 they are rounded to seven digits.
+ANSWER = np.dtype([("target", "<f4"), ("background", "<f4")])
 
 
-def rare_token(w: Words) -> np.ndarray:
-    letters = np.r_[0, np.cumsum(LETTER[w.buf])]
-    size = w.ends - w.starts
-    plain = letters[w.ends] - letters[w.starts] == size
-    return np.minimum(size, LENGTHS) - 1 + LENGTHS * plain
-
-
-SUMS = T.StructType([T.StructField("key", T.LongType()), T.StructField("target", T.LongType()), T.StructField("background", T.LongType())])
-
-
-def counted(docs: DataFrame, keys_of, block: int) -> DataFrame:
-    """(key, target, background): how often each key of keys_of(batch) occurs, in target rows and in all.
-
-    docs: text and target (boolean). A key is a uint64; keys_of gives (keys, text number of each).
-    """
-    parts = partitions_of(docs.sparkSession)
-    wanted = arrow_schema(SUMS)
-
-    def run(batches):
-        def flush():
-            key, which = np.concatenate(held[0]), np.concatenate(held[1])
-            order = np.lexsort((which, key))
-            key, which = key[order], which[order]
-            new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (which[1:] != which[:-1])])
-            yield pack(key[new], which[new].astype(np.int64), np.diff(np.r_[new, len(key)]), np.arange(2, dtype=np.int64), parts)
-
-        held, size = ([], []), 0
-        for b in slices(batches):
-            key, text = keys_of(b)
-            is_target = b.column("target").fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64)
-            held[0].append(key)
-            held[1].append(is_target[text])
-            size += len(key)
-            if size >= block:
-                yield from flush()
-                held, size = ([], []), 0
-        if size:
-            yield from flush()
-
-    def add(batches):
-        keys, which, counts = [], [], []
-        for b in batches:
-            for row in b.to_pylist():
-                keys.append(np.frombuffer(row["keys"], np.uint64))
-                which.append(np.frombuffer(row["uids"], np.int64)[np.frombuffer(row["docs"], np.uint32)])
-                counts.append(np.frombuffer(row["places"], np.uint32))
-        if keys:
-            k, i = np.unique(np.concatenate(keys), return_inverse=True)
-            which, counts = np.concatenate(which), np.concatenate(counts).astype(np.float64)
-            yield record(wanted, key=k.astype(np.int64), target=np.bincount(i, counts * which).astype(np.int64), background=np.bincount(i, counts).astype(np.int64))
-
-    return docs.select("text", "target").mapInArrow(run, PACKED).repartitionById(parts, F.col("part")).mapInArrow(add, SUMS)
-
-
-class Model:
-    """The vocabulary and both models' log probabilities."""
-
-    def __init__(self, docs: DataFrame, targets: DataFrame, language: Language):
-        """docs: doc_id and text of all documents; targets: doc_id and target for those of the target."""
-        self.language = language
-        scratch = Scratch(docs.sparkSession)
-
-        def words_of(b):
-            w = Words(b.column("text"))
-            return w.hashes, w.text_index()
-
-        words = scratch.save(counted(docs.withColumn("target", F.lit(False)), words_of, language.block))
-        total = words.agg(F.sum("background")).first()[0] or 0
-        kept = words.where(F.col("background") >= max(language.at_least, language.frequent * total)).select("key").toArrow()
-        scratch.drop(words)
-        self.words = np.sort(kept.column("key").to_numpy().astype(np.int64).view(np.uint64))
-        self.size = len(self.words) + RARE
-        words_ = self.words
-
-        def pairs_of(b):
-            w = Words(b.column("text"))
-            token = tokens(w, words_)
-            first = w.bounds[:-1][w.counts > 0]
-            before = np.r_[len(words_) + RARE, token[:-1]][: len(token)]
-            before[first] = len(words_) + RARE  # the start of a text
-            return (before * (len(words_) + RARE + 1) + token).astype(np.uint64), w.text_index()
-
-        # The ids of the target grow with the corpus: they meet the texts by a sorted join at any size.
-        marked = docs.hint("merge").join(targets, "doc_id", "left")
-        pairs = scratch.save(counted(marked, pairs_of, language.block))
-        sums = pairs.agg(F.sum("target").alias("t"), F.sum("background").alias("b")).first()
-        self.totals = (sums["t"] or 0), (sums["b"] or 0)
-        width = self.size + 1
-        context = pairs.groupBy(F.expr(f"key div {width}").alias("token")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-        single = pairs.groupBy((F.col("key") % width).alias("token")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-        least = [max(language.at_least, language.frequent_pair * n) for n in self.totals]
-        frequent = pairs.where((F.col("target") >= least[0]) | (F.col("background") >= least[1])).toArrow()
-        scratch.close()
-        unigram = np.zeros((2, self.size))
-        for i, c in enumerate(("target", "background")):
-            unigram[i, single.column("token").to_numpy()] += single.column(c).to_numpy()
-        # Both lean on the same distribution, that of all words, by the same weight.
-        shared = (unigram[1] + 1) / (unigram[1] + 1).sum()
-        unigram = (unigram + language.shared * shared) / (unigram.sum(axis=1, keepdims=True) + language.shared)
-        order = np.argsort(frequent.column("key").to_numpy())
-        self.pairs = frequent.column("key").to_numpy()[order]
-        counts = np.stack([frequent.column(c).to_numpy()[order] for c in ("target", "background")]).astype(float)
-        counts[0][counts[0] < least[0]] = 0
-        counts[1][counts[1] < least[1]] = 0
-        all_from = np.zeros((2, width))
-        for i, c in enumerate(("target", "background")):
-            all_from[i, context.column("token").to_numpy()] = context.column(c).to_numpy()
-        scale = self.totals[0] / self.totals[1] if self.totals[0] else 1.0
-        counts[1] *= scale
-        all_from[1] *= scale
-        from_ = self.pairs // width
-        mass = np.stack([np.bincount(from_, c, minlength=width) for c in counts])
-        m = language.prior
-        rest = np.maximum(all_from - mass, 0) + m
-        self.log_single = np.log(unigram).astype(np.float32)
-        self.log_rest = np.log(rest / (all_from + m)).astype(np.float32)  # of v, when (v, w) is not kept
-        self.log_pair = np.log((counts + rest[:, from_] * unigram[:, self.pairs % width]) / (all_from[:, from_] + m)).astype(np.float32)
-
-
-def tokens(w: Words, words: np.ndarray) -> np.ndarray:
-    out = rare_token(w) + len(words)
-    if len(words) and w.n:
-        i = np.minimum(np.searchsorted(words, w.hashes), len(words) - 1)
-        hit = words[i] == w.hashes
-        out[hit] = i[hit]
-    return out.astype(np.int64)
+def grouped(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group of each row, a row of each group, size of each group) for rows equal in text and key."""
+    name = mix(key ^ mix(text.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(name)
+    sorted_ = name[order]
+    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]][: len(name)])
+    group, sizes = np.empty(len(name), np.int64), np.diff(np.r_[first, len(name)])
+    group[order] = np.repeat(np.arange(len(first)), sizes)
+    return group, order[first], sizes
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, language: Language = Language(), target=None) -> DataFrame:
@@ -177,32 +61,59 @@ def score_documents(docs: DataFrame, labels: DataFrame, language: Language = Lan
     target: a condition on labels (default quality = 1); the rows of docs with a label that meets
     it train the target model, all rows the background model. preferred: score < 0. Texts without
     words have null losses and are not preferred; without any target both models are alike but for
-    smoothing. A doc_id that is labelled twice counts as target if any of its labels is.
+    smoothing. A doc_id that is labelled twice counts as target if any of its labels is. Rows that
+    repeat are documents of their own, each seen by the other's models.
     """
+    scratch = Scratch(docs.sparkSession)
     target = F.col("quality") == 1 if target is None else target
     wanted_ids = labels.where(target & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("target", F.lit(True))
-    model = docs.sparkSession.sparkContext.broadcast(Model(docs.select("doc_id", "text"), wanted_ids, language))
+    # The ids of the target grow with the corpus: they meet the texts by a sorted join at any size.
+    marked = docs.select("doc_id", "text").hint("merge").join(wanted_ids, "doc_id", "left")
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")), T.StructField("preferred", T.BooleanType())])
     wanted = arrow_schema(schema)
-
-    def run(batches):
-        m = model.value
-        width = m.size + 1
-        for b in slices(batches):
-            w = Words(b.column("text"))
-            token = tokens(w, m.words)
-            before = np.r_[m.size, token[:-1]][: len(token)]
-            before[w.bounds[:-1][w.counts > 0]] = m.size
-            key = before * width + token
-            log = m.log_single[:, token] + m.log_rest[:, before]
-            if len(m.pairs):
-                i = np.minimum(np.searchsorted(m.pairs, key), len(m.pairs) - 1)
-                hit = m.pairs[i] == key
-                log[:, hit] = m.log_pair[:, i[hit]]
-            sums = np.c_[np.zeros(2), np.cumsum(log, axis=1, dtype=np.float64)]
-            empty = w.counts == 0
-            loss = -(sums[:, w.bounds[1:]] - sums[:, w.bounds[:-1]]) / np.maximum(w.counts, 1)
-            score = loss[0] - loss[1]
-            yield record(wanted, doc_id=b.column("doc_id"), n_tokens=w.counts, target_loss=pa.array(loss[0], mask=empty), background_loss=pa.array(loss[1], mask=empty), score=pa.array(score, mask=empty), preferred=(score < 0) & ~empty)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    m, s = language.prior, language.shared
+
+    def build(b):
+        w = Words(b.column("text"))
+        text = w.text_index()
+        is_target = b.column("target").fill_null(False).to_numpy(zero_copy_only=False)
+        before = np.r_[START, w.hashes[:-1]][: w.n]
+        heads = w.bounds[:-1][w.counts > 0]
+        before[heads] = START
+        pair = mix(before * PAIR + w.hashes)
+        word_of, word_at, word_n = grouped(text, w.hashes)
+        _, pair_at, pair_n = grouped(text, pair)
+        # The context of a pair: the word before it, or the start, which stands after the words among the keys.
+        context_of = np.r_[len(word_n), word_of[:-1]][: w.n]
+        context_of[heads] = len(word_n)
+        keys = np.r_[w.hashes[word_at], START, ALL, pair[pair_at]]
+        own = np.r_[word_n, len(heads), w.n, pair_n]
+        of_target = np.r_[np.where(is_target[text[word_at]], word_n, 0), is_target[w.counts > 0].sum(), w.counts[is_target].sum(), np.where(is_target[text[pair_at]], pair_n, 0)]
+        return keys, np.stack([of_target, own], axis=1).astype(np.uint32), (w.counts, is_target, text[pair_at], word_n, word_of[pair_at], context_of[pair_at], pair_n)
+
+    def finish(b, arrays, values):
+        words, is_target, text, word_n, word, context, pair_n = arrays
+        of_word, everything, of_pair = values[: len(word_n) + 1], values[len(word_n) + 1], values[len(word_n) + 2 :]
+        word_n = np.r_[word_n, 1]  # a text starts once
+        all_target, all_words = (float(everything[c]) for c in ANSWER.names)
+        q = of_word["background"][word] / max(all_words, 1.0)
+        loss = np.zeros((2, len(words)))
+        for k, name in enumerate(ANSWER.names):
+            own = is_target[text] | bool(k)  # where the document's own counts are part of the model's
+            grow = (all_target / all_words if all_target else 1.0) if k else 1.0
+            others = lambda x, mine: np.maximum(x[name].astype(np.float64) - np.where(own, mine, 0), 0) * grow  # noqa: B023, E731
+            total = np.maximum((all_words if k else all_target) - np.where(own, words[text], 0), 0) * grow
+            p = (others(of_word[word], word_n[word]) + s * q) / (total + s)
+            chance = (others(of_pair, pair_n) + m * p) / (others(of_word[context], word_n[context]) + m)
+            loss[k] = np.bincount(text, -np.log(chance) * pair_n, minlength=len(words))
+        empty = words == 0
+        loss /= np.maximum(words, 1)
+        score = loss[0] - loss[1]
+        yield record(wanted, doc_id=b.column("doc_id"), n_tokens=words.astype(np.int64), target_loss=pa.array(loss[0], mask=empty), background_loss=pa.array(loss[1], mask=empty), score=pa.array(score, mask=empty), preferred=(score < 0) & ~empty)
+
+    def answer(sums):
+        out = np.empty(len(sums), ANSWER)
+        out["target"], out["background"] = sums.T
+        return out
+
+    return ask(scratch, marked, build, finish, schema, answer, ANSWER, tallies=2, enough=language.block, again=True)

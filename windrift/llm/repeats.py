@@ -23,13 +23,13 @@ def same_text(text: str = "text") -> list[Column]:
     return [F.xxhash64(text).alias("h"), F.crc32(F.col(text).cast("binary")).alias("c"), F.octet_length(text).alias("bytes")]
 
 
-def with_groups(scratch: Scratch, rows: DataFrame, on: list[str], values: dict[str, Column]) -> DataFrame:
-    """The rows of groups of two and more, each with its group's values.
+def with_groups(scratch: Scratch, rows: DataFrame, on: list[str], values: dict[str, Column], least: int = 2) -> DataFrame:
+    """The rows of groups of `least` and more, each with its group's values and `members`, how many there are.
 
     A group may hold a third of all rows: groups of more than a 10,000th of the rows, fewer than
     10,000 of them, are sent to every task, so their rows stay where they are; the others are joined.
     """
-    groups = scratch.save(rows.groupBy(*on).agg(F.count("*").alias("members"), *(v.alias(k) for k, v in values.items())).where("members > 1"))
+    groups = scratch.save(rows.groupBy(*on).agg(F.count("*").alias("members"), *(v.alias(k) for k, v in values.items())).where(F.col("members") >= least))
     total = groups.agg(F.sum("members")).first()[0] or 0
     large = groups.where(F.col("members") > total / 10_000)
     small = groups.where(F.col("members") <= total / 10_000)

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from windrift.llm.common import Scratch, arrow_schema, partitions_of, record, slices
 from windrift.llm.repeats import same_text, uid, with_groups
-from windrift.llm.tallies import expand, ints_of, repeated
+from windrift.llm.tallies import ints_of, repeated
 from windrift.llm.words import Runs, Words, mix, names128
 
 
@@ -143,7 +143,7 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, rules: Passages = Passa
         at, key = minimisers(w, rules)
         text = w.text_index()[at]
         place = at - w.bounds[text]
-        return key, text, place, np.ones(len(at), np.int64), place
+        return mix(key), text, place, np.ones(len(at), np.int64), place  # minimisers are small; their names spread
 
     # Copies of a text are heard once: one of them tells what other texts share with all of them.
     shared = repeated(scratch, base.select("uid", "text"), seed_keys, crowd=rules.crowd)

@@ -34,6 +34,17 @@ def to_bytes(*arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def packed(batch: pa.RecordBatch) -> np.ndarray:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return np.frombuffer(sink.getvalue(), np.uint8)
+
+
+def unpacked(data: np.ndarray) -> pa.RecordBatch:
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_next_batch()
+
+
 def by_run(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]:
     """The rows of each run of equal values of a column, as lists."""
     held: list[dict] = []
@@ -47,47 +58,53 @@ def by_run(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict
         yield held
 
 
-def distinct(keys: np.ndarray, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(order, first): rows in order of bucket and key, and which of them begin a new key. keys: [n, width]."""
-    columns = [*keys.T[::-1], *([bucket] if bucket is not None else [])]
-    order = np.lexsort(columns)
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): rows in the order of their keys [n, width], and which of them begin a new key."""
+    order = np.argsort(keys[:, 0]) if keys.shape[1] == 1 else np.lexsort(keys.T[::-1])
     k = keys[order]
     first = np.ones(len(k), bool)
     first[1:] = (k[1:] != k[:-1]).any(axis=1)
     return order, first
 
 
-def ask(scratch: Scratch, docs: DataFrame, build: Callable, finish: Callable, result: T.StructType, answer: Callable, dtype, width: int = 1, tallies: int = 1) -> DataFrame:
-    """Rows of `result` that finish(source, answers) yields for each slice of docs.
+def ask(scratch: Scratch, docs: DataFrame, build: Callable, finish: Callable, result: T.StructType, answer: Callable, dtype, width: int = 1, tallies: int = 1, enough: int | None = None, again: bool = False) -> DataFrame:
+    """A written table of the rows of `result` that finish yields for each slice of docs.
 
-    build(batch) gives (keys [n, width], counts [n, tallies], arrays) for a slice. answer(sums
-    [m, tallies]) gives a value of `dtype` for each key of the corpus from its counts over all
-    blocks. finish reads build's arrays from source by np.load, all of them and in their order, and
-    has the answers in the order of build's keys, which may repeat. docs holds `text`.
+    build(batch) gives (keys [n, width], counts [n, tallies], arrays) for a slice; keys may repeat.
+    answer(sums [m, tallies]) gives a value of `dtype` for each key of the corpus from its counts
+    over all blocks. finish(batch, arrays, answers) has the answers in the order of build's keys.
+    The arrays wait beside the block, and batch is None; with `again` it is the slice itself that
+    waits, and arrays are built again, which costs time and saves disk. `enough` keys make a block.
+    docs holds `text`.
     """
     parts = partitions_of(scratch.spark)
     buckets = parts * BUCKETS
     wanted, reply = arrow_schema(ASKED), arrow_schema(REPLY)
-    enough = min(KEYS_A_BUCKET * buckets, MOST_KEYS)
+    enough = max(min(KEYS_A_BUCKET * buckets, MOST_KEYS), enough or 0)
     dtype = np.dtype(dtype)
 
+    def merged(held):
+        """The block's distinct keys in order of bucket, their counts, and for each of build's keys which one it is."""
+        keys = np.concatenate([k.reshape(-1, width) for k, _, _ in held])
+        order, first = distinct(keys)
+        at = np.flatnonzero(first)
+        where = np.empty(len(keys), np.uint32)
+        where[order] = (np.cumsum(first) - 1).astype(np.uint32)
+        return keys[order[at]], order, at, where
+
     def put(batches):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
 
-        def flush(held):
-            keys = np.concatenate([k.reshape(-1, width) for k, _, _ in held])
+        def flush(held, some):
+            keys, order, at, where = merged(held)
             counts = np.concatenate([c.reshape(-1, tallies) for _, c, _ in held])
-            bucket = (keys[:, 0] % np.uint64(buckets)).astype(np.int32)
-            order, first = distinct(keys, bucket)
-            at = np.flatnonzero(first)
-            where = np.empty(len(keys), np.uint32)
-            where[order] = (np.cumsum(first) - 1).astype(np.uint32)
-            sums = np.add.reduceat(counts[order], at, axis=0).astype(np.uint32) if len(at) else counts[:0].astype(np.uint32)
-            keys, bucket = keys[order[at]], bucket[order[at]]
-            sizes, all_arrays = np.array([len(k) for k, _, _ in held]), [a for _, _, a in held]
-            payload = to_bytes(sizes, where, *(x for a in all_arrays for x in a))
+            sums = np.add.reduceat(counts[order], at, axis=0, dtype=np.uint32) if len(at) else counts[:0].astype(np.uint32)
+            # Buckets are ranges of the first name, so the order of keys is the order of buckets.
+            bucket = ((keys[:, 0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            waiting = [packed(b) for b in some] if again else [where, *(x for _, _, arrays in held for x in arrays)]
+            sizes = np.array([len(k) for k, _, _ in held]), np.array([len(arrays) for _, _, arrays in held])
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
             ends = np.r_[cut[1:], len(bucket)][: len(cut)]
             none = b""
@@ -97,20 +114,20 @@ def ask(scratch: Scratch, docs: DataFrame, build: Callable, finish: Callable, re
                 bucket=np.r_[-1, bucket[cut]].astype(np.int32),
                 keys=pa.array([none, *(keys[a:z].tobytes() for a, z in zip(cut, ends, strict=True))], pa.binary()),
                 counts=pa.array([none, *(sums[a:z].tobytes() for a, z in zip(cut, ends, strict=True))], pa.binary()),
-                payload=pa.array([payload, *([none] * len(cut))], pa.binary()),
+                payload=pa.array([to_bytes(*sizes, *waiting), *([none] * len(cut))], pa.binary()),
             )
 
-        held, size = [], 0
+        held, some, size = [], [], 0
         for b in slices(batches):
-            keys, counts, arrays = build(b)
-            held.append((keys, counts, arrays))
-            size += len(keys)
+            held.append(build(b))
+            some += [b] if again else []
+            size += len(held[-1][0])
             if size >= enough:
-                yield from flush(held)
+                yield from flush(held, some)
                 number += 1
-                held, size = [], 0
+                held, some, size = [], [], 0
         if held:
-            yield from flush(held)
+            yield from flush(held, some)
 
     def meet(batches):
         for rows in by_run(batches, "bucket"):
@@ -128,17 +145,27 @@ def ask(scratch: Scratch, docs: DataFrame, build: Callable, finish: Callable, re
     def close(batches):
         for rows in by_run(batches, "block"):
             source = io.BytesIO(rows[0]["payload"])
-            sizes, where = np.load(source), np.load(source)
+            sizes, arrays_of = np.load(source), np.load(source)
+            if again:
+                some = [unpacked(np.load(source)) for _ in sizes]
+                held = [build(b) for b in some]
+                _, _, _, where = merged(held)
+                arrays = [x for _, _, x in held]
+            else:
+                some, where = [None] * len(sizes), np.load(source)
+                arrays = [tuple(np.load(source) for _ in range(n)) for n in arrays_of]
             replies = np.concatenate([np.frombuffer(r["payload"], dtype) for r in rows[1:]]) if len(rows) > 1 else np.empty(0, dtype)
-            values, start = replies.reshape(-1)[where], 0
-            for n in sizes:
-                yield from finish(source, values[start : start + n])
+            values, start = replies[where], 0
+            for b, own, n in zip(some, arrays, sizes, strict=True):
+                yield from finish(b, own, values[start : start + n])
                 start += n
 
     asked = scratch.save(docs.mapInArrow(put, ASKED))
     said = asked.where("bucket >= 0").select("block", "bucket", "keys", "counts").repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket").mapInArrow(meet, REPLY)
     both = asked.where("bucket < 0").select("block", "bucket", "payload").union(said)
-    return both.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(close, result)
+    out = scratch.save(both.repartition(parts, "block").sortWithinPartitions("block", "bucket").mapInArrow(close, result))
+    scratch.drop(asked)
+    return out
 
 
 # ---------------------------------------------------------------- what occurs more than once
@@ -171,8 +198,8 @@ def repeated(scratch: Scratch, docs: DataFrame, keyed: Callable, width: int = 1,
     def answer(sums):
         return (sums[:, 0] > 1).astype(np.uint8) + (sums[:, 0] > crowd)
 
-    def finish(source, values):
-        uids, texts, starts, lengths = (np.load(source) for _ in range(4))
+    def finish(_, arrays, values):
+        uids, texts, starts, lengths = arrays
         some = np.flatnonzero(values)
         if not len(some):
             return
