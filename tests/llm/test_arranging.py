@@ -12,7 +12,7 @@ from windrift.llm import licenses
 from windrift.llm.common import Scratch, components
 from windrift.llm.embeddings import near_duplicates
 from windrift.llm.language_model import score_documents
-from windrift.llm.mixing import Mix, mix_documents, mixed_texts, permuted, targets
+from windrift.llm.mixing import Mix, Plan, mix_documents, mixed_texts, permuted
 from windrift.llm.packing import Pack, best_fit, complete_bins, dominated, fillings, lower_bound, pack_counts, pack_documents, tokenizer
 from windrift.llm.queries import tokenizer_path
 from windrift.llm.sharding import shard_documents
@@ -58,10 +58,53 @@ def test_shards_of_nothing(spark, empty):
     assert shard_documents(Scratch(spark), empty).count() == 0
 
 
-def test_targets_fill_up_to_the_limit():
-    t = targets({"a": 100, "b": 1000, None: 10}, Mix())
-    assert t["a"] == 300 and t[None] == 30 and abs(sum(t.values()) - 1110) < 1e-6
-    assert targets({}, Mix()) == {} and targets({"a": 0}, Mix()) == {"a": 0.0}
+def wanted_targets(sizes, mix=Mix()):
+    """Targets by the definition: share by weight, stop those above the limit, share the rest anew."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: mix.weights[i % len(mix.weights)] for i, s in enumerate(names)}
+    out, rest, open_ = {}, float(sum(sizes.values())), set(names)
+    while open_:
+        unit = rest / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * unit > mix.limit * sizes[s]}
+        if not full:
+            return out | {s: weight[s] * unit for s in open_}
+        out |= {s: float(mix.limit * sizes[s]) for s in full}
+        rest -= sum(mix.limit * sizes[s] for s in full)
+        open_ -= full
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_targets_fill_up_to_the_limit(spark, few):
+    cases = [{"a": 100, "b": 1000, None: 10}, {"a": 0}, {"é": 50, "b": 2, "a": 3, "Z": 4000, "": 7, None: 0}, {f"s{k}": k * k for k in range(60)}]
+    for sizes in cases:
+        rows = [(k, s, "w " * n) for k, (s, n) in enumerate(sizes.items())]
+        out = mix_documents(Scratch(spark), spark.createDataFrame(rows, "doc_id bigint, source string, text string"), Mix(few_sources=few)).collect()
+        want = wanted_targets(sizes)
+        for r in out:
+            s = rows[r["doc_id"]][1]
+            assert r["source_size"] == r["size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6 * max(1, want[s])
+            assert abs(r["taken"] - want[s]) <= 48 and r["taken"] <= 3 * sizes[s]
+
+
+def test_slots_are_a_multinomial_deal_over_shards(spark):
+    rows = [(k, f"s{k % 3}", "w " * 2000) for k in range(30)]
+    plan = Plan(Scratch(spark), spark.createDataFrame(rows, "doc_id bigint, source string, text string"))
+    counts = Counter((r["source_no"], r["out_shard"]) for r in plan.slots.collect())
+    want = {r["source_no"]: r["slots"] for r in plan.sources.collect()}
+    for no, n in want.items():
+        some = np.array([counts[no, k] for k in range(40)])
+        assert some.sum() == n and ((some - n / 40) ** 2).sum() / (n / 40) < 80  # chi-squared of 39 degrees
+    blocks = Counter((r["source_no"], r["block"]) for r in plan.slots.collect())
+    for r in plan.sources.collect():
+        assert {blocks[r["source_no"], k] for k in range(r["blocks"])} <= {r["slots"] // r["blocks"], -(-r["slots"] // r["blocks"])}
+
+
+def test_mixed_texts_agree_on_reruns_of_rows_that_differ_in_source_only(spark):
+    rows = [(1, "same words " * 40, f"s{k}", f"l{k}") for k in range(6)] + [(None, "x " * 50, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    once, again = (sorted(map(repr, mixed_texts(Scratch(spark), d).collect())) for d in (docs, docs.repartition(3)))
+    assert once == again and len({r.split("source=")[1][:5] for r in once}) > 3
 
 
 def test_permutations_are_permutations():

@@ -1,11 +1,15 @@
 """Mixing sources to target weights, by blocks of words.
 
 Each source's documents, in order of doc_id, form one stream of words, cut into blocks of `block`
-words. Every output shard draws its count of blocks from each source by a multinomial draw,
-conditioned on the whole mix meeting its targets (so counts over all shards are exact). Slot j of
-a source maps to a block through a pseudorandom permutation of the block numbers, a new one each
-time the source is used up, so a source taken t times gives each block floor(t) or ceil(t) times.
-Slots and the documents' shares of blocks meet by a join on the block number.
+words. The blocks that the mix wants of a source are dealt over the output shards by a multinomial
+draw of its own, seeded by the source, so every source meets its target in full and a shard's counts
+differ from their shares only by chance. Slot j of a source maps to a block through a pseudorandom
+permutation of the block numbers, a new one each time the source is used up, so a source taken t
+times gives each block floor(t) or ceil(t) times. Slots and the documents' shares of blocks meet by
+a join on the block number.
+
+Sources are a table like the rest, of any length: their ranks, targets and draws are Spark jobs, and
+the driver sees sums over all of them only.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from windrift.llm.common import Scratch, arrow_schema, in_order, partitions_of, record, slices
+from windrift.llm.tallies import expand
 from windrift.llm.words import Words
 
 
@@ -31,46 +36,8 @@ class Mix:
     block: int = 32
     shards: int = 40
     seed: int = 17
-    max_sources: int = 100_000  # sources are planned on the driver; more is an error, never a cut
-
-
-def targets(sizes: dict[str | None, int], mix: Mix) -> dict[str | None, float]:
-    """Words wanted of each source: shares of all sizes by weight; no more than limit times a source, the excess shared anew."""
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: mix.weights[i % len(mix.weights)] for i, s in enumerate(names)}
-    out = dict.fromkeys(names, 0.0)
-    rest, open_ = float(sum(sizes.values())), set(names)
-    while open_ and rest > 0:
-        unit = rest / sum(weight[s] for s in open_)
-        full = {s for s in open_ if weight[s] * unit > mix.limit * sizes[s]}
-        if not full:
-            out |= {s: weight[s] * unit for s in open_}
-            break
-        for s in full:
-            out[s] = float(mix.limit * sizes[s])
-            rest -= out[s]
-        open_ -= full
-    return out
-
-
-def draw_counts(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source for each output shard, drawn by source weight; columns add up to `slots`."""
-    rng = np.random.default_rng(seed)
-    left, out = slots.astype(np.int64).copy(), np.zeros((shards, len(slots)), np.int64)
-    for k in range(shards):
-        wanted = int(left.sum()) // (shards - k)
-        if k == shards - 1:
-            out[k] = left
-        elif wanted:
-            # A multinomial draw, held to what is left; what it asked for beyond that is drawn again.
-            while wanted:
-                drawn = np.minimum(rng.multinomial(wanted, left / left.sum()), left)
-                out[k] += drawn
-                left -= drawn
-                wanted -= int(drawn.sum())
-            continue
-        left -= out[k]
-    return out
+    chunk: int = 1 << 16  # slots that are mapped to blocks at a time
+    few_sources: int = 100_000  # up to so many, the table of sources is sent to every task
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -96,8 +63,8 @@ class Plan:
 
     def __init__(self, scratch: Scratch, docs: DataFrame, mix: Mix = Mix(), carry: tuple[str, ...] = ()):
         self.mix = mix
-        base = docs.select(*dict.fromkeys(["doc_id", "source", "text", *carry]))
-        kept = [base.schema[c] for c in dict.fromkeys(["doc_id", "source", *carry])]
+        base = docs.select(*dict.fromkeys(["doc_id", "source", "text", *carry])).withColumn("h", F.xxhash64("text"))
+        kept = [base.schema[c] for c in dict.fromkeys(["doc_id", "source", "h", *carry])]
         schema = T.StructType([*kept, T.StructField("size", T.LongType())])
         wanted = arrow_schema(schema)
 
@@ -105,51 +72,79 @@ class Plan:
             for b in slices(batches):
                 yield record(wanted, **{f.name: b.column(f.name) for f in kept}, size=Words(b.column("text"), hashed=False).counts)
 
-        thin = base.mapInArrow(sized, schema)
-        self.rows, overall = in_order(scratch, thin, ["source", "doc_id"], ["size"], group="source")
-        if len(overall) > mix.max_sources:
-            raise ValueError(f"{len(overall)} sources; the plan holds {mix.max_sources}")
-        self.sizes = {s: v["size"] for s, v in overall.items()}
-        self.targets = targets(self.sizes, mix)
-        names = sorted(self.sizes, key=lambda s: (s is None, s or ""))
-        blocks = np.array([-(-self.sizes[s] // mix.block) for s in names], np.int64)
-        per_word = np.array([b / self.sizes[s] if self.sizes[s] else 0 for s, b in zip(names, blocks, strict=True)])
-        slots = np.minimum(np.rint(np.array([self.targets[s] for s in names]) * per_word).astype(np.int64), mix.limit * blocks)
-        counts = draw_counts(slots, mix.shards, mix.seed) if len(names) else np.zeros((0, 0), np.int64)
-        spark = scratch.spark
-        self.sources = spark.createDataFrame(
-            [(i, s, int(self.sizes[s]), float(self.targets[s])) for i, s in enumerate(names)],
-            T.StructType([T.StructField("source_no", T.IntegerType()), T.StructField("name", docs.schema["source"].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())]),
-        )
-        # Cells in output order (shard, then source): where each starts, and its first slot of the source.
-        cell_start = np.r_[0, np.cumsum(counts.ravel())]
-        first_slot = (np.cumsum(counts, axis=0) - counts).ravel()
-        n_sources, seed = max(1, len(names)), mix.seed
-        out = T.StructType([T.StructField("source_no", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("out_shard", T.IntegerType()), T.StructField("out_slot", T.LongType())])
-        out_arrow = arrow_schema(out)
+        # Null sorts first here; ranks below put it last. Rows equal in all of this are interchangeable.
+        self.rows, overall = in_order(scratch, base.mapInArrow(sized, schema), ["source", "doc_id", "h"], ["size"])
+        total = overall[None]["size"] if overall else 0
+        found = self.rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("before_size").alias("first_word"))
+        ranked, known = in_order(scratch, found.withColumn("last", F.col("source").isNull()), ["last", "source"], [])
+        self.few = not known or known[None]["n"] <= mix.few_sources
+        weights = F.array(*(F.lit(float(w)) for w in mix.weights))
+        weighed = scratch.save(ranked.select("source", "source_size", "first_word", F.col("at").alias("source_no"), F.element_at(weights, (F.col("at") % len(mix.weights) + 1).cast("int")).alias("weight")))
+        self.sources = scratch.save(self.planned(weighed, total))
+        self.slots = self.drawn()
+
+    def planned(self, weighed: DataFrame, total: int) -> DataFrame:
+        """Each source's target: its share by weight, no more than limit times its size, the excess shared anew.
+
+        Sources stop at the limit when a unit of weight is worth more than most = limit * size / weight,
+        and the unit only grows as they do, so each round is one sum on either side of it.
+        """
+        b, limit = self.mix.block, self.mix.limit
+        most = F.col("source_size") * limit / F.col("weight")
+        unit = 0.0
+        while True:
+            sums = weighed.agg(F.sum(F.when(most < unit, F.col("source_size") * limit).otherwise(0)).alias("closed"), F.sum(F.when(most < unit, 0.0).otherwise(F.col("weight"))).alias("open")).first()
+            new = (total - sums["closed"]) / sums["open"] if sums["open"] else unit
+            if new <= unit:
+                break
+            unit = new
+        target = F.when(most < unit, (F.col("source_size") * limit).cast("double")).otherwise(F.col("weight") * unit)
+        blocks = F.ceil(F.col("source_size") / b)
+        slots = F.when(F.col("source_size") > 0, F.least(F.rint(F.col("target") * blocks / F.col("source_size")).cast("long"), blocks * limit)).otherwise(0)
+        return weighed.withColumn("target", target).withColumn("blocks", blocks.cast("long")).withColumn("slots", slots.cast("long"))
+
+    def drawn(self) -> DataFrame:
+        """One row for each block that the mix takes: (source_no, block, out_shard)."""
+        mix = self.mix
+        chunks = T.StructType([T.StructField(c, T.LongType()) for c in ("source_no", "blocks", "seed", "out_shard", "first", "n")])
+        out = T.StructType([T.StructField("source_no", T.LongType()), T.StructField("block", T.LongType()), T.StructField("out_shard", T.IntegerType())])
+        chunks_arrow, out_arrow = arrow_schema(chunks), arrow_schema(out)
+
+        def deal(batches):
+            for b in batches:
+                for no, blocks, slots, seed in zip(*(b.column(c).to_pylist() for c in ("source_no", "blocks", "slots", "seed")), strict=True):
+                    counts = np.random.default_rng([mix.seed, seed % (1 << 63)]).multinomial(slots, np.full(mix.shards, 1 / mix.shards))
+                    pieces = -(-counts // mix.chunk)
+                    shard = np.repeat(np.arange(mix.shards), pieces)
+                    nth = np.arange(len(shard)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    first = (np.cumsum(counts) - counts)[shard] + nth * mix.chunk
+                    n = np.minimum(counts[shard] - nth * mix.chunk, mix.chunk)
+                    same = lambda v: np.full(len(shard), v, np.int64)  # noqa: B023, E731
+                    yield record(chunks_arrow, source_no=same(no), blocks=same(blocks), seed=same(seed), out_shard=shard, first=first, n=n)
 
         def place(batches):
             for b in batches:
-                i = b.column(0).to_numpy(zero_copy_only=False)
-                if not len(i):
-                    continue
-                cell = np.searchsorted(cell_start, i, "right") - 1
-                source = cell % n_sources
-                j = first_slot[cell] + i - cell_start[cell]
-                n = blocks[source]
-                key = (np.uint64(seed) + source.astype(np.uint64) * np.uint64(1_000_003) + (j // n).astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
-                shard = cell // n_sources
-                yield record(out_arrow, source_no=source.astype(np.int32), block=permuted(j % n, n, key), out_shard=shard.astype(np.int32), out_slot=i - cell_start[shard * n_sources])
-
-        #: One row for each block that the mix takes: its place in the output, and which block it is.
-        self.slots = spark.range(0, int(cell_start[-1]), 1, partitions_of(spark)).mapInArrow(place, out)
+                no, blocks, seed, shard, first, n = (b.column(c).to_numpy(zero_copy_only=False) for c in chunks.names)
+                for k in range(0, len(n), 16):
+                    some = slice(k, k + 16)
+                    j = expand(first[some], n[some])
+                    at = np.repeat(np.arange(len(n))[some], n[some])
+                    key = (np.uint64(mix.seed) + seed[at].view(np.uint64) + (j // blocks[at]).astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
+                    yield record(out_arrow, source_no=no[at], block=permuted(j % blocks[at], blocks[at], key), out_shard=shard[at].astype(np.int32))
+
+        dealt = self.sources.where("slots > 0").select("source_no", "blocks", "slots", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("seed")).mapInArrow(deal, chunks)
+        return dealt.repartition(partitions_of(dealt.sparkSession), "source_no", "first").mapInArrow(place, out)
+
+    def placed(self) -> DataFrame:
+        """The rows with their source's plan. The table of sources is sent along only where it is short."""
+        plan = self.sources.withColumnRenamed("source", "name")
+        return self.rows.join(F.broadcast(plan) if self.few else plan, F.col("source").eqNullSafe(F.col("name")))
 
     def pieces(self) -> DataFrame:
-        """Each document's share of each block: rows (source_no, block, row, words), row counting within the source."""
-        size, before = F.col("size"), F.col("before_size")
+        """Each row's share of each block: (source_no, block, at, words, word), at counting rows, word within the row."""
+        size, before = F.col("size"), F.col("before_size") - F.col("first_word")
         b = self.mix.block
-        named = self.rows.alias("r").join(F.broadcast(self.sources), F.col("source").eqNullSafe(F.col("name")))
-        cut = named.where(size > 0).withColumn("block", F.explode(F.sequence(F.floor(before / b), F.floor((before + size - 1) / b))))
+        cut = self.placed().where(size > 0).withColumn("block", F.explode(F.sequence(F.floor(before / b), F.floor((before + size - 1) / b))))
         start = F.greatest(before, F.col("block") * b)
         stop = F.least(before + size, (F.col("block") + 1) * b)
         carried = ["uid"] if "uid" in self.rows.columns else []
@@ -166,9 +161,9 @@ def mix_documents(scratch: Scratch, docs: DataFrame, mix: Mix = Mix()) -> DataFr
     Null text has size 0; null is a source of its own, the last. Repeated rows are rows of their own.
     """
     plan = Plan(scratch, docs, mix)
-    taken = plan.pieces().join(plan.uses(), ["source_no", "block"]).groupBy("source_no", "at").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    rows = plan.rows.alias("r").join(F.broadcast(plan.sources), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source_size", "target", "source_no", "at")
-    return rows.join(taken, ["source_no", "at"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = plan.pieces().join(plan.uses(), ["source_no", "block"]).groupBy("at").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    rows = plan.placed().select("doc_id", "size", "source_size", "target", "at")
+    return rows.join(taken, "at", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_texts(scratch: Scratch, docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -180,9 +175,9 @@ def mixed_texts(scratch: Scratch, docs: DataFrame, mix: Mix = Mix()) -> DataFram
     """
     schema = docs.schema
     others = [c for c in docs.columns if c != "text"]
-    base = docs.withColumn("uid", F.xxhash64("doc_id", "text"))
+    base = docs.withColumn("uid", F.xxhash64(*docs.columns))
     plan = Plan(scratch, base, mix, carry=("uid",))
-    shares = plan.pieces().join(plan.uses(), ["source_no", "block"]).groupBy("source_no", "at", "uid").agg(F.sort_array(F.collect_list(F.struct("word", "words", "uses"))).alias("shares"))
+    shares = plan.pieces().join(plan.uses(), ["source_no", "block"]).groupBy("at", "uid").agg(F.sort_array(F.collect_list(F.struct("word", "words", "uses"))).alias("shares"))
     wanted = arrow_schema(schema)
 
     def run(batches):
