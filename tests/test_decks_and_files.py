@@ -43,14 +43,14 @@ def test_lists_and_pairs(spark):
     assert one(spark, "1536", lambda c: X.human_bytes(c.cast("bigint"))) == "1.5 KB"
 
 
-DECK = "// Project\nCase Name = c1\ncasename = 'c2' // again\n// Mesh\nGrid-Size = 4\n// Domain\ncut_lat_manual = [31, 30.5]\nhigh order = Yes\nz_1imit = 7\nnot an entry\n= 3\n"
+DECK = "// Project\nCase Name = c1\ncasename = 'c2' // again\n// CFD Control\nCell-Size = 4\nvk_inlet_aniso_scale = [1, 2, 3]\n// Domain\ncut_lat_manual = [31, 30.5]\nhigh order = Yes\nz_1imit = 7\nnot an entry\n= 3\n"
 
 
 def test_deck_is_parsed_repaired_and_written(spark):
     decks = spark.createDataFrame([("d", DECK), ("none", ""), ("null", None)], "deck string, text string")
     entries = deck.parse(decks)
     rows = {(r["key"], r["raw"]): r for r in entries.collect()}
-    assert ("cell_size", "4") in rows and rows["cell_size", "4"]["section"] == "mesh" and rows["cell_size", "4"]["known"]
+    assert ("cell_size", "4") in rows and rows["cell_size", "4"]["section"] == "cfd" and rows["cell_size", "4"]["known"]
     assert not rows["z_1imit", "7"]["known"] and ("casename", "c2") in rows
     assert deck.duplicates(entries.unionByName(entries.where("key = 'casename'"))).first()["key"] == "casename"
     fixed = {(r["deck"], r["key"]): r for r in deck.repaired(entries, decks).collect()}
@@ -59,7 +59,8 @@ def test_deck_is_parsed_repaired_and_written(spark):
     text = dict(deck.rendered(deck.repaired(entries, decks)).collect())["d"]
     again = deck.parse(spark.createDataFrame([("d", text)], "deck string, text string"))
     assert {(r["key"], r["raw"]) for r in deck.effective(again).collect()} >= {("casename", "c2"), ("cell_size", "4"), ("high_order", "true"), ("z_1imit", "7")}
-    assert text.index("// Project") < text.index("// Domain") < text.index("// Mesh")
+    assert text.index("// Project") < text.index("// Domain") < text.index("// CFD Controls") < text.index("// Turbulence inflow")
+    assert "vk_inlet_anisotropy = [1, 2, 3]" in text.split("\n")
 
 
 def test_option_precedence(spark):
@@ -69,6 +70,7 @@ def test_option_precedence(spark):
 
 
 def test_fields_by_mode():
+    assert len(deck.FIELDS) == 77 and {f.section for f in deck.FIELDS} <= set(deck.TITLES)
     assert "inflow" not in {f.key for f in deck.visible(deck.FIELDS, "standard")}
     assert "inflow" in {f.key for f in deck.visible(deck.FIELDS, "dataset")}
 
@@ -112,11 +114,11 @@ def test_wind_rose_by_hand(spark):
 
 
 def test_files_are_found_in_order(spark, tmp_path):
-    for n in ("case_avg-100.vtk", "case_avg-20.vtk", "case.luw"):
+    for n in ("case_avg-100.vtk", "case_avg-20.vtk", "case.deck"):
         (tmp_path / n).write_text("x")
     c = tables.catalogue(spark, str(tmp_path)).orderBy("step").collect()
     assert [r["step"] for r in c] == [20, 100]
-    assert outputs.find_input(spark, str(tmp_path), "*.nc", "*.luw").endswith("case.luw")
+    assert outputs.find_input(spark, str(tmp_path), "*.nc", "*.deck").endswith("case.deck")
     with pytest.raises(FileNotFoundError):
         outputs.find_input(spark, str(tmp_path), "*.nc")
     assert tables.pick_column(["Height_m", "Area"], "height", "HEIGHT-M") == "Height_m"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windrift.functions import text as X
@@ -26,27 +26,113 @@ class Field:
 
 MODES = {"standard": 1, "dataset": 2, "profile": 4}
 
-#: The keys that decks share, in the order in which they are written.
-FIELDS = [
-    Field("casename", "project"),
-    Field("datetime", "project", default="20990101120000"),
-    Field("cut_lon_manual", "domain", "float_pair"),
-    Field("cut_lat_manual", "domain", "float_pair"),
-    Field("base_height", "domain", "float", default="50"),
-    Field("z_limit", "domain", "float"),
-    Field("cell_size", "mesh", "float", aliases=("grid_size",)),
-    Field("n_gpu", "solver", "uint_triplet", default="[1, 1, 1]"),
-    Field("mesh_control", "mesh", "enum", default="gpu_memory", choices=("gpu_memory", "cell_size")),
-    Field("high_order", "solver", "boolean", default="true"),
-    Field("flux_correction", "solver", "boolean", default="true"),
-    Field("coriolis_term", "solver", "boolean", default="true"),
-    Field("inflow", "dataset", "float_list", modes=2),
-    Field("angle", "dataset", "float_list", modes=6),
-    Field("probes", "output", "token_list"),
-    Field("purge_avg", "output", "integer"),
-    Field("terr_voxel_approach", "terrain", "enum", default="idw", choices=("idw", "kriging", "kriging_gpu")),
-    Field("validation", "generated"),
-]
+#: Sections of a deck in the order in which they are written: name, title line, other title lines that open it.
+SECTIONS = """
+project   | Project            | project info, case
+domain    | Domain             | projected si range after rotation, wrf data range in lon/lat
+generated | Generated          | generated info, volume-mean uvw and downstream boundary with yaw angle
+cfd       | CFD Controls       | cfd, cfd control
+output    | Output & Probes    | output, output and probes
+physics   | Physics            |
+vk        | Turbulence inflow  | vk inlet, von karman inlet
+batch     | Batch              | batch modes, dataset generation, inflow directions
+custom    | Custom             |
+"""
+
+#: The keys that decks share, in the order in which they are written: key, section, kind, modes (all if empty),
+#: choices, other names, default.
+KEYS = """
+casename                            | project   | string       |                   | | |
+datetime                            | project   | string       |                   | | | 20990101120000
+cut_lon_manual                      | domain    | float_pair   |                   | | |
+cut_lat_manual                      | domain    | float_pair   |                   | | |
+cut_utm_x                           | domain    | float_pair   |                   | | |
+cut_utm_y                           | domain    | float_pair   |                   | | |
+si_x_cfd                            | domain    | float_pair   |                   | | |
+si_y_cfd                            | domain    | float_pair   |                   | | |
+si_z_cfd                            | domain    | float_pair   |                   | | |
+base_height                         | domain    | float        |                   | | | 50
+z_limit                             | domain    | float        |                   | | |
+geometry_mode                       | domain    | enum         | standard, profile | 0, 1, 2 | |
+terr_voxel_height_field             | domain    | string       | standard, profile | | |
+terr_voxel_ignore_under             | domain    | float        | standard, profile | | |
+terr_voxel_approach                 | domain    | enum         | standard, profile | idw, kriging_gpu, kriging | | idw
+terr_voxel_grid_resolution          | domain    | float        | standard, profile | | |
+terr_voxel_idw_sigma                | domain    | float        | standard, profile | | |
+terr_voxel_idw_power                | domain    | float        | standard, profile | | |
+terr_voxel_idw_neighbors            | domain    | integer      | standard, profile | | |
+midmesh_basesize                    | domain    | float        |                   | | |
+utm_crs                             | domain    | string       |                   | | |
+utm_epsg                            | domain    | integer      |                   | | |
+utm                                 | domain    | string       |                   | | |
+utm_zone                            | domain    | integer      |                   | | |
+utm_hemisphere                      | domain    | string       |                   | | |
+rotate_deg                          | domain    | float        |                   | | |
+center_lon                          | domain    | float        |                   | | |
+center_lat                          | domain    | float        |                   | | |
+origin_shift_applied                | generated | boolean      |                   | | |
+um_vol                              | generated | float_triplet |                  | | |
+um_bc                               | generated | float_triplet |                  | | |
+downstream_bc                       | generated | string       |                   | | |
+downstream_bc_yaw                   | generated | float        |                   | | |
+n_gpu                               | cfd       | uint_triplet |                   | | | [1, 1, 1]
+mesh_control                        | cfd       | enum         |                   | gpu_memory, cell_size | | gpu_memory
+gpu_memory                          | cfd       | integer      |                   | | |
+cell_size                           | cfd       | float        |                   | | |
+validation                          | cfd       | string       |                   | | |
+high_order                          | cfd       | boolean      |                   | | | true
+flux_correction                     | cfd       | boolean      |                   | | | true
+downstream_open_face                | cfd       | boolean      |                   | | |
+run_nstep                           | cfd       | integer      |                   | | |
+research_output                     | cfd       | integer      |                   | | |
+unsteady_output                     | output    | integer      |                   | | |
+probes_output                       | output    | integer      |                   | | |
+purge_avg                           | output    | integer      |                   | | |
+purge_avg_stride                    | output    | integer      |                   | | |
+output_tke_ti_tls                   | output    | token_list   |                   | | |
+probes                              | output    | multiline    |                   | | |
+coriolis_term                       | physics   | boolean      |                   | | | true
+buoyancy                            | physics   | boolean      |                   | | |
+ibm_enabler                         | physics   | boolean      |                   | | |
+enable_buffer_nudging               | physics   | boolean      |                   | | |
+buffer_thickness_m                  | physics   | float        |                   | | |
+buffer_tau_s                        | physics   | float        |                   | | |
+buffer_nudge_vertical               | physics   | boolean      |                   | | |
+enable_top_sponge                   | physics   | boolean      |                   | | |
+sponge_thickness_m                  | physics   | float        |                   | | |
+sponge_tau_s                        | physics   | float        |                   | | |
+sponge_ref_mode                     | physics   | string       |                   | | |
+turb_inflow_enable                  | vk        | boolean      |                   | | vk_inlet_enable |
+turb_inflow_approach                | vk        | enum         |                   | vonkarman, smirnov | |
+vk_inlet_ti                         | vk        | float        |                   | | |
+vk_inlet_sigma                      | vk        | float        |                   | | |
+vk_inlet_l                          | vk        | float        |                   | | |
+vk_inlet_nmodes                     | vk        | integer      |                   | | |
+vk_inlet_seed                       | vk        | string       |                   | | |
+vk_inlet_update_stride              | vk        | integer      |                   | | |
+vk_inlet_uc_mode                    | vk        | enum         |                   | NORMAL_COMPONENT, NORM_MEAN | |
+vk_inlet_same_realization_all_faces | vk        | boolean      |                   | | |
+vk_inlet_stride_interpolation       | vk        | boolean      |                   | | |
+vk_inlet_inflow_only                | vk        | boolean      |                   | | |
+vk_inlet_anisotropy                 | vk        | float_triplet |                  | | vk_inlet_anisotropy_scale, vk_inlet_aniso_scale |
+x_exp_rat                           | batch     | float        | dataset, profile  | | |
+y_exp_rat                           | batch     | float        | dataset, profile  | | |
+inflow                              | batch     | float_list   | dataset           | | |
+angle                               | batch     | float_list   | dataset, profile  | | |
+"""
+
+
+def _rows(text: str) -> list[list[str]]:
+    return [[c.strip() for c in line.split("|")] for line in text.strip().splitlines()]
+
+
+def _names(cell: str) -> tuple[str, ...]:
+    return tuple(x.strip() for x in cell.split(",") if x.strip())
+
+
+FIELDS = [Field(key, section, kind, sum(MODES[m] for m in _names(modes)) or sum(MODES.values()), default, _names(aliases), _names(choices)) for key, section, kind, modes, choices, aliases, default in _rows(KEYS)]
+TITLES = {name: title for name, title, _ in _rows(SECTIONS)}
+OPENS = {" ".join(t.lower().split()): name for name, title, others in _rows(SECTIONS) for t in (name, title, *_names(others))}
 
 
 def parse(decks: DataFrame, fields: list[Field] = FIELDS) -> DataFrame:
@@ -58,15 +144,18 @@ def parse(decks: DataFrame, fields: list[Field] = FIELDS) -> DataFrame:
     """
     names = {k: f.key for f in fields for k in (f.key, *f.aliases)}
     known = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
-    sections = list(dict.fromkeys(f.section for f in fields))
-    lines = decks.select("deck", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
-    title = X.key_name(F.regexp_extract("line", r"^\s*(?://|#)\s*(.*?)\s*$", 1))
-    w = Window.partitionBy("deck").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("section", F.last(F.when(title.isin(sections), title), ignorenulls=True).over(w))
+    opens = F.create_map(*(F.lit(x) for kv in OPENS.items() for x in kv))
+    title = lambda line: F.lower(F.regexp_replace(F.regexp_extract(line, r"^\s*(?://|#)\s*(.*?)\s*$", 1), r"\s+", " "))
+    # A deck's few titles stay beside each of its lines, so a line finds its section without its neighbours.
+    rows = decks.select("deck", F.split("text", r"\r?\n").alias("lines"))
+    rows = rows.withColumn("titles", F.filter(F.transform("lines", lambda line, i: F.struct(i.alias("i"), F.try_element_at(opens, title(line)).alias("section"))), lambda t: t["section"].isNotNull()))
+    rows = rows.select("deck", "titles", F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike(r"^\s*[^=\s/#][^=]*="))
     entry = X.stripped_comment(F.col("line"))
-    key = X.key_name(F.regexp_extract(entry, "^([^=]*)=", 1))
-    found = marked.where(entry.rlike(r"^\s*[^=\s][^=]*=")).select("deck", "line_no", "section", key.alias("key"), X.unquoted(F.regexp_extract(entry, "=(.*)$", 1)).alias("raw"))
-    return found.select("deck", "line_no", "section", F.coalesce(F.try_element_at(known, F.col("key")), "key").alias("key"), "raw", F.try_element_at(known, F.col("key")).isNotNull().alias("known"))
+    rows = rows.withColumn("entry", entry).where(F.col("entry").rlike(r"^\s*[^=\s][^=]*="))
+    key = X.key_name(F.regexp_extract("entry", "^([^=]*)=", 1))
+    section = F.try_element_at(F.filter("titles", lambda t: t["i"] < F.col("line_no")), F.lit(-1))["section"]
+    found = rows.select("deck", "line_no", section.alias("section"), key.alias("key"), X.unquoted(F.regexp_extract("entry", "=(.*)$", 1)).alias("raw"))
+    return found.withColumn("name", F.try_element_at(known, F.col("key"))).select("deck", "line_no", "section", F.coalesce("name", "key").alias("key"), "raw", F.col("name").isNotNull().alias("known"))
 
 
 def duplicates(entries: DataFrame) -> DataFrame:
@@ -89,6 +178,50 @@ def visible(fields: list[Field], mode: str) -> list[Field]:
     return [f for f in fields if f.modes & MODES[mode]]
 
 
+def field_table(spark: SparkSession, fields: list[Field] = FIELDS) -> DataFrame:
+    """(rank, key, section, kind, modes, default, choices): the known fields as rows."""
+    return spark.createDataFrame([(i, f.key, f.section, f.kind, f.modes, f.default, list(f.choices)) for i, f in enumerate(fields)], "rank int, key string, section string, kind string, modes int, default string, choices array<string>")
+
+
+def written(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """entries after changes (deck, key, raw): a null raw takes the key away, another one is set in place of the
+    last entry of its key, or as a new line at the deck's end. A key that is set or taken is said once at most."""
+    ends = entries.groupBy("deck").agg(F.max("line_no").alias("end"))
+    held = effective(entries).select("deck", "key", "line_no", "section", "known").withColumnRenamed("line_no", "at")
+    spec = {f.key: f.section for f in FIELDS}
+    sections = F.create_map(*(F.lit(x) for kv in spec.items() for x in kv))
+    new = changes.where("raw is not null").join(held, ["deck", "key"], "left").join(ends, "deck", "left")
+    nth = F.row_number().over(Window.partitionBy("deck").orderBy("key"))
+    new = new.select("deck", F.coalesce("at", F.coalesce("end", F.lit(-1)) + nth).cast("int").alias("line_no"), F.coalesce("section", F.try_element_at(sections, F.col("key"))).alias("section"), "key", "raw", F.coalesce("known", F.try_element_at(sections, F.col("key")).isNotNull()).alias("known"))
+    return entries.join(changes.select("deck", "key"), ["deck", "key"], "left_anti").select(*new.columns).unionByName(new)
+
+
+def verdicts(entries: DataFrame, fields: list[Field] = FIELDS) -> DataFrame:
+    """(deck, key, problem) for entries whose value does not read as its field's kind, or is none of its choices."""
+    spec = field_table(entries.sparkSession, fields).select("key", "kind", "choices")
+    e = typed(effective(entries).where("known")).join(F.broadcast(spec), "key")
+    n = F.size("as_list")
+    wrong = (
+        F.when((F.col("kind") == "boolean") & F.col("as_bool").isNull(), "no boolean")
+        .when(F.col("kind").isin("float", "integer") & F.col("as_double").isNull(), "no number")
+        .when((F.col("kind") == "integer") & (F.col("as_double") != F.floor("as_double")), "no whole number")
+        .when((F.col("kind") == "float_pair") & (n != 2), "no pair")
+        .when(F.col("kind").isin("float_triplet", "uint_triplet") & (n != 3), "no triplet")
+        .when((F.col("kind") == "enum") & ~F.exists("choices", lambda c: F.lower(c) == F.lower("raw")), "no choice")
+    )
+    return e.where(F.col("raw") != "").select("deck", "key", wrong.alias("problem")).where("problem is not null")
+
+
+def validated(entries: DataFrame, decks: DataFrame, required: list[str]) -> DataFrame:
+    """(deck, validation): `pass`, or what fails: missing required keys first, then values that do not read."""
+    want = decks.select("deck").distinct().withColumn("key", F.explode(F.array(*map(F.lit, required))))
+    have = effective(entries).where("raw <> ''").select("deck", "key")
+    gone = want.join(have, ["deck", "key"], "left_anti").select("deck", F.concat(F.lit("missing "), "key").alias("what"), F.lit(0).alias("rank"))
+    bad = verdicts(entries).select("deck", F.concat_ws(" ", "key", "problem").alias("what"), F.lit(1).alias("rank"))
+    said = gone.union(bad).groupBy("deck").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "what"))), lambda x: x["what"]), "; ").alias("said"))
+    return decks.select("deck").distinct().join(said, "deck", "left").select("deck", F.coalesce(F.concat(F.lit("fail: "), "said"), F.lit("pass")).alias("validation"))
+
+
 def canonical(entry_kind: Column, raw: Column) -> Column:
     """How a value is written: booleans as true or false, pairs in rising order, the rest as it is."""
     pair = X.pair(raw)
@@ -117,7 +250,8 @@ def repaired(entries: DataFrame, decks: DataFrame, fields: list[Field] = FIELDS)
 def rendered(rows: DataFrame) -> DataFrame:
     """deck, text: the repaired rows as a deck again, one title line before each section."""
     first = F.row_number().over(Window.partitionBy("deck", "section").orderBy("rank")) == 1
-    line = F.concat(F.when(first, F.concat(F.lit("// "), F.initcap("section"), F.lit("\n"))).otherwise(""), F.col("key"), F.lit(" = "), F.col("value"))
+    titles = F.create_map(*(F.lit(x) for kv in TITLES.items() for x in kv))
+    line = F.concat(F.when(first, F.concat(F.lit("// "), F.try_element_at(titles, F.col("section")), F.lit("\n"))).otherwise(""), F.col("key"), F.lit(" = "), F.col("value"))
     head = F.min("rank").over(Window.partitionBy("deck", "section"))
     lines = rows.withColumns({"line": line, "head": head})
     return lines.groupBy("deck").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("head", "rank", "line"))), lambda r: r["line"]), "\n").alias("text"))

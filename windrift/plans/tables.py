@@ -152,23 +152,23 @@ def output_names(spark, sf):
     return p.select("page_id", F.when(n > 1, F.concat_ws("_", safe, n - 1)).otherwise(safe).alias("output"))
 
 
-DECK = """o_orderkey AS deck, concat('// Project', chr(10), 'Case Name = "c', o_orderkey, '" // a name', chr(10), '// Mesh', chr(10), 'grid-size = ', o_orderkey % 7 + 1, 'p5', chr(10), 'high_order = yes', chr(10), 'high_order = ', CASE o_orderkey % 3 WHEN 0 THEN 'off' WHEN 1 THEN '2' ELSE 'maybe' END, chr(10), 'z_1imit = 9', chr(10), 'cut_lon_manual = [12, ', o_orderkey % 20, ']') AS text"""
-
-
 def decks(spark, sf):
     k = F.col("o_orderkey")
     s = lambda c: c.cast("string")
     choice = F.element_at(F.array(*map(F.lit, ["off", "2", "maybe"])), (k % 3 + 1).cast("int"))
-    text = F.concat(F.lit('// Project\nCase Name = "c'), s(k), F.lit('" // a name\n// Mesh\ngrid-size = '), s(k % 7 + 1), F.lit("p5\nhigh_order = yes\nhigh_order = "), choice, F.lit("\nz_1imit = 9\ncut_lon_manual = [12, "), s(k % 20), F.lit("]"))
+    text = F.concat(F.lit('// Project Info\nCase Name = "c'), s(k), F.lit('" // a name\n# CFD  control\nCell-Size = '), s(k % 7 + 1), F.lit("p5\nhigh_order = yes\nhigh_order = "), choice, F.lit("\nz_1imit = 9\nvk_inlet_enable = on\n// Domain\ncut_lon_manual = [12, "), s(k % 20), F.lit("]"))
     return D.read(spark, sf, "orders").select(k.alias("deck"), text.alias("text"))
 
 
-@query("""SELECT o_orderkey AS deck, CASE o_orderkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS high_order, CAST(o_orderkey % 7 + 1.5 AS DOUBLE) AS cell_size, CAST(least(12, o_orderkey % 20) AS DOUBLE) AS west, CAST(5 AS BIGINT) AS keys, CAST(3 AS BIGINT) AS known FROM orders""")
+@query("""SELECT o_orderkey AS deck, CASE o_orderkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS high_order, CAST(o_orderkey % 7 + 1.5 AS DOUBLE) AS cell_size, CAST(least(12, o_orderkey % 20) AS DOUBLE) AS west, CAST(6 AS BIGINT) AS keys, CAST(4 AS BIGINT) AS known, 'cfd,domain,project' AS sections FROM orders""")
 def deck_values(spark, sf):
-    """Decks parsed; aliases, repeated keys, odd values, unknown keys kept."""
+    """Decks parsed; aliases, repeated keys, odd values, titles, unknown keys kept."""
     e = deck.typed(deck.effective(deck.parse(decks(spark, sf))))
     pick = lambda key, c: F.max(F.when(F.col("key") == key, F.col(c)))
-    return e.groupBy("deck").agg(pick("high_order", "as_bool").alias("high_order"), pick("cell_size", "as_double").alias("cell_size"), F.array_min(F.first(F.when(F.col("key") == "cut_lon_manual", F.col("as_list")), ignorenulls=True)).alias("west"), F.count("*").alias("keys"), F.sum(F.col("known").cast("bigint")).alias("known"))
+    return e.groupBy("deck").agg(
+        pick("high_order", "as_bool").alias("high_order"), pick("cell_size", "as_double").alias("cell_size"), F.array_min(F.first(F.when(F.col("key") == "cut_lon_manual", F.col("as_list")), ignorenulls=True)).alias("west"),
+        F.count("*").alias("keys"), F.sum(F.col("known").cast("bigint")).alias("known"), F.array_join(F.array_sort(F.collect_set("section")), ",").alias("sections"),
+    )
 
 
 @query("SELECT o_orderkey AS deck, 'high_order' AS key, CAST(2 AS BIGINT) AS n FROM orders")
@@ -177,21 +177,52 @@ def deck_duplicates(spark, sf):
     return deck.duplicates(deck.parse(decks(spark, sf)))
 
 
-@query("""WITH k(rank, section, key, value, filled) AS (VALUES (1, 'project', 'datetime', '20990101120000', true), (4, 'domain', 'base_height', '50', true), (7, 'solver', 'n_gpu', '[1, 1, 1]', true), (8, 'mesh', 'mesh_control', 'gpu_memory', true), (10, 'solver', 'flux_correction', 'true', true), (11, 'solver', 'coriolis_term', 'true', true), (16, 'terrain', 'terr_voxel_approach', 'idw', true))
-SELECT o_orderkey AS deck, section, key, value, filled FROM orders, k UNION ALL
-SELECT o_orderkey, 'solver', 'high_order', CASE o_orderkey % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'true' ELSE 'maybe' END, false FROM orders UNION ALL
-SELECT o_orderkey, 'mesh', 'cell_size', (o_orderkey % 7 + 1) || 'p5', false FROM orders UNION ALL
-SELECT o_orderkey, 'domain', 'cut_lon_manual', '[' || least(12, o_orderkey % 20) || '.0, ' || greatest(12, o_orderkey % 20) || '.0]', false FROM orders UNION ALL
-SELECT o_orderkey, 'custom', 'case_name', 'c' || o_orderkey, false FROM orders UNION ALL SELECT o_orderkey, 'custom', 'z_1imit', '9', false FROM orders""")
+REPAIRED = """k(rank, section, key, value, filled) AS (VALUES (1, 'project', 'datetime', '20990101120000', true), (9, 'domain', 'base_height', '50', true), (14, 'domain', 'terr_voxel_approach', 'idw', true), (33, 'cfd', 'n_gpu', '[1, 1, 1]', true), (34, 'cfd', 'mesh_control', 'gpu_memory', true), (39, 'cfd', 'flux_correction', 'true', true), (49, 'physics', 'coriolis_term', 'true', true), (60, 'vk', 'turb_inflow_enable', 'true', false)),
+r AS (SELECT o_orderkey AS deck, rank, section, key, value, filled FROM orders, k UNION ALL
+SELECT o_orderkey, 38, 'cfd', 'high_order', CASE o_orderkey % 3 WHEN 0 THEN 'false' WHEN 1 THEN 'true' ELSE 'maybe' END, false FROM orders UNION ALL
+SELECT o_orderkey, 36, 'cfd', 'cell_size', (o_orderkey % 7 + 1) || 'p5', false FROM orders UNION ALL
+SELECT o_orderkey, 2, 'domain', 'cut_lon_manual', '[' || least(12, o_orderkey % 20) || '.0, ' || greatest(12, o_orderkey % 20) || '.0]', false FROM orders UNION ALL
+SELECT o_orderkey, 100, 'custom', 'case_name', 'c' || o_orderkey, false FROM orders UNION ALL SELECT o_orderkey, 101, 'custom', 'z_1imit', '9', false FROM orders)"""
+
+
+@query(f"WITH {REPAIRED} SELECT deck, section, key, value, filled FROM r")
 def deck_repair(spark, sf):
-    """Decks with repeats gone, defaults filled in, values in their written form, unknown keys kept."""
+    """Decks with repeats gone, defaults filled in, old names as new ones, values in their written form, unknown keys kept."""
     d = decks(spark, sf)
     return deck.repaired(deck.parse(d), d).select("deck", "section", "key", "value", "filled")
 
 
-@query("SELECT o_orderkey AS deck, '// Project' AS first_line, CAST(18 AS INTEGER) AS lines FROM orders")
+@query(f"""WITH {REPAIRED}, t(section, title) AS (VALUES ('project', 'Project'), ('domain', 'Domain'), ('cfd', 'CFD Controls'), ('physics', 'Physics'), ('vk', 'Turbulence inflow'), ('custom', 'Custom')),
+n AS (SELECT *, row_number() OVER (PARTITION BY deck, section ORDER BY rank) AS k FROM r JOIN t USING (section))
+SELECT deck, string_agg(CASE WHEN k = 1 THEN '// ' || title || chr(10) ELSE '' END || key || ' = ' || value, chr(10) ORDER BY rank) AS text FROM n GROUP BY 1""")
 def deck_rendering(spark, sf):
-    """Decks written again in canonical order."""
+    """Decks written again in canonical order, whole texts."""
+    d = decks(spark, sf)
+    return deck.rendered(deck.repaired(deck.parse(d), d))
+
+
+@query("""SELECT o_orderkey AS deck, 'z_limit' AS key, '400' AS raw, 'domain' AS section FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'high_order', 'false', 'cfd' FROM orders UNION ALL
+SELECT o_orderkey, 'cell_size', (o_orderkey % 7 + 1) || 'p5', 'cfd' FROM orders UNION ALL SELECT o_orderkey, 'case_name', 'c' || o_orderkey, 'project' FROM orders UNION ALL SELECT o_orderkey, 'z_1imit', '9', 'cfd' FROM orders UNION ALL SELECT o_orderkey, 'turb_inflow_enable', 'on', 'cfd' FROM orders""")
+def deck_changes(spark, sf):
+    """Keys set (in place of all that said them before, or anew) and taken away."""
+    d = decks(spark, sf)
+    k = F.col("deck")
+    change = lambda key, raw, where=F.lit(True): d.where(where).select("deck", F.lit(key).alias("key"), F.lit(raw).cast("string").alias("raw"))
+    changes = change("z_limit", "400", k % 2 == 0).union(change("high_order", "false")).union(change("cut_lon_manual", None))
+    return deck.written(deck.parse(d), changes).select("deck", "key", "raw", "section")
+
+
+@query("SELECT o_orderkey AS deck, 'fail: missing casename; ' || CASE WHEN o_orderkey % 3 = 2 THEN 'high_order no boolean' ELSE '' END AS validation FROM orders WHERE o_orderkey % 3 = 2 UNION ALL SELECT o_orderkey, 'fail: missing casename' FROM orders WHERE o_orderkey % 3 <> 2")
+def deck_validation(spark, sf):
+    """The verdict on each deck, as it is written back to it."""
     d = decks(spark, sf)
-    out = deck.rendered(deck.repaired(deck.parse(d), d))
-    return out.select("deck", F.split("text", "\n")[0].alias("first_line"), F.size(F.split("text", "\n")).alias("lines"))
+    return deck.validated(deck.parse(d), d, ["casename", "cut_lon_manual", "cell_size"])
+
+
+@query("""SELECT m.mode, section, CAST(n AS BIGINT) AS fields FROM (VALUES ('standard', 'project', 2), ('standard', 'domain', 26), ('standard', 'generated', 5), ('standard', 'cfd', 10), ('standard', 'output', 6), ('standard', 'physics', 11), ('standard', 'vk', 13),
+('dataset', 'project', 2), ('dataset', 'domain', 18), ('dataset', 'generated', 5), ('dataset', 'cfd', 10), ('dataset', 'output', 6), ('dataset', 'physics', 11), ('dataset', 'vk', 13), ('dataset', 'batch', 4),
+('profile', 'project', 2), ('profile', 'domain', 26), ('profile', 'generated', 5), ('profile', 'cfd', 10), ('profile', 'output', 6), ('profile', 'physics', 11), ('profile', 'vk', 13), ('profile', 'batch', 3)) m(mode, section, n)""")
+def deck_fields_by_mode(spark, sf):
+    """How many fields each mode shows, by the mask of modes of each."""
+    modes = spark.createDataFrame(sorted(deck.MODES.items()), "mode string, bit int")
+    return deck.field_table(spark).join(F.broadcast(modes), F.col("modes").bitwiseAND(F.col("bit")) != 0).groupBy("mode", "section").agg(F.count("*").alias("fields"))
