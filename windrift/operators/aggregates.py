@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from windrift.operators.ordered import quantiles
+
 
 def valid(*components: str) -> Column:
     """A cell counts when any component is not zero; NaN and null do not count."""
@@ -21,9 +23,9 @@ def finite(c: str) -> Column:
 def summary(df: DataFrame, *columns: str) -> DataFrame:
     """count, min, 5 and 95 percent points, median, mean, population deviation and max of each column, NaN left out."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), finite(c).cast("double").alias("x")) for c in columns))).alias("v")).select("v.*")
-    points = F.percentile("x", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = long.groupBy("variable").agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"), points.alias("p"))
-    return out.select("variable", "n", "low", F.col("p")[0].alias("q05"), F.col("p")[1].alias("median"), F.col("p")[2].alias("q95"), "high", "mean", "deviation")
+    out = long.groupBy("variable").agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"))
+    out = out.join(quantiles(long, ["variable"], "x", [0.05, 0.5, 0.95]), "variable", "left")
+    return out.select("variable", "n", "low", F.col("q")[0].alias("q05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q95"), "high", "mean", "deviation")
 
 
 def extents(df: DataFrame, *axes: str) -> DataFrame:
@@ -93,7 +95,8 @@ def cell_means(samples: DataFrame, ix: Column, iy: Column, cells: DataFrame, val
 
 def weighted_histogram(df: DataFrame, value: str, weight: str) -> DataFrame:
     """Weighted density over bins of Freedman-Diaconis width: bin, low, density. The last bin is closed on the right."""
-    q = df.agg(F.percentile(value, F.lit(0.75)).alias("q3"), F.percentile(value, F.lit(0.25)).alias("q1"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"), F.sum(weight).alias("total"))
+    quarters = quantiles(df.withColumn("all", F.lit(0)), ["all"], value, [0.25, 0.75]).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+    q = df.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"), F.sum(weight).alias("total")).join(F.broadcast(quarters))
     width = 2 * (F.col("q3") - F.col("q1")) / F.pow(F.col("n"), 1 / 3)
     q = q.withColumn("bins", F.greatest(F.ceil((F.col("high") - F.col("low")) / width), F.lit(1))).withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
     placed = df.join(F.broadcast(q)).withColumn("bin", F.least(F.floor((F.col(value) - F.col("low")) / F.col("width")), F.col("bins") - 1))
@@ -107,7 +110,7 @@ def fixed_histogram(df: DataFrame, value: str, low: float, high: float, bins: in
 
 
 def robust_limits(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
-    return df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("p")).select(F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+    return quantiles(df.withColumn("all", F.lit(0)), ["all"], value, [low, high]).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def counts_by_reason(df: DataFrame, reason: str) -> DataFrame:
@@ -131,7 +134,7 @@ def median_spacing(df: DataFrame, axis: str, group: list[str]) -> DataFrame:
     from pyspark.sql import Window
 
     d = df.select(*group, axis).distinct().withColumn("gap", F.col(axis) - F.lag(axis).over(Window.partitionBy(*group).orderBy(axis)))
-    return d.where("gap is not null").agg(F.median("gap").alias("spacing"))
+    return quantiles(d.withColumn("all", F.lit(0)), ["all"], "gap", [0.5]).select(F.col("q")[0].alias("spacing"))
 
 
 def body_forces(cells: DataFrame, body: str, x: str, y: str, fx: str, fy: str, mass: str) -> DataFrame:

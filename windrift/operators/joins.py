@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from windrift.operators.graph import checkpoint_folder
+from windrift.operators.ordered import carried, in_ranges
 
 
 def bracketed(queries: DataFrame, profile: DataFrame, at: str, z: str, value: str) -> DataFrame:
@@ -18,24 +19,50 @@ def bracketed(queries: DataFrame, profile: DataFrame, at: str, z: str, value: st
     one array, go to every row, so queries of any number keep their partitioning.
     """
     table = profile.agg(F.array_sort(F.collect_list(F.struct(F.col(z).cast("double").alias("z"), F.col(value).cast("double").alias("v")))).alias("samples"))
-    joined = queries.join(F.broadcast(table))
-    x = F.col(at)
-    below = F.filter("samples", lambda s: s["z"] <= x)
-    above = F.filter("samples", lambda s: s["z"] > x)
-    lo, hi = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
-    held = F.when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * (x - lo["z"]) / (hi["z"] - lo["z"]))
+    table = table.withColumn("heights", F.transform("samples", lambda s: s["z"]))
+    joined = queries.join(F.broadcast(table)).withColumn("below", F.size(F.filter("heights", lambda h: h <= F.col(at))))
+    lo, hi = F.try_element_at("samples", F.when(F.col("below") > 0, F.col("below"))), F.try_element_at("samples", F.col("below") + 1)
+    held = F.when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * (F.col(at) - lo["z"]) / (hi["z"] - lo["z"]))
     return joined.select(*queries.columns, held.alias("value"), lo["z"].alias("z_below"), hi["z"].alias("z_above"))
 
 
+def between(samples: Column, at: Column) -> Column:
+    """The value at `at` of sorted samples (z, v): linear between them, held at the ends."""
+    below, above = F.filter(samples, lambda s: s["z"] <= at), F.filter(samples, lambda s: s["z"] > at)
+    lo, hi = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
+    return F.when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * (at - lo["z"]) / (hi["z"] - lo["z"]))
+
+
+def two_level(queries: DataFrame, samples: DataFrame, patch: str, a: str, b: str, value: str, at_a: str, at_b: str) -> DataFrame:
+    """queries with the value at (at_a, at_b) on their patch: between the two columns around at_a, in each between
+    the samples around at_b; held at the ends of either.
+
+    samples: patch, a, b, value. A patch's columns are one axis of a face, a bounded list; columns meet
+    the queries by an equi-join. Queries whose patch has no samples are left out.
+    """
+    columns = samples.groupBy(patch, a).agg(F.array_sort(F.collect_list(F.struct(F.col(b).cast("double").alias("z"), F.col(value).cast("double").alias("v")))).alias("samples"))
+    axes = columns.groupBy(patch).agg(F.array_sort(F.collect_list(a)).alias("axis"))
+    q = queries.withColumn("qid_", F.monotonically_increasing_id()).join(axes, patch)
+    x = F.col(at_a)
+    lo, hi = F.try_element_at(F.filter("axis", lambda c: c <= x), F.lit(-1)), F.try_element_at(F.filter("axis", lambda c: c > x), F.lit(1))
+    t = F.when(lo.isNull() | hi.isNull(), 0.0).otherwise((x - lo) / (hi - lo))
+    sides = F.array(F.struct(F.coalesce(lo, hi).alias("a"), (1 - t).alias("w")), F.struct(F.coalesce(hi, lo).alias("a"), t.alias("w")))
+    asked = q.withColumn("side", F.explode(F.filter(sides, lambda s: s["w"] > 0))).drop("axis")
+    met = asked.join(columns.select(F.col(patch).alias("p_"), F.col(a).alias("a_"), "samples"), (F.col(patch) == F.col("p_")) & (F.col("side.a") == F.col("a_")))
+    return met.groupBy("qid_", *queries.columns).agg(F.sum(F.col("side.w") * between(F.col("samples"), F.col(at_b))).alias("value")).drop("qid_")
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str) -> DataFrame:
     """left with the right value at or before `at` and the one after, for equal keys: one sorted pass over both."""
     both = left.select(*keys, F.col(at).alias("t"), F.lit(1).alias("side"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.schema[value].dataType).alias("v"), F.lit(None).cast(right.schema[right_at].dataType).alias("vt")).unionByName(
         right.select(*keys, F.col(right_at).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("row")).schema["row"].dataType).alias("row"), F.col(value).alias("v"), F.col(right_at).alias("vt"))
     )
     w = Window.partitionBy(*keys).orderBy("t", "side")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    # The next value is the last one seen from the other end, so either frame only grows.
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
     one = F.when(F.col("side") == 0, F.struct("vt", "v"))
-    found = both.withColumn("before", F.last(one, ignorenulls=True).over(back)).withColumn("after", F.first(one, ignorenulls=True).over(ahead))
+    found = both.withColumn("before", F.last(one, ignorenulls=True).over(back)).withColumn("after", F.last(one, ignorenulls=True).over(ahead))
     return found.where("side = 1").select("row.*", F.col("before.v").alias("before"), F.col("before.vt").alias("before_at"), F.col("after.v").alias("after"), F.col("after.vt").alias("after_at"))
 
 
@@ -113,6 +140,17 @@ def islands(df: DataFrame, x: str, tolerance: float, group: list[str]) -> DataFr
     return df.withColumn("fresh", F.coalesce((F.col(x) - F.lag(x).over(w) > tolerance).cast("int"), F.lit(0))).withColumn("island", F.sum("fresh").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("fresh")
 
 
+def all_islands(df: DataFrame, x: str, tolerance: float) -> DataFrame:
+    """As `islands` with one group of all rows, dealt by ranges of x. df: distinct values of x."""
+    rows = in_ranges(df, x)
+    ends = rows.groupBy("part").agg(F.max(x).alias("high"))
+    ends = ends.select("part", F.max("high").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("high"))  # a row for each range
+    w = Window.partitionBy("part").orderBy(x)
+    marked = rows.join(F.broadcast(ends), "part").withColumn("fresh", F.coalesce((F.col(x) - F.coalesce(F.lag(x).over(w), "high") > tolerance).cast("int"), F.lit(0)))
+    before = carried(marked.groupBy("part").agg(F.sum("fresh").alias("s")), s="s")
+    return marked.withColumn("own", F.sum("fresh").over(w)).join(F.broadcast(before), "part").withColumn("island", F.col("own") + F.col("before_s")).select(*df.columns, "island")
+
+
 def alias_lookup(df: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
     """df with `canonical`: the alias table's name for the key, or the key. aliases: alias, name (a fixed, small table)."""
     return df.join(F.broadcast(aliases.withColumnRenamed("alias", key)), key, "left").withColumn("canonical", F.coalesce("name", key)).drop("name")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from windrift.operators.ordered import running_total
+
 
 def filled_levels(df: DataFrame, column: list[str], level: str, primary: str, companions: list[str]) -> DataFrame:
     """Missing levels take the last valid one below; leading ones the first valid above.
@@ -12,9 +14,10 @@ def filled_levels(df: DataFrame, column: list[str], level: str, primary: str, co
     The primary decides which levels are missing; its companions follow it.
     """
     w = Window.partitionBy(*column).orderBy(level)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*column).orderBy(F.desc(level)).rowsBetween(Window.unboundedPreceding, 0)
     row = F.when(F.col(primary).isNotNull() & ~F.isnan(primary), F.struct(primary, *companions))
-    kept = F.coalesce(F.last(row, ignorenulls=True).over(back), F.first(row, ignorenulls=True).over(ahead))
+    kept = F.coalesce(F.last(row, ignorenulls=True).over(back), F.last(row, ignorenulls=True).over(ahead))
     return df.withColumn("kept", kept).select(*(c for c in df.columns if c not in (primary, *companions)), *(F.col(f"kept.{c}").alias(c) for c in (primary, *companions)))
 
 
@@ -42,10 +45,10 @@ def last_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 def cumulative_share(df: DataFrame, value: str, weight: str) -> DataFrame:
     """value, share: the part of all weight at or above each value.
 
-    Weights are summed by value first; the running sum then goes over distinct values only.
+    Weights are summed by value first; the running sum then goes over ranges of distinct values.
     """
     by = df.groupBy(value).agg(F.sum(weight).alias("w"))
-    return by.withColumn("share", F.sum("w").over(Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("w").over(Window.partitionBy())).select(value, "share")
+    return running_total(by, [F.desc(value)], "w").select(value, (F.col("upto") / F.col("whole")).alias("share"))
 
 
 def differences(df: DataFrame, along: str, others: list[str], fields: list[str], spacing: float) -> DataFrame:
@@ -100,6 +103,85 @@ def hermite(queries: DataFrame, profile: DataFrame, at: str, z: str, value: str)
     return q.select(*queries.columns, F.when(F.col("c.z1").isNull(), F.col("c.v")).otherwise(cubic).alias("value"))
 
 
+def reflected(df: DataFrame, along: str, others: list[str], value: str, sigma: float, truncate: float = 4.0) -> DataFrame:
+    """Gaussian mean along each line, which goes on beyond its ends as its mirror image (the end value twice).
+
+    A line of a grid is one array; its places are 0 to n - 1.
+    """
+    import math
+
+    r = int(truncate * sigma + 0.5)
+    g = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)] if sigma > 0 else [1.0]
+    r = len(g) // 2
+    lines = df.groupBy(*others).agg(F.array_sort(F.collect_list(F.struct(along, F.col(value).cast("double").alias("v")))).alias("line")).withColumn("n", F.size("line"))
+
+    def at(i: Column) -> Column:
+        j = F.pmod(i, 2 * F.col("n"))  # the mirror images repeat after two lengths
+        return F.col("line")[F.least(j, 2 * F.col("n") - 1 - j)]["v"]
+
+    def mean(cell: Column, i: Column) -> Column:
+        total = F.lit(0.0)
+        for d, w in zip(range(-r, r + 1), g, strict=True):
+            total = total + at(i + d) * (w / sum(g))
+        return F.struct(cell[along].alias(along), total.alias("v"))
+
+    return lines.select(*others, F.explode(F.transform("line", mean)).alias("c")).select(*others, F.col(f"c.{along}").alias(along), F.col("c.v").alias(value))
+
+
+def pchip(columns: DataFrame, keys: list[str], z: str, value: str, levels: list[float]) -> DataFrame:
+    """(keys, level, value): each column by its monotone piecewise cubic on the levels within it; none outside.
+
+    Slopes are harmonic means of the steps on either side, none where these turn, and three-point
+    estimates at the ends, held to the shape. A column's samples are one window.
+    """
+    w = Window.partitionBy(*keys).orderBy(z)
+    rows = columns.select(*keys, F.col(z).cast("double").alias("z"), F.col(value).cast("double").alias("v"))
+    w = Window.partitionBy(*keys).orderBy("z")
+    rows = rows.withColumns({"h": F.lead("z").over(w) - F.col("z"), "d": (F.lead("v").over(w) - F.col("v")) / (F.lead("z").over(w) - F.col("z"))})
+    rows = rows.withColumns({"h0": F.lag("h").over(w), "d0": F.lag("d").over(w), "h1": F.lead("h").over(w), "d1": F.lead("d").over(w), "hb": F.lag("h", 2).over(w), "db": F.lag("d", 2).over(w)})
+    c = F.col
+
+    def end(h: str, d: str, far_h: str, far_d: str) -> Column:
+        slope = ((2 * c(h) + c(far_h)) * c(d) - c(h) * c(far_d)) / (c(h) + c(far_h))
+        held = F.when(F.signum(slope) != F.signum(c(d)), 0.0).when((F.signum(c(d)) != F.signum(c(far_d))) & (F.abs(slope) > 3 * F.abs(c(d))), 3 * c(d)).otherwise(slope)
+        return F.when(c(far_h).isNull(), c(d)).otherwise(held)
+
+    w1, w2 = 2 * c("h") + c("h0"), c("h") + 2 * c("h0")
+    inner = F.when(c("d0") * c("d") <= 0, 0.0).otherwise((w1 + w2) / (w1 / c("d0") + w2 / c("d")))
+    rows = rows.withColumn("m", F.when(c("h0").isNull() & c("h").isNull(), 0.0).when(c("h0").isNull(), end("h", "d", "h1", "d1")).when(c("h").isNull(), end("h0", "d0", "hb", "db")).otherwise(inner))
+    rows = rows.withColumns({"m1": F.lead("m").over(w), "v1": F.lead("v").over(w), "last": c("h1").isNull()}).where("h is not null")
+    asked = rows.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda x: (x >= c("z")) & ((x < c("z") + c("h")) | (c("last") & (x <= c("z") + c("h")))))))
+    t, h = (c("level") - c("z")) / c("h"), c("h")
+    cubic = (2 * t * t * t - 3 * t * t + 1) * c("v") + (t * t * t - 2 * t * t + t) * h * c("m") + (3 * t * t - 2 * t * t * t) * c("v1") + (t * t * t - t * t) * h * c("m1")
+    return asked.select(*keys, "level", cubic.alias("value"))
+
+
+def two_phase_step(df: DataFrame, key: str, order: str, seconds: str, sampled: Column, stride: int) -> DataFrame:
+    """key, normal_step, sample_extra, average_step: the mean time of plain steps, what a sampled step takes beyond
+    the plain mean so far (nothing if less), and a step's mean time while every stride-th one is sampled."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    plain = F.when(~sampled, F.col(seconds))
+    rows = df.where(F.col(seconds) > 0).withColumn("normal", F.avg(plain).over(w)).withColumn("extra", F.when(sampled & F.col("normal").isNotNull(), F.greatest(F.col(seconds) - F.col("normal"), F.lit(0.0))))
+    out = rows.groupBy(key).agg(F.avg(plain).alias("normal_step"), F.coalesce(F.avg("extra"), F.lit(0.0)).alias("sample_extra"))
+    return out.withColumn("average_step", F.col("normal_step") + F.col("sample_extra") / stride)
+
+
+def emitted(events: DataFrame, key: list[str], order: str, seconds: str, header: Column, pause: float = 0.15) -> DataFrame:
+    """Progress rows that are told: those with a new header, and those at least `pause` seconds after the last one told.
+
+    Whether a row is told depends on the one told before it; a key's progress (a few hundred rows) is
+    folded in order.
+    """
+    rows = events.withColumn("header", header).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(seconds).cast("double").alias("t"), "header"))).alias("rows"))
+    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(None).cast(events.select(header.alias("h")).schema["h"].dataType).alias("header"), F.array().cast(f"array<{events.schema[order].dataType.simpleString()}>").alias("told"))
+
+    def go(a, r):
+        told = a["t"].isNull() | ~r["header"].eqNullSafe(a["header"]) | (r["t"] - a["t"] >= pause)
+        return F.struct(F.when(told, r["t"]).otherwise(a["t"]).alias("t"), F.when(told, r["header"]).otherwise(a["header"]).alias("header"), F.when(told, F.array_append(a["told"], r["o"])).otherwise(a["told"]).alias("told"))
+
+    return rows.select(*key, F.explode(F.aggregate("rows", start, go)["told"]).alias(order))
+
+
 def preferred_file(files: DataFrame, group: list[str], path: str, *ranks: str) -> DataFrame:
     """Of the files of a group, the one that ranks first by the columns, all from high to low."""
     return files.groupBy(*group).agg(F.max_by(path, F.struct(*ranks, path)).alias(path))

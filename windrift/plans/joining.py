@@ -17,24 +17,35 @@ def bracket_profile(spark, sf):
     return J.bracketed(q, D.profile(spark, sf), "h", "z", "U").select("qid", "z_below", "z_above", F.round("value", 6).alias("value"))
 
 
-@query("""WITH l AS (SELECT event_id, user_id % 50 AS k, event_id AS t FROM events), r AS (SELECT user_id % 50 AS k, event_id + 0 AS t, value FROM events WHERE event_id % 4 = 0),
+@query("""WITH l AS (SELECT event_id, user_id % 50 AS k, event_id AS t FROM events), r AS (SELECT user_id % 50 AS k, event_id * 4 + 1 AS t, value FROM events),
 b AS (SELECT l.event_id, l.k, l.t, r.value AS before, r.t AS before_at FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.t >= r.t)
 SELECT b.event_id, b.before, b.before_at, r.value AS after, r.t AS after_at FROM b ASOF LEFT JOIN r ON b.k = r.k AND b.t < r.t""")
 def as_of_both_sides(spark, sf):
-    """The last value up to a time and the first after it, in each key."""
+    """The last value up to a time and the first after it, in each key."""
     e = D.read(spark, sf, "events").select("event_id", (F.col("user_id") % 50).alias("k"), F.col("event_id").alias("t"), "value")
     left = e.select("event_id", "k", F.col("t").alias("at"))
-    right = e.where(F.col("event_id") % 4 == 0).select("k", F.col("t").alias("rt"), "value")
+    right = e.select("k", (F.col("t") * 4 + 1).alias("rt"), "value")
     return J.as_of(left, right, ["k"], "at", "rt", "value").select("event_id", "before", "before_at", "after", "after_at")
 
 
-KNN = f"""{D.POINTS}, q AS (SELECT vec_id AS qid, px + 0.003 AS qx, py - 0.002 AS qy FROM points WHERE vec_id % 5 = 0),
+@query(f"""WITH {D.GRID}, n AS (SELECT max(z) AS top FROM grid), q AS (SELECT o_orderkey AS qid, o_orderkey % 10 AS y, (o_orderkey % 220) / 10.0 - 1 AS a, (o_orderkey % 530) / 10.0 - 1 AS b FROM orders),
+c AS (SELECT qid, y, a, b, CAST(least(greatest(floor(a), 0), 19) AS BIGINT) AS x0, CAST(least(greatest(ceil(a), 0), 19) AS BIGINT) AS x1, CAST(least(greatest(floor(b), 0), top) AS BIGINT) AS z0, CAST(least(greatest(ceil(b), 0), top) AS BIGINT) AS z1 FROM q, n),
+w AS (SELECT *, CASE WHEN x1 > x0 THEN a - x0 ELSE 0 END AS t, CASE WHEN z1 > z0 THEN b - z0 ELSE 0 END AS s FROM c)
+SELECT qid, round((1 - t) * ((1 - s) * g00.u + s * g01.u) + t * ((1 - s) * g10.u + s * g11.u), 6) AS value FROM w JOIN grid g00 ON (g00.x, g00.y, g00.z) = (x0, w.y, z0) JOIN grid g01 ON (g01.x, g01.y, g01.z) = (x0, w.y, z1) JOIN grid g10 ON (g10.x, g10.y, g10.z) = (x1, w.y, z0) JOIN grid g11 ON (g11.x, g11.y, g11.z) = (x1, w.y, z1)""")
+def two_level_lookup(spark, sf):
+    """Values of a patch between its columns and, in each, between its samples."""
+    k = F.col("o_orderkey")
+    q = D.read(spark, sf, "orders").select(k.alias("qid"), (k % 10).alias("y"), ((k % 220) / 10.0 - 1).alias("a"), ((k % 530) / 10.0 - 1).alias("b"))
+    return J.two_level(q, D.grid(spark, sf), "y", "x", "z", "u", "a", "b").select("qid", F.round("value", 6).alias("value"))
+
+
+KNN = f"""{D.POINTS}, q AS (SELECT vec_id AS qid, px + 0.003 AS qx, py - 0.002 AS qy FROM points),
 d AS (SELECT qid, vec_id, val, sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)) AS distance FROM q, points),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank FROM d)"""
 
 
 def knn_queries(spark, sf):
-    return D.points(spark, sf).where(F.col("vec_id") % 5 == 0).select(F.col("vec_id").alias("qid"), (F.col("px") + 0.003).alias("qx"), (F.col("py") - 0.002).alias("qy"))
+    return D.points(spark, sf).select(F.col("vec_id").alias("qid"), (F.col("px") + 0.003).alias("qx"), (F.col("py") - 0.002).alias("qy"))
 
 
 @query(f"WITH {KNN} SELECT qid, vec_id, round(distance, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12")
@@ -84,8 +95,8 @@ def bilinear_lookup(spark, sf):
 i AS (SELECT x, sum(fresh) OVER (ORDER BY x) AS island FROM f) SELECT CAST(island AS BIGINT) AS island, min(x) AS low, max(x) AS high, round(avg(x), 6) AS middle, count(*) AS n FROM i GROUP BY 1""")
 def tolerance_clusters(spark, sf):
     """Coordinates within a tolerance become one, their mean."""
-    d = D.read(spark, sf, "orders").select(F.round(F.col("o_totalprice") / 100, 1).alias("x")).distinct().withColumn("g", F.lit(0))
-    return J.islands(d, "x", 0.5, ["g"]).groupBy("island").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.round(F.avg("x"), 6).alias("middle"), F.count("*").alias("n"))
+    d = D.read(spark, sf, "orders").select(F.round(F.col("o_totalprice") / 100, 1).alias("x")).distinct()
+    return J.all_islands(d, "x", 0.5).groupBy("island").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.round(F.avg("x"), 6).alias("middle"), F.count("*").alias("n"))
 
 
 @query("""WITH a(alias, name) AS (VALUES ('click', 'press'), ('view', 'look'), ('purchase', 'buy')) SELECT coalesce(name, event_type) AS canonical, count(*) AS n FROM events LEFT JOIN a ON event_type = alias GROUP BY 1""")

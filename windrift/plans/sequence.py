@@ -112,11 +112,13 @@ def step_estimate(spark, sf):
     return S.step_estimate(D.read(spark, sf, "events"), "user_id", "event_id", "value").select("user_id", "n", F.round("estimate", 6).alias("estimate"))
 
 
-@query("""WITH b AS (SELECT user_id, event_id, CAST(floor(event_id / 10000.0 * 20) AS BIGINT) AS bucket FROM events), l AS (SELECT *, lag(bucket) OVER w AS was, lead(bucket) OVER w AS more FROM b WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+@query("""WITH b AS (SELECT user_id, event_id, CAST(floor(event_id / (SELECT max(event_id) + 1.0 FROM events) * 20) AS BIGINT) AS bucket FROM events), l AS (SELECT *, lag(bucket) OVER w AS was, lead(bucket) OVER w AS more FROM b WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
 SELECT user_id, event_id, bucket FROM l WHERE was IS NULL OR bucket <> was OR more IS NULL""")
 def progress_throttling(spark, sf):
     """Progress is told when it moves on, first and last in any case."""
-    return S.throttled(D.read(spark, sf, "events").select("user_id", "event_id"), ["user_id"], "event_id", F.col("event_id") / 10000.0, 20)
+    e = D.read(spark, sf, "events").select("user_id", "event_id")
+    total = e.agg((F.max("event_id") + 1.0).alias("total"))
+    return S.throttled(e.join(F.broadcast(total)), ["user_id"], "event_id", F.col("event_id") / F.col("total"), 20).drop("total")
 
 
 @query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 25")
@@ -136,3 +138,56 @@ def largest_part(spark, sf):
     """The largest part of each group."""
     cell = F.col("y") * 20 + F.col("x")
     return D.grid(spark, sf).groupBy("z").agg(F.max_by(cell, F.col("u") + cell * 1e-9).alias("cell"))
+
+
+REFLECT = "CASE WHEN {i} % (2 * {n}) + CASE WHEN {i} < 0 THEN 2 * {n} ELSE 0 END < {n} THEN ({i} % (2 * {n}) + CASE WHEN {i} < 0 THEN 2 * {n} ELSE 0 END) % (2 * {n}) ELSE 2 * {n} - 1 - ({i} % (2 * {n}) + CASE WHEN {i} < 0 THEN 2 * {n} ELSE 0 END) % (2 * {n}) END"
+
+
+@query(f"""WITH {D.GRID}, k AS (SELECT d, exp(-0.5 * d * d / 2.25) AS g FROM (SELECT unnest(range(-6, 7)) AS d)), w AS (SELECT d, g / sum(g) OVER () AS g FROM k),
+h AS (SELECT a.z, a.y, a.x, sum(b.u * g) AS u FROM (SELECT z, y, x FROM grid) a, w JOIN grid b ON b.z = a.z AND b.y = a.y AND b.x = {REFLECT.format(i='(a.x + d)', n=20)} GROUP BY 1, 2, 3)
+SELECT a.z, a.y, a.x, round(sum(b.u * g), 6) AS u FROM (SELECT z, y, x FROM grid) a, w JOIN h b ON b.z = a.z AND b.x = a.x AND b.y = {REFLECT.format(i='(a.y + d)', n=10)} GROUP BY 1, 2, 3""")
+def smoothed_planes(spark, sf):
+    """Gaussian mean over each layer, mirrored at its edges: along x, then along y."""
+    g = D.grid(spark, sf).select("z", "y", "x", "u")
+    return S.reflected(S.reflected(g, "x", ["z", "y"], "u", 1.5), "y", ["z", "x"], "u", 1.5).select("z", "y", "x", F.round("u", 6).alias("u"))
+
+
+LEVELS = [0.0, 0.25, 1.5, 2.0, 3.75, 4.0, 7.9, 12.5]
+
+
+@query(f"""WITH {D.GRID}, c AS (SELECT x, y, CAST(z AS DOUBLE) AS z, u AS v FROM grid), s AS (SELECT *, lead(z) OVER w - z AS h, (lead(v) OVER w - v) / (lead(z) OVER w - z) AS d FROM c WINDOW w AS (PARTITION BY x, y ORDER BY z)),
+n AS (SELECT *, lag(h) OVER w AS h0, lag(d) OVER w AS d0, lead(h) OVER w AS h1, lead(d) OVER w AS d1, lag(h, 2) OVER w AS hb, lag(d, 2) OVER w AS db FROM s WINDOW w AS (PARTITION BY x, y ORDER BY z)),
+e AS (SELECT *, ((2 * h + h1) * d - h * d1) / (h + h1) AS e0, ((2 * h0 + hb) * d0 - h0 * db) / (h0 + hb) AS e1 FROM n),
+m AS (SELECT *, CASE WHEN h0 IS NULL THEN CASE WHEN h1 IS NULL THEN d WHEN sign(e0) <> sign(d) THEN 0 WHEN sign(d) <> sign(d1) AND abs(e0) > 3 * abs(d) THEN 3 * d ELSE e0 END
+WHEN h IS NULL THEN CASE WHEN hb IS NULL THEN d0 WHEN sign(e1) <> sign(d0) THEN 0 WHEN sign(d0) <> sign(db) AND abs(e1) > 3 * abs(d0) THEN 3 * d0 ELSE e1 END
+WHEN d0 * d <= 0 THEN 0 ELSE 3 * (h + h0) / ((2 * h + h0) / d0 + (h + 2 * h0) / d) END AS m FROM e),
+q AS (SELECT x, y, z, v, h, m, lead(m) OVER w AS m1, lead(v) OVER w AS v1, lead(h) OVER w IS NULL AS last FROM m WINDOW w AS (PARTITION BY x, y ORDER BY z)),
+t AS (SELECT *, (level - z) / h AS t FROM q, (SELECT CAST(unnest({LEVELS}) AS DOUBLE) AS level) WHERE h IS NOT NULL AND level >= z AND (level < z + h OR (last AND level <= z + h)))
+SELECT x, y, level, round((2 * t * t * t - 3 * t * t + 1) * v + (t * t * t - 2 * t * t + t) * h * m + (3 * t * t - 2 * t * t * t) * v1 + (t * t * t - t * t) * h * m1 + 3.3e-7, 5) AS value FROM t""")
+def monotone_cubic_levels(spark, sf):
+    """Columns on fixed levels by monotone piecewise cubics."""
+    return S.pchip(D.grid(spark, sf), ["x", "y"], "z", "u", LEVELS).select("x", "y", "level", F.round(F.col("value") + 3.3e-7, 5).alias("value"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, value AS s, event_id % 3 = 0 AS sampled FROM events WHERE value > 0), n AS (SELECT *, avg(CASE WHEN NOT sampled THEN s END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS normal FROM s),
+g AS (SELECT user_id, avg(CASE WHEN NOT sampled THEN s END) AS normal_step, coalesce(avg(CASE WHEN sampled AND normal IS NOT NULL THEN greatest(s - normal, 0) END), 0) AS sample_extra FROM n GROUP BY 1)
+SELECT user_id, round(normal_step, 6) AS normal_step, round(sample_extra, 6) AS sample_extra, round(normal_step + sample_extra / 7, 6) AS average_step FROM g""")
+def two_phase_estimate(spark, sf):
+    """Times of plain and of sampled steps."""
+    e = S.two_phase_step(D.read(spark, sf, "events"), "user_id", "event_id", "value", F.col("event_id") % 3 == 0, 7)
+    return e.select("user_id", *(F.round(c, 6).alias(c) for c in ("normal_step", "sample_extra", "average_step")))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, value / 100 AS t0, CAST(floor(event_id / (SELECT max(event_id) + 1.0 FROM events) * 20) AS BIGINT) AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, n, b, sum(t0) OVER (PARTITION BY user_id ORDER BY event_id) / 10 AS t FROM e),
+r(user_id, n, event_id, told, t, b) AS (SELECT user_id, n, event_id, true, t, b FROM s WHERE n = 1 UNION ALL
+SELECT s.user_id, s.n, s.event_id, s.b <> r.b OR s.t - r.t >= 0.15, CASE WHEN s.b <> r.b OR s.t - r.t >= 0.15 THEN s.t ELSE r.t END, CASE WHEN s.b <> r.b OR s.t - r.t >= 0.15 THEN s.b ELSE r.b END FROM r JOIN s ON s.user_id = r.user_id AND s.n = r.n + 1)
+SELECT user_id, event_id FROM r WHERE told""")
+def emitted_progress(spark, sf):
+    """Progress rows that are told: a new bucket, or 0.15 s after the last one."""
+    from pyspark.sql import Window
+
+    e = D.read(spark, sf, "events")
+    total = e.agg((F.max("event_id") + 1.0).alias("total"))
+    e = e.join(F.broadcast(total)).withColumn("t", F.sum(F.col("value") / 100).over(Window.partitionBy("user_id").orderBy("event_id")) / 10)
+    return S.emitted(e, ["user_id"], "event_id", "t", F.floor(F.col("event_id") / F.col("total") * 20)).select("user_id", "event_id")

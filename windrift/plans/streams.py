@@ -38,16 +38,16 @@ def streamed_welford(spark, sf):
     return rows.select("user_id", "s.n", F.round(F.col("s.mean") + 1e-8, 5).alias("mean"), F.round(F.col("s.m2") / F.col("s.n"), 5).alias("variance"))
 
 
-@query("SELECT event_id, value, CAST('probe' AS VARCHAR) AS sink FROM events WHERE user_id % 20 IN (3, 7) AND event_id + 1 > 9000 UNION ALL SELECT event_id, value, 'snapshot' FROM events WHERE (event_id + 1) % 500 = 0")
+@query("SELECT event_id, value, CAST('probe' AS VARCHAR) AS sink FROM events WHERE user_id % 20 IN (3, 7) AND event_id + 1 > (SELECT max(event_id) + 1 - 1000 FROM events) UNION ALL SELECT event_id, value, 'snapshot' FROM events WHERE (event_id + 1) % 500 = 0")
 def streamed_probes(spark, sf):
     """Probes of the last steps and periodic snapshots, two sinks of one read."""
     folder = shared_folder(spark)
     events = stream(spark, sf, "events").select("event_id", (F.col("user_id") % 20).alias("cell"), (F.col("event_id") + 1).alias("t"), "value")
     probes = spark.createDataFrame([(3,), (7,)], "cell bigint")
-    total = 10_000
+    total = D.read(spark, sf, "events").agg(F.max("event_id") + 1).first()[0] or 0
 
     def probe_sink(batch, number):
-        T.probe_samples(batch, probes, ["cell"], "t", total, total - 9000).write.mode("overwrite").parquet(f"{folder}/probes/batch={number}")
+        T.probe_samples(batch, probes, ["cell"], "t", total, 1000).write.mode("overwrite").parquet(f"{folder}/probes/batch={number}")
 
     drain(T.each_batch(events, f"{folder}/checkpoint", probe_sink, T.snapshots(f"{folder}/snapshots", "t", 500)), folder)
     p = spark.read.parquet(f"{folder}/probes").select("event_id", "value", F.lit("probe").alias("sink"))
