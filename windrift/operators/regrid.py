@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrift.operators.joins import bracketed, k_nearest
+from windrift.operators.sequences import reflected
 
 
 def inverse_distance(queries: DataFrame, points: DataFrame, value: str, k: int, size: float, power: float = 2.0, floor: float = 1e-10) -> DataFrame:
@@ -49,6 +50,12 @@ def vertical(columns: DataFrame, keys: list[str], z: str, value: str, levels: li
     return asked.select(*keys, "level", F.when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * (F.col("level") - lo["z"]) / (hi["z"] - lo["z"])).alias("value"))
 
 
+def terrain_surface(nodes: DataFrame, points: DataFrame, value: str, k: int, size: float, sigma: float, scale: float = 1.0, power: float = 2.0) -> DataFrame:
+    """(x, y, value) over a grid of nodes (qid, x, y, qx, qy): inverse distances, Gaussian smoothing, no negatives, from 0 up, scaled."""
+    raw = inverse_distance(nodes.select("qid", "qx", "qy"), points, value, k, size, power).join(nodes.select("qid", "x", "y"), "qid").select("x", "y", "value")
+    return surface(reflected(reflected(raw, "x", ["y"], "value", sigma), "y", ["x"], "value", sigma), "value", scale).select("x", "y", "value")
+
+
 def surface(cells: DataFrame, value: str, scale: float = 1.0) -> DataFrame:
     """Elevations without negatives, lowered so that the lowest is 0, scaled."""
     held = cells.withColumn(value, F.greatest(F.col(value), F.lit(0.0)))
@@ -73,7 +80,16 @@ def profile_field(points: DataFrame, ground: DataFrame, profile: DataFrame, heig
     return bracketed(above, profile, "agl", "z", "U").withColumn("value", F.when(F.col("agl") < 0, 0.0).otherwise(F.col("value"))).drop("z_below", "z_above", "h")
 
 
-def mode_sum(points: DataFrame, modes: DataFrame, t: float) -> DataFrame:
+def strided_inflow(points: DataFrame, modes: DataFrame, step: Column, stride: int, dt: float, between: bool = True) -> DataFrame:
+    """points with u at their step: modes are summed at every stride-th step; between two of them the sums are blended by time, or the earlier one holds."""
+    first = F.floor(step / stride) * stride
+    share = (step - first) / stride if between else F.lit(0.0)
+    early = mode_sum(points.withColumn("t_", first * dt), modes, F.col("t_")).withColumnRenamed("u", "u0")
+    both = mode_sum(early.withColumn("t_", (first + stride) * dt), modes, F.col("t_"))
+    return both.select(*points.columns, (F.col("u0") + (F.col("u") - F.col("u0")) * share).alias("u"))
+
+
+def mode_sum(points: DataFrame, modes: DataFrame, t: float | Column) -> DataFrame:
     """points with u: the sum over modes of amplitude * cos(kx x + ky y + kz z - omega t + phase).
 
     modes (kx, ky, kz, omega, amplitude, phase) is a fixed list of some hundred rows; it goes to
@@ -93,6 +109,33 @@ def _neighbourhoods(queries: DataFrame, points: DataFrame, value: str, k: int, s
     return rows.select("qid", "qx", "qy", F.transform("s", lambda s: s["px"]).alias("xs"), F.transform("s", lambda s: s["py"]).alias("ys"), F.transform("s", lambda s: s["v"]).alias("vs"))
 
 
+def _solved(rows: DataFrame, system) -> DataFrame:
+    """(qid, value) from neighbourhoods (qid, qx, qy, xs, ys, vs): system(dx, dy, v) takes all of one size at once, [rows, neighbours]."""
+
+    def run(batches):
+        for b in batches:
+            out = np.full(len(b), np.nan)
+            sizes = b["xs"].map(len).to_numpy()
+            for n in np.unique(sizes):
+                i = np.flatnonzero(sizes == n)
+                x, y, v = (np.stack(b[c].to_numpy()[i]).astype(float) for c in ("xs", "ys", "vs"))
+                out[i] = system(x - b["qx"].to_numpy()[i, None], y - b["qy"].to_numpy()[i, None], v)
+            yield pd.DataFrame({"qid": b["qid"], "value": out})
+
+    return rows.mapInPandas(run, "qid bigint, value double")
+
+
+def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x of a x = b for stacked systems; rows whose system is singular are NaN."""
+    try:
+        return np.linalg.solve(a, b[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        out = np.full(b.shape, np.nan)
+        for k in np.flatnonzero(np.linalg.matrix_rank(a) == a.shape[-1]):
+            out[k] = np.linalg.solve(a[k], b[k])
+        return out
+
+
 def kriging(queries: DataFrame, points: DataFrame, value: str, k: int, size: float, reach: float) -> DataFrame:
     """(qid, value): ordinary kriging of the k nearest points with an exponential variogram of the given reach.
 
@@ -100,52 +143,74 @@ def kriging(queries: DataFrame, points: DataFrame, value: str, k: int, size: flo
     neighbours' range; where a system can't be solved, inverse distances stand in.
     """
 
-    def solve(batches):
-        for b in batches:
-            out = []
-            for qx, qy, xs, ys, vs in b[["qx", "qy", "xs", "ys", "vs"]].itertuples(index=False):
-                p, v = np.stack([xs, ys], axis=1), np.asarray(vs, float)
-                d0 = np.hypot(p[:, 0] - qx, p[:, 1] - qy)
-                if d0.min() <= 1e-10:
-                    out.append(v[d0.argmin()])
-                    continue
-                if np.ptp(v) == 0:
-                    out.append(v[0])
-                    continue
-                n = len(v)
-                a = np.ones((n + 1, n + 1))
-                a[:n, :n] = 1 - np.exp(-np.hypot(p[:, None, 0] - p[:, 0], p[:, None, 1] - p[:, 1]) / reach)
-                a[n, n] = 0
-                try:
-                    w = np.linalg.solve(a, np.r_[1 - np.exp(-d0 / reach), 1])[:n]
-                except np.linalg.LinAlgError:
-                    w = 1 / d0**2
-                    w /= w.sum()
-                out.append(float(np.clip(w @ v, v.min(), v.max())))
-            yield pd.DataFrame({"qid": b["qid"], "value": out})
+    def system(dx, dy, v):
+        m, n = v.shape
+        d0 = np.hypot(dx, dy)
+        a = np.ones((m, n + 1, n + 1))
+        a[:, :n, :n] = 1 - np.exp(-np.hypot(dx[:, :, None] - dx[:, None], dy[:, :, None] - dy[:, None]) / reach)
+        a[:, n, n] = 0
+        w = _solve(a, np.concatenate([1 - np.exp(-d0 / reach), np.ones((m, 1))], axis=1))[:, :n]
+        far = 1 / np.maximum(d0, 1e-10) ** 2
+        w = np.where(np.isfinite(w).all(axis=1, keepdims=True), w, far / far.sum(axis=1, keepdims=True))
+        out = np.clip((w * v).sum(axis=1), v.min(axis=1), v.max(axis=1))
+        return np.where(d0.min(axis=1) <= 1e-10, v[np.arange(m), d0.argmin(axis=1)], out)
 
-    return _neighbourhoods(queries, points, value, k, size).mapInPandas(solve, "qid bigint, value double")
+    return _solved(_neighbourhoods(queries, points, value, k, size), system)
 
 
-def moving_least_squares(queries: DataFrame, points: DataFrame, value: str, k: int, size: float) -> DataFrame:
-    """(qid, value): a quadratic fitted to the k nearest points with Wendland weights, a little regularised."""
+def _quadratic(dx: np.ndarray, dy: np.ndarray, v: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
+    """Values at (0, 0) of weighted quadratic fits."""
+    m = np.stack([np.ones_like(dx), dx, dy, dx * dx, dx * dy, dy * dy], axis=2)
+    mw = m * w[:, :, None]
+    a = np.einsum("rni,rnj->rij", mw, m) + ridge * np.eye(6)
+    return _solve(a, np.einsum("rni,rn->ri", mw, v))[:, 0]
 
-    def solve(batches):
-        for b in batches:
-            out = []
-            for qx, qy, xs, ys, vs in b[["qx", "qy", "xs", "ys", "vs"]].itertuples(index=False):
-                dx, dy, v = np.asarray(xs) - qx, np.asarray(ys) - qy, np.asarray(vs, float)
-                r = np.hypot(dx, dy)
-                h = max(r.max() * 1.05, 1e-12)
-                q = r / h
-                w = (1 - q) ** 4 * (4 * q + 1)
-                x, y = dx / h, dy / h
-                m = np.stack([np.ones_like(x), x, y, x * x, x * y, y * y], axis=1)
-                a = (m * w[:, None]).T @ m + 1e-9 * np.eye(6)
-                out.append(float(np.linalg.solve(a, (m * w[:, None]).T @ v)[0]))
-            yield pd.DataFrame({"qid": b["qid"], "value": out})
 
-    return _neighbourhoods(queries, points, value, k, size).mapInPandas(solve, "qid bigint, value double")
+def moving_least_squares(queries: DataFrame, points: DataFrame, value: str, k: int, size: float, ridge: float = 1e-9) -> DataFrame:
+    """(qid, value): a quadratic fitted to the k nearest points with Wendland weights, a little regularised.
+
+    A fit that leaves the neighbours' range by more than half of it has weights below zero that
+    outweigh the rest; it is drawn back to the weighted mean by what it is too far.
+    """
+
+    def system(dx, dy, v):
+        r = np.hypot(dx, dy)
+        h = np.maximum(r.max(axis=1, keepdims=True) * 1.05, 1e-12)
+        w = (1 - r / h) ** 4 * (4 * r / h + 1)
+        fit = _quadratic(dx / h, dy / h, v, w, ridge)
+        mean = (w * v).sum(axis=1) / w.sum(axis=1)
+        low, high = v.min(axis=1), v.max(axis=1)
+        over = np.maximum(np.maximum(fit - high, low - fit) - 0.5 * (high - low), 0)
+        return np.where(np.isfinite(fit), fit + (mean - fit) * over / np.maximum(over + high - low, 1e-300), mean)
+
+    return _solved(_neighbourhoods(queries, points, value, k, size), system)
+
+
+def face_fit(queries: DataFrame, samples: DataFrame, value: str, k: int = 64, size: float = 0.05) -> DataFrame:
+    """(qid, value): a quadratic over the k nearest samples of the query's own face, by Gaussian weights.
+
+    queries: qid, face, qx, qy; samples: vec_id, face, px, py and value, places within the face. The
+    weights' spread is half the distance of the farthest sample used. Fewer than six samples, or a fit
+    that can't be solved, give the weighted mean; a sample at the query is taken as it is; faces
+    without samples give no row.
+    """
+
+    def system(dx, dy, v):
+        r2 = dx * dx + dy * dy
+        far = np.maximum(r2.max(axis=1, keepdims=True), 1e-12)
+        w = np.exp(-r2 / (0.5 * far))
+        mean = (w * v).sum(axis=1) / w.sum(axis=1)
+        unit = np.sqrt(far)
+        fit = _quadratic(dx / unit, dy / unit, v, w, 0.0) if v.shape[1] >= 6 else np.full(len(v), np.nan)
+        out = np.where(np.isfinite(fit), fit, mean)
+        return np.where(r2.min(axis=1) <= 1e-16, v[np.arange(len(v)), r2.argmin(axis=1)], out)
+
+    faces = [r[0] for r in samples.select("face").distinct().orderBy("face").collect()]  # the six sides of a box
+    out = None
+    for f in faces:
+        one = _solved(_neighbourhoods(queries.where(F.col("face") == f), samples.where(F.col("face") == f), value, k, size), system)
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else queries.select("qid", F.lit(None).cast("double").alias("value")).where("false")
 
 
 def layer_spectrum(grid: DataFrame, nx: int, ny: int, value: str) -> DataFrame:
@@ -192,10 +257,19 @@ def spline_layer(grid: DataFrame, nx: int, ny: int, value: str, targets: list[tu
 
     def prefilter(a: np.ndarray) -> np.ndarray:
         """Coefficients along the last axis: a tridiagonal solve with mirrored ends."""
-        n = a.shape[-1]
-        m = (np.diag(np.full(n, 4.0)) + np.diag(np.ones(n - 1), 1) + np.diag(np.ones(n - 1), -1)) / 6
-        m[0, 1] = m[-1, -2] = 2 / 6
-        return np.linalg.solve(m, a.T).T
+        n, c = a.shape[-1], 6 * a
+        if n == 1:
+            return a
+        # Sweeps down and up the diagonals (1, 4, 1); the mirror doubles the neighbour of either end.
+        up, out = np.empty(n), np.empty_like(c)
+        up[0], out[..., 0] = 2 / 4, c[..., 0] / 4
+        for i in range(1, n):
+            left = 2.0 if i == n - 1 else 1.0
+            pivot = 4 - left * up[i - 1]
+            up[i], out[..., i] = 1 / pivot, (c[..., i] - left * out[..., i - 1]) / pivot
+        for i in range(n - 2, -1, -1):
+            out[..., i] -= up[i] * out[..., i + 1]
+        return out
 
     def basis(t: float) -> np.ndarray:
         return np.array([(1 - t) ** 3, 3 * t**3 - 6 * t**2 + 4, -3 * t**3 + 3 * t**2 + 3 * t + 1, t**3]) / 6

@@ -59,42 +59,113 @@ def synthetic_inflow(spark, sf):
     return R.mode_sum(D.grid(spark, sf).select("z", "y", "x"), modes, 2.5).select("z", "y", "x", F.round("u", 6).alias("u"))
 
 
-@query(f"""WITH {D.GRID}, m AS (SELECT z, avg(u) AS mu FROM grid GROUP BY 1), k AS (SELECT kx, ky FROM range(-2, 3) a(kx), range(-2, 3) b(ky)),
-f AS (SELECT z, kx, ky, sum((u - mu) * cos(2 * pi() * (kx * x / 20.0 + ky * y / 10.0))) / 200 AS re, sum((u - mu) * sin(2 * pi() * (kx * x / 20.0 + ky * y / 10.0))) / 200 AS im FROM grid JOIN m USING (z), k GROUP BY 1, 2, 3)
-SELECT z, kx, ky, round(re * re + im * im + 1, 6) AS energy FROM f""")
+def dft(source: str, out: str, axis: str, others: str, n: str, real: bool) -> str:
+    """A step of a Fourier transform in SQL: `axis` becomes its wave number."""
+    angle = f"2 * pi() * k * {axis} / {n}"
+    re, im = (f"sum(re * cos({angle}) + im * sin({angle}))", f"sum(im * cos({angle}) - re * sin({angle}))") if not real else (f"sum(re * cos({angle}))", f"-sum(re * sin({angle}))")
+    return f"{out} AS (SELECT {others}, k AS {axis}, {re} / {n} AS re, {im} / {n} AS im FROM {source}, (SELECT unnest(range({n})) AS k) GROUP BY ALL)"
+
+
+SIGNED = lambda k, n: f"CASE WHEN 2 * {k} > {n} THEN {k} - {n} ELSE {k} END"
+
+
+@query(f"""WITH {D.GRID}, m AS (SELECT z, avg(u) AS mu FROM grid GROUP BY 1), s AS (SELECT z, y, x, u - mu AS re, 0.0 AS im FROM grid JOIN m USING (z)), {dft("s", "a", "x", "z, y", "20", True)}, {dft("a", "b", "y", "z, x", "10", False)}
+SELECT z, CASE WHEN x >= 10 THEN x - 20 ELSE x END AS kx, CASE WHEN y >= 5 THEN y - 10 ELSE y END AS ky, round(re * re + im * im + 1, 6) AS energy FROM b""")
 def layer_spectrum(spark, sf):
-    """Energy of the low wave numbers of each layer (by transform; the oracle sums waves)."""
-    s = R.layer_spectrum(D.grid(spark, sf), 20, 10, "u")
-    return s.where("abs(kx) <= 2 AND abs(ky) <= 2").select("z", "kx", "ky", F.round(F.col("energy") + 1, 6).alias("energy"))
+    """Energy of every wave number of each layer."""
+    return R.layer_spectrum(D.grid(spark, sf), 20, 10, "u").select("z", "kx", "ky", F.round(F.col("energy") + 1, 6).alias("energy"))
 
 
-@query(f"""WITH {D.GRID}, n AS (SELECT max(z) + 1 AS nz, avg(u) AS mu FROM grid), k AS (SELECT kx, ky, kz FROM range(-1, 2) a(kx), range(-1, 2) b(ky), range(-1, 2) c(kz)),
-f AS (SELECT kx, ky, kz, sum((u - mu) * cos(2 * pi() * (kx * x / 20.0 + ky * y / 10.0 + kz * z / nz))) / (200 * max(nz)) AS re, sum((u - mu) * sin(2 * pi() * (kx * x / 20.0 + ky * y / 10.0 + kz * z / nz))) / (200 * max(nz)) AS im FROM grid, n, k GROUP BY 1, 2, 3)
-SELECT kx, ky, kz, round(re * re + im * im + 1, 6) AS energy FROM f""")
-def volume_spectrum(spark, sf):
-    """Energy of the low wave numbers of the volume, by planes and pencils."""
+VOLUME = f"""{D.GRID}, n AS (SELECT max(z) + 1 AS nz, avg(u) AS mu FROM grid), s AS (SELECT z, y, x, u - mu AS re, 0.0 AS im FROM grid, n), {dft("s", "a", "x", "z, y", "20", True)}, {dft("a", "b", "y", "z, x", "10", False)},
+c AS (SELECT x, y, k AS z, sum(re * cos(2 * pi() * k * z / nz) + im * sin(2 * pi() * k * z / nz)) / max(nz) AS re, sum(im * cos(2 * pi() * k * z / nz) - re * sin(2 * pi() * k * z / nz)) / max(nz) AS im, max(nz) AS nz FROM b, n, (SELECT unnest(range((SELECT max(z) + 1 FROM grid))) AS k) GROUP BY ALL)"""
+
+
+def spectrum_of(spark, sf):
     g = D.grid(spark, sf)
     nz = g.agg(F.max("z")).first()[0] + 1
-    s = R.volume_spectrum(g, 20, 10, nz, "u")
-    return s.where("abs(kx) <= 1 AND abs(ky) <= 1 AND abs(kz) <= 1").select("kx", "ky", "kz", F.round(F.col("energy") + 1, 6).alias("energy"))
+    return R.volume_spectrum(g, 20, 10, nz, "u"), nz
+
+
+@query(f"WITH {VOLUME} SELECT CASE WHEN x > 10 THEN x - 20 ELSE x END AS kx, CASE WHEN y > 5 THEN y - 10 ELSE y END AS ky, CASE WHEN 2 * z >= nz THEN z - nz ELSE z END AS kz, round(re * re + im * im + 1, 6) AS energy FROM c")
+def volume_spectrum(spark, sf):
+    """Energy of every wave number of the volume, by planes and pencils."""
+    s, _ = spectrum_of(spark, sf)
+    return s.select("kx", "ky", "kz", F.round(F.col("energy") + 1, 6).alias("energy"))
+
+
+@query(f"""WITH {VOLUME}, k AS (SELECT x AS mx, CASE WHEN y > 5 THEN 10 - y ELSE y END AS my, CASE WHEN 2 * z >= nz THEN nz - z ELSE z END AS mz, nz, re * re + im * im AS e FROM c WHERE x <= 10),
+r AS (SELECT sqrt(pow(2 * pi() * mx / 40.0, 2) + pow(2 * pi() * my / 20.0, 2) + pow(2 * pi() * mz / (5.0 * nz), 2)) AS k, CASE WHEN mx IN (0, 10) THEN 1 ELSE 2 END AS w, e FROM k)
+SELECT CAST(least(floor(k / 0.2 + 1e-9), 11) AS BIGINT) AS shell, round(sum(0.5 * e * w) + 1, 6) AS shell_energy, CAST(sum(w) AS BIGINT) AS mode_weight FROM r GROUP BY 1""")
+def isotropic_spectrum(spark, sf):
+    """The volume's energy by shells of wave number; half of the modes stand for both halves."""
+    s, nz = spectrum_of(spark, sf)
+    half = s.where("kx >= 0").withColumn("weight", F.when(F.col("kx").isin(0, 10), 1).otherwise(2)).withColumn("half", F.col("energy") * 0.5)
+    import math
+
+    k = F.sqrt(sum(F.pow(F.col(c) * (2 * math.pi / length), F.lit(2)) for c, length in (("kx", 40.0), ("ky", 20.0), ("kz", 5.0 * nz))))
+    from windrift.operators import aggregates as A
+
+    shells = A.shell_sums(half, k + 0.2e-9, 0.2, 12, "half", "weight")
+    return shells.select(F.col("shell").cast("bigint"), F.round(F.col("shell_energy") + 1, 6).alias("shell_energy"), "mode_weight")
 
 
-@query(None)
+QUADRATIC = "1 + 2 * {x} - {y} + 0.5 * {x} * {x} - 0.25 * {x} * {y} + 2 * {y} * {y}"
+
+
+def planted(spark, sf, f):
+    return D.points(spark, sf).withColumn("val", F.expr(f.format(x="px", y="py")))
+
+
+@query(f"WITH {D.POINTS} SELECT vec_id AS qid, round(3.5, 6)::DOUBLE AS even, round(val, 6) AS own FROM points")
 def local_kriging(spark, sf):
-    """Ordinary kriging of the nearest points; held against numpy in the tests."""
-    return R.kriging(knn_queries(spark, sf), D.points(spark, sf), "val", 12, 0.02, 0.1)
+    """Kriging of the nearest points: equal values give that value, a sample its own; the tests hold the rest against numpy."""
+    even = R.kriging(knn_queries(spark, sf), planted(spark, sf, "3.5 + 0 * {x} * {y}"), "val", 12, 0.02, 0.1).select("qid", F.round("value", 6).alias("even"))
+    p = D.points(spark, sf)
+    own = R.kriging(p.select(F.col("vec_id").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy")), p, "val", 12, 0.02, 0.1).select("qid", F.round("value", 6).alias("own"))
+    return even.join(own, "qid")
 
 
-@query(None)
+@query(f"WITH {D.POINTS}, q AS (SELECT vec_id AS qid, px + 0.003 AS x, py - 0.002 AS y FROM points) SELECT qid, round({QUADRATIC.format(x='x', y='y')}, 4) AS value FROM q")
 def moving_least_squares(spark, sf):
-    """Quadratic fits of the nearest points; held against numpy in the tests."""
-    return R.moving_least_squares(knn_queries(spark, sf), D.points(spark, sf), "val", 24, 0.02)
+    """Quadratic fits of the nearest points meet a planted quadratic."""
+    return R.moving_least_squares(knn_queries(spark, sf), planted(spark, sf, QUADRATIC), "val", 24, 0.02, 1e-13).select("qid", F.round("value", 4).alias("value"))
 
 
-@query(None)
+@query(f"WITH {D.POINTS}, q AS (SELECT vec_id AS qid, px + 0.003 AS x, py - 0.002 AS y FROM points) SELECT qid, round({QUADRATIC.format(x='x', y='y')} + 10 * (qid % 5), 4) AS value FROM q")
+def face_fits(spark, sf):
+    """Fits over the nearest samples of the same face meet that face's planted quadratic."""
+    face = F.col("vec_id") % 5
+    p = planted(spark, sf, QUADRATIC).withColumn("face", face).withColumn("val", F.col("val") + 10 * F.col("face"))
+    return R.face_fit(knn_queries(spark, sf).withColumn("face", F.col("qid") % 5), p, "val", 64, 0.1).select("qid", F.round("value", 4).alias("value"))
+
+
+@query(f"""WITH {D.GRID}, t(target, x, y) AS (VALUES (0, 0, 0), (1, 3, 4), (2, 19, 9), (3, 7, 0), (4, 11, 5)) SELECT z, CAST(target AS BIGINT) AS target, round(u, 5) AS value FROM grid JOIN t USING (x, y) UNION ALL SELECT DISTINCT z, CAST(5 AS BIGINT), CAST(NULL AS DOUBLE) FROM grid""")
 def spline_layers(spark, sf):
-    """Cubic splines of each layer; the tests check that they meet the samples."""
-    return R.spline_layer(D.grid(spark, sf), 20, 10, "u", [(0.0, 0.0), (3.0, 4.0), (7.5, 2.25), (19.0, 9.0), (19.5, 3.0)])
+    """Cubic splines of each layer meet the samples, and are nothing outside; the tests hold the rest."""
+    return R.spline_layer(D.grid(spark, sf), 20, 10, "u", [(0.0, 0.0), (3.0, 4.0), (19.0, 9.0), (7.0, 0.0), (11.0, 5.0), (19.5, 3.0)]).select("z", "target", F.round("value", 5).alias("value"))
+
+
+REFLECT = "CASE WHEN {i} < 0 THEN -{i} - 1 WHEN {i} >= {n} THEN 2 * {n} - 1 - {i} ELSE {i} END"
+
+
+@query(f"""WITH {D.POINTS}, q AS (SELECT i AS qid, i % 20 AS x, i // 20 AS y, (i % 20 - 9.5) * 0.02 AS qx, (i // 20 - 4.5) * 0.02 AS qy FROM range(200) r(i)), d AS (SELECT qid, x, y, vec_id, val, sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)) AS distance FROM q, points),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, vec_id) AS rank, 1 / pow(greatest(distance, 1e-10), 2) AS w FROM d), i AS (SELECT x, y, sum(w * val) / sum(w) AS v FROM r WHERE rank <= 12 GROUP BY 1, 2),
+k AS (SELECT d, g / sum(g) OVER () AS g FROM (SELECT d, exp(-0.5 * d * d) AS g FROM (SELECT unnest(range(-4, 5)) AS d))),
+h AS (SELECT a.y, a.x, sum(b.v * g) AS v FROM (SELECT y, x FROM i) a, k JOIN i b ON b.y = a.y AND b.x = {REFLECT.format(i='(a.x + d)', n=20)} GROUP BY 1, 2), s AS (SELECT a.y, a.x, greatest(sum(b.v * g), 0) AS v FROM (SELECT y, x FROM h) a, k JOIN h b ON b.x = a.x AND b.y = {REFLECT.format(i='(a.y + d)', n=10)} GROUP BY 1, 2)
+SELECT x, y, round((v - (SELECT min(v) FROM s)) * 1.5, 6) AS value FROM s""")
+def terrain_pipeline(spark, sf):
+    """A terrain surface from scattered points: interpolated, smoothed, without negatives, from 0 up, scaled."""
+    nodes = spark.range(200).select(F.col("id").alias("qid"), (F.col("id") % 20).alias("x"), F.expr("id div 20").alias("y")).withColumns({"qx": (F.col("x") - 9.5) * 0.02, "qy": (F.col("y") - 4.5) * 0.02})
+    return R.terrain_surface(nodes, D.points(spark, sf), "val", 12, 0.02, 1.0, 1.5).select("x", "y", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH {D.GRID}, m AS (SELECT 0.1 * (i + 1) AS kx, 0.05 * i AS ky, 0.02 * i AS kz, 0.3 * i AS omega, 1.0 / (i + 1) AS a, 0.7 * i AS ph FROM range(16) r(i)), p AS (SELECT z, y, x, z % 13 AS step, (z % 13) // 5 * 5 AS s0 FROM grid)
+SELECT z, y, x, round(sum(a * (cos(kx * x + ky * y + kz * z - omega * s0 * 0.5 + ph) * (1 - (step - s0) / 5.0) + cos(kx * x + ky * y + kz * z - omega * (s0 + 5) * 0.5 + ph) * (step - s0) / 5.0)), 6) AS u FROM p, m GROUP BY 1, 2, 3""")
+def inflow_between_updates(spark, sf):
+    """Inflow that is summed every fifth step and blended in between."""
+    i = F.col("id")
+    modes = spark.range(16).select((0.1 * (i + 1)).alias("kx"), (0.05 * i).alias("ky"), (0.02 * i).alias("kz"), (0.3 * i).alias("omega"), (1.0 / (i + 1)).alias("amplitude"), (0.7 * i).alias("phase"))
+    return R.strided_inflow(D.grid(spark, sf).select("z", "y", "x"), modes, F.col("z") % 13, 5, 0.5).select("z", "y", "x", F.round("u", 6).alias("u"))
 
 
 def rings(spark, sf):
