@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from windrift.operators.ordered import carried, in_ranges
+
 
 def ring_area(ring: Column) -> Column:
     """Signed area of a ring of (x, y) points, first point repeated at the end or not."""
@@ -36,11 +39,32 @@ def defect(ring: Column) -> Column:
     )
 
 
+def repaired(rings: Column) -> Column:
+    """Rings without missing and doubled points, closed; those that are no area go, null if the outer one does."""
+    points = lambda r: F.filter(r, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull() & ~F.isnan(p["x"]) & ~F.isnan(p["y"]))
+
+    def once(r: Column) -> Column:
+        return F.filter(r, lambda p, i: (i == 0) | (r[F.greatest(i - 1, F.lit(0))]["x"] != p["x"]) | (r[F.greatest(i - 1, F.lit(0))]["y"] != p["y"]))
+
+    def closed(r: Column) -> Column:
+        first, last = F.try_element_at(r, F.lit(1)), F.try_element_at(r, F.lit(-1))
+        return F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), r).otherwise(F.concat(r, F.slice(r, 1, 1)))
+
+    mended = F.transform(F.transform(F.transform(F.filter(rings, lambda r: r.isNotNull()), points), once), closed)
+    fine = lambda r: (F.size(r) >= 4) & (F.abs(ring_area(r)) >= 1e-12)
+    return F.when(F.size(mended) > 0, F.when(fine(mended[0]), F.filter(mended, fine)))
+
+
 def bounds(ring: Column) -> Column:
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     return F.struct(F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
 
 
+def turn(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
+    """Twice the signed area of the triangle a, b, c."""
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
 def hull(p: np.ndarray) -> np.ndarray:
     """Convex hull, counter-clockwise."""
     p = np.unique(p, axis=0)
@@ -50,7 +74,7 @@ def hull(p: np.ndarray) -> np.ndarray:
     def half(points):
         out: list = []
         for q in points:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], q - out[-2]) <= 0:
+            while len(out) > 1 and turn(out[-2], out[-1], q) <= 0:
                 out.pop()
             out.append(q)
         return out[:-1]
@@ -118,3 +142,140 @@ def terrain_triangles(cells: DataFrame, nx: int, ny: int, height: str) -> DataFr
     seen = cells.withColumn("k", F.explode(corners)).withColumns({"sx": F.col("x") - F.col("k.dx"), "sy": F.col("y") - F.col("k.dy")})
     seen = seen.where((F.col("sx") >= 0) & (F.col("sx") < nx - 1) & (F.col("sy") >= 0) & (F.col("sy") < ny - 1))
     return seen.select((square * 2 + F.col("k.t")).cast("bigint").alias("triangle"), F.col("k.corner").cast("int").alias("corner"), "x", "y", F.col(height).alias("height"))
+
+
+# ---------------------------------------------------------------- solids
+
+CORNERS = "array<struct<x:double,y:double,z:double>>"
+
+
+def open_ring(p: np.ndarray, clockwise: bool = False) -> np.ndarray:
+    """The ring without its repeated end, counter-clockwise (or clockwise, as holes are)."""
+    p = p[:-1] if len(p) > 1 and (p[0] == p[-1]).all() else p
+    area = (p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1]).sum()
+    return p[::-1] if (area < 0) != clockwise else p
+
+
+def bridged(outer: np.ndarray, holes: list[np.ndarray]) -> np.ndarray:
+    """One ring around the outline and its holes, each joined by a cut to a corner that it can see: holes from the right first."""
+    ring = outer
+    for hole in sorted(holes, key=lambda h: -h[:, 0].max()):
+        start = int(hole[:, 0].argmax())
+        m = hole[start]
+        # The edge met by a ray to the right, and of the corners in the triangle to its end the one nearest in angle.
+        a, b = ring, np.roll(ring, -1, axis=0)
+        crossing = (a[:, 1] <= m[1]) != (b[:, 1] <= m[1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = a[:, 0] + (m[1] - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0])
+        x = np.where(crossing & (x >= m[0] - 1e-12), x, np.inf)
+        edge = int(x.argmin())
+        end = edge if a[edge, 0] > b[edge, 0] else (edge + 1) % len(ring)
+        hit, p = np.array([x[edge], m[1]]), ring[end]
+        side = lambda u, v, w: (v[0] - u[0]) * (w[:, 1] - u[1]) - (v[1] - u[1]) * (w[:, 0] - u[0])
+        s = np.stack([side(m, hit, ring), side(hit, p, ring), side(p, m, ring)])
+        inside = np.flatnonzero(((s > 1e-12).all(axis=0)) | ((s < -1e-12).all(axis=0)))
+        if len(inside):
+            d = ring[inside] - m
+            end = int(inside[np.argmin(np.abs(np.arctan2(d[:, 1], d[:, 0])))])
+        ring = np.concatenate([ring[: end + 1], np.roll(hole, -start, axis=0), [m], ring[end:]])
+    return ring
+
+
+def ears(p: np.ndarray) -> list[tuple[int, int, int]]:
+    """Triangles of a counter-clockwise ring that does not cross itself, by cutting ears."""
+    p = p - p[0]
+    least = 1e-10 * np.ptp(p, axis=0).max() ** 2
+    left, out = list(range(len(p))), []
+    while len(left) > 3:
+        # Corners on the new edge are passed by if any ear does without.
+        for k, slack in [(k, slack) for slack in (-least, least) for k in range(len(left))]:
+            i, j, m = left[k - 1], left[k], left[(k + 1) % len(left)]
+            if turn(p[i], p[j], p[m]) <= least:
+                continue
+            others = p[[q for q in left if not any(np.abs(p[q] - p[c]).max() ** 2 <= least**2 for c in (i, j, m))]].reshape(-1, 2)
+            a, b, c = (turn(u, v, others.T) for u, v in ((p[i], p[j]), (p[j], p[m]), (p[m], p[i])))
+            if not ((a >= -least) & (b >= -least) & (c > slack)).any():
+                out.append((i, j, m))
+                left.pop(k)
+                break
+        else:  # only flat corners are left: the flattest goes without a triangle
+            left.pop(min(range(len(left)), key=lambda k: abs(turn(p[left[k - 1]], p[left[k]], p[left[(k + 1) % len(left)]]))))
+    if len(left) == 3 and turn(*p[left]) > least:
+        out.append(tuple(left))
+    return out
+
+
+def extruded(buildings: DataFrame, key: str, rings: str, base: str, top: str) -> DataFrame:
+    """(key, triangle, corners): each footprint as a closed solid from base to top: floor, roof and walls, seen from outside.
+
+    rings: outline first, then holes. Footprints without an area, and solids without a height, give nothing.
+    """
+
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])
+
+    def run(batches):
+        for b in batches:
+            source, number, corners = [], [], []
+            for row, (some, low, high) in enumerate(zip(*(b.column(c).to_pylist() for c in (rings, base, top)), strict=True)):
+                if not some or low is None or high is None or not high > low:
+                    continue
+                parts = [open_ring(np.array([(p["x"], p["y"]) for p in r], float), clockwise=i > 0) for i, r in enumerate(some)]
+                flat = bridged(parts[0], parts[1:])
+                cut = np.array(ears(flat), int).reshape(-1, 3)
+                solid = [np.dstack([flat[cut[:, order]], np.full((len(cut), 3, 1), z)]) for order, z in (([0, 2, 1], low), ([0, 1, 2], high))]
+                for p in parts:
+                    q = np.roll(p, -1, axis=0)
+                    up = lambda xy, z: np.column_stack([xy, np.full(len(xy), z)])
+                    solid += [np.stack([up(p, low), up(q, low), up(q, high)], axis=1), np.stack([up(p, low), up(q, high), up(p, high)], axis=1)]
+                all_ = np.concatenate(solid)
+                source.append(np.full(len(all_), row))
+                number.append(np.arange(len(all_)))
+                corners.append(all_)
+            if source:
+                xyz = np.concatenate(corners).reshape(-1, 3)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(xyz) + 1, 3, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(xyz[:, c]) for c in range(3)], fields=list(point)))
+                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(np.concatenate(source))), pa.array(np.concatenate(number).astype(np.int32)), lists], [key, "triangle", "corners"])
+
+    return buildings.select(key, rings, base, top).mapInArrow(run, f"{key} {buildings.schema[key].dataType.simpleString()}, triangle int, corners {CORNERS}")
+
+
+def base_block(spark: SparkSession, x0: float, x1: float, y0: float, y1: float, z0: float, z1: float) -> DataFrame:
+    """(triangle, corners): a box as twelve triangles, seen from outside."""
+    ring = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))))
+    one = spark.range(1).select(F.col("id").alias("k"), F.array(ring).alias("rings"), F.lit(float(z0)).alias("low"), F.lit(float(z1)).alias("high"))
+    return extruded(one, "k", "rings", "low", "high").drop("k")
+
+
+def joined_meshes(*parts: DataFrame) -> DataFrame:
+    """(facet, part, corners): meshes (order columns, corners) as one, facets numbered on from part to part.
+
+    Each part is put in the order of its other columns by ranges; only a count for each range and part is summed up.
+    """
+    out = None
+    for i, p in enumerate(parts):
+        keys = [c for c in p.columns if c != "corners"]
+        rows = in_ranges(p, *keys)
+        nth = F.row_number().over(Window.partitionBy("part").orderBy(*keys)) - 1
+        counted = carried(rows.groupBy("part").agg(F.count("*").alias("n")), n="n")
+        placed = rows.withColumn("nth", nth).join(F.broadcast(counted), "part").select(F.lit(i).alias("part"), (F.col("nth") + F.col("before_n")).alias("facet"), "corners")
+        out = placed if out is None else out.unionByName(placed)
+    counts = out.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a mesh
+    return out.join(F.broadcast(before), "part").select((F.col("facet") + F.col("before")).alias("facet"), "part", "corners")
+
+
+def signed_volume(corners: Column) -> Column:
+    """A triangle's share of the volume of the closed mesh that it is part of."""
+    a, b, c = corners[0], corners[1], corners[2]
+    return (a["x"] * (b["y"] * c["z"] - b["z"] * c["y"]) - a["y"] * (b["x"] * c["z"] - b["z"] * c["x"]) + a["z"] * (b["x"] * c["y"] - b["y"] * c["x"])) / 6
+
+
+def fitted(vertices: DataFrame, bounds: dict[str, tuple[float, float]], scaled: bool = True) -> DataFrame:
+    """vertices moved so that each axis begins at its target's low end, and scaled to reach the high one."""
+    have = vertices.agg(*(f(c).alias(f"{c}_{n}") for c in bounds for n, f in (("low", F.min), ("high", F.max))))
+    out = vertices.join(F.broadcast(have))
+    for c, (low, high) in bounds.items():
+        span = F.col(f"{c}_high") - F.col(f"{c}_low")
+        factor = F.when(span > 0, (high - low) / span).otherwise(1.0) if scaled else F.lit(1.0)
+        out = out.withColumn(c, (F.col(c) - F.col(f"{c}_low")) * factor + low)
+    return out.select(*vertices.columns)

@@ -193,7 +193,7 @@ def short_sides(spark, sf):
 
 @query("SELECT p_partkey, round((least(p_partkey + p_size, 900.5) - greatest(p_partkey, 100.25)) * (least(p_retailprice / 100, 7.5) - 1), 5) AS area FROM part WHERE least(p_partkey + p_size, 900.5) > greatest(p_partkey, 100.25) AND p_retailprice / 100 > 1")
 def clipped_footprints(spark, sf):
-    """Footprints cut to a box."""
+    """Footprints cut to a box."""
     c = geometry.clipped(rings(spark, sf), "p_partkey", "ring", [(100.25, 1.0), (900.5, 1.0), (900.5, 7.5), (100.25, 7.5)])
     return c.select("p_partkey", F.round(F.abs(geometry.ring_area(F.col("ring"))), 5).alias("area"))
 
@@ -201,11 +201,61 @@ def clipped_footprints(spark, sf):
 @query(f"""WITH {D.GRID}, c AS (SELECT x, y, u AS h FROM grid WHERE z = 1), k(t, corner, dx, dy) AS (VALUES (0, 0, 0, 0), (0, 1, 1, 0), (0, 2, 1, 1), (1, 0, 0, 0), (1, 1, 1, 1), (1, 2, 0, 1))
 SELECT CAST(((y - dy) * 20 + (x - dx)) * 2 + t AS BIGINT) AS triangle, CAST(corner AS INTEGER) AS corner, x, y, h AS height FROM c, k WHERE x - dx BETWEEN 0 AND 18 AND y - dy BETWEEN 0 AND 8""")
 def terrain_mesh(spark, sf):
-    """The terrain as triangles."""
+    """The terrain as triangles."""
     return geometry.terrain_triangles(D.grid(spark, sf).where("z = 1").select("x", "y", F.col("u").alias("h")), 20, 10, "h")
 
 
-@query("SELECT p_partkey, CAST(round(p_size * 2.0 + 10 - 3, 6) AS DOUBLE) AS x, round(p_retailprice * 2.0 + 20 - 5, 6) AS y FROM part")
+@query("""WITH b AS (SELECT min(p_size) AS x0, max(p_size) AS x1, min(p_retailprice) AS y0, max(p_retailprice) AS y1 FROM part)
+SELECT p_partkey, round((p_size - x0) * (90.0 / (x1 - x0)) + 10, 6) AS x, round((p_retailprice - y0) * (40.0 / (y1 - y0)) - 20, 6) AS y FROM part, b""")
 def moved_mesh(spark, sf):
     """Vertices scaled and moved to given bounds."""
-    return D.read(spark, sf, "part").select("p_partkey", F.round(F.col("p_size") * 2.0 + 10 - 3, 6).alias("x"), F.round(F.col("p_retailprice") * 2.0 + 20 - 5, 6).alias("y"))
+    v = D.read(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return geometry.fitted(v, {"x": (10.0, 100.0), "y": (-20.0, 20.0)}).select("p_partkey", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def outlines(spark, sf):
+    """A footprint in the form of an L for each part, every other one with a hole in its foot."""
+    k, a, b = F.col("p_partkey"), F.col("p_size") + 1.0, F.col("p_retailprice") / 100
+    at = lambda *xy: F.array(*(F.struct((k * 100 + x).alias("x"), F.lit(y).cast("double").alias("y") if not hasattr(y, "alias") else y.alias("y")) for x, y in xy))
+    outer = at((F.lit(0.0), 0.0), (3 * a, 0.0), (3 * a, b), (a, b), (a, 2 * b), (F.lit(0.0), 2 * b), (F.lit(0.0), 0.0))
+    hole = at((1.5 * a, b / 4), (2.5 * a, b / 4), (2.5 * a, b / 2), (1.5 * a, b / 2), (1.5 * a, b / 4))
+    return D.read(spark, sf, "part").select(k, F.when(k % 2 == 0, F.array(outer, hole)).otherwise(F.array(outer)).alias("rings"), (k % 5).cast("double").alias("low"), (k % 5 + a).alias("high"))
+
+
+@query("""SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN 40 ELSE 20 END AS BIGINT) AS triangles, round((p_size + 1) * (p_size + 1) * (p_retailprice / 100) * CASE WHEN p_partkey % 2 = 0 THEN 3.75 ELSE 4 END, 4) AS volume FROM part""")
+def extruded_buildings(spark, sf):
+    """Footprints with and without holes as closed solids: how many triangles, and what they enclose."""
+    t = geometry.extruded(outlines(spark, sf), "p_partkey", "rings", "low", "high")
+    away = F.transform("corners", lambda c: F.struct((c["x"] - F.col("p_partkey") * 100).alias("x"), c["y"].alias("y"), c["z"].alias("z")))  # near the origin, for the sum's sake
+    return t.groupBy("p_partkey").agg(F.count("*").alias("triangles"), F.round(F.sum(geometry.signed_volume(away)), 4).alias("volume"))
+
+
+@query(f"""WITH {D.GRID}, n AS (SELECT count(*) AS parts, sum(CASE WHEN p_partkey % 2 = 0 THEN 40 ELSE 20 END) AS triangles FROM part)
+SELECT CAST(0 AS INTEGER) AS part, CAST(0 AS BIGINT) AS first, CAST(11 AS BIGINT) AS last, CAST(12 AS BIGINT) AS facets FROM n UNION ALL SELECT 1, 12, 12 + 341, 342 FROM n UNION ALL SELECT 2, 12 + 342, CAST(12 + 342 + triangles - 1 AS BIGINT), CAST(triangles AS BIGINT) FROM n""")
+def joined_meshes(spark, sf):
+    """Base block, terrain and buildings as one mesh, its facets numbered without a gap."""
+    cells = D.grid(spark, sf).where("z = 1").select("x", "y", F.col("u").alias("h"))
+    corners = geometry.terrain_triangles(cells, 20, 10, "h")
+    terrain = corners.groupBy("triangle").agg(F.transform(F.array_sort(F.collect_list(F.struct("corner", "x", "y", "height"))), lambda c: F.struct(c["x"].cast("double").alias("x"), c["y"].cast("double").alias("y"), c["height"].alias("z"))).alias("corners"))
+    buildings = geometry.extruded(outlines(spark, sf), "p_partkey", "rings", "low", "high")
+    mesh = geometry.joined_meshes(geometry.base_block(spark, 0, 19, 0, 9, -5, 0), terrain, buildings)
+    return mesh.groupBy("part").agg(F.min("facet").alias("first"), F.max("facet").alias("last"), F.count_distinct("facet").alias("facets"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, CAST(p_size AS DOUBLE) AS w, p_retailprice / 100 AS d FROM part)
+SELECT k AS p_partkey, CAST(CASE WHEN k % 6 = 5 THEN 1 ELSE 2 END AS INTEGER) AS rings, CAST(5 AS INTEGER) AS points, round(w * d + 1e-7, 4) AS area FROM p WHERE k % 6 NOT IN (3, 4)""")
+def repaired_footprints(spark, sf):
+    """rings closed, doubled and missing points gone; what is no area goes."""
+    k, r = F.col("p_partkey"), F.col("rings")
+    nothing = F.lit(None).cast("struct<x:double,y:double>")
+    outer, hole = r[0], F.transform(r[0], lambda p: F.struct(((p["x"] - F.col("p_partkey")) / 4 + F.col("p_partkey")).alias("x"), (p["y"] / 4).alias("y")))
+    spoilt = (
+        F.when(k % 6 == 0, F.array(F.slice(outer, 1, 4), hole))  # not closed
+        .when(k % 6 == 1, F.array(F.flatten(F.transform(outer, lambda p: F.array(p, p))), hole))  # points doubled
+        .when(k % 6 == 2, F.array(F.concat(F.slice(outer, 1, 2), F.array(nothing), F.slice(outer, 3, 3)), hole))  # a point missing
+        .when(k % 6 == 3, F.array(F.slice(outer, 1, 2), hole))  # a line
+        .when(k % 6 == 4, F.lit(None).cast("array<array<struct<x:double,y:double>>>"))
+        .otherwise(F.array(outer, F.slice(hole, 1, 2)))
+    )
+    fixed = rings(spark, sf).withColumn("fixed", geometry.repaired(spoilt)).where("fixed is not null")
+    return fixed.select("p_partkey", F.size("fixed").alias("rings"), F.size(F.col("fixed")[0]).alias("points"), F.round(F.abs(geometry.ring_area(F.col("fixed")[0])) + 1e-7, 4).alias("area"))
