@@ -12,7 +12,7 @@ from windrift.llm.common import Scratch
 from windrift.llm.quality import quality_rules
 from windrift.llm.recompression import remove_repeats
 from windrift.llm.suffixes import Passages, repeated_passages
-from windrift.llm.weighted_minhash import near_duplicate_classes
+from windrift.llm.weighted_minhash import Likeness, near_duplicate_classes
 
 
 def rows_of(documents):
@@ -183,7 +183,23 @@ def test_near_duplicate_classes_equal_brute_force(spark, documents, words):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
-def test_near_duplicates_that_meet_only_in_long_runs(spark, words):
+def test_likenesses_of_bags(words):
+    import numpy as np
+
+    from windrift.llm.weighted_minhash import likenesses
+
+    rng = random.Random(2)
+    texts = [Counter(rng.choices(range(30), k=rng.randint(0, 40))) for _ in range(12)]
+    weight = {s: 0.5 + s / 10 for s in range(30)}
+    rows = [(i, s, c, weight[s]) for i, b in enumerate(texts) for s, c in b.items()]
+    got = likenesses(*(np.array(x) for x in zip(*rows, strict=True)), len(texts), step=5)
+    for (i, a), (j, b) in itertools.product(enumerate(texts), repeat=2):
+        high = sum(max(a[s], b[s]) * weight[s] for s in set(a) | set(b))
+        assert abs(got[i, j] - (sum(min(a[s], b[s]) * weight[s] for s in set(a) & set(b)) / high if high else 0)) < 1e-12
+
+
+@pytest.mark.parametrize("square", [300_000, 3_000])
+def test_near_duplicates_that_meet_only_in_long_runs(spark, words, square):
     template = [f"t{i}" for i in range(284)]
     tail = lambda k: [f"p{k // 2 if k < 40 else k}", *(f"u{k}x{j}" for j in range(4))]
     rows = [(k, " ".join(template + tail(k))) for k in range(240)]
@@ -196,7 +212,7 @@ def test_near_duplicates_that_meet_only_in_long_runs(spark, words):
         if shared >= 0.8 * sum(weight[s] for s in set(bags[a]) | set(bags[b])):
             least[b] = min(least[b], a)
     assert sum(x != k for k, x in enumerate(least)) == 20  # twenty pairs, the others are alike to nothing
-    got = near_duplicate_classes(Scratch(spark), spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = near_duplicate_classes(Scratch(spark), spark.createDataFrame(rows, "doc_id bigint, text string"), Likeness(square=square)).collect()
     assert sorted((r["doc_id"], r["class_id"]) for r in got) == list(enumerate(least))
 
 
