@@ -14,7 +14,9 @@ from windrift.sources import tables as S
 
 def shared_folder(spark) -> str:
     """A new folder that executors see too: under spark.checkpoint.dir, or a temporary one on a local master."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://").removeprefix("file:")
+    if "://" in root:
+        raise ValueError(f"{root} is not mounted; these formats are written in place and need a mounted folder")
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -26,7 +28,7 @@ def shared_folder(spark) -> str:
 
 @query(f"WITH {D.GRID} SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(u AS FLOAT) AS u, CAST(w AS FLOAT) AS w FROM grid WHERE z BETWEEN 2 AND 30")
 def vtk_round_trip(spark, sf):
-    """A grid written as a legacy VTK file, read back by layers, two fields of three."""
+    """A grid written as a legacy VTK file, read back by layers, two fields of three."""
     from windrift.sources.vtk import VtkSource
 
     spark.dataSource.register(VtkSource)
@@ -51,14 +53,14 @@ def vtk_cropped(spark, sf):
     return spark.read.format("vtk").load(folder)
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS facet, CAST(k AS INTEGER) AS corner, CAST(p_partkey + CASE k WHEN 1 THEN 1 ELSE 0 END AS FLOAT) AS x, CAST(CASE k WHEN 2 THEN p_size ELSE 0 END AS FLOAT) AS y, CAST(0 AS FLOAT) AS z FROM part, range(3) r(k) WHERE p_partkey < 300")
+@query("SELECT CAST(p_partkey AS BIGINT) AS facet, CAST(k AS INTEGER) AS corner, CAST(p_partkey + CASE k WHEN 1 THEN 1 ELSE 0 END AS FLOAT) AS x, CAST(CASE k WHEN 2 THEN p_size ELSE 0 END AS FLOAT) AS y, CAST(0 AS FLOAT) AS z FROM part, range(3) r(k)")
 def stl_round_trip(spark, sf):
     """Triangles written as a binary mesh and read back."""
     from windrift.sources.mesh import StlSource, facets_of
 
     spark.dataSource.register(StlSource)
     k = F.col("k")
-    corners = D.read(spark, sf, "part").where("p_partkey < 300").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    corners = D.read(spark, sf, "part").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     corners = corners.select(F.col("p_partkey").alias("facet"), k.alias("corner"), (F.col("p_partkey") + F.when(k == 1, 1).otherwise(0)).cast("float").alias("x"), F.when(k == 2, F.col("p_size")).otherwise(0).cast("float").alias("y"), F.lit(0).cast("float").alias("z"))
     first, last = corners.agg(F.min("facet"), F.max("facet")).first()
     path = f"{shared_folder(spark)}/mesh.stl"
@@ -66,18 +68,69 @@ def stl_round_trip(spark, sf):
     return spark.read.format("stl").load(path).withColumn("facet", F.col("facet") + first)
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS record, n_name AS NAME, CAST(n_nationkey * 2.5 AS DOUBLE) AS HEIGHT, CAST(5 AS INTEGER) AS points, round(CAST(n_nationkey + 1 AS DOUBLE) * 2, 6) AS area FROM nation")
+@query("SELECT p_name AS NAME, CAST(p_partkey AS DOUBLE) AS PARTKEY, CASE WHEN p_partkey % 7 > 0 THEN p_size * 2.5::DOUBLE END AS HEIGHT, CAST(5 AS INTEGER) AS points, round(CAST(p_size AS DOUBLE) * 2, 6) AS area, 'LOCAL' AS crs, CAST((SELECT count(*) FROM part) AS BIGINT) AS records FROM part")
 def shp_round_trip(spark, sf):
-    """Footprints with attributes written as a layer and read back, shape and row by record number."""
+    """Footprints with attributes and a coordinate system written as a layer and read back, shape and row by record number."""
     from windrift.operators.geometry import ring_area
-    from windrift.sources.mesh import ShpSource, write_shp
+    from windrift.sources.mesh import ShpSource, prj_of
 
     spark.dataSource.register(ShpSource)
-    rows = [([[(k, 0), (k, 2), (k + k + 1, 2), (k + k + 1, 0), (k, 0)]], {"NAME": n, "HEIGHT": k * 2.5}) for k, n in sorted((r["n_nationkey"], r["n_name"]) for r in D.read(spark, sf, "nation").collect())]
-    base = f"{shared_folder(spark)}/layer"
-    write_shp([([[(float(x), float(y)) for x, y in r] for r in rings], v) for rings, v in rows], base)
-    out = spark.read.format("shp").load(base + ".shp")
-    return out.select("record", "NAME", "HEIGHT", F.size(F.col("rings")[0]).alias("points"), F.round(F.abs(ring_area(F.col("rings")[0])), 6).alias("area"))
+    k, w = F.col("p_partkey").cast("double"), F.col("p_size").cast("double")
+    ring = F.array(*(F.struct(x.alias("x"), F.lit(y).alias("y")) for x, y in ((k, 0.0), (k, 2.0), (k + w, 2.0), (k + w, 0.0), (k, 0.0))))
+    rows = D.read(spark, sf, "part").select(F.array(ring).alias("rings"), F.col("p_name").alias("NAME"), k.alias("PARTKEY"), F.when(F.col("p_partkey") % 7 > 0, w * 2.5).alias("HEIGHT"))
+    base = f"{shared_folder(spark)}/layer.shp"
+    rows.repartition(3).write.format("shp").option("prj", "LOCAL").mode("append").save(base)
+    out = spark.read.format("shp").load(base)
+    records = out.agg(F.count_distinct("record").alias("records"))
+    return out.join(F.broadcast(records)).select("NAME", "PARTKEY", "HEIGHT", F.size(F.col("rings")[0]).alias("points"), F.round(F.abs(ring_area(F.col("rings")[0])), 6).alias("area"), F.lit(prj_of(base)).alias("crs"), "records")
+
+
+@query("SELECT CAST(p_partkey - (SELECT min(p_partkey) FROM part) AS BIGINT) AS facet, CAST(k AS INTEGER) AS corner, CAST(p_size + CASE k WHEN 1 THEN 1 ELSE 0 END AS FLOAT) AS x, CAST(CASE k WHEN 2 THEN p_size ELSE 0 END AS FLOAT) AS y, CAST(0.5 AS FLOAT) AS z FROM part, range(3) r(k)")
+def polydata_round_trip(spark, sf):
+    """Triangles written as a VTK mesh and read back."""
+    from windrift.sources.mesh import PolySource
+
+    spark.dataSource.register(PolySource)
+    w = F.col("p_size").cast("double")
+    corner = lambda x, y: F.struct(x.alias("x"), y.cast("double").alias("y"), F.lit(0.5).alias("z"))
+    mesh = D.read(spark, sf, "part").select("p_partkey", F.array(corner(w, F.lit(0)), corner(w + 1, F.lit(0)), corner(w, w)).alias("corners"))
+    low, n = mesh.agg(F.min("p_partkey"), F.count("*")).first()
+    path = f"{shared_folder(spark)}/mesh.vtk"
+    mesh.select((F.col("p_partkey") - low).alias("facet"), "corners").write.format("polydata").option("facets", n).mode("append").save(path)
+    return spark.read.format("polydata").load(path)
+
+
+@query(f"WITH {D.GRID} SELECT CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CAST(u AS FLOAT) AS u_avg_x, CAST(v AS FLOAT) AS u_avg_y, CAST(w AS FLOAT) AS u_avg_z, CAST(sqrt(u * u + v * v + w * w) AS FLOAT) AS vm, CAST(CASE WHEN u = 0 AND v = 0 AND w = 0 THEN 0 ELSE 1 END AS FLOAT) AS fluid FROM grid")
+def averaged_fields(spark, sf):
+    """Averaged winds as a vector field, with speed and a mask of the air, written and read back."""
+    from windrift.sources.vtk import VtkSource
+
+    spark.dataSource.register(VtkSource)
+    folder = shared_folder(spark)
+    g = D.grid(spark, sf)
+    layers = g.agg(F.max("z")).first()[0] + 1
+    still = (F.col("u") == 0) & (F.col("v") == 0) & (F.col("w") == 0)
+    out = g.withColumns({"vm": F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v") + F.col("w") * F.col("w")), "fluid": F.when(still, 0.0).otherwise(1.0)})
+    out.repartitionByRange(4, "z").sortWithinPartitions("z", "y", "x").write.format("vtk").option("dims", f"20,10,{layers}").option("vectors", "u_avg=u,v,w").mode("append").save(folder)
+    return spark.read.format("vtk").load(folder)
+
+
+@query(f"""WITH {D.GRID}, a AS (SELECT i, CAST(least(floor(i * 19.0 / 10), 18) AS BIGINT) AS lo, i * 19.0 / 10 - least(floor(i * 19.0 / 10), 18) AS t FROM range(11) r(i)), b AS (SELECT i, CAST(least(floor(i * 9.0 / 18), 8) AS BIGINT) AS lo, i * 9.0 / 18 - least(floor(i * 9.0 / 18), 8) AS t FROM range(19) r(i)),
+x AS (SELECT i, lo AS o, 1 - t AS w FROM a UNION ALL SELECT i, lo + 1, t FROM a), y AS (SELECT i, lo AS o, 1 - t AS w FROM b UNION ALL SELECT i, lo + 1, t FROM b)
+SELECT CAST(z AS INTEGER) AS z, CAST(y.i AS INTEGER) AS y, CAST(x.i AS INTEGER) AS x, round(sum(x.w * y.w * u) + 0.00123, 2) AS u FROM grid JOIN x ON grid.x = x.o JOIN y ON grid.y = y.o GROUP BY 1, 2, 3""")
+def resampled_file(spark, sf):
+    """A grid on other numbers of points, written as a file of its own and read back."""
+    from windrift.operators.regrid import resampled
+    from windrift.sources.vtk import VtkSource, meta
+
+    spark.dataSource.register(VtkSource)
+    folder = shared_folder(spark)
+    r = resampled(D.grid(spark, sf), [("y", 10, 19), ("x", 20, 11)], "u", ["z"])
+    layers = r.agg(F.max("z")).first()[0] + 1
+    r.select("z", "y", "x", "u").repartitionByRange(2, "z").sortWithinPartitions("z", "y", "x").write.format("vtk").option("dims", f"11,19,{layers}").option("spacing", "3.8,1,5").mode("append").save(folder)
+    if meta(f"{folder}/grid.vtk")["spacing"] != (3.8, 1.0, 5.0):
+        raise ValueError("the file's spacing is not that of its grid")
+    return spark.read.format("vtk").load(folder).select("z", "y", "x", F.round(F.col("u").cast("double") + 0.00123, 2).alias("u"))
 
 
 @query(f"WITH {D.PROFILE} SELECT z, round(\"U\", 3) AS \"U\" FROM profile WHERE z <= 40")
@@ -121,10 +174,10 @@ def elevation_table(spark, sf):
     return S.elevations(lines)
 
 
-@query("SELECT 'case' || o_orderkey AS \"case\", CAST(max(o_orderkey % 977) + 0.25 AS DOUBLE) AS asl FROM orders WHERE o_orderkey <= 400 GROUP BY 1")
+@query("SELECT 'case' || o_orderkey AS \"case\", CAST(max(o_orderkey % 977) + 0.25 AS DOUBLE) AS asl FROM orders GROUP BY 1")
 def terrain_minima(spark, sf):
     """Lines of cases and their lowest terrain, the name carried forward."""
-    o = D.read(spark, sf, "orders").where("o_orderkey <= 400")
+    o = D.read(spark, sf, "orders")
     value = F.concat((F.col("o_orderkey") % 977).cast("string"), F.lit(".25"))
     lines = o.select((F.col("o_orderkey") * 2).alias("n"), F.array(F.concat(F.lit("case"), F.col("o_orderkey").cast("string")), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("terrain_min_asl_m = "), value)).otherwise(F.concat(value, F.lit(" m")))).alias("v"))
     return S.terrain_minima(lines.select("n", F.posexplode("v").alias("i", "value")).select((F.col("n") + F.col("i")).alias("line_no"), "value"))

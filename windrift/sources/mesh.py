@@ -1,4 +1,4 @@
-"""Spark data source `stl`: binary triangle meshes, and `shp`: polygon layers with their attributes.
+"""Spark data sources `stl` and `polydata`: triangle meshes, and `shp`: polygon layers with their attributes.
 
 stl rows: (facet, corner, x, y, z). shp rows: (record, rings, and the DBF's columns). Both read
 files of a folder that all executors mount; an stl file is read in blocks of facets.
@@ -10,13 +10,14 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 FACET = np.dtype([("normal", "<f4", 3), ("v", "<f4", (3, 3)), ("attribute", "<u2")])
 STL = T.StructType([T.StructField("facet", T.LongType()), T.StructField("corner", T.IntegerType()), *(T.StructField(c, T.FloatType()) for c in "xyz")])
@@ -51,29 +52,24 @@ class StlReader(DataSourceReader):
         yield pa.RecordBatch.from_arrays([pa.array(part.low + np.arange(n) // 3), pa.array((np.arange(n) % 3).astype(np.int32)), *(pa.array(v[:, i].astype(np.float32)) for i in range(3))], schema=to_arrow_schema(STL))
 
 
-class StlWriter(DataSourceWriter):
+def corners_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(facet numbers, [facet, corner, axis]) of a batch of (facet, corners)."""
+    points = batch.column("corners").flatten()
+    return batch.column("facet").to_numpy(zero_copy_only=False), np.stack([points.field(c).cast(pa.float32()).to_numpy(zero_copy_only=False) for c in "xyz"], axis=1).reshape(-1, 3, 3)
+
+
+class MeshWriter(DataSourceArrowWriter):
     """Tasks write facets straight into their places of one file. Option facets: how many there are, numbered from 0."""
 
     def __init__(self, options: dict):
         self.target = _local(options["path"])
+        if "://" in self.target:
+            raise ValueError(f"{self.target} is no mounted folder")
         self.fresh = f"{self.target}.{uuid.uuid4().hex}"
+        self.facets = int(options["facets"])
         os.makedirs(os.path.dirname(self.target), exist_ok=True)
-        n = int(options["facets"])
         with open(self.fresh, "wb") as f:
-            f.write(b"\0" * 80 + struct.pack("<I", n))
-            f.truncate(84 + 50 * n)
-
-    def write(self, rows) -> WriterCommitMessage:
-        with open(self.fresh, "r+b") as f:
-            for r in rows:
-                p = np.array([(c["x"], c["y"], c["z"]) for c in r["corners"]], np.float32)
-                normal = np.cross(p[1] - p[0], p[2] - p[0])
-                size = np.linalg.norm(normal)
-                one = np.zeros(1, FACET)
-                one["normal"], one["v"] = normal / size if size else normal, p
-                f.seek(84 + 50 * r["facet"])
-                f.write(one.tobytes())
-        return WriterCommitMessage()
+            self.prepare(f)
 
     def commit(self, messages) -> None:
         os.replace(self.fresh, self.target)
@@ -83,6 +79,108 @@ class StlWriter(DataSourceWriter):
             os.remove(self.fresh)
 
 
+def in_runs(at: np.ndarray):
+    """(order, [(first, last, place)]): rows in order of their places, and the runs of places next to each other."""
+    order = np.argsort(at, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(at[order]) != 1, True]) if len(at) else np.empty(0, int)
+    return order, [(i, j, int(at[order[i]])) for i, j in zip(cut, cut[1:], strict=False)]
+
+
+class StlWriter(MeshWriter):
+    def prepare(self, f) -> None:
+        f.write(b"\0" * 80 + struct.pack("<I", self.facets))
+        f.truncate(84 + 50 * self.facets)
+
+    def write(self, batches) -> WriterCommitMessage:
+        with open(self.fresh, "r+b") as f:
+            for b in batches:
+                at, p = corners_of(b)
+                normal = np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0])
+                size = np.linalg.norm(normal, axis=1, keepdims=True)
+                rows = np.zeros(len(at), FACET)
+                rows["normal"], rows["v"] = np.divide(normal, size, out=normal, where=size > 0), p
+                order, runs = in_runs(at)
+                for i, j, place in runs:
+                    f.seek(84 + 50 * place)
+                    f.write(rows[order[i:j]].tobytes())
+        return WriterCommitMessage()
+
+
+class PolyWriter(MeshWriter):
+    """Legacy binary VTK POLYDATA: three points of its own for each facet, then the facets as polygons."""
+
+    def prepare(self, f) -> None:
+        n = self.facets
+        f.write(f"# vtk DataFile Version 3.0\nmesh\nBINARY\nDATASET POLYDATA\nPOINTS {3 * n} float\n".encode())
+        self.points = f.tell()
+        f.seek(36 * n, 1)
+        f.write(f"\nPOLYGONS {n} {4 * n}\n".encode())
+        self.polygons = f.tell()
+        f.seek(16 * n, 1)
+        f.write(b"\n")
+
+    def write(self, batches) -> WriterCommitMessage:
+        with open(self.fresh, "r+b") as f:
+            for b in batches:
+                at, p = corners_of(b)
+                order, runs = in_runs(at)
+                for i, j, place in runs:
+                    k = np.arange(place, place + j - i, dtype=np.int64)[:, None]
+                    for offset, rows in ((self.points + 36 * place, p[order[i:j]].astype(">f4")), (self.polygons + 16 * place, np.hstack([np.full_like(k, 3), 3 * k, 3 * k + 1, 3 * k + 2]).astype(">i4"))):
+                        f.seek(offset)
+                        f.write(rows.tobytes())
+        return WriterCommitMessage()
+
+
+class PolyReader(DataSourceReader):
+    """Triangles of a POLYDATA file, in blocks; polygons of more corners are refused."""
+
+    def __init__(self, options: dict):
+        self.path, self.block = _local(options["path"]), int(options.get("facets", 200_000))
+        with open(self.path, "rb") as f:
+            head = [f.readline() for _ in range(4)]
+            if not head[0].startswith(b"# vtk DataFile") or head[2].strip() != b"BINARY" or head[3].split()[1:2] != [b"POLYDATA"]:
+                raise ValueError(f"{self.path} is no binary POLYDATA file")
+            self.n_points = int(f.readline().split()[1])
+            self.points = f.tell()
+            f.seek(12 * self.n_points + 1, 1)
+            words = f.readline().split()
+            self.n, numbers = int(words[1]), int(words[2])
+            self.polygons = f.tell()
+        if numbers != 4 * self.n:
+            raise ValueError(f"{self.path} holds polygons that are no triangles")
+        if os.path.getsize(self.path) < self.polygons + 16 * self.n:
+            raise ValueError(f"{self.path} is cut off")
+
+    def partitions(self):
+        return [Block(self.path, k, min(k + self.block, self.n)) for k in range(0, self.n, self.block)]
+
+    def read(self, part: Block) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        ids = np.fromfile(part.path, ">i4", 4 * (part.high - part.low), offset=self.polygons + 16 * part.low).reshape(-1, 4)[:, 1:].astype(np.int64).ravel()
+        points = np.memmap(part.path, ">f4", "r", self.points, (self.n_points, 3))
+        v, n = np.asarray(points[ids]).astype(np.float32), len(ids)
+        yield pa.RecordBatch.from_arrays([pa.array(part.low + np.arange(n) // 3), pa.array((np.arange(n) % 3).astype(np.int32)), *(pa.array(v[:, i]) for i in range(3))], schema=to_arrow_schema(STL))
+
+
+class PolySource(DataSource):
+    """Spark data source `polydata`: triangle meshes as VTK files; rows as those of `stl`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "polydata"
+
+    def schema(self) -> T.StructType:
+        return STL
+
+    def reader(self, schema) -> PolyReader:
+        return PolyReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> PolyWriter:
+        return PolyWriter(self.options)
+
+
 class StlSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -168,28 +266,105 @@ class ShpSource(DataSource):
     def reader(self, schema) -> ShpReader:
         return ShpReader(self.options, schema)
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> ShpWriter:
+        return ShpWriter(self.options, schema)
+
+
+@dataclass
+class Shapes(WriterCommitMessage):
+    part: int
+    records: int
+    words: int
+    box: tuple[float, float, float, float]
+    at: str = ""
+
+
+class ShpWriter(DataSourceArrowWriter):
+    """A polygon layer: each task leaves its shapes, index and attributes beside the target, the driver adds up their sizes.
+
+    A layer's three files are the tasks' pieces end to end behind a head, so the last step copies bytes
+    and shifts the index; it holds no shape. Rows: rings (closed, outline first) and attributes that are
+    numbers or text. Option prj: a coordinate system's text, kept beside the layer. Old files are replaced.
+    """
+
+    def __init__(self, options: dict, schema: T.StructType):
+        self.base = os.path.splitext(_local(options["path"]))[0]
+        if "://" in self.base:
+            raise ValueError(f"{self.base} is no mounted folder")
+        self.prj, self.work = options.get("prj"), f"{self.base}.{uuid.uuid4().hex}"
+        self.columns = [(f.name, "C" if isinstance(f.dataType, T.StringType) else "N") for f in schema if f.name not in ("rings", "record")]
+        os.makedirs(os.path.dirname(self.base), exist_ok=True)
+
+    def write(self, batches) -> Shapes:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        part, records, words, boxes = context.partitionId(), 0, 0, []
+        with open(f"{self.work}-{part}-{context.taskAttemptId()}.shp", "wb") as shp, open(f"{self.work}-{part}-{context.taskAttemptId()}.shx", "wb") as shx, open(f"{self.work}-{part}-{context.taskAttemptId()}.dbf", "wb") as dbf:
+            for b in batches:
+                table = [b.column(n).to_pylist() for n, _ in self.columns]
+                for i, rings in enumerate(b.column("rings").to_pylist()):
+                    p = np.array([(q["x"], q["y"]) for r in rings or [] for q in r], "<f8").reshape(-1, 2)
+                    starts = np.cumsum([0, *(len(r) for r in rings or [])])[:-1].astype("<i4")
+                    body = struct.pack("<i4dii", 5, *p.min(axis=0), *p.max(axis=0), len(starts), len(p)) + starts.tobytes() + p.tobytes() if len(p) else struct.pack("<i", 0)
+                    boxes += [(*p.min(axis=0), *p.max(axis=0))] if len(p) else []
+                    shx.write(struct.pack(">II", words, len(body) // 2))
+                    shp.write(struct.pack(">II", records, len(body) // 2) + body)
+                    dbf.write(b" " + b"".join((b" " * 24 if v[i] is None else f"{v[i]:>24.10f}".encode()) if t == "N" else str("" if v[i] is None else v[i]).encode("latin-1", "replace")[:80].ljust(80) for (_, t), v in zip(self.columns, table, strict=True)))
+                    records, words = records + 1, words + 4 + len(body) // 2
+        box = (*np.min(boxes, axis=0)[:2], *np.max(boxes, axis=0)[2:]) if boxes else (np.inf, np.inf, -np.inf, -np.inf)
+        return Shapes(part, records, words, tuple(float(v) for v in box), f"{self.work}-{part}-{context.taskAttemptId()}")
+
+    def commit(self, messages) -> None:
+        pieces = sorted((m for m in messages if m is not None), key=lambda m: m.part)
+        records, words = sum(m.records for m in pieces), sum(m.words for m in pieces)
+        some = [m.box for m in pieces if m.box[0] <= m.box[2]] or [(0.0, 0.0, 0.0, 0.0)]
+        box = struct.pack("<4d", min(b[0] for b in some), min(b[1] for b in some), max(b[2] for b in some), max(b[3] for b in some)) + struct.pack("<4d", 0, 0, 0, 0)
+        head = lambda n: struct.pack(">7I", 9994, 0, 0, 0, 0, 0, n + 50) + struct.pack("<2i", 1000, 5) + box
+        width = 1 + sum(24 if t == "N" else 80 for _, t in self.columns)
+        table = struct.pack("<4BIHH20x", 3, 124, 1, 1, records, 33 + 32 * len(self.columns), width)
+        for n, t in self.columns:
+            table += n.encode("latin-1")[:10].ljust(11, b"\0") + t.encode() + b"\0" * 4 + bytes([24 if t == "N" else 80, 10 if t == "N" else 0]) + b"\0" * 14
+        heads = {".shp": head(words), ".shx": head(4 * records), ".dbf": table + b"\x0d"}
+        for end, first in heads.items():
+            with open(f"{self.work}{end}", "wb") as out:
+                out.write(first)
+                done, at = 0, 50
+                for m in pieces:
+                    with open(m.at + end, "rb") as piece:
+                        while data := piece.read(8 << 20):  # a multiple of the index's and record heads' size
+                            if end == ".shx":
+                                rows = np.frombuffer(data, ">u4").reshape(-1, 2).copy()
+                                rows[:, 0] += at
+                                data = rows.tobytes()
+                            out.write(data)
+                    done, at = done + m.records, at + m.words
+                if end == ".dbf":
+                    out.write(b"\x1a")
+        if self.prj:
+            with open(f"{self.work}.prj", "w") as f:
+                f.write(self.prj)
+        for end in (*heads, ".prj"):
+            if os.path.exists(self.work + end):
+                os.replace(self.work + end, self.base + end)
+            elif os.path.exists(self.base + end):
+                os.remove(self.base + end)
+        self.tidy(messages)
+
+    def tidy(self, messages) -> None:
+        for m in messages:
+            for end in (".shp", ".shx", ".dbf"):
+                if m is not None and os.path.exists(m.at + end):
+                    os.remove(m.at + end)
+
+    def abort(self, messages) -> None:
+        self.tidy(messages)
+
 
-def write_shp(rows: list[tuple[list[list[tuple[float, float]]], dict]], base: str) -> None:
-    """A small polygon layer (driver-side rows) as .shp, .shx and .dbf, each replaced whole. Values are numbers or text."""
-    names = list(rows[0][1]) if rows else []
-    kinds = {n: ("N", 24) if rows and isinstance(rows[0][1][n], (int, float)) else ("C", 80) for n in names}
-    shapes, index, at = b"", b"", 50
-    everything = np.array([p for rings, _ in rows for r in rings for p in r] or [(0.0, 0.0)])
-    box = struct.pack("<4d", *everything.min(axis=0), *everything.max(axis=0))
-    for k, (rings, _) in enumerate(rows):
-        p = np.array([q for r in rings for q in r], "<f8").reshape(-1, 2)
-        starts = np.cumsum([0, *(len(r) for r in rings)])[:-1].astype("<i4")
-        body = struct.pack("<i4dii", 5, *p.min(axis=0), *p.max(axis=0), len(rings), len(p)) + starts.tobytes() + p.tobytes()
-        index += struct.pack(">II", at, len(body) // 2)
-        shapes += struct.pack(">II", k + 1, len(body) // 2) + body
-        at += 4 + len(body) // 2
-    head = lambda n: struct.pack(">7I", 9994, 0, 0, 0, 0, 0, n // 2 + 50) + struct.pack("<2i", 1000, 5) + box + struct.pack("<4d", 0, 0, 0, 0)
-    width = 1 + sum(w for _, w in kinds.values())
-    table = struct.pack("<4BIHH20x", 3, 124, 1, 1, len(rows), 33 + 32 * len(names), width)
-    for n, (t, w) in kinds.items():
-        table += n.encode("latin-1")[:10].ljust(11, b"\0") + t.encode() + b"\0" * 4 + bytes([w, 10 if t == "N" else 0]) + b"\0" * 14
-    table += b"\x0d" + b"".join(b" " + b"".join((f"{v[n]:>24.10f}" if t == "N" else str(v[n])[:w].ljust(w)).encode("latin-1") for n, (t, w) in kinds.items()) for _, v in rows)
-    for end, data in ((".shp", head(len(shapes)) + shapes), (".shx", head(len(index)) + index), (".dbf", table + b"\x1a")):
-        with open(base + end + ".new", "wb") as f:
-            f.write(data)
-        os.replace(base + end + ".new", base + end)
+def prj_of(path: str) -> str | None:
+    """The text of the coordinate system beside a layer, if it has one."""
+    at = os.path.splitext(_local(path))[0] + ".prj"
+    if not os.path.exists(at):
+        return None
+    with open(at, encoding="latin-1") as f:
+        return f.read().strip()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from windrift.functions import text as X
+from windrift.operators.ordered import in_ranges
 
 
 def _cells(line: Column) -> Column:
@@ -79,9 +80,13 @@ def terrain_minima(lines: DataFrame, order: str = "line_no", line: str = "value"
     t = F.trim(F.col(line))
     value = F.coalesce(X.number(F.regexp_extract(t, r"terrain_min_asl_m\s*=\s*(\S+)", 1)), X.number(F.regexp_extract(t, r"^([+-]?[\d.]+)\s*m$", 1)))
     name = F.when(value.isNull() & (t != ""), t)
-    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # one small text
-    found = lines.withColumns({"case": F.last(name, ignorenulls=True).over(w), "asl": value}).where("asl is not null and case is not null")
-    return found.groupBy("case").agg(F.max_by("asl", order).alias("asl"))
+    # The last name before a line: within its range of lines, or the last one of an earlier range.
+    rows = in_ranges(lines.select(F.col(order).alias("n"), name.alias("name"), value.alias("asl")), "n")
+    w = Window.partitionBy("part").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("part").agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("n"))).alias("last"))
+    ends = ends.select("part", F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))  # a row for each range
+    found = rows.join(F.broadcast(ends), "part").select("n", "asl", F.coalesce(F.last("name", ignorenulls=True).over(w), "earlier").alias("case")).where("asl is not null and case is not null")
+    return found.groupBy("case").agg(F.max_by("asl", "n").alias("asl"))
 
 
 def catalogue(spark: SparkSession, folder: str, pattern: str = "*.vtk") -> DataFrame:

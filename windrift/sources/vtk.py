@@ -6,7 +6,7 @@
 
 A read row is (z, y, x, one column for each scalar, name_x/_y/_z for vectors). A layer block is one
 partition and only the wanted fields' bytes are read. Tasks write into their own places
-of one new file, so no process holds a grid; rows in order of z keep a task's memory at one layer.
+of one new file, batch by batch, so no process holds a grid or a layer; rows in order make few writes.
 Paths are those of a file system that all executors mount (a shared folder).
 """
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Scalar names of the format, all big-endian; `long` takes four bytes.
 KINDS = {"char": ">i1", "unsigned_char": ">u1", "short": ">i2", "unsigned_short": ">u2", "int": ">i4", "unsigned_int": ">u4", "long": ">i4", "unsigned_long": ">u4", "float": ">f4", "double": ">f8"}
@@ -137,16 +137,22 @@ class Written(WriterCommitMessage):
     cells: int
 
 
-class VtkWriter(DataSourceWriter):
+class VtkWriter(DataSourceArrowWriter):
     """Tasks write their layers straight into their places of one file, which gets its name when all are done.
 
-    Option dims (nx,ny,nz) fixes the places; cells that no row gives stay zero.
+    Option dims (nx,ny,nz) fixes the places; cells that no row gives stay zero. Option vectors
+    (name=a,b,c;...) puts three columns together as one vector field; the others are scalars.
     """
 
     def __init__(self, options: dict, schema: T.StructType):
         folder, name = options["path"].removeprefix("file://").removeprefix("file:"), options.get("name", "grid")
+        if "://" in folder:
+            raise ValueError(f"{folder} is no mounted folder")
         self.dims = tuple(int(n) for n in options["dims"].split(","))
-        self.fields = [f.name for f in schema if f.name not in ("z", "y", "x")]
+        vectors = [v.split("=") for v in options.get("vectors", "").split(";") if v.strip()]
+        self.fields = [(n.strip(), [c.strip() for c in cs.split(",")]) for n, cs in vectors]
+        inside = {c for _, cs in self.fields for c in cs}
+        self.fields += [(f.name, [f.name]) for f in schema if f.name not in ("z", "y", "x") and f.name not in inside]
         self.target = f"{folder}/{name}.vtk"
         self.fresh = f"{folder}/.{name}-{uuid.uuid4().hex}"
         nx, ny, nz = self.dims
@@ -156,35 +162,28 @@ class VtkWriter(DataSourceWriter):
         self.offsets = []
         with open(self.fresh, "wb") as f:
             f.write(head.encode())
-            for field_ in self.fields:
-                f.write(f"SCALARS {field_} float 1\nLOOKUP_TABLE default\n".encode())
+            for field_, parts in self.fields:
+                f.write(f"VECTORS {field_} float\n".encode() if len(parts) == 3 else f"SCALARS {field_} float 1\nLOOKUP_TABLE default\n".encode())
                 self.offsets.append(f.tell())
-                f.seek(4 * nx * ny * nz, 1)
+                f.seek(4 * len(parts) * nx * ny * nz, 1)
                 f.write(b"\n")
 
-    def write(self, rows) -> Written:
+    def write(self, batches) -> Written:
         nx, ny, _ = self.dims
-        plane, held, n = nx * ny, {}, 0
+        n = 0
         with open(self.fresh, "r+b") as f:
-
-            def put(z: int, cells: list) -> None:
-                a = np.array(cells, float)
-                order = np.argsort(a[:, 0])
-                at, values = a[order, 0].astype(int), a[order, 1:].astype(">f4")
-                runs = np.flatnonzero(np.r_[True, np.diff(at) != 1, True])
-                for i, j in zip(runs, runs[1:], strict=False):
-                    for k, offset in enumerate(self.offsets):
-                        f.seek(offset + 4 * (z * plane + at[i]))
-                        f.write(values[i:j, k].tobytes())
-
-            for r in rows:
-                cells = held.setdefault(r["z"], [])
-                cells.append((r["y"] * nx + r["x"], *(float("nan") if r[c] is None else r[c] for c in self.fields)))
-                n += 1
-                if len(cells) == plane:  # a whole layer needs no more memory
-                    put(r["z"], held.pop(r["z"]))
-            for z, cells in held.items():
-                put(z, cells)
+            for b in batches:
+                z, y, x = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("z", "y", "x"))
+                cell = (z * ny + y) * nx + x
+                order = np.argsort(cell, kind="stable")
+                cell = cell[order]
+                runs = np.flatnonzero(np.r_[True, np.diff(cell) != 1, True]) if len(cell) else np.empty(0, int)
+                for (_, parts), offset in zip(self.fields, self.offsets, strict=True):
+                    values = np.stack([b.column(c).cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)[order] for c in parts], axis=1).astype(">f4")
+                    for i, j in zip(runs, runs[1:], strict=False):
+                        f.seek(offset + 4 * len(parts) * cell[i])
+                        f.write(values[i:j].tobytes())
+                n += len(cell)
         return Written(n)
 
     def commit(self, messages: list[Written]) -> None:
