@@ -105,3 +105,16 @@ def human_bytes(n: Column) -> Column:
     power = F.when(n < 1, 0).otherwise(F.least(F.floor(F.log2(n) / 10), F.lit(5))).cast("int")
     unit = F.element_at(F.array(*map(F.lit, ["B", "KB", "MB", "GB", "TB", "PB"])), power + 1)
     return F.concat_ws(" ", F.format_string("%.1f", n / F.pow(F.lit(1024.0), power)), unit)
+
+
+def decoded(content: Column) -> Column:
+    """Text of unknown encoding: by its mark (UTF-8, UTF-16), else UTF-8 where that is valid, else Latin-1, which always is."""
+    head = F.hex(F.substring(content, 1, 3))
+    rest = lambda k: F.substring(content, k, F.greatest(F.octet_length(content), F.lit(1)))
+    return (
+        F.when(head == "EFBBBF", F.decode(rest(4), "UTF-8"))
+        .when(F.substring(head, 1, 4) == "FFFE", F.decode(rest(3), "UTF-16LE"))
+        .when(F.substring(head, 1, 4) == "FEFF", F.decode(rest(3), "UTF-16BE"))
+        .when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
+        .otherwise(F.decode(content, "ISO-8859-1"))
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -143,3 +144,23 @@ def barycentric(queries: DataFrame, columns: DataFrame, most: int = 20_000) -> D
             yield pd.DataFrame({"qid": q, "vec_id": at, "weight": w})
 
     return queries.select("qid", "qx", "qy").mapInPandas(locate, "qid bigint, vec_id bigint, weight double")
+
+
+def generated_ranges(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(key, value): the range of each column as a deck writes it; the deck itself stays as it is."""
+    sums = df.agg(*(f(c).alias(f"{k}_{n}") for k, c in columns.items() for n, f in (("low", F.min), ("high", F.max))))
+    entry = lambda k: F.struct(F.lit(k).alias("key"), F.format_string("[%.3f, %.3f]", f"{k}_low", f"{k}_high").alias("value"))
+    return sums.select(F.explode(F.array(*map(entry, columns))).alias("e")).select("e.*")
+
+
+def chained(df: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame, list[tuple[str, int, int]]]:
+    """The last step's table, and (step, rank, rows) for each step, which is logged; a step that fails says its name."""
+    told = []
+    for rank, (name, step) in enumerate(steps):
+        try:
+            df = step(df)
+            told.append((name, rank, df.count()))
+        except Exception as e:
+            raise RuntimeError(f"step {name} failed") from e
+        log.info("%s: %d rows", name, told[-1][2])
+    return df, told

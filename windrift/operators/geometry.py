@@ -279,3 +279,23 @@ def fitted(vertices: DataFrame, bounds: dict[str, tuple[float, float]], scaled:
         factor = F.when(span > 0, (high - low) / span).otherwise(1.0) if scaled else F.lit(1.0)
         out = out.withColumn(c, (F.col(c) - F.col(f"{c}_low")) * factor + low)
     return out.select(*vertices.columns)
+
+
+def centroid(ring: Column) -> Column:
+    """The centre of a ring's area as a struct of x and y; of its points where it has none. Sums are taken from its first point."""
+    n = F.size(ring)
+    first = ring[0]
+    near = F.transform(ring, lambda p: F.struct((p["x"] - first["x"]).alias("x"), (p["y"] - first["y"]).alias("y")))
+    ahead = F.concat(F.slice(near, 2, F.greatest(n - 1, F.lit(0))), F.slice(near, 1, 1))
+    part = lambda axis: F.aggregate(F.zip_with(near, ahead, lambda p, q: (p[axis] + q[axis]) * (p["x"] * q["y"] - q["x"] * p["y"])), F.lit(0.0), lambda a, v: a + v)
+    area = ring_area(near)
+    mean = lambda axis: F.aggregate(near, F.lit(0.0), lambda a, p: a + p[axis]) / n
+    axis = lambda c: (first[c] + F.when(area == 0, mean(c)).otherwise(part(c) / (6 * area))).alias(c)
+    return F.struct(axis("x"), axis("y"))
+
+
+def rotated(ring: Column, centre: Column, degrees: float | Column) -> Column:
+    """The ring turned counter-clockwise about a centre."""
+    a = F.radians(F.lit(degrees) if isinstance(degrees, (int, float)) else degrees)
+    dx, dy = (lambda p: p["x"] - centre["x"]), (lambda p: p["y"] - centre["y"])
+    return F.transform(ring, lambda p: F.struct((centre["x"] + dx(p) * F.cos(a) - dy(p) * F.sin(a)).alias("x"), (centre["y"] + dx(p) * F.sin(a) + dy(p) * F.cos(a)).alias("y")))

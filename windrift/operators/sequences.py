@@ -211,3 +211,9 @@ def throttled(events: DataFrame, key: list[str], order: str, fraction: Column, b
     b = events.withColumn("bucket", F.floor(fraction * buckets).cast("bigint"))
     b = b.withColumn("was", F.lag("bucket").over(w)).withColumn("more", F.lead("bucket").over(w))
     return b.where(F.col("was").isNull() | (F.col("bucket") != F.col("was")) | F.col("more").isNull()).drop("was", "more")
+
+
+def turned_over(df: DataFrame, column: list[str], level: str, z: str) -> DataFrame:
+    """df with its levels numbered upwards: columns whose heights fall with the level are turned over."""
+    ends = df.groupBy(*column).agg(F.min_by(z, level).alias("first_"), F.max_by(z, level).alias("last_"), F.max(level).alias("top_"), F.min(level).alias("low_"))
+    return df.join(ends, column).withColumn(level, F.when(F.col("first_") > F.col("last_"), F.col("top_") + F.col("low_") - F.col(level)).otherwise(F.col(level))).select(*df.columns)

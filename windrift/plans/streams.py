@@ -69,3 +69,32 @@ SELECT user_id, n, count(*) AS sessions FROM (SELECT user_id, k, count(*) AS n F
 def session_counts(spark, sf):
     """Extension: sessions of each user, by length."""
     return T.sessions(D.read(spark, sf, "events"), "ts", "6 hours", "user_id").groupBy("user_id", "n").agg(F.count("*").alias("sessions"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS deck, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS casename, CAST(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 2 ELSE n_nationkey END AS DOUBLE) AS cell_size FROM nation")
+def watched_decks(spark, sf):
+    """A folder of decks watched as a stream of files: a deck that is written again takes the place of what was read of it."""
+    from windrift.operators import deck
+
+    folder = shared_folder(spark)
+    nations = D.read(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
+    text = lambda name, factor: F.concat(F.lit(f"casename = {name}\ncell_size = "), (F.col("k") * factor).cast("string"))
+    state = spark.createDataFrame([], "deck string, at bigint, casename string, cell_size double")
+    state.write.parquet(f"{folder}/state-0")
+    turn = [0]
+
+    def keep(batch, number):
+        """The newest version of each deck, beside what is known; a batch that comes again changes nothing."""
+        rows = deck.typed(deck.effective(deck.parse(batch.select("deck", "text"))))
+        new = rows.groupBy("deck").agg(F.max(F.when(F.col("key") == "casename", F.col("raw"))).alias("casename"), F.max(F.when(F.col("key") == "cell_size", F.col("as_double"))).alias("cell_size"))
+        new = new.withColumn("at", F.lit(number).cast("bigint")).select("deck", "at", "casename", "cell_size")
+        known = spark.read.parquet(f"{folder}/state-{turn[0]}").where(F.col("at") < number)
+        both = known.unionByName(new)
+        turn[0] += 1
+        both.groupBy("deck").agg(F.max("at").alias("at"), F.max_by("casename", "at").alias("casename"), F.max_by("cell_size", "at").alias("cell_size")).write.mode("overwrite").parquet(f"{folder}/state-{turn[0]}")
+
+    for version, rows in (("old", nations), ("new", nations.where("k % 2 = 0"))):
+        rows.select(F.concat(F.col("k").cast("string"), F.lit(f"-{version}")).alias("file"), text(version, 1 if version == "old" else 2).alias("value")).write.mode("append").partitionBy("file").text(f"{folder}/decks")
+        seen = spark.readStream.schema("value string, file string").text(f"{folder}/decks", wholetext=True).select(F.split("file", "-")[0].alias("deck"), F.col("value").alias("text"))
+        drain(seen.writeStream.foreachBatch(keep), folder)
+    return spark.read.parquet(f"{folder}/state-{turn[0]}").select("deck", "casename", "cell_size")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,60 @@ def find_input(spark: SparkSession, folder: str, *patterns: str) -> str:
         if found:
             return max(found)[1]
     raise FileNotFoundError(f"no {' or '.join(patterns)} in {folder}")
+
+
+def case_file(spark: SparkSession, folder: str, case: str, date: str, ending: str = "nc") -> str:
+    """The file of a case and time, `<case>_<date>.<ending>`; else the only one with that ending; else an error."""
+    names = _names(spark, folder, f"*.{ending}")
+    exact = [n for n in names if n.rsplit("/", 1)[-1] == f"{case}_{date}.{ending}"]
+    if exact or len(names) == 1:
+        return (exact or names)[0]
+    raise FileNotFoundError(f"{len(names)} files *.{ending} in {folder}, none of them {case}_{date}.{ending}")
+
+
+def terrain_source(spark: SparkSession, project: str, common: str) -> str:
+    """What terrain is made from: the project's layer if it is made already, else its rasters (the first by name), else the common one."""
+    for folder, pattern in ((project, "*.shp"), (project, "*.tif"), (common, "*.tif")):
+        if names := _names(spark, folder, pattern):
+            return names[0]
+    raise FileNotFoundError(f"no terrain in {project} or {common}")
+
+
+def _names(spark: SparkSession, folder: str, pattern: str) -> list[str]:
+    """Paths of a folder's own files (a project's, some tens), by name; contents are not read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def touch(folder: str, *names: str) -> None:
+    os.makedirs(folder, exist_ok=True)
+    for n in names:
+        with open(f"{folder}/{n}", "w") as f:
+            f.write("x")
+
+
+def spectrum_rows(shells: DataFrame, dk: float) -> DataFrame:
+    """A spectrum as it is written: shell centre, energy density, the same by k^(5/3), energy and mode weight of each shell."""
+    k = (F.col("shell") + 0.5) * dk
+    e = F.col("shell_energy") / dk
+    return shells.orderBy("shell").select(k.alias("k_rad_per_m"), e.alias("E_k"), (e * F.pow(k, F.lit(5 / 3))).alias("k_5_3_E_k"), "shell_energy", F.col("mode_weight").alias("shell_mode_weight"))
+
+
+def headed(title: str, lines: DataFrame) -> DataFrame:
+    """(rank, line) with a title before them."""
+    return lines.sparkSession.range(1).select(F.lit(-1.0).alias("rank"), F.lit(title).alias("line")).unionByName(lines.select(F.col("rank").cast("double").alias("rank"), "line"))
+
+
+def write_report(parts: list[DataFrame], path: str) -> None:
+    """A report of some tens of lines, part by part in order of rank, as one text file."""
+    lines = None
+    for i, p in enumerate(parts):
+        one = p.select(F.lit(i).alias("part"), F.col("rank").cast("double").alias("rank"), "line")
+        lines = one if lines is None else lines.unionByName(one)
+    lines.coalesce(1).sortWithinPartitions("part", "rank").select("line").write.mode("overwrite").text(path)
+
+
+def run_records(runs: DataFrame, key: str) -> DataFrame:
+    """(key, text): for each run its time step, steps and state as `name = value` lines. runs: key, dt, steps, state."""
+    return runs.select(key, F.concat_ws("\n", F.format_string("dt = %.3f s", "dt"), F.format_string("steps = %d", "steps"), F.concat(F.lit("state = "), "state")).alias("text"))

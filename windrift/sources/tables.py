@@ -127,3 +127,15 @@ def unpacked_probes(wide: DataFrame) -> DataFrame:
 
 def perimeter(cells: DataFrame, nx: int, ny: int) -> DataFrame:
     return cells.where((F.col("x").isin(0, nx - 1)) | (F.col("y").isin(0, ny - 1)))
+
+
+def renamed(df: DataFrame, names: dict[str, tuple[str, ...]]) -> DataFrame:
+    """df with columns found by candidate names (first that is there, in any case and punctuation) under the wanted ones; the others stay."""
+    found = {pick_column(df.columns, *candidates): wanted for wanted, candidates in names.items()}
+    return df.withColumnsRenamed({old: new for old, new in found.items() if old is not None and old != new})
+
+
+def aliased(df: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """df with more names for its columns: each alias repeats the first candidate that is there, if it is not a column yet."""
+    have = {a: pick_column(df.columns, *candidates) for a, candidates in aliases.items() if a not in df.columns}
+    return df.withColumns({a: F.col(f"`{c}`") for a, c in have.items() if c is not None})
