@@ -55,8 +55,25 @@ def test_barycentric_weights_meet_planes(spark, plane, asked):
             assert r["n"] == 1
         else:
             assert r["x"] == pytest.approx(asked[1][r["qid"]][0], abs=1e-7)
-    with pytest.raises(ValueError):
-        domain.barycentric(asked[0], df, most=10)
+    # The same triangles, whatever the squares: one whose circle holds no other point.
+    for size in (0.03, 0.5, 40.0):
+        rows = domain.barycentric(asked[0], df, size).collect()
+        for i, q in enumerate(asked[1]):
+            at = sorted(r["vec_id"] for r in rows if r["qid"] == i)
+            assert len(at) == 3 and all(-1e-9 <= r["weight"] <= 1 for r in rows if r["qid"] == i)
+            a, b, c = p[at]
+            m = np.array([b - a, c - a]) * 2
+            centre = np.linalg.solve(m, [b @ b - a @ a, c @ c - a @ a])
+            assert (np.hypot(*(p - centre).T) >= np.hypot(*(a - centre)) * (1 - 1e-9)).all()
+
+
+def test_barycentric_weights_of_few_columns(spark):
+    q = spark.createDataFrame([(1, 0.1, 0.1), (2, 9.0, 9.0)], "qid bigint, qx double, qy double")
+    at = lambda rows: spark.createDataFrame(rows, "vec_id bigint, px double, py double")
+    assert domain.barycentric(q, at([])).count() == 0
+    assert sorted(map(tuple, domain.barycentric(q, at([(7, 0.0, 0.0)])).collect())) == [(1, 7, 1.0), (2, 7, 1.0)]
+    got = domain.barycentric(q, at([(5, 0.0, 0.0), (6, 1.0, 0.0), (8, 0.0, 1.0), (9, 0.0, 0.0)])).collect()
+    assert sorted((r["qid"], r["vec_id"], round(r["weight"], 9)) for r in got)[:3] == [(1, 5, 0.8), (1, 6, 0.1), (1, 8, 0.1)] and len(got) == 4
 
 
 def test_spline_passes_through_samples(spark):

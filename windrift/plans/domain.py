@@ -55,9 +55,8 @@ def shrunk_box(spark, sf):
 def cached_terrain(spark, sf):
     """A cached grid of elevations as points."""
     g = D.grid(spark, sf).where("z = 2")
-    lines = g.groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "u"))), lambda s: s["u"]).alias("line"))
-    cache = lines.groupBy(F.lit(1).alias("one")).agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda s: s["line"]).alias("rows"))
-    return O.cached_points(cache, "rows", F.lit(100.0), F.lit(50.0), F.lit(2.5))
+    cache = g.groupBy("y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "u"))), lambda s: s["u"]).alias("line"))
+    return O.cached_points(cache, "y", "line", F.lit(100.0), F.lit(50.0), F.lit(2.5))
 
 
 @query(f"WITH {D.GRID} SELECT CAST(z AS INTEGER) AS z, count(*) AS n, round(sum(u), 4) AS total FROM grid WHERE z BETWEEN 10 AND 20 GROUP BY 1")
@@ -90,9 +89,11 @@ def key_value_texts(spark, sf):
     return W.key_values(decks(spark, sf), "text", "high_order", "cut_lon_manual").select("deck", "high_order", "cut_lon_manual")
 
 
-@query(None)
+@query(f"""WITH {D.POINTS}, q AS (SELECT vec_id AS qid, px * 0.4 + 0.004 AS x, py * 0.4 - 0.003 AS y FROM points) SELECT qid, CAST(1 AS DOUBLE) AS weight, round(2 * x - 3 * y + 1, 6) AS value FROM q""")
 def barycentric_regrid(spark, sf):
-    """Weights of source columns for places between them; held against planes in the tests."""
-    q = D.points(spark, sf).where(F.col("vec_id") % 7 == 0).select(F.col("vec_id").alias("qid"), (F.col("px") + 0.004).alias("qx"), (F.col("py") - 0.003).alias("qy"))
-    p = D.points(spark, sf).where(F.col("vec_id") % 5 == 0)
-    return O.barycentric(q, p).join(p.select("vec_id", "val"), "vec_id").groupBy("qid").agg(F.sum(F.col("weight") * F.col("val")).alias("value"))
+    """Weights of the source columns around places: they sum to one and meet a planted plane; the tests hold them against all triangles."""
+    p = D.points(spark, sf)
+    q = p.select(F.col("vec_id").alias("qid"), (F.col("px") * 0.4 + 0.004).alias("qx"), (F.col("py") * 0.4 - 0.003).alias("qy"))
+    sources = p.withColumn("val", 2 * F.col("px") - 3 * F.col("py") + 1)
+    w = O.barycentric(q, sources).join(sources.select("vec_id", "val"), "vec_id")
+    return w.groupBy("qid").agg(F.round(F.sum("weight"), 9).alias("weight"), F.round(F.sum(F.col("weight") * F.col("val")), 6).alias("value"))
