@@ -11,7 +11,7 @@ import pytest
 from windrift.llm import licenses
 from windrift.llm.common import Scratch, components
 from windrift.llm.embeddings import near_duplicates
-from windrift.llm.language_model import score_documents
+from windrift.llm.language_model import Language, score_documents
 from windrift.llm.mixing import Mix, Plan, mix_documents, mixed_texts, permuted
 from windrift.llm.packing import Pack, best_fit, complete_bins, dominated, fillings, lower_bound, pack_counts, pack_documents, tokenizer
 from windrift.llm.queries import tokenizer_path
@@ -411,13 +411,14 @@ def brute_losses(rows, good, prior=1000.0, shared=5000.0):
     return out
 
 
-def test_losses_equal_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 4_000_000])
+def test_losses_equal_brute_force(spark, few):
     rng = random.Random(3)
     rows = [(k, " ".join(rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(rng.randint(0, 40)))) for k in range(60)] + [(100, None), (101, "rare words here"), (102, "rare words here"), (103, "a b " * 3000)]
     labels = [(k, int(k % 3 == 0), 0) for k in range(40)]
     want = brute_losses(rows, {k for k, q, _ in labels if q})
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id bigint, text string, target string")
-    for r in score_documents(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect():
+    for r in score_documents(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), Language(few_targets=few)).collect():
         a, b = want[r["doc_id"]]
         if a is None:
             assert r["target_loss"] is r["score"] is None

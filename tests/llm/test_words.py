@@ -7,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 from windrift.llm.quality import suffix_repeats
 from windrift.llm.recompression import Repeats, anchors
 from windrift.llm.suffixes import Passages, minimisers
+from windrift.llm.tallies import counts_of, keys_of, rising, small
 from windrift.llm.words import Runs, Words
 
 TEXT = st.text(st.sampled_from("ab é\t\n\x0b \x1c"), max_size=60)
@@ -59,3 +60,11 @@ def test_every_window_holds_a_minimiser(ids):
     at, _ = minimisers(w, Passages())
     for i in range(len(ids) - 49):
         assert any(i <= a <= i + 25 for a in at)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 10**12), max_size=30), st.lists(st.integers(0, 2**56 - 1), max_size=30))
+def test_counts_and_keys_come_back(counts, keys):
+    assert counts_of(small(np.array(counts, np.int64)), len(counts)).tolist() == counts
+    k = np.unique(np.array(keys, np.uint64) << np.uint64(8))[:, None]
+    assert (keys_of(rising(k), 1) == k).all()

@@ -50,10 +50,10 @@ class Scratch:
         self.n = 0
         atexit.register(self.close)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -34,14 +34,12 @@ from windrift.llm.words import Words, mix
 class Language:
     prior: float = 1000.0  # m: weight of the unigram model; rare pairs count too, so it is large
     shared: float = 5000.0  # s: words' worth of the distribution of all words in either unigram model
-    block: int = 2_000_000  # distinct words and pairs of texts that ask together
+    few_targets: int = 4_000_000  # up to so many target ids, they are sent to every task
 
 
 #: Names of what is no word: the start of a text, and the sum of all words.
 START, ALL = np.uint64(0x5DEECE66D1CE4E5B), np.uint64(0x2545F4914F6CDD1D)
 PAIR = np.uint64(0xD1342543DE82EF95)
-#: Counts as answers; beyond 2^24 they are rounded to seven digits.
-ANSWER = np.dtype([("target", "<f4"), ("background", "<f4")])
 
 
 def grouped(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,8 +65,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, language: Language = Lan
     scratch = Scratch(docs.sparkSession)
     target = F.col("quality") == 1 if target is None else target
     wanted_ids = labels.where(target & F.col("doc_id").isNotNull()).select("doc_id").distinct().withColumn("target", F.lit(True))
-    # The ids of the target grow with the corpus: they meet the texts by a sorted join at any size.
-    marked = docs.select("doc_id", "text").hint("merge").join(wanted_ids, "doc_id", "left")
+    # The ids of the target grow with the corpus: texts stay in place while they are few, and are joined beyond.
+    wanted_ids = scratch.save(wanted_ids)
+    few = wanted_ids.count() <= language.few_targets
+    marked = docs.select("doc_id", "text").join(F.broadcast(wanted_ids) if few else wanted_ids.hint("merge"), "doc_id", "left")
+    marked = marked if few else scratch.save(marked)  # it is read twice, in one order
     schema = T.StructType([docs.schema["doc_id"], T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")), T.StructField("preferred", T.BooleanType())])
     wanted = arrow_schema(schema)
     m, s = language.prior, language.shared
@@ -95,14 +96,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, language: Language = Lan
         words, is_target, text, word_n, word, context, pair_n = arrays
         of_word, everything, of_pair = values[: len(word_n) + 1], values[len(word_n) + 1], values[len(word_n) + 2 :]
         word_n = np.r_[word_n, 1]  # a text starts once
-        all_target, all_words = (float(everything[c]) for c in ANSWER.names)
-        q = of_word["background"][word] / max(all_words, 1.0)
+        all_target, all_words = float(everything[0]), float(everything[1])
+        q = of_word[word, 1] / max(all_words, 1.0)
         loss = np.zeros((2, len(words)))
-        for k, name in enumerate(ANSWER.names):
+        for k in range(2):
             own = is_target[text] | bool(k)  # where the document's own counts are part of the model's
             grow = (all_target / all_words if all_target else 1.0) if k else 1.0
-            others = lambda x, mine: np.maximum(x[name].astype(np.float64) - np.where(own, mine, 0), 0) * grow  # noqa: B023, E731
-            total = np.maximum((all_words if k else all_target) - np.where(own, words[text], 0), 0) * grow
+            others = lambda counts, mine: np.maximum(counts[:, k] - np.where(own, mine, 0), 0) * grow  # noqa: B023, E731
+            total = np.maximum(everything[k] - np.where(own, words[text], 0), 0) * grow
             p = (others(of_word[word], word_n[word]) + s * q) / (total + s)
             chance = (others(of_pair, pair_n) + m * p) / (others(of_word[context], word_n[context]) + m)
             loss[k] = np.bincount(text, -np.log(chance) * pair_n, minlength=len(words))
@@ -111,9 +112,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, language: Language = Lan
         score = loss[0] - loss[1]
         yield record(wanted, doc_id=b.column("doc_id"), n_tokens=words.astype(np.int64), target_loss=pa.array(loss[0], mask=empty), background_loss=pa.array(loss[1], mask=empty), score=pa.array(score, mask=empty), preferred=(score < 0) & ~empty)
 
-    def answer(sums):
-        out = np.empty(len(sums), ANSWER)
-        out["target"], out["background"] = sums.T
-        return out
-
-    return ask(scratch, marked, build, finish, schema, answer, ANSWER, tallies=2, enough=language.block, again=True)
+    return ask(scratch, marked, build, finish, schema, lambda sums: sums, tallies=2, answers=2, again=True)

@@ -163,7 +163,8 @@ def mix_documents(scratch: Scratch, docs: DataFrame, mix: Mix = Mix()) -> DataFr
     plan = Plan(scratch, docs, mix)
     taken = plan.pieces().join(plan.uses(), ["source_no", "block"]).groupBy("at").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     rows = plan.placed().select("doc_id", "size", "source_size", "target", "at")
-    return rows.join(taken, "at", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    # Both sides have a row for each document: a sorted join at any size.
+    return rows.join(taken.hint("merge"), "at", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_texts(scratch: Scratch, docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
