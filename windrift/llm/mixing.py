@@ -172,7 +172,7 @@ def mixed_texts(scratch: Scratch, docs: DataFrame, mix: Mix = Mix()) -> DataFram
 
     A row whose blocks are all taken once gives one row; blocks taken again make up a second and a
     third row of the same doc_id, in the order of their words. Rows of which nothing is taken go.
-    n_chars, if docs has it, is the new text's length; other columns stay.
+    n_chars, if docs has it, is the new text's length; other columns stay (none may be named uid, h or shares).
     """
     schema = docs.schema
     others = [c for c in docs.columns if c != "text"]
