@@ -19,27 +19,38 @@ from windrift.llm.repeats import uid
 from windrift.llm.weighted_minhash import near_duplicate_classes
 
 
+def folded(docs: DataFrame) -> DataFrame:
+    """doc_id, text and source as they are, all other columns in one, so that none can clash with an operator's own."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    return docs.select("doc_id", "text", "source", F.struct(*others).alias("others") if others else F.lit(None).cast("string").alias("others"))
+
+
+def unfolded(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, n_chars counted anew."""
+    column = lambda c: F.char_length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(c) if c in ("doc_id", "text", "source") else F.col(f"others.`{c}`")
+    return rows.select(*(column(c).alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return quality_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules(docs.select("text", F.struct(*docs.columns).alias("row")), keep_columns=["row"]).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of smallest doc_id."""
-    kept = near_duplicate_classes(Scratch(spark), docs).where("kept").select("uid").distinct()
-    return docs.withColumn("uid", uid()).join(kept, "uid").dropDuplicates(["uid"]).select(*docs.columns)
+    """One document of each class of near-duplicates: the one of smallest doc_id; of rows equal in id and text one."""
+    kept = near_duplicate_classes(Scratch(spark), docs.select("doc_id", "text")).where("kept").select("uid").distinct()
+    return docs.select(uid().alias("uid"), F.struct(*docs.columns).alias("row")).join(kept, "uid").dropDuplicates(["uid"]).select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages they share; those of which nothing is left go."""
-    cut = remove_repeats(Scratch(spark), docs, with_text=True).where("n_words > n_removed or n_words = 0")
-    changed = {"text": F.col("kept_text")} | ({"n_chars": F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return cut.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    cut = remove_repeats(Scratch(spark), folded(docs), with_text=True).where("n_words > n_removed or n_words = 0")
+    return unfolded(cut.withColumn("text", F.col("kept_text")), docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources by target weights; a document can come up to three times."""
-    return mixed_texts(Scratch(spark), docs)
+    return unfolded(mixed_texts(Scratch(spark), folded(docs)), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
