@@ -6,6 +6,8 @@ neighbourhood, one layer) run in numpy, on groups that Spark has dealt out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -89,6 +91,15 @@ def strided_inflow(points: DataFrame, modes: DataFrame, step: Column, stride: in
     return both.select(*points.columns, (F.col("u0") + (F.col("u") - F.col("u0")) * share).alias("u"))
 
 
+def face_fields(faces: DataFrame, branches: dict[int, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """The faces' points (patch, x, y, z) with `value`: each patch by its own branch, which adds that column to its points. Patches without a branch go."""
+    out = None
+    for patch, branch in branches.items():
+        one = branch(faces.where(F.col("patch") == patch)).select("patch", "x", "y", "z", F.col("value").cast("double").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def mode_sum(points: DataFrame, modes: DataFrame, t: float | Column) -> DataFrame:
     """points with u: the sum over modes of amplitude * cos(kx x + ky y + kz z - omega t + phase).
 

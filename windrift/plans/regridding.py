@@ -50,6 +50,34 @@ def terrain_following_faces(spark, sf):
     return R.profile_field(f, ground, D.profile(spark, sf), F.col("z") * 3.0).select("patch", "x", "y", "z", F.round("value", 6).alias("value"))
 
 
+@query(f"""WITH {D.GRID}, {D.PROFILE}, {D.POINTS}, c AS (SELECT i % 20 AS x, (i // 20) % 10 AS y, i // 200 AS z FROM range(4000) r(i)), f AS (SELECT *, CAST(CASE WHEN z = 19 THEN 1 WHEN z = 0 THEN 0 WHEN y = 0 THEN 2 WHEN y = 9 THEN 3 WHEN x = 0 THEN 4 WHEN x = 19 THEN 5 ELSE -1 END AS INTEGER) AS patch FROM c),
+t AS (SELECT f.*, least(z * 0.25, (SELECT max(z) FROM grid)) AS b FROM f WHERE patch IN (2, 3)), w AS (SELECT *, CAST(floor(b) AS BIGINT) AS z0, CAST(ceil(b) AS BIGINT) AS z1 FROM t),
+p AS (SELECT w.patch, w.x, w.y, w.z, g0.u + (g1.u - g0.u) * (b - z0) AS value FROM w JOIN grid g0 ON (g0.x, g0.y, g0.z) = (w.x, w.y, z0) JOIN grid g1 ON (g1.x, g1.y, g1.z) = (w.x, w.y, z1)),
+n AS (SELECT f.patch, f.x, f.y, f.z, val, row_number() OVER (PARTITION BY f.x, f.y, f.z ORDER BY sqrt(pow(px - (f.y * 0.02 - 0.1), 2) + pow(py - (f.z * 0.02 - 0.2), 2)), vec_id) AS k FROM f, points WHERE patch = 4),
+h AS (SELECT x, y, min(u) AS h FROM grid GROUP BY 1, 2), q AS (SELECT f.*, f.z * 3.0 - h AS agl FROM f JOIN h USING (x, y) WHERE patch = 5), o AS (SELECT q.*, p.z AS p0, p.U AS u0 FROM q ASOF LEFT JOIN profile p ON q.agl >= p.z), d AS (SELECT o.*, p.z AS p1, p.U AS u1 FROM o ASOF LEFT JOIN profile p ON o.agl < p.z)
+SELECT patch, x, y, z, CAST(0 AS DOUBLE) AS value FROM f WHERE patch = 0 UNION ALL SELECT patch, x, y, z, 7.5 FROM f WHERE patch = 1 UNION ALL SELECT patch, x, y, z, round(value, 6) FROM p UNION ALL SELECT patch, x, y, z, round(val, 6) FROM n WHERE k = 1
+UNION ALL SELECT patch, x, y, z, round(CASE WHEN agl < 0 THEN 0 WHEN u0 IS NULL THEN u1 WHEN u1 IS NULL THEN u0 ELSE u0 + (u1 - u0) * (agl - p0) / (p1 - p0) END, 6) FROM d""")
+def boundary_fields(spark, sf):
+    """A box's faces by branch: none, uniform, mapped from a patch's samples, nearest sample, profile above the ground."""
+    from windrift.operators.joins import k_nearest, two_level
+
+    grid, points, c = D.grid(spark, sf), D.points(spark, sf), F.col
+
+    def mapped(face):
+        return two_level(face.select("patch", "x", "y", "z", c("x").cast("double").alias("a"), (c("z") * 0.25).alias("b")), grid.select(c("y"), c("x").alias("gx"), c("z").alias("gz"), "u"), "y", "gx", "gz", "u", "a", "b")
+
+    def closest(face):
+        q = face.withColumn("qid", (c("z") * 10 + c("y")) * 20 + c("x"))
+        near = k_nearest(q.select("qid", (c("y") * 0.02 - 0.1).alias("qx"), (c("z") * 0.02 - 0.2).alias("qy")), points, 1, 0.02)
+        return q.join(near, "qid").join(points.select("vec_id", c("val").alias("value")), "vec_id")
+
+    ground = grid.groupBy("x", "y").agg(F.min("u").alias("h"))
+    still, steady = (lambda face: face.withColumn("value", F.lit(0.0))), (lambda face: face.withColumn("value", F.lit(7.5)))
+    by_height = lambda face: R.profile_field(face, ground, D.profile(spark, sf), c("z") * 3.0)
+    fields = R.face_fields(R.boundary_faces(20, 10, 20, spark), {0: still, 1: steady, 2: mapped, 3: mapped, 4: closest, 5: by_height})
+    return fields.select("patch", "x", "y", "z", F.round("value", 6).alias("value"))
+
+
 @query(f"""WITH {D.GRID}, m AS (SELECT i, 0.1 * (i + 1) AS kx, 0.05 * i AS ky, 0.02 * i AS kz, 0.3 * i AS omega, 1.0 / (i + 1) AS a, 0.7 * i AS ph FROM range(16) r(i))
 SELECT z, y, x, round(sum(a * cos(kx * x + ky * y + kz * z - omega * 2.5 + ph)), 6) AS u FROM grid, m GROUP BY 1, 2, 3""")
 def synthetic_inflow(spark, sf):

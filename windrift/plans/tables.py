@@ -135,12 +135,14 @@ def resampled_file(spark, sf):
 
 @query(f"WITH {D.PROFILE} SELECT z, round(\"U\", 3) AS \"U\" FROM profile WHERE z <= 40")
 def profile_table(spark, sf):
-    """A profile from lines with comments, mixed separators and bad rows."""
+    """A profile from lines with comments, mixed separators, bad rows and repeated heights."""
     p = D.profile(spark, sf)
     sep = F.element_at(F.array(*map(F.lit, [" , ", ";", "\t", "  "])), (F.col("z") % 4 + 1).cast("int"))
-    lines = p.select(F.concat(F.col("z").cast("string"), sep, F.format_string("%.3f", "U"), F.lit(" // m")).alias("value"))
-    noise = spark.range(1).select(F.explode(F.array(*map(F.lit, ["# z,U", "z,U", "", "1,x", "// 3 4"]))).alias("value"))
-    return S.profile(lines.union(noise), top=40.0)
+    line = lambda u: F.concat(F.col("z").cast("string"), sep, F.format_string("%.3f", u), F.lit(" // m"))
+    said = F.array(F.struct(F.col("z").alias("n"), line(F.col("U") + 7).alias("value")), F.struct((F.col("z") + 1000).alias("n"), line(F.col("U")).alias("value")))
+    lines = p.select(F.explode(said).alias("l")).select("l.n", "l.value")  # every height twice, the second line counts
+    noise = spark.range(1).select(F.lit(-1.0).alias("n"), F.explode(F.array(*map(F.lit, ["# z,U", "z,U", "", "1,x", "// 3 4"]))).alias("value"))
+    return S.profile(lines.union(noise), top=40.0, order="n")
 
 
 @query(f"WITH {D.WINDROSE} SELECT CAST(angle AS DOUBLE) AS angle, CAST(bin AS BIGINT) AS bin, CAST(bin * 50 AS DOUBLE) AS lower, CAST(CASE WHEN bin < 6 THEN bin * 50 + 50 END AS DOUBLE) AS upper, round(p, 6) AS p FROM windrose WHERE round(100 * p, 6) > 0")

@@ -15,11 +15,12 @@ def _cells(line: Column) -> Column:
     return F.when(bare != "", F.split(bare, r"\s*[,;\t]\s*|\s+"))
 
 
-def profile(lines: DataFrame, line: str = "value", top: float | None = None) -> DataFrame:
-    """(z, U) from lines of a profile; headers and bad lines have no numbers and go. Of equal heights the last stays by text order of U."""
+def profile(lines: DataFrame, line: str = "value", top: float | None = None, order: str | None = None) -> DataFrame:
+    """(z, U) from lines of a profile; headers and bad lines have no numbers and go. With an order column, of equal heights the last line counts."""
     c = _cells(F.col(line))
-    rows = lines.select(X.number(F.try_element_at(c, F.lit(1))).alias("z"), X.number(F.try_element_at(c, F.lit(2))).alias("U")).where("z is not null and U is not null")
-    return rows.where(F.col("z") <= top) if top is not None else rows
+    rows = lines.select(*([order] if order else []), X.number(F.try_element_at(c, F.lit(1))).alias("z"), X.number(F.try_element_at(c, F.lit(2))).alias("U")).where("z is not null and U is not null")
+    rows = rows.where(F.col("z") <= top) if top is not None else rows
+    return rows.groupBy("z").agg(F.max_by("U", order).alias("U")) if order else rows
 
 
 def elevations(lines: DataFrame, line: str = "value") -> DataFrame:
