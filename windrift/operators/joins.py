@@ -134,6 +134,13 @@ def bilinear(queries: DataFrame, cells: DataFrame, fx: Column, fy: Column, value
     return met.groupBy(*queries.columns).agg(F.sum(F.col("c.weight") * F.col("cell")).alias("value"))
 
 
+def bilinear_within(queries: DataFrame, cells: DataFrame, fx: Column, fy: Column, value: str, nx: int, ny: int) -> DataFrame:
+    """As `bilinear`, and null for queries outside the grid of nx by ny cells."""
+    q = queries.withColumn("inside_", fx.between(0, nx - 1) & fy.between(0, ny - 1))
+    held = bilinear(q.where("inside_").drop("inside_"), cells, fx, fy, value)
+    return held.unionByName(q.where("not coalesce(inside_, false)").drop("inside_").withColumn("value", F.lit(None).cast("double")))
+
+
 def islands(df: DataFrame, x: str, tolerance: float, group: list[str]) -> DataFrame:
     """df with `island`: rows of a group in order of x, a new island after each gap above the tolerance."""
     w = Window.partitionBy(*group).orderBy(x)

@@ -59,12 +59,14 @@ def cached_terrain(spark, sf):
     return O.cached_points(cache, "y", "line", F.lit(100.0), F.lit(50.0), F.lit(2.5))
 
 
-@query(f"WITH {D.GRID} SELECT CAST(z AS INTEGER) AS z, count(*) AS n, round(sum(u), 4) AS total FROM grid WHERE z BETWEEN 10 AND 20 GROUP BY 1")
+@query(f"WITH {D.GRID} SELECT CAST(z AS INTEGER) AS z, count(*) AS n, round(sum(u), 4) AS total, 'EPSG:32650' AS crs, 'm above sea' AS heights FROM grid WHERE z BETWEEN 10 AND 20 GROUP BY 1")
 def levels_round_trip(spark, sf):
-    """A cube written by level, a range of levels read back (other folders are not opened)."""
+    """A cube written by level with its coordinate system, a range of levels read back (other folders are not opened)."""
     path = f"{shared_folder(spark)}/cube"
-    W.write_levels(D.grid(spark, sf), path)
-    return spark.read.parquet(path).where("z BETWEEN 10 AND 20").groupBy(F.col("z").cast("int").alias("z")).agg(F.count("*").alias("n"), F.round(F.sum("u"), 4).alias("total"))
+    W.write_levels(D.grid(spark, sf), path, meta={"crs": "EPSG:32650", "heights": "m above sea"})
+    cube, meta = W.read_levels(spark, path)
+    sums = cube.where("z BETWEEN 10 AND 20").groupBy(F.col("z").cast("int").alias("z")).agg(F.count("*").alias("n"), F.round(F.sum("u"), 4).alias("total"))
+    return sums.withColumns({k: F.lit(v) for k, v in meta.items()})
 
 
 @query(f"""WITH {D.GRID}, p AS (SELECT o_orderkey AS id, (o_orderkey % 41) * 1.0 AS x, (o_orderkey % 23) * 1.0 AS y, (o_orderkey % 17) * 1.0 AS z FROM orders)

@@ -91,6 +91,15 @@ def bilinear_lookup(spark, sf):
     return J.bilinear(q, D.grid(spark, sf).where("z = 0"), F.col("fx"), F.col("fy"), "u").select("qid", F.round("value", 6).alias("value"))
 
 
+@query(f"""WITH {D.GRID}, q AS (SELECT event_id AS qid, (event_id % 2501) / 100.0 - 2 AS fx, (event_id % 1303) / 100.0 - 1.5 AS fy FROM events), c AS (SELECT qid, fx, fy, CAST(floor(fx) AS BIGINT) AS x0, CAST(floor(fy) AS BIGINT) AS y0 FROM q), g AS (SELECT x, y, u FROM grid WHERE z = 0),
+w AS (SELECT qid, x0 AS x, y0 AS y, (1 - (fx - x0)) * (1 - (fy - y0)) AS w FROM c UNION ALL SELECT qid, x0 + 1, y0, (fx - x0) * (1 - (fy - y0)) FROM c UNION ALL SELECT qid, x0, y0 + 1, (1 - (fx - x0)) * (fy - y0) FROM c UNION ALL SELECT qid, x0 + 1, y0 + 1, (fx - x0) * (fy - y0) FROM c),
+v AS (SELECT qid, sum(w * u) AS v FROM w JOIN g USING (x, y) GROUP BY 1) SELECT q.qid, CASE WHEN fx BETWEEN 0 AND 19 AND fy BETWEEN 0 AND 9 THEN round(v, 6) END AS value FROM q LEFT JOIN v USING (qid)""")
+def masked_lookup(spark, sf):
+    """Values between grid points, none outside the grid."""
+    q = D.read(spark, sf, "events").select(F.col("event_id").alias("qid"), ((F.col("event_id") % 2501) / 100.0 - 2).alias("fx"), ((F.col("event_id") % 1303) / 100.0 - 1.5).alias("fy"))
+    return J.bilinear_within(q, D.grid(spark, sf).where("z = 0"), F.col("fx"), F.col("fy"), "u", 20, 10).select("qid", F.round("value", 6).alias("value"))
+
+
 @query("""WITH d AS (SELECT DISTINCT round(o_totalprice / 100, 1) AS x FROM orders), f AS (SELECT x, CASE WHEN x - lag(x) OVER (ORDER BY x) > 0.5 THEN 1 ELSE 0 END AS fresh FROM d),
 i AS (SELECT x, sum(fresh) OVER (ORDER BY x) AS island FROM f) SELECT CAST(island AS BIGINT) AS island, min(x) AS low, max(x) AS high, round(avg(x), 6) AS middle, count(*) AS n FROM i GROUP BY 1""")
 def tolerance_clusters(spark, sf):

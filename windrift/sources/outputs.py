@@ -5,13 +5,25 @@ from __future__ import annotations
 import fnmatch
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_levels(cube: DataFrame, path: str, level: str = "z") -> None:
-    """A cube as Parquet, one folder a level; rows of a level go to one file, sorted by row."""
+def write_levels(cube: DataFrame, path: str, level: str = "z", meta: dict[str, str] | None = None) -> None:
+    """A cube as Parquet, one folder a level; rows of a level go to one file, sorted by row. meta (coordinate system, units) is kept beside it."""
     cube.repartition(level).sortWithinPartitions(*(c for c in ("y", "x") if c in cube.columns)).write.mode("overwrite").partitionBy(level).parquet(path)
+    if meta:
+        cube.sparkSession.createDataFrame(sorted(meta.items()), "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/_meta")
+
+
+def read_levels(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, str]]:
+    """A cube that `write_levels` wrote, and what is kept beside it."""
+    try:
+        meta = {r["name"]: r["value"] for r in spark.read.schema("name string, value string").json(f"{path}/_meta").collect()}  # a few entries
+    except AnalysisException:
+        meta = {}
+    return spark.read.parquet(path), meta
 
 
 def boundary_csv(samples: DataFrame) -> DataFrame:
