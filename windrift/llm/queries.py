@@ -72,7 +72,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from windrift.llm.quality import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents"), keep_columns=["doc_id"])
+    return quality_rules(table(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("longest_repeat")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +95,40 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+# The same results in DuckDB's SQL, where SQL can say them: words, windows and pairs in full, without any of the operators' ways.
+WORDS = r"d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"
+
+
+def windows(name: str, size: int, alone: bool) -> str:
+    """(r, i): where windows of so many words start that occur twice or more, in their text or in all texts."""
+    every = f"SELECT r, i, array_to_string(w[i : i + {size - 1}], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - {size} + 2)) AS i FROM d WHERE len(w) >= {size})"
+    return f"{name} AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY {'r, ' if alone else ''}s) AS n FROM ({every})) WHERE n > 1)"
+
+
+def covered(name: str, source: str, size: int) -> str:
+    return f"{name} AS (SELECT DISTINCT r, unnest(range(i, i + {size})) AS j FROM {source})"
+
+
+REACH = "reach(node, seen) AS (SELECT node, node FROM nodes UNION SELECT reach.node, l.b FROM reach JOIN l ON reach.seen = l.a)"
+
+ORACLES: dict[str, str] = {
+    "op5_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings),
+s AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.93),
+nodes AS (SELECT vec_id AS node FROM v), {REACH}, c AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component AS component_id, vec_id = component AS kept FROM v JOIN c ON node = vec_id LEFT JOIN n ON a = vec_id""",
+    "op7_weighted_minhash_dedup": f"""WITH RECURSIVE {WORDS}, g AS (SELECT r, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5) UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+b AS (SELECT r, s, count(*) AS c FROM g GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM d), f AS (SELECT s, ln(1 + max(n) / greatest(count(*), 1, 0.001 * max(n))) AS f FROM b, n GROUP BY 1), x AS (SELECT r, s, c * f AS w FROM b JOIN f USING (s)),
+t AS (SELECT r, sum(w) AS w FROM x GROUP BY 1), p AS (SELECT a.r AS a, b.r AS b, sum(least(a.w, b.w)) AS m FROM x a JOIN x b ON a.s = b.s AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN t ta ON ta.r = a JOIN t tb ON tb.r = b WHERE m >= 0.8 * (ta.w + tb.w - m) * (1 - 1e-9) UNION SELECT a.r, b.r FROM d a JOIN d b ON a.text = b.text AND a.r <> b.r),
+nodes AS (SELECT r AS node FROM d), {REACH}, c AS (SELECT node, min(doc_id) AS class_id, count(*) AS class_size FROM reach JOIN d ON seen = r GROUP BY 1)
+SELECT doc_id, class_id, class_size, doc_id = class_id AS kept FROM d JOIN c ON node = r""",
+    "op8_recompression_dedup": f"""WITH {WORDS}, {windows('a', 35, False)}, {covered('g', 'a', 35)}, x AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+k AS (SELECT r, string_agg(x, ' ' ORDER BY j) AS kept FROM x ANTI JOIN g USING (r, j) GROUP BY 1), n AS (SELECT r, count(*) AS n FROM g GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)""",
+    "op10_quality_rules": rf"""WITH {WORDS}, {windows('a5', 5, True)}, {covered('g5', 'a5', 5)}, {windows('a8', 8, True)}, {covered('g8', 'a8', 8)}, {windows('a51', 51, True)},
+n5 AS (SELECT r, count(*) AS n5 FROM g5 GROUP BY 1), n8 AS (SELECT r, count(*) AS n8 FROM g8 GROUP BY 1), n51 AS (SELECT DISTINCT r, true AS long FROM a51),
+m AS (SELECT d.*, CAST(len(w) AS BIGINT) AS n, CAST(coalesce(n5, 0) AS BIGINT) AS n5, CAST(coalesce(n8, 0) AS BIGINT) AS n8, coalesce(long, false) AS long, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d LEFT JOIN n5 USING (r) LEFT JOIN n8 USING (r) LEFT JOIN n51 USING (r))
+SELECT doc_id, n AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+n5 AS n_repeat_words, n < 10 OR 100 * n5 > 20 * n AS base_failed, NOT (n < 10 OR 100 * n5 > 20 * n) AND n8 <= 0.15 * n AND NOT long AS kept, n8 AS covered_words FROM m""",
+}
