@@ -72,6 +72,29 @@ def cached_points(cache: DataFrame, number: str, line: str, x0: Column, y0: Colu
     return cells.select((F.col("x0") + F.col("i") * F.col("step")).alias("x"), (F.col("y0") + F.col("j") * F.col("step")).alias("y"), "elevation")
 
 
+def grid_memory(nx: Column, ny: Column, nz: Column, arrays: tuple[int, ...]) -> Column:
+    """Whole megabytes that a grid's arrays take together; arrays: the bytes a cell of each."""
+    return sum((F.floor(nx * ny * nz * b / 1048576) for b in arrays), F.lit(0))
+
+
+def largest_grid(boxes: DataFrame, sides: tuple[str, str, str], memory: Column, arrays: tuple[int, ...], rounds: int = 48) -> DataFrame:
+    """boxes with nx, ny, nz and megabytes: the finest grid in a box's proportions whose arrays fit the memory, by halving the range of its scale."""
+    at = lambda scale: [F.greatest(F.floor(scale * F.col(s)), F.lit(1)).cast("double") for s in sides]
+    volume = F.col(sides[0]) * F.col(sides[1]) * F.col(sides[2])
+    guess = F.cbrt(memory * 1048576.0 / (sum(arrays) * volume))
+    start = F.struct((guess / 2).alias("low"), (guess * 4).alias("high"))
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = (a["low"] + a["high"]) / 2
+        fits = grid_memory(*at(middle), arrays) <= memory
+        return F.struct(F.when(fits, middle).otherwise(a["low"]).alias("low"), F.when(fits, a["high"]).otherwise(middle).alias("high"))
+
+    scale = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)["low"]
+    nx, ny, nz = at(F.col("scale_"))
+    sized = boxes.withColumn("memory_", memory).withColumn("scale_", scale)
+    return sized.select(*boxes.columns, *(n.cast("bigint").alias(c) for n, c in ((nx, "nx"), (ny, "ny"), (nz, "nz"))), grid_memory(nx, ny, nz, arrays).cast("bigint").alias("megabytes"))
+
+
 # ---------------------------------------------------------------- barycentric regrid
 
 

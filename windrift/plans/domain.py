@@ -99,3 +99,18 @@ def barycentric_regrid(spark, sf):
     sources = p.withColumn("val", 2 * F.col("px") - 3 * F.col("py") + 1)
     w = O.barycentric(q, sources).join(sources.select("vec_id", "val"), "vec_id")
     return w.groupBy("qid").agg(F.round(F.sum("weight"), 9).alias("weight"), F.round(F.sum(F.col("weight") * F.col("val")), 6).alias("value"))
+
+
+_CELLS = lambda k: f"(greatest(floor({k} * a), 1) * greatest(floor({k} * b), 1) * greatest(floor({k} * c), 1))"
+_MEGABYTES = lambda k: " + ".join(f"floor({_CELLS(k)} * {b} / 1048576)" for b in (38, 4, 12, 1))
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_size + 1.0::DOUBLE AS a, p_retailprice / 100 AS b, 5.0::DOUBLE AS c, CAST(1000 + p_partkey % 7 * 500 AS DOUBLE) AS m FROM part),
+s(id, a, b, c, m, k, lo, hi) AS (SELECT id, a, b, c, m, 0, cbrt(m * 1048576.0::DOUBLE / (55 * a * b * c)) / 2, cbrt(m * 1048576.0::DOUBLE / (55 * a * b * c)) * 4 FROM p UNION ALL
+SELECT id, a, b, c, m, k + 1, CASE WHEN {_MEGABYTES('((lo + hi) / 2)')} <= m THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_MEGABYTES('((lo + hi) / 2)')} <= m THEN hi ELSE (lo + hi) / 2 END FROM s WHERE k < 48)
+SELECT id, CAST(greatest(floor(lo * a), 1) AS BIGINT) AS nx, CAST(greatest(floor(lo * b), 1) AS BIGINT) AS ny, CAST(greatest(floor(lo * c), 1) AS BIGINT) AS nz, CAST({_MEGABYTES('lo')} AS BIGINT) AS megabytes FROM s WHERE k = 48""")
+def largest_grids(spark, sf):
+    """The finest grid of a box's proportions that a memory budget holds."""
+    k = F.col("p_partkey")
+    boxes = D.read(spark, sf, "part").select(k.alias("id"), (F.col("p_size") + 1.0).alias("a"), (F.col("p_retailprice") / 100).alias("b"), F.lit(5.0).alias("c"), (1000 + k % 7 * 500).cast("double").alias("m"))
+    return O.largest_grid(boxes, ("a", "b", "c"), F.col("m"), (38, 4, 12, 1)).select("id", "nx", "ny", "nz", "megabytes")
