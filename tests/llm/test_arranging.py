@@ -447,3 +447,23 @@ def test_scores_without_rows_or_labels(spark):
     docs, labels = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert score_documents(docs, labels).count() == 1
     assert score_documents(docs.where("doc_id > 1"), labels).count() == 0
+
+
+def test_null_ids_repeated_rows_and_a_very_long_text(spark):
+    """Every operator on documents gives each row its result, whatever its id."""
+    from windrift.llm.quality import quality_rules
+    from windrift.llm.recompression import remove_repeats
+
+    rng = random.Random(11)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    rows = [(None, "one two three"), (None, "one two three"), (None, None), (7, ""), (7, ""), (8, long), (9, "four " * 12)]
+    docs = spark.createDataFrame([(*r, "s", "x", "y") for r in rows], "doc_id bigint, text string, source string, length string, slot string")
+    labels = spark.createDataFrame([(8, 1, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"])
+    ids = sorted(((i is None, i) for i, _ in rows), key=repr)
+    for out in (shard_documents(Scratch(spark), docs, 3), mix_documents(Scratch(spark), docs), score_documents(docs, labels), quality_rules(docs), remove_repeats(Scratch(spark), docs), licenses.scan_licenses(docs)):
+        assert sorted(map(key, out.collect()), key=repr) == ids
+    pieces = pack_documents(Scratch(spark), docs, tokenizer_path()).collect()
+    assert sorted((key(r) for r in pieces if r["piece"] == 0), key=repr) == ids
+    whole = [r for r in pieces if r["doc_id"] == 8]
+    assert sum(r["length"] for r in whole) == len(tokenizer(tokenizer_path())(long)) + 1 and {r["length"] for r in whole if r["piece"]} == {1024}

@@ -89,7 +89,7 @@ def measure(column, rules: Rules) -> dict[str, np.ndarray]:
     breaks = np.flatnonzero(w.buf == 10)
     line_starts = np.unique(np.r_[w.offsets[:-1], breaks + 1])
     line_starts = line_starts[line_starts < len(w.buf)]
-    line_ends = np.r_[line_starts[1:], len(w.buf)].astype(np.int64)
+    line_ends = np.r_[line_starts[1:], len(w.buf)].astype(np.int64)[: len(line_starts)]
     line_ends -= w.buf[line_ends - 1] == 10 if len(line_ends) else 0
     solid = np.r_[0, np.cumsum(w.solid)]
     has = solid[line_ends] > solid[line_starts]
@@ -105,7 +105,7 @@ def measure(column, rules: Rules) -> dict[str, np.ndarray]:
     runs = Runs(w.hashes)
     key = mix(runs.of(at, rules.shingle) ^ mix(text_of_word[at].astype(np.uint64)))
     order = np.argsort(key, kind="stable")
-    equal = np.r_[False, key[order[1:]] == key[order[:-1]]]
+    equal = np.r_[False, key[order[1:]] == key[order[:-1]]][: len(key)]
     twice = equal.copy()
     twice[:-1] |= equal[1:]
     repeated = at[order[twice]]
