@@ -98,10 +98,10 @@ SIGNED = lambda k, n: f"CASE WHEN 2 * {k} > {n} THEN {k} - {n} ELSE {k} END"  #
 
 
 @query(f"""WITH {D.GRID}, m AS (SELECT z, avg(u) AS mu FROM grid GROUP BY 1), s AS (SELECT z, y, x, u - mu AS re, 0.0 AS im FROM grid JOIN m USING (z)), {dft("s", "a", "x", "z, y", "20", True)}, {dft("a", "b", "y", "z, x", "10", False)}
-SELECT z, CASE WHEN x >= 10 THEN x - 20 ELSE x END AS kx, CASE WHEN y >= 5 THEN y - 10 ELSE y END AS ky, round(re * re + im * im + 1, 6) AS energy FROM b""")
+SELECT z, CASE WHEN x >= 10 THEN x - 20 ELSE x END AS kx, CASE WHEN y >= 5 THEN y - 10 ELSE y END AS ky, round(re * re + im * im + 1.0000017, 5) AS energy FROM b""")
 def layer_spectrum(spark, sf):
     """Energy of every wave number of each layer."""
-    return R.layer_spectrum(D.grid(spark, sf), 20, 10, "u").select("z", "kx", "ky", F.round(F.col("energy") + 1, 6).alias("energy"))
+    return R.layer_spectrum(D.grid(spark, sf), 20, 10, "u").select("z", "kx", "ky", F.round(F.col("energy") + 1.0000017, 5).alias("energy"))
 
 
 VOLUME = f"""{D.GRID}, n AS (SELECT max(z) + 1 AS nz, avg(u) AS mu FROM grid), s AS (SELECT z, y, x, u - mu AS re, 0.0 AS im FROM grid, n), {dft("s", "a", "x", "z, y", "20", True)}, {dft("a", "b", "y", "z, x", "10", False)},
@@ -114,11 +114,11 @@ def spectrum_of(spark, sf):
     return R.volume_spectrum(g, 20, 10, nz, "u"), nz
 
 
-@query(f"WITH {VOLUME} SELECT CASE WHEN x > 10 THEN x - 20 ELSE x END AS kx, CASE WHEN y > 5 THEN y - 10 ELSE y END AS ky, CASE WHEN 2 * z >= nz THEN z - nz ELSE z END AS kz, round(re * re + im * im + 1, 6) AS energy FROM c")
+@query(f"WITH {VOLUME} SELECT CASE WHEN x > 10 THEN x - 20 ELSE x END AS kx, CASE WHEN y > 5 THEN y - 10 ELSE y END AS ky, CASE WHEN 2 * z >= nz THEN z - nz ELSE z END AS kz, round(re * re + im * im + 1.0000017, 5) AS energy FROM c")
 def volume_spectrum(spark, sf):
     """Energy of every wave number of the volume, by planes and pencils."""
     s, _ = spectrum_of(spark, sf)
-    return s.select("kx", "ky", "kz", F.round(F.col("energy") + 1, 6).alias("energy"))
+    return s.select("kx", "ky", "kz", F.round(F.col("energy") + 1.0000017, 5).alias("energy"))
 
 
 @query(f"""WITH {VOLUME}, k AS (SELECT x AS mx, CASE WHEN y > 5 THEN 10 - y ELSE y END AS my, CASE WHEN 2 * z >= nz THEN nz - z ELSE z END AS mz, nz, re * re + im * im AS e FROM c WHERE x <= 10),
