@@ -26,30 +26,24 @@ def bracketed(queries: DataFrame, profile: DataFrame, at: str, z: str, value: st
     return joined.select(*queries.columns, held.alias("value"), lo["z"].alias("z_below"), hi["z"].alias("z_above"))
 
 
-def between(samples: Column, at: Column) -> Column:
-    """The value at `at` of sorted samples (z, v): linear between them, held at the ends."""
-    below, above = F.filter(samples, lambda s: s["z"] <= at), F.filter(samples, lambda s: s["z"] > at)
-    lo, hi = F.try_element_at(below, F.lit(-1)), F.try_element_at(above, F.lit(1))
-    return F.when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * (at - lo["z"]) / (hi["z"] - lo["z"]))
-
-
 def two_level(queries: DataFrame, samples: DataFrame, patch: str, a: str, b: str, value: str, at_a: str, at_b: str) -> DataFrame:
     """queries with the value at (at_a, at_b) on their patch: between the two columns around at_a, in each between
     the samples around at_b; held at the ends of either.
 
-    samples: patch, a, b, value. A patch's columns are one axis of a face, a bounded list; columns meet
-    the queries by an equi-join. Queries whose patch has no samples are left out.
+    samples: patch, a, b, value. A patch's columns are one axis of a face, a bounded list; the samples
+    around at_b come from one sorted pass over each column. Queries whose patch has no samples are left out.
     """
-    columns = samples.groupBy(patch, a).agg(F.array_sort(F.collect_list(F.struct(F.col(b).cast("double").alias("z"), F.col(value).cast("double").alias("v")))).alias("samples"))
-    axes = columns.groupBy(patch).agg(F.array_sort(F.collect_list(a)).alias("axis"))
+    axes = samples.groupBy(patch).agg(F.array_sort(F.collect_set(a)).alias("axis"))
     q = queries.withColumn("qid_", F.monotonically_increasing_id()).join(axes, patch)
     x = F.col(at_a)
     lo, hi = F.try_element_at(F.filter("axis", lambda c: c <= x), F.lit(-1)), F.try_element_at(F.filter("axis", lambda c: c > x), F.lit(1))
     t = F.when(lo.isNull() | hi.isNull(), 0.0).otherwise((x - lo) / (hi - lo))
     sides = F.array(F.struct(F.coalesce(lo, hi).alias("a"), (1 - t).alias("w")), F.struct(F.coalesce(hi, lo).alias("a"), t.alias("w")))
-    asked = q.withColumn("side", F.explode(F.filter(sides, lambda s: s["w"] > 0))).drop("axis")
-    met = asked.join(columns.select(F.col(patch).alias("p_"), F.col(a).alias("a_"), "samples"), (F.col(patch) == F.col("p_")) & (F.col("side.a") == F.col("a_")))
-    return met.groupBy("qid_", *queries.columns).agg(F.sum(F.col("side.w") * between(F.col("samples"), F.col(at_b))).alias("value")).drop("qid_")
+    asked = q.withColumn("side_", F.explode(F.filter(sides, lambda s: s["w"] > 0))).drop("axis").withColumns({"p_": F.col(patch), "a_": F.col("side_.a"), "b_": F.col(at_b).cast("double")})
+    met = as_of(asked, samples.select(F.col(patch).alias("p_"), F.col(a).alias("a_"), F.col(b).cast("double").alias("z_"), F.col(value).cast("double").alias("v_")), ["p_", "a_"], "b_", "z_", "v_")
+    c = F.col
+    held = F.when(c("before").isNull(), c("after")).when(c("after").isNull(), c("before")).otherwise(c("before") + (c("after") - c("before")) * (c("b_") - c("before_at")) / (c("after_at") - c("before_at")))
+    return met.groupBy("qid_", *queries.columns).agg(F.sum(c("side_.w") * held).alias("value")).drop("qid_")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str) -> DataFrame:
