@@ -15,7 +15,7 @@ KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, r = QUERIES[name](spark, SF), duck.sql(ORACLES[name])
     columns = sorted(df.columns)

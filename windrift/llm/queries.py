@@ -75,6 +75,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("longest_repeat")
 
 
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from windrift.llm.interaction import filter_interactions
+
+    return filter_interactions(Scratch(spark), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +98,7 @@ QUERIES = {
     "op8_recompression_dedup": op8_recompression_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "op13_filter_interaction": op13_filter_interaction,
     "pipeline": pipeline,
 }
 
@@ -131,4 +138,17 @@ n5 AS (SELECT r, count(*) AS n5 FROM g5 GROUP BY 1), n8 AS (SELECT r, count(*) A
 m AS (SELECT d.*, CAST(len(w) AS BIGINT) AS n, CAST(coalesce(n5, 0) AS BIGINT) AS n5, CAST(coalesce(n8, 0) AS BIGINT) AS n8, coalesce(long, false) AS long, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d LEFT JOIN n5 USING (r) LEFT JOIN n8 USING (r) LEFT JOIN n51 USING (r))
 SELECT doc_id, n AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
 n5 AS n_repeat_words, n < 10 OR 100 * n5 > 20 * n AS base_failed, NOT (n < 10 OR 100 * n5 > 20 * n) AND n8 <= 0.15 * n AND NOT long AS kept, n8 AS covered_words FROM m""",
+    "op13_filter_interaction": rf"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), x AS (SELECT doc_id, part, t, len(w) AS n, len(list_distinct(w)) AS u FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, n < 200 AS a, 100 * u < 50 * n AS b, 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM x LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, good, toxic, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails FROM f),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY 1, 2),
+o(o) AS (SELECT '' UNION ALL SELECT o || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE length(o) < 5 AND NOT contains(o, c)),
+s AS (SELECT o AS filter_order, k AS step, o[k] AS c, o[1 : k - 1] AS before FROM o, (SELECT unnest(range(1, 6)) AS k) WHERE length(o) = 5),
+r AS (SELECT part, filter_order, step, c, contains(fails, c) AS here, before <> '' AND regexp_matches(fails, '[' || before || '-]') AS gone, fails = c AS alone, n, good, toxic FROM g, s),
+z AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, c, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (here AND gone), 0) AS redundant,
+  coalesce(sum(n) FILTER (alone), 0) AS unique_fails, coalesce(sum(good) FILTER (here AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (here AND NOT gone), 0) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM z""",
 }
