@@ -75,6 +75,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), keep_columns=["doc_id"]).drop("longest_repeat")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from windrift.llm.whitening import whitened
+
+    return whitened(Scratch(spark), table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from windrift.llm.interaction import filter_interactions
 
@@ -98,6 +104,7 @@ QUERIES = {
     "op8_recompression_dedup": op8_recompression_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
     "op13_filter_interaction": op13_filter_interaction,
     "pipeline": pipeline,
 }
