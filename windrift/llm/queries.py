@@ -81,6 +81,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened(Scratch(spark), table(spark, sf_dir, "embeddings"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from windrift.llm.neighbours import search
+
+    return search(Scratch(spark), table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from windrift.llm.interaction import filter_interactions
 
@@ -105,6 +111,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
     "op11_whitening": op11_whitening,
+    "op12_neighbours": op12_neighbours,
     "op13_filter_interaction": op13_filter_interaction,
     "pipeline": pipeline,
 }
