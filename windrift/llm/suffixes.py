@@ -13,8 +13,12 @@ text are united.
 Neighbours share most to the right. Where a seed has more suffixes than neighbours are compared, a
 match that lies mostly to the left is found by sorting again: for each number of words r to the
 right, suffixes with equal r words after and equal min_words - seed - r words before the seed.
-Seeds at more than `crowd` places are too many for one task: the windows around them are counted
-over the corpus instead, each named by two hashes of all its words.
+Seeds at more than `crowd` places are too many for one task: the windows around them stand for
+their matches.
+
+Neighbours are compared by 16 bits a word, which finds every match and now and then one too many. So
+each window of `min_words` words within a match is named by 128 bits over all its words and counted
+over the corpus: only windows that occur more than once are left, and they alone make the runs.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import types as T
 
 from windrift.llm.common import Scratch, arrow_schema, partitions_of, record, slices
 from windrift.llm.repeats import same_text, uid, with_groups
-from windrift.llm.tallies import ints_of, repeated
+from windrift.llm.tallies import ask, ints_of, packed, repeated, unpacked
 from windrift.llm.words import Runs, Words, mix, names128
 
 
@@ -116,7 +120,7 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, rules: Passages = Passa
     """One row for each maximal run of repeated words of a row: doc_id, start_word, end_word, n_words, partner_doc_id.
 
     A passage counts from `min_words` words on, repeated in another row or the same. The partner is
-    a row that holds a part of the run. Copies of a whole text give one run over all their words.
+    a row that holds the run's first `min_words` words. Copies of a whole text give one run over all their words.
     Null, empty and short texts give nothing; neither do texts without a repeat. A null doc_id is a
     row like others; as a partner it shows only where no other row will do.
     """
@@ -174,7 +178,7 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, rules: Passages = Passa
     ordered = texts.select("uid", "doc_id", "text", "starts", "crowded").mapInArrow(suffixes, suffix)
     ordered = ordered.repartition(parts, "key").sortWithinPartitions("key", "after", "before", "uid", "place")
 
-    span = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("partner", id_type)])
+    span = T.StructType([T.StructField("uid", T.LongType()), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())])
     span_arrow = arrow_schema(span)
 
     def compare(batches):
@@ -186,15 +190,17 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, rules: Passages = Passa
             wide = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist()), ">u2").reshape(n, reach)
             left, right, partner = matches(run, wide("after"), wide("before"), rules.neighbours)
             hit = np.flatnonzero(partner >= 0)
-            place, ids = t.column("place").to_numpy().astype(np.int64), t.column("doc_id").combine_chunks()
-            yield from pa.table({"uid": t.column("uid").take(hit), "doc_id": ids.take(hit), "from": (place - left)[hit].astype(np.int32), "to": (place + rules.seed + right)[hit].astype(np.int32), "partner": ids.take(partner[hit])}, schema=span_arrow).combine_chunks().to_batches()
+            place = t.column("place").to_numpy().astype(np.int64)
+            yield record(span_arrow, uid=t.column("uid").take(hit).combine_chunks(), **{"from": (place - left)[hit].astype(np.int32), "to": (place + rules.seed + right)[hit].astype(np.int32)})
 
-        held = None  # the last seed's suffixes so far
+        held = None
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
             key = t.column("key").to_numpy()
+            # Whole seeds only: the last one may go on in the next batch.
             whole = int(np.searchsorted(key, key[-1], "left"))
             if whole:
                 yield from found(t.slice(0, whole))
@@ -202,69 +208,64 @@ def repeated_passages(scratch: Scratch, docs: DataFrame, rules: Passages = Passa
         if held is not None:
             yield from found(held)
 
-    # Windows around crowded seeds.
-    def crowded_windows(b):
+    def around(batches):
+        for b in batches:
+            some = [ints_of(v)[ints_of(c, np.uint8) > 0] for v, c in zip(b.column("starts").to_pylist(), b.column("crowded").to_pylist(), strict=True)]
+            place = np.concatenate(some) if some else np.empty(0, np.int64)
+            row = np.repeat(np.arange(len(some)), [len(p) for p in some])
+            yield record(span_arrow, uid=b.column("uid").take(row), **{"from": np.maximum(place - reach, 0).astype(np.int32), "to": (place + rules.seed + reach).astype(np.int32)})
+
+    crowds = chosen.where(F.instr(F.hex("crowded"), "01") > 0).mapInArrow(around, span)
+    # A text's spans are no more than its minimisers, so a row's list is bounded by its text.
+    spans = scratch.save(ordered.mapInArrow(compare, span).unionByName(crowds).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("spans")))
+
+    # Matches compare words by 16 bits. Every window of a match is now named by 128 bits over all its
+    # words; those that occur once only go, and what is left is whole.
+    run = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("names", T.BinaryType())])
+    run_arrow = arrow_schema(run)
+
+    def windows(b):
         w = Words(b.column("text"))
         near = np.zeros(w.n + 1, np.int64)
-        for i, (v, c) in enumerate(zip(b.column("starts").to_pylist(), b.column("crowded").to_pylist(), strict=True)):
-            p = ints_of(v)[ints_of(c, np.uint8) > 0]
-            np.add.at(near, w.bounds[i] + np.maximum(p - reach, 0), 1)
-            np.add.at(near, w.bounds[i] + p + 1, -1)
+        flat = b.column("spans").flatten()
+        text = np.repeat(np.arange(b.num_rows), b.column("spans").value_lengths().to_numpy(zero_copy_only=False))
+        low, high = (w.bounds[text] + flat.field(c).to_numpy(zero_copy_only=False) for c in ("from", "to"))
+        high = np.maximum(np.minimum(high, w.bounds[text + 1]) - rules.min_words + 1, low)
+        np.add.at(near, low, 1)
+        np.add.at(near, high, -1)
         at = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (w.words_left() >= rules.min_words))
         text = w.text_index()[at]
-        place = at - w.bounds[text]
-        return names128(w.hashes, at, rules.min_words), text, place, np.ones(len(at), np.int64), place
-
-    held = texts.where(F.instr(F.hex("crowded"), "01") > 0)
-    around = repeated(scratch, held.select("uid", "text", "starts", "crowded"), crowded_windows, width=2)
-    crowds = scratch.save(around.select("uid", F.col("starts").alias("windows")).dropDuplicates(["uid"]))
-
-    crowd_row = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType()), T.StructField("key", T.LongType())])
-    crowd_arrow = arrow_schema(crowd_row)
-
-    def spans_of(batches):
-        for b in slices(batches):
-            w = Words(b.column("text"))
-            names = Runs(w.hashes)
-            out: list[tuple] = []
-            for i, (v, c, win) in enumerate(zip(b.column("starts").to_pylist(), b.column("crowded").to_pylist(), b.column("windows").to_pylist(), strict=True)):
-                s, p = ints_of(win), ints_of(v)[ints_of(c, np.uint8) > 0]
-                cut = np.flatnonzero(np.r_[True, s[1:] > s[:-1] + rules.min_words])
-                for a, z in zip(s[cut], s[np.r_[cut[1:], len(s)] - 1] + rules.min_words, strict=True):
-                    seed = p[min(int(np.searchsorted(p, a)), len(p) - 1)]
-                    out.append((i, a, z, int(names.of(np.array([w.bounds[i] + seed]), rules.seed).astype(np.int64)[0])))
-            if out:
-                i, a, z, key = (np.array(x, np.int64) for x in zip(*out, strict=True))
-                yield record(crowd_arrow, uid=b.column("uid").take(i), doc_id=b.column("doc_id").take(i), **{"from": a.astype(np.int32), "to": z.astype(np.int32)}, key=key)
-
-    in_crowds = scratch.save(held.join(crowds, "uid").select("uid", "doc_id", "text", "starts", "crowded", "windows").mapInArrow(spans_of, crowd_row))
-    told = with_groups(scratch, in_crowds, ["key"], {"one": F.min("doc_id"), "two": F.max("doc_id")})
-    told = told.select("uid", "doc_id", "from", "to", F.when(F.col("one").eqNullSafe(F.col("doc_id")), F.col("two")).otherwise(F.col("one")).alias("partner"))
-    spans = ordered.mapInArrow(compare, span).unionByName(told)
-
-    # A text's spans are no more than its minimisers, so a row's list is bounded by its text.
-    found_spans = spans.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("from", "to", "partner"))).alias("spans"))
-    result = T.StructType([T.StructField("uid", T.LongType()), T.StructField("doc_id", id_type), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("partner_doc_id", id_type)])
-    result_arrow = arrow_schema(result)
-
-    def merge(batches):
+        names = names128(w.hashes, at, rules.min_words)
+        ids = np.frombuffer(packed(pa.RecordBatch.from_arrays([b.column("doc_id")], ["doc_id"])), np.uint8)
+        return names, np.ones(len(at), np.uint32), (b.column("uid").to_numpy(zero_copy_only=False), ids, text.astype(np.uint32), (at - w.bounds[text]).astype(np.int32), names)
+
+    def runs_of(_, arrays, values):
+        uids, ids, text, place, names = arrays
+        some = np.flatnonzero(values[:, 0])
+        if not len(some):
+            return
+        t, p, names = text[some].astype(np.int64), place[some].astype(np.int64), names[some]
+        cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (p[1:] > p[:-1] + rules.min_words)])
+        ends = np.r_[cut[1:], len(t)]
+        yield record(run_arrow, uid=uids[t[cut]], doc_id=unpacked(ids).column(0).take(pa.array(t[cut])), start_word=p[cut], end_word=p[ends - 1] + rules.min_words, a=names[cut, 0].view(np.int64), b=names[cut, 1].view(np.int64), names=pa.array([names[a:z].tobytes() for a, z in zip(cut, ends, strict=True)], pa.binary()))
+
+    runs = ask(scratch, base.join(spans, "uid").select("uid", "doc_id", "text", "spans"), windows, runs_of, run, lambda sums: (sums > 1).astype(np.int64), width=2)
+
+    # A partner is a row that holds the run's first window too.
+    named = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("doc_id", id_type)])
+    named_arrow = arrow_schema(named)
+
+    def every_name(batches):
         for b in batches:
-            out: list[tuple] = []
-            for i, some in enumerate(b.column("spans").to_pylist()):
-                low = high = partner = None
-                for s in some:
-                    if high is None or s["from"] > high:
-                        if high is not None:
-                            out.append((i, low, high, partner))
-                        low, high, partner = s["from"], s["to"], s["partner"]
-                    else:
-                        high = max(high, s["to"])
-                        partner = min((p for p in (partner, s["partner"]) if p is not None), default=None)
-                out.append((i, low, high, partner))
-            if out:
-                i, low, high, partner = zip(*out, strict=True)
-                yield record(result_arrow, uid=b.column("uid").take(pa.array(i)), doc_id=b.column("doc_id").take(pa.array(i)), start_word=np.array(low, np.int64), end_word=np.array(high, np.int64), partner_doc_id=pa.array(partner, result_arrow.field("partner_doc_id").type))
-
-    runs = found_spans.mapInArrow(merge, result).join(copied.select("uid"), "uid", "left_anti").drop("uid")
-    whole = copied.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"), F.col("partner").alias("partner_doc_id"))
-    return runs.unionByName(whole).select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "partner_doc_id")
+            some = [np.frombuffer(v, np.int64).reshape(-1, 2) for v in b.column("names").to_pylist()]
+            if some:
+                a, z = np.concatenate(some).T
+                yield record(named_arrow, a=a, b=z, doc_id=b.column("doc_id").take(np.repeat(np.arange(len(some)), [len(v) for v in some])))
+
+    holders = scratch.save(runs.select("doc_id", "names").mapInArrow(every_name, named).groupBy("a", "b").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("two"), F.max(F.col("doc_id").isNull()).alias("nameless")))
+    told = runs.select("uid", "doc_id", "start_word", "end_word", "a", "b").join(holders.hint("merge"), ["a", "b"]).join(copied.select("uid"), "uid", "left_anti")
+    own = lambda c: F.col(c).eqNullSafe(F.col("doc_id"))
+    partner = F.when(own("one") & ~(own("two") & F.col("nameless")), F.col("two")).when(~own("one"), F.col("one")).alias("partner")
+    whole = copied.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("words").alias("end_word"), "partner")
+    every = told.select("doc_id", "start_word", "end_word", partner).unionByName(whole)
+    return every.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), F.col("partner").alias("partner_doc_id"))
