@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrift.llm.common import Scratch, arrow_schema, in_order, record
+from windrift.llm.common import Scratch, arrow_schema, in_order, partitions_of, record
 from windrift.llm.whitening import by_length, sound
 from windrift.llm.words import mix
 
@@ -298,7 +298,7 @@ def search(scratch: Scratch, vectors: DataFrame, is_query: Column, how: Search =
 
     def nearest(asking: DataFrame) -> DataFrame:
         """Candidates of the queries (q, radius): those of planned buckets; a null radius asks for every row."""
-        planned = asking.where("radius IS NOT NULL").join(queries, "q").select("q", "embedding", "radius").mapInArrow(probing, ask_schema)
+        planned = asking.where("radius IS NOT NULL").join(queries, "q").select("q", "embedding", "radius").repartition(partitions_of(scratch.spark), "q").mapInArrow(probing, ask_schema)
         asked = scratch.save(planned)
         every = asked.where("bucket IS NULL").select("q").union(asking.where("radius IS NULL").select("q"))
         some = asked.join(where, "bucket").select("q", "bucket", F.explode(F.sequence("first", "last")).alias("block")).groupBy("block", "q").agg(F.collect_set("bucket").alias("buckets"))
