@@ -1,15 +1,18 @@
 """Mixing sources to target weights, by blocks of words.
 
 Each source's documents, in order of doc_id, form one stream of words, cut into blocks of `block`
-words. The blocks that the mix wants of a source are dealt over the output shards by a multinomial
-draw of its own, seeded by the source, so every source meets its target in full and a shard's counts
-differ from their shares only by chance. Slot j of a source maps to a block through a pseudorandom
-permutation of the block numbers, a new one each time the source is used up, so a source taken t
-times gives each block floor(t) or ceil(t) times. Slots and the documents' shares of blocks meet by
-a join on the block number.
-
-Sources are a table like the rest, of any length: their ranks, targets and draws are Spark jobs, and
-the driver sees sums over all of them only.
+words. The output is `shards` shards of equally many slots. Each shard in turn draws how many of its
+slots each source fills, from a multinomial whose probabilities are what the sources are still owed;
+so what one shard drew too little or too much of a source the next ones tend to make up, and a source
+ends off its target by what one shard's draw is off only. A source never gets more slots than `limit`
+times its blocks: what a draw has beyond that is drawn again among the others. Slot j of a source maps
+to a block through a pseudorandom permutation of the block numbers, a new one each time the source is
+used up, so a source taken t times gives each block floor(t) or ceil(t) times. Slots and the
+documents' shares of blocks meet by a join on the block number.
+
+Sources are a table like the rest, of any length. A multinomial over groups of sources, then one
+within each group, is one over all sources: the driver draws for groups of `few_sources`, tasks within
+them, and the driver sees sums of groups only.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ class Mix:
     shards: int = 40
     seed: int = 17
     chunk: int = 1 << 16  # slots that are mapped to blocks at a time
-    few_sources: int = 100_000  # up to so many, the table of sources is sent to every task
+    few_sources: int = 100_000  # up to so many, the table of sources is sent to every task; so many draw together
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -58,6 +61,26 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def drawn_counts(owed: np.ndarray, most: np.ndarray, per_shard: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """[shards, sources]: how many of per_shard[i] slots each source fills in shard i; no source more than `most` over all.
+
+    The sum of per_shard must not exceed that of most.
+    """
+    owed, room = owed.astype(float), most.astype(np.int64)
+    out = np.zeros((len(per_shard), len(owed)), np.int64)
+    for i, wanted in enumerate(per_shard):
+        while wanted:
+            chance = np.where(room > 0, np.maximum(owed, 0), 0)
+            if not chance.sum() > 0:  # all are paid: the rest goes where there is room
+                chance = room.astype(float)
+            drawn = np.minimum(rng.multinomial(wanted, chance / chance.sum()), room)
+            out[i] += drawn
+            owed -= drawn
+            room -= drawn
+            wanted -= int(drawn.sum())
+    return out
+
+
 class Plan:
     """The rows in stream order, the sources' plan, and how often the mix takes each block."""
 
@@ -100,8 +123,9 @@ class Plan:
             unit = new
         target = F.when(most < unit, (F.col("source_size") * limit).cast("double")).otherwise(F.col("weight") * unit)
         blocks = F.ceil(F.col("source_size") / b)
-        slots = F.when(F.col("source_size") > 0, F.least(F.rint(F.col("target") * blocks / F.col("source_size")).cast("long"), blocks * limit)).otherwise(0)
-        return weighed.withColumn("target", target).withColumn("blocks", blocks.cast("long")).withColumn("slots", slots.cast("long"))
+        # What the target is in blocks, and the most blocks that the mix may take.
+        owed = F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0)
+        return weighed.withColumn("target", target).withColumn("blocks", blocks.cast("long")).withColumn("owed", owed)
 
     def drawn(self) -> DataFrame:
         """One row for each block that the mix takes: (source_no, block, out_shard)."""
@@ -109,18 +133,28 @@ class Plan:
         chunks = T.StructType([T.StructField(c, T.LongType()) for c in ("source_no", "blocks", "seed", "out_shard", "first", "n")])
         out = T.StructType([T.StructField("source_no", T.LongType()), T.StructField("block", T.LongType()), T.StructField("out_shard", T.IntegerType())])
         chunks_arrow, out_arrow = arrow_schema(chunks), arrow_schema(out)
-
-        def deal(batches):
-            for b in batches:
-                for no, blocks, slots, seed in zip(*(b.column(c).to_pylist() for c in ("source_no", "blocks", "slots", "seed")), strict=True):
-                    counts = np.random.default_rng([mix.seed, seed % (1 << 63)]).multinomial(slots, np.full(mix.shards, 1 / mix.shards))
-                    pieces = -(-counts // mix.chunk)
-                    shard = np.repeat(np.arange(mix.shards), pieces)
-                    nth = np.arange(len(shard)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                    first = (np.cumsum(counts) - counts)[shard] + nth * mix.chunk
-                    n = np.minimum(counts[shard] - nth * mix.chunk, mix.chunk)
-                    same = lambda v: np.full(len(shard), v, np.int64)  # noqa: B023, E731
-                    yield record(chunks_arrow, source_no=same(no), blocks=same(blocks), seed=same(seed), out_shard=shard, first=first, n=n)
+        spark = self.sources.sparkSession
+        grouped = self.sources.withColumn("team", F.floor(F.col("source_no") / max(1, mix.few_sources)))
+        teams = grouped.groupBy("team").agg(F.sum("owed").alias("owed"), F.sum(F.col("blocks") * mix.limit).alias("most")).orderBy("team").collect()
+        owed, most = np.array([t["owed"] for t in teams]), np.array([t["most"] for t in teams], np.int64)
+        total = min(int(np.rint(owed.sum())), int(most.sum()))
+        share = total // mix.shards + (np.arange(mix.shards) < total % mix.shards)
+        counts = drawn_counts(owed, most, share, np.random.default_rng([mix.seed, 0]))
+        drawn = spark.createDataFrame([(t["team"], counts[:, i].tolist()) for i, t in enumerate(teams)], "team bigint, share array<bigint>")
+
+        def deal(t: pa.Table) -> pa.Table:
+            """The slots of a team's sources, shard by shard, in chunks of slots."""
+            t = t.sort_by("source_no")
+            no, blocks, seed = (t.column(c).to_numpy() for c in ("source_no", "blocks", "seed"))
+            rng = np.random.default_rng([mix.seed, 1, t.column("team")[0].as_py()])
+            own = drawn_counts(t.column("owed").to_numpy(), blocks * mix.limit, np.array(t.column("share")[0].as_py(), np.int64), rng)
+            shard, source = np.nonzero(own)
+            n = own[shard, source]
+            start = (np.cumsum(own, axis=0) - own)[shard, source]
+            pieces = -(-n // mix.chunk)
+            nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            shard, source, n, start = (np.repeat(v, pieces) for v in (shard, source, n, start))
+            return pa.table({"source_no": no[source], "blocks": blocks[source], "seed": seed[source], "out_shard": shard, "first": start + nth * mix.chunk, "n": np.minimum(n - nth * mix.chunk, mix.chunk)}, schema=chunks_arrow)
 
         def place(batches):
             for b in batches:
@@ -132,8 +166,9 @@ class Plan:
                     key = (np.uint64(mix.seed) + seed[at].view(np.uint64) + (j // blocks[at]).astype(np.uint64)) * np.uint64(0x94D049BB133111EB)
                     yield record(out_arrow, source_no=no[at], block=permuted(j % blocks[at], blocks[at], key), out_shard=shard[at].astype(np.int32))
 
-        dealt = self.sources.where("slots > 0").select("source_no", "blocks", "slots", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("seed")).mapInArrow(deal, chunks)
-        return dealt.repartition(partitions_of(dealt.sparkSession), "source_no", "first").mapInArrow(place, out)
+        named = grouped.select("team", "source_no", "blocks", "owed", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("seed"))
+        dealt = named.join(drawn, "team").groupBy("team").applyInArrow(deal, chunks)
+        return dealt.repartition(partitions_of(spark), "source_no", "first").mapInArrow(place, out)
 
     def placed(self) -> DataFrame:
         """The rows with their source's plan. The table of sources is sent along only where it is short."""
@@ -156,15 +191,19 @@ class Plan:
 
 
 def mix_documents(scratch: Scratch, docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words of the row that the mix takes, repeats counted).
+    """doc_id, size, source_size, target, taken (words of the row that the mix takes, repeats counted) and shards: how many of these go to each output shard.
 
     Null text has size 0; null is a source of its own, the last. Repeated rows are rows of their own.
+    A row of which nothing is taken has an empty list of shards.
     """
     plan = Plan(scratch, docs, mix)
-    taken = plan.pieces().join(plan.uses(), ["source_no", "block"]).groupBy("at").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    slots = plan.slots.groupBy("source_no", "block", "out_shard").agg(F.count("*").alias("uses")).hint("merge")
+    each = plan.pieces().join(slots, ["source_no", "block"]).groupBy("at", "out_shard").agg(F.sum(F.col("words") * F.col("uses")).alias("words"))
+    # No more entries than shards.
+    taken = each.groupBy("at").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list(F.struct("out_shard", "words"))).alias("shards"))
     rows = plan.placed().select("doc_id", "size", "source_size", "target", "at")
     # Both sides have a row for each document: a sorted join at any size.
-    return rows.join(taken.hint("merge"), "at", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(taken.hint("merge"), "at", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.array().cast("array<struct<out_shard:int,words:bigint>>")).alias("shards"))
 
 
 def mixed_texts(scratch: Scratch, docs: DataFrame, mix: Mix = Mix()) -> DataFrame:

@@ -36,7 +36,9 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from windrift.llm.mixing import mix_documents
 
-    return mix_documents(Scratch(spark), table(spark, sf_dir, "documents"))
+    out = mix_documents(Scratch(spark), table(spark, sf_dir, "documents"))
+    shards = F.concat_ws(",", F.transform("shards", lambda s: F.concat(s["out_shard"].cast("string"), F.lit(":"), s["words"].cast("string"))))
+    return out.select("doc_id", "size", "source_size", "target", "taken", shards.alias("taken_by_shard"))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
