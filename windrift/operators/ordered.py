@@ -26,6 +26,14 @@ def carried(parts: DataFrame, **sums: str) -> DataFrame:
     return parts.select("part", *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"before_{k}") for k, c in sums.items()))
 
 
+def numbered(df: DataFrame, order: list) -> DataFrame:
+    """df with `at`: how many rows come before each one in the order, which must tell rows apart."""
+    rows = in_ranges(df, *order)
+    before = carried(rows.groupBy("part").agg(F.count("*").alias("n")), n="n")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return rows.withColumn("own", own).join(F.broadcast(before), "part").withColumn("at", F.col("own") + F.col("before_n")).drop("part", "own", "before_n")
+
+
 def running_total(df: DataFrame, order: list, value: str) -> DataFrame:
     """df with `upto`: the sum of value over all rows up to and with each one, and `whole`, that over all. Ties of order share it."""
     rows = in_ranges(df, *order)
