@@ -21,7 +21,7 @@ def query(oracle: str | None):
 
 
 def load() -> None:
-    from windrift.plans import aggregation, domain, files, joining, outputs, projection, regridding, sequence, streams, tables  # noqa: F401
+    from windrift.plans import aggregation, domain, files, joining, outlines, outputs, projection, regridding, sequence, streams, tables  # noqa: F401
 
 
 load()
