@@ -13,7 +13,7 @@ from windrift.llm.common import Scratch, components
 from windrift.llm.embeddings import near_duplicates
 from windrift.llm.language_model import Language, score_documents
 from windrift.llm.mixing import Mix, Plan, drawn_counts, mix_documents, mixed_texts, permuted
-from windrift.llm.packing import Pack, best_fit, complete_bins, dominated, fillings, lower_bound, pack_counts, pack_documents, tokenizer
+from windrift.llm.packing import Pack, best_fit, complete_bins, completed, dominated, fillings, improved, lower_bound, pack_counts, pack_documents, tokenizer
 from windrift.llm.queries import tokenizer_path
 from windrift.llm.sharding import shard_documents
 
@@ -289,11 +289,40 @@ def test_completion_is_never_above_best_fit_and_tells_its_gap():
     for seed in range(6):
         sizes = np.random.default_rng(seed).integers(200, 690, 400)
         counts = {int(s): int(n) for s, n in zip(*np.unique(sizes, return_counts=True), strict=True)}
-        got = complete_bins(counts, Pack(nodes=300))
+        got = complete_bins(counts, Pack(nodes=300, rounds=300))
         assert got.bound <= got.sequences <= sum(m for _, m in best_fit(counts, 1024))
         assert got.proved or got.nodes == 300
 
 
+def test_packing_beats_best_fit_by_far():
+    """Two thousand sizes of which nearly three go in a sequence: best fit needs 740, no packing less than 690."""
+    rng = np.random.default_rng(1)
+    counts = dict(Counter(rng.integers(200, 501, 2000).tolist()))
+    got = complete_bins(counts, Pack(nodes=200))
+    held = Counter()
+    for contents, many in got.patterns:
+        assert sum(s * n for s, n in contents) <= 1024
+        for s, n in contents:
+            held[s] += n * many
+    assert held == Counter(counts) and got.sequences == sum(m for _, m in got.patterns) <= 700 and got.bound >= 690
+    assert got.sequences == complete_bins(counts, Pack(nodes=200)).sequences
+
+
+def test_exchanges_keep_every_piece_and_never_lengthen():
+    rng, draw = np.random.default_rng(2), random.Random(2)
+    for _ in range(20):
+        counts = dict(Counter(rng.integers(1, 60, rng.integers(1, 80)).tolist()))
+        start = best_fit(counts, 100)
+        for new in (completed(counts, 100, draw, 1), completed(counts, 100, draw, 8), improved(start, 100, lower_bound(counts, 100), 200, draw)):
+            held = Counter()
+            for contents, many in new:
+                assert sum(s * n for s, n in contents) <= 100
+                for s, n in contents:
+                    held[s] += n * many
+            assert held == Counter(counts)
+        assert lower_bound(counts, 100) <= sum(m for _, m in new) <= sum(m for _, m in start)
+
+
 def test_undominated_fillings():
     assert list(fillings({5: 1, 3: 1, 2: 1}, 6)) == [(1, ((5, 1),))]  # 3 and 2 together are no more than 5
     assert dominated(((3, 1),), {3: 1, 4: 1}, 1) and not dominated(((3, 1),), {3: 1, 5: 1}, 1)

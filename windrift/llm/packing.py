@@ -5,20 +5,27 @@ So the pieces' sizes are counted by Spark, the counts (at most `capacity` rows,
 size) are packed on the driver, and the result is a list of patterns with multiplicities. Each
 piece then finds its place by its rank among the pieces of its size.
 
-The packing: best-fit decreasing gives the incumbent. Bin completion takes the largest size left
+The packing: best-fit decreasing gives the first incumbent. Bin completion takes the largest size left
 and enumerates, by waste, the fillings of the room beside it that no other filling dominates: none
 of a filling's pieces, alone or some together, could make way for one piece left over that is no
 smaller and fits. It branches on each filling in turn and on how many sequences take it, most first,
 and comes back to every branch not yet closed. A branch is cut when the sequences so far and a lower
-bound of the rest do not beat the incumbent. The search ends with a proof, when the incumbent meets
-the lower bound or no branch is open, or when its budget of nodes is spent; `Packed` says which, and
-how far the lower bound lies.
+bound of the rest do not beat the incumbent. The tree is left when the incumbent meets the lower
+bound, no branch is open, or its budget of nodes is spent.
+
+If a gap is left, the incumbent is improved in its neighbourhood: some sequences, wasteful ones
+rather, are emptied and their pieces completed anew around documents drawn at random, each filling one
+of least waste. The new sequences are kept if they are fewer, or if they gather the waste in fewer of
+them; where they help, all sequences of the same patterns are exchanged together. `Packed` says
+whether the result is proved, and how far the lower bound lies.
 """
 
 from __future__ import annotations
 
 import base64
+import random
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,7 +42,9 @@ from windrift.llm.common import Scratch, arrow_schema, in_order, record, slices
 class Pack:
     capacity: int = 1024
     end_id: int = 2
-    nodes: int = 4_000  # branches the search may open before it settles for its best packing
+    nodes: int = 4_000  # branches the tree may open
+    rounds: int = 20_000  # times that sequences of the incumbent are completed anew
+    seed: int = 6
 
 
 # ---------------------------------------------------------------- tokens
@@ -207,6 +216,91 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return int(max(-(-int(mass[-1]) // capacity), (alone + large + np.maximum(0, -(-(small - room) // capacity))).max()))
 
 
+def least_waste(left: dict[int, int], room: int, order: list[int]) -> dict[int, int]:
+    """A filling of room of least waste. Of several, it has as few as can be of the sizes that come first in order."""
+    sizes = [s for s in order if s <= room and left.get(s)]
+    full, sums = (1 << (room + 1)) - 1, [1]
+    for s in reversed(sizes):
+        reach, some, step = sums[-1], min(left[s], room // s), 1
+        while some > 0:
+            step = min(step, some)
+            reach |= (reach << (s * step)) & full
+            some, step = some - step, 2 * step
+        sums.append(reach)
+        if reach >> room & 1:
+            break
+    used, goal, out = sizes[len(sizes) - len(sums) + 1 :], sums[-1].bit_length() - 1, {}
+    for i, s in enumerate(used):
+        rest = sums[len(used) - 1 - i]
+        while not rest >> goal & 1:
+            goal -= s
+            out[s] = out.get(s, 0) + 1
+    return out
+
+
+def completed(counts: dict[int, int], capacity: int, rng: random.Random, share: int) -> list[Pattern]:
+    """A packing by completion around documents drawn at random; a filling is taken a share-th as often as it could be."""
+    left, order, out = dict(counts), list(counts), []
+    while left:
+        keys = list(left)
+        order = [s for s in order if s in left]
+        rng.shuffle(order)
+        s = rng.choices(keys, [left[k] * k for k in keys])[0]
+        need = least_waste(left | {s: left[s] - 1}, capacity - s, order)
+        need[s] = need.get(s, 0) + 1
+        many = max(1, min(left[k] // n for k, n in need.items()) // share)
+        for k, n in need.items():
+            left[k] -= n * many
+            if not left[k]:
+                del left[k]
+        out.append((tuple(sorted(need.items(), reverse=True)), many))
+    return out
+
+
+def improved(patterns: list[Pattern], capacity: int, bound: int, rounds: int, rng: random.Random) -> list[Pattern]:
+    """The packing after up to `rounds` exchanges of a few of its sequences for better ones; it never gets longer."""
+    fill = lambda contents: sum(s * n for s, n in contents)
+    have: Counter = Counter()
+    for contents, many in patterns:
+        have[tuple(sorted(contents, reverse=True))] += many
+    total, names = sum(have.values()), []
+    for turn in range(rounds):
+        if total <= bound:
+            break
+        if turn % 200 == 0:
+            names = [c for c, n in have.items() if n > 0]
+            often = [min(have[c], 50) for c in names]
+            waste = [(capacity - fill(c)) * n for c, n in zip(names, often, strict=True)]
+        k = rng.randint(4, 12)
+        pick: Counter = Counter()
+        for c in rng.choices(names, waste if any(waste) else often, k=k // 2) + rng.choices(names, often, k=k - k // 2):
+            if have[c] > pick[c]:
+                pick[c] += 1
+        if not pick:
+            continue
+        pieces: Counter = Counter()
+        for c, n in pick.items():
+            for s, times in c:
+                pieces[s] += times * n
+        new = completed(pieces, capacity, rng, 1 << 60)
+        fewer = sum(pick.values()) - sum(n for _, n in new)
+        gain = sum(fill(c) ** 2 * n for c, n in new) - sum(fill(c) ** 2 * n for c, n in pick.items())
+        if fewer < 0 or (fewer == 0 and gain < 0):
+            continue
+        times = max(1, min(have[c] // n for c, n in pick.items()) // 2) if fewer or gain else 1
+        times = min(times, (total - bound) // fewer) if fewer else times
+        for c, n in pick.items():
+            have[c] -= n * times
+        for c, n in new:
+            if have[c] <= 0:
+                names.append(c)
+                often.append(1)
+                waste.append(capacity - fill(c))
+            have[c] += n * times
+        total -= fewer * times
+    return [(c, n) for c, n in have.items() if n > 0]
+
+
 @dataclass(frozen=True)
 class Packed:
     patterns: list[Pattern]
@@ -255,7 +349,15 @@ def complete_bins(counts: dict[int, int], pack: Pack = Pack()) -> Packed:
         elif used + many + lower_bound(left, pack.capacity) < most:
             path.append((pattern, many))
             stack.append((branches(left, key), used + many))
-    return Packed(best, most, bound, most <= bound or not stack, opened)
+    proved = most <= bound or not stack
+    if not proved:
+        rng = random.Random(pack.seed)
+        other = completed(counts, pack.capacity, rng, 8) if len(counts) < 512 else best
+        if sum(m for _, m in other) < most:
+            best = other
+        best = improved(best, pack.capacity, bound, pack.rounds, rng)
+        most = sum(m for _, m in best)
+    return Packed(best, most, bound, proved or most <= bound, opened)
 
 
 def pack_counts(counts: dict[int, int], pack: Pack = Pack()) -> list[Pattern]:
