@@ -37,9 +37,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one of smallest doc_id; of rows equal in id and text one."""
+    """One document of each class of near-duplicates: the one of smallest doc_id; of rows equal in id and text the one whose other columns come first."""
     kept = near_duplicate_classes(Scratch(spark), docs.select("doc_id", "text")).where("kept").select("uid").distinct()
-    return docs.select(uid().alias("uid"), F.struct(*docs.columns).alias("row")).join(kept, "uid").dropDuplicates(["uid"]).select("row.*")
+    others = F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("_")))
+    rows = docs.select(uid().alias("uid"), F.struct(*docs.columns).alias("row"), others.alias("others")).join(kept, "uid")
+    return rows.groupBy("uid").agg(F.min_by("row", "others").alias("row")).select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
