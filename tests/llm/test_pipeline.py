@@ -133,4 +133,4 @@ def test_stages_of_an_empty_table(spark, empty):
 def test_registered_queries_have_their_names():
     from windrift.llm.queries import QUERIES
 
-    assert {f"op{k}" for k in range(1, 11)} | {"pipeline"} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{k}" for k in range(1, 14)} | {"pipeline"} == {n.split("_")[0] for n in QUERIES}
