@@ -34,7 +34,9 @@ def two_level(queries: DataFrame, samples: DataFrame, patch: str, a: str, b: str
     around at_b come from one sorted pass over each column. Queries whose patch has no samples are left out.
     """
     axes = samples.groupBy(patch).agg(F.array_sort(F.collect_set(a)).alias("axis"))
-    q = queries.withColumn("qid_", F.monotonically_increasing_id()).join(axes, patch)
+    checkpoint_folder(queries.sparkSession)
+    # Numbered once: a checkpoint keeps the numbers when a lost task runs again.
+    q = queries.withColumn("qid_", F.monotonically_increasing_id()).checkpoint().join(axes, patch)
     x = F.col(at_a)
     lo, hi = F.try_element_at(F.filter("axis", lambda c: c <= x), F.lit(-1)), F.try_element_at(F.filter("axis", lambda c: c > x), F.lit(1))
     t = F.when(lo.isNull() | hi.isNull(), 0.0).otherwise((x - lo) / (hi - lo))
@@ -47,17 +49,35 @@ def two_level(queries: DataFrame, samples: DataFrame, patch: str, a: str, b: str
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str) -> DataFrame:
-    """left with the right value at or before `at` and the one after, for equal keys: one sorted pass over both."""
+    """left with the right value at or before `at` and the one after, for equal keys: one sorted pass over both.
+
+    Rows of both sides are dealt by ranges of (keys, time), so a key of any size spreads over tasks.
+    Within a range the last value seen from either end is carried along; where a key goes on in
+    further ranges, the last and first values of each range are carried over them: two keys a range.
+    Null keys are a key of their own.
+    """
     both = left.select(*keys, F.col(at).alias("t"), F.lit(1).alias("side"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.schema[value].dataType).alias("v"), F.lit(None).cast(right.schema[right_at].dataType).alias("vt")).unionByName(
         right.select(*keys, F.col(right_at).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("row")).schema["row"].dataType).alias("row"), F.col(value).alias("v"), F.col(right_at).alias("vt"))
     )
-    w = Window.partitionBy(*keys).orderBy("t", "side")
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = in_ranges(both, *keys, "t", "side")
+    w = Window.partitionBy("part", *keys).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
     # The next value is the last one seen from the other end, so either frame only grows.
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("part", *keys).orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
     one = F.when(F.col("side") == 0, F.struct("vt", "v"))
-    found = both.withColumn("before", F.last(one, ignorenulls=True).over(back)).withColumn("after", F.last(one, ignorenulls=True).over(ahead))
-    return found.where("side = 1").select("row.*", F.col("before.v").alias("before"), F.col("before.vt").alias("before_at"), F.col("after.v").alias("after"), F.col("after.vt").alias("after_at"))
+    found = rows.withColumn("before", F.last(one, ignorenulls=True).over(w)).withColumn("after", F.last(one, ignorenulls=True).over(ahead))
+
+    # Only the first and the last key of a range can go on beyond it.
+    key = F.struct(*keys)
+    edges = rows.groupBy("part").agg(F.min(key).alias("a"), F.max(key).alias("b")).select("part", F.explode(F.array_distinct(F.array("a", "b"))).alias("key"))
+    there = rows.withColumn("key", key).join(F.broadcast(edges.select(F.col("part").alias("_range"), F.col("key").alias("_key"))), (F.col("part") == F.col("_range")) & F.col("key").eqNullSafe(F.col("_key")))
+    order = F.when(F.col("side") == 0, F.col("t"))
+    ends = there.groupBy("part", "key").agg(F.max_by(F.struct("vt", "v"), order).alias("last"), F.min_by(F.struct("vt", "v"), order).alias("first"))
+    some = lambda c: F.when(F.col(c).isNotNull() & F.col(f"{c}.vt").isNotNull(), F.col(c))
+    over = Window.partitionBy("key").orderBy("part")
+    passed = ends.select(F.col("part").alias("_range"), F.col("key").alias("_key"), F.last(some("last"), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first(some("first"), ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    met = found.where("side = 1").join(F.broadcast(passed), (F.col("part") == F.col("_range")) & key.eqNullSafe(F.col("_key")), "left")
+    met = met.select("row", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"))
+    return met.select("row.*", F.col("before.v").alias("before"), F.col("before.vt").alias("before_at"), F.col("after.v").alias("after"), F.col("after.vt").alias("after_at"))
 
 
 def buckets(x: Column, y: Column, size: float, ring: int = 0) -> Column:
@@ -117,15 +137,21 @@ def overlapping(boxes: DataFrame, size: float) -> DataFrame:
 def bilinear(queries: DataFrame, cells: DataFrame, fx: Column, fy: Column, value: str) -> DataFrame:
     """queries with the value at fractional indices (fx, fy), from the four cells around; held inside the grid by the caller.
 
-    cells: x, y and value. One join by cell: each query asks for its four corners with their weights.
+    cells: x, y and value, once each. Every cell first learns its three neighbours up, so each query
+    asks one row for all its corners and stays a row of its own, however often it repeats. Corners of
+    no weight are not needed; of the others those that are missing count nothing, and queries that
+    miss them all are left out.
     """
-    x0, y0 = F.floor(fx), F.floor(fy)
-    tx, ty = fx - x0, fy - y0
-    corner = lambda i, j, w: F.struct((x0 + i).cast("bigint").alias("x"), (y0 + j).cast("bigint").alias("y"), w.alias("weight"))
-    corners = F.array(corner(0, 0, (1 - tx) * (1 - ty)), corner(1, 0, tx * (1 - ty)), corner(0, 1, (1 - tx) * ty), corner(1, 1, tx * ty))
-    asked = queries.withColumn("c", F.explode(F.filter(corners, lambda c: c["weight"] > 0)))
-    met = asked.join(cells.select(F.col("x").alias("cx"), F.col("y").alias("cy"), F.col(value).alias("cell")), (F.col("c.x") == F.col("cx")) & (F.col("c.y") == F.col("cy")))
-    return met.groupBy(*queries.columns).agg(F.sum(F.col("c.weight") * F.col("cell")).alias("value"))
+    steps = [(i, j) for j in (0, 1) for i in (0, 1)]
+    corner = F.explode(F.array(*(F.struct((F.col("x") - i).cast("bigint").alias("cx"), (F.col("y") - j).cast("bigint").alias("cy"), F.lit(f"v{i}{j}").alias("name")) for i, j in steps)))
+    seen = cells.select(corner.alias("c"), F.col(value).alias("v"))
+    squares = seen.groupBy("c.cx", "c.cy").agg(*(F.max(F.when(F.col("c.name") == f"v{i}{j}", F.col("v"))).alias(f"v{i}{j}") for i, j in steps))
+    asked = queries.withColumns({"x0_": F.floor(fx), "y0_": F.floor(fy)}).withColumns({"tx_": fx - F.col("x0_"), "ty_": fy - F.col("y0_")})
+    met = asked.join(squares, (F.col("x0_") == F.col("cx")) & (F.col("y0_") == F.col("cy")))
+    weight = {(i, j): (F.col("tx_") if i else 1 - F.col("tx_")) * (F.col("ty_") if j else 1 - F.col("ty_")) for i, j in steps}
+    there = [F.when((weight[k] > 0) & F.col(f"v{k[0]}{k[1]}").isNotNull(), weight[k] * F.col(f"v{k[0]}{k[1]}")) for k in steps]
+    total = sum((F.coalesce(t, F.lit(0.0)) for t in there[1:]), F.coalesce(there[0], F.lit(0.0)))
+    return met.where(F.coalesce(*there).isNotNull()).select(*queries.columns, total.alias("value"))
 
 
 def bilinear_within(queries: DataFrame, cells: DataFrame, fx: Column, fy: Column, value: str, nx: int, ny: int) -> DataFrame:

@@ -176,9 +176,9 @@ class Edges:
         return np.where(back[:, None], right, left), np.where(back[:, None], left, right)
 
 
-def rings_around(edges: Edges, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
+def rings_around(place: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[list[int]]:
     """Simple rings (corner numbers) of directed edges that have the inside on their left."""
-    d = edges.place[end] - edges.place[start]
+    d = place[end] - place[start]
     angle = np.arctan2(d[:, 1], d[:, 0])
     leaving: dict[int, list[int]] = {}
     for e, v in enumerate(start.tolist()):
@@ -229,6 +229,27 @@ def around(point: np.ndarray, ring: np.ndarray) -> bool:
     return bool((((point[1] - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0]) + a[:, 0]) > point[0]).sum() % 2)
 
 
+def assembled(steps: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[Polygon]:
+    """Polygons of directed edges between corners that have the inside on their left: outlines with their holes, closed."""
+    found = []
+    for numbers in rings_around(place, start, end):
+        numbers = np.array(numbers)
+        numbers = numbers[without_flat(steps[numbers])]
+        if len(numbers) > 2:
+            ring = place[numbers]
+            ring = np.roll(ring, -int(np.lexsort((ring[:, 1], ring[:, 0]))[0]), axis=0)
+            found.append((area(ring), ring))
+    outer = sorted((f for f in found if f[0] > 0), key=lambda f: (f[1][0, 0], f[1][0, 1], f[0]))
+    out = [[ring] for _, ring in outer]
+    for size, hole in sorted((f for f in found if f[0] < 0), key=lambda f: (f[1][0, 0], f[1][0, 1])):
+        middle = (hole[0] + hole[1]) / 2
+        home = [k for k, (a, r) in enumerate(outer) if a > -size and (r.min(axis=0) <= middle).all() and (middle <= r.max(axis=0)).all() and around(middle, r)]
+        if home:
+            out[min(home, key=lambda k: outer[k][0])].append(hole)
+    closed = lambda r: np.concatenate([r, r[:1]])
+    return [[closed(r) for r in p] for p in out]
+
+
 def overlay(rings: list[np.ndarray], layers: list[int], inside: Callable[[np.ndarray], np.ndarray]) -> list[Polygon]:
     """The polygons where inside(windings [n, layers]) holds. A ring may be closed or not, and run either way."""
     fine = []
@@ -246,23 +267,7 @@ def overlay(rings: list[np.ndarray], layers: list[int], inside: Callable[[np.nda
     on_left, on_right = inside(left), inside(right)
     edge = np.flatnonzero(on_left != on_right)
     start, end = np.where(on_left[edge], e.a[edge], e.b[edge]), np.where(on_left[edge], e.b[edge], e.a[edge])
-    found = []
-    for numbers in rings_around(e, start, end):
-        numbers = np.array(numbers)
-        numbers = numbers[without_flat(e.steps[numbers])]
-        if len(numbers) > 2:
-            ring = e.place[numbers]
-            ring = np.roll(ring, -int(np.lexsort((ring[:, 1], ring[:, 0]))[0]), axis=0)
-            found.append((area(ring), ring))
-    outer = sorted((f for f in found if f[0] > 0), key=lambda f: (f[1][0, 0], f[1][0, 1], f[0]))
-    out = [[ring] for _, ring in outer]
-    for size, hole in sorted((f for f in found if f[0] < 0), key=lambda f: (f[1][0, 0], f[1][0, 1])):
-        middle = (hole[0] + hole[1]) / 2
-        home = [k for k, (a, r) in enumerate(outer) if a > -size and (r.min(axis=0) <= middle).all() and (middle <= r.max(axis=0)).all() and around(middle, r)]
-        if home:
-            out[min(home, key=lambda k: outer[k][0])].append(hole)
-    closed = lambda r: np.concatenate([r, r[:1]])
-    return [[closed(r) for r in p] for p in out]
+    return assembled(e.steps, e.place, start, end)
 
 
 def simple(polygon: Polygon) -> list[Polygon]:

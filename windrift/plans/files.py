@@ -81,3 +81,28 @@ def netcdf_case_files(spark, sf):
         part = part.select(F.lit(f"case{c}").alias("case"), "rows", "total", F.lit(os.path.basename(name)).alias("file"))
         out = part if out is None else out.union(part)
     return out if out is not None else spark.createDataFrame([], "case string, rows bigint, total double, file string")
+
+
+@query("""WITH c AS (SELECT event_id // 20 AS r, event_id % 20 AS c, event_id // 140 * 4 + event_id % 20 // 5 AS block, value FROM events), n AS (SELECT max(r) + 1 AS rows FROM c),
+b AS (SELECT block, min(r) AS r0, min(value) AS low, count(*) AS all_cells, count(*) FILTER (r % 7 = 3 AND c % 5 = 2) AS holes FROM c GROUP BY 1)
+SELECT round(low + block * 1000, 6) AS elevation, all_cells - holes AS cells, CAST(1 + holes AS INTEGER) AS rings, round((all_cells - holes) * 30.0 * 30.0, 3)::DOUBLE AS area, CAST(500000 + block % 4 * 150 AS DOUBLE) AS west, CAST(4000000 - r0 * 30 AS DOUBLE) AS north FROM b
+UNION ALL SELECT round(value - 1000000 - event_id, 6), 1, 1, 900.0, CAST(500000 + (event_id % 20) * 30 AS DOUBLE), CAST(4000000 - (event_id // 20) * 30 AS DOUBLE) FROM events WHERE event_id // 20 % 7 = 3 AND event_id % 5 = 2""")
+def raster_regions(spark, sf):
+    """A raster of blocks of equal elevation, each around a cell of its own, written in compressed tiles, read back and cut to outlines; each region comes back once, whatever tiles it lies across."""
+    from windrift.operators.geometry import footprint_area
+    from windrift.operators.regions import regions
+    from windrift.sources.geotiff import GeotiffSource, meta, tiled
+
+    spark.dataSource.register(GeotiffSource)
+    path = f"{shared_folder(spark)}/terrain.tif"
+    i = F.col("event_id")
+    cells = D.read(spark, sf, "events").select(F.expr("event_id div 20").alias("row"), (i % 20).alias("col"), (F.expr("event_id div 140") * 4 + F.expr("event_id % 20 div 5")).alias("block"), "event_id", "value")
+    low = cells.groupBy("block").agg(F.min("value").alias("low"))
+    middle = (F.col("row") % 7 == 3) & (F.col("col") % 5 == 2)
+    planted = cells.join(low, "block").select("row", "col", F.when(middle, F.col("value") - 1000000 - F.col("event_id")).otherwise(F.col("low") + F.col("block") * 1000).alias("value"))
+    rows = (cells.agg(F.max("row")).first()[0] or 0) + 1
+    tiled(planted, 16).write.format("geotiff").option("size", f"{rows},20").option("tile", 16).option("origin", "500000,4000000").option("spacing", "30,30").option("epsg", 32650).mode("append").save(path)
+    raster = spark.read.format("geotiff").load(path).where("value <> -9999")
+    out = regions(raster, 64, meta(path)["transform"])
+    points = F.col("rings")[0]
+    return out.select(F.round("value", 6).alias("elevation"), "cells", F.size("rings").alias("rings"), F.round(footprint_area(F.col("rings")), 3).alias("area"), F.array_min(F.transform(points, lambda p: p["x"])).alias("west"), F.array_max(F.transform(points, lambda p: p["y"])).alias("north"))
