@@ -38,3 +38,37 @@ def test_as_of_with_one_hot_key(spark, parts):
         want.append((i, low[-1] if low else (None, None), high[0] if high else (None, None)))
     got = [(r["id"], (r["before_at"], r["before"]), (r["after_at"], r["after"])) for r in out]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def uneven(rng, n):
+    """Nine of ten places in one square of a thousandth of the extent, some of them in one point."""
+    dense = rng.random((n * 9 // 10, 2)) * 1e-3 + 0.4
+    dense[:40] = dense[0]
+    return np.concatenate([dense, rng.random((n - len(dense), 2))])
+
+
+@pytest.mark.parametrize("k,crowd", [(1, 8), (5, 16), (12, 512)])
+def test_nearest_among_uneven_places(spark, k, crowd):
+    rng = np.random.default_rng(k)
+    p, q = uneven(rng, 1500), np.concatenate([uneven(rng, 150), [[9.0, -3.0], [0.4005, 0.4005]]])
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "vec_id bigint, px double, py double")
+    asked = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(q)], "qid bigint, qx double, qy double")
+    got = {(r["qid"], r["rank"]): (r["vec_id"], r["distance"]) for r in J.k_nearest(asked, points, k, crowd).collect()}
+    for i, v in enumerate(q):
+        d = np.sqrt((p[:, 0] - v[0]) * (p[:, 0] - v[0]) + (p[:, 1] - v[1]) * (p[:, 1] - v[1]))
+        for rank, at in enumerate(np.lexsort((np.arange(len(p)), d))[:k]):
+            assert got[i, rank + 1] == (at, pytest.approx(d[at], abs=1e-15))
+    assert len(got) == k * len(q)
+
+
+def test_dense_squares_are_split(spark):
+    """No leaf holds more than the crowd but those of one place, and queries meet few leaves."""
+    from windrift.operators.quadtree import candidates, tree
+
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(uneven(rng, 4000))], "vec_id bigint, px double, py double")
+    t = tree(points, 32)
+    leaves = t.places.groupBy("level", "sx", "sy").agg(F.count("*").alias("n"), F.count_distinct("px").alias("distinct")).collect()
+    assert sum(r["n"] for r in leaves) == 4000 and all(r["n"] <= 32 or r["distinct"] == 1 for r in leaves)
+    asked = points.select(F.col("vec_id").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy"))
+    assert candidates(t, asked, 5).groupBy("qid").count().agg(F.max("count")).first()[0] <= 40

@@ -29,7 +29,7 @@ def nearest(p, q, k):
 
 def test_kriging_is_the_solved_system(plane, asked):
     df, p, v = plane
-    got = dict(regrid.kriging(asked[0], df, "val", 12, 0.05, 0.3).collect())
+    got = dict(regrid.kriging(asked[0], df, "val", 12, 0.3).collect())
     for i, q in enumerate(asked[1]):
         at, d = nearest(p, q, 12)
         a = np.ones((13, 13))
@@ -40,7 +40,7 @@ def test_kriging_is_the_solved_system(plane, asked):
 
 
 def test_least_squares_meet_a_quadratic(plane, asked):
-    got = dict(regrid.moving_least_squares(asked[0], plane[0], "val", 24, 0.05).collect())
+    got = dict(regrid.moving_least_squares(asked[0], plane[0], "val", 24).collect())
     for i, (x, y) in enumerate(asked[1]):
         assert got[i] == pytest.approx(2 * x - 3 * y + 1 + x * y, abs=1e-5)
 
@@ -110,10 +110,10 @@ def test_clip_to_a_triangle():
 
 def test_nearest_joins_with_nothing_to_find(spark, plane, asked):
     none = plane[0].where("vec_id < 0")
-    assert joins.k_nearest(asked[0], none, 3, 0.1).count() == 0
-    assert joins.k_nearest(asked[0].where("qid < 0"), plane[0], 3, 0.1).count() == 0
+    assert joins.k_nearest(asked[0], none, 3).count() == 0
+    assert joins.k_nearest(asked[0].where("qid < 0"), plane[0], 3).count() == 0
     lost = spark.createDataFrame([(1, None, 0.5), (2, float("nan"), 0.5), (3, 9e3, 9e3)], asked[0].schema)
-    assert {r["qid"] for r in joins.k_nearest(lost, plane[0], 2, 0.1).collect()} == {3}
+    assert {r["qid"] for r in joins.k_nearest(lost, plane[0], 2).collect()} == {3}
 
 
 def test_components_with_lone_nodes(spark):

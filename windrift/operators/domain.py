@@ -177,7 +177,7 @@ def barycentric(queries: DataFrame, columns: DataFrame, size: float | None = Non
     checkpoint_folder(spark)
     away = outside_hull(queries, columns)
     lone = queries.where(away)
-    done = k_nearest(lone, columns, 1, size).select("qid", "vec_id", F.lit(1.0).alias("weight"))
+    done = k_nearest(lone, columns, 1).select("qid", "vec_id", F.lit(1.0).alias("weight"))
     open_ = queries.where(~away).select("qid", "qx", "qy").checkpoint()
 
     def locate(asked: pd.DataFrame, near: pd.DataFrame, size: float) -> pd.DataFrame:

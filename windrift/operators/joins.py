@@ -1,6 +1,6 @@
 """Joins by nearness: bracketing, nearest, k nearest, overlap, tolerance and grid cells.
 
-None compares all pairs: values are bracketed by sorting, places are met through square buckets.
+None compares all pairs: values are bracketed by sorting, boxes meet in square buckets, places through a quad-tree.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from windrift.operators.graph import checkpoint_folder
 from windrift.operators.ordered import carried, in_ranges
+from windrift.operators.quadtree import candidates, tree
 
 
 def bracketed(queries: DataFrame, profile: DataFrame, at: str, z: str, value: str) -> DataFrame:
@@ -80,44 +81,21 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     return met.select("row.*", F.col("before.v").alias("before"), F.col("before.vt").alias("before_at"), F.col("after.v").alias("after"), F.col("after.vt").alias("after_at"))
 
 
-def buckets(x: Column, y: Column, size: float, ring: int = 0) -> Column:
-    """The bucket of a place, or the buckets within `ring` of it."""
-    bx, by = F.floor(x / size), F.floor(y / size)
-    if not ring:
-        return F.struct(bx.alias("bx"), by.alias("by"))
-    steps = [F.lit(k) for k in range(-ring, ring + 1)]
-    return F.flatten(F.transform(F.array(*steps), lambda i: F.transform(F.array(*steps), lambda j: F.struct((bx + i).alias("bx"), (by + j).alias("by")))))
-
-
-def k_nearest(queries: DataFrame, points: DataFrame, k: int, size: float, ring: int = 1) -> DataFrame:
+def k_nearest(queries: DataFrame, points: DataFrame, k: int, crowd: int = 512) -> DataFrame:
     """(qid, vec_id, distance, rank): the k nearest points of each query; ties go to the lower vec_id.
 
-    queries: qid, qx, qy; points: vec_id, px, py. Queries meet points in the buckets within `ring`.
-    A result is exact when its k-th distance is at most ring * size; the queries for which it is
-    not are taken again with twice the size, until none is left, so thin places cost more rounds
-    and dense ones never meet far points. Rows without a place are left out.
+    queries: qid, qx, qy; points: vec_id, px, py. Points lie in the leaves of a quad-tree, `crowd` in
+    each at most (unless they share a place), however uneven they are; a query meets the points of the
+    few leaves that can hold its nearest, and nothing else. Rows without a place are left out.
     """
     placed = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
-    points, queries = points.where(placed("px", "py")), queries.where(placed("qx", "qy"))
-    k = min(k, points.count())
-    if not k:
+    points, queries = points.select("vec_id", "px", "py").where(placed("px", "py")), queries.where(placed("qx", "qy"))
+    squares = tree(points, crowd)
+    if squares is None:
         return queries.select("qid", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank")).where("false")
-    checkpoint_folder(points.sparkSession)
-    done, open_ = None, queries
-    while True:
-        own = points.withColumn("b", buckets(F.col("px"), F.col("py"), size))
-        asked = open_.withColumn("b", F.explode(buckets(F.col("qx"), F.col("qy"), size, ring)))
-        d = F.sqrt((F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy")))
-        met = asked.join(own, "b").select("qid", "vec_id", d.alias("distance"))
-        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
-        sure = ranked.groupBy("qid").agg(F.count("*").alias("n"), F.max("distance").alias("far")).where((F.col("n") == k) & (F.col("far") <= ring * size)).select("qid")
-        # Each round is cut by a checkpoint, else its plan would hold the rounds before it twice.
-        good = ranked.join(sure, "qid", "left_semi").checkpoint()
-        done = good if done is None else done.unionByName(good)
-        open_ = open_.join(good.select("qid").distinct(), "qid", "left_anti").checkpoint()
-        if open_.isEmpty():
-            return done
-        size *= 4
+    d = F.sqrt((F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy")))
+    met = candidates(squares, queries, k).join(squares.places, ["level", "sx", "sy"]).select("qid", "vec_id", d.alias("distance"))
+    return met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
 
 
 def overlapping(boxes: DataFrame, size: float) -> DataFrame:

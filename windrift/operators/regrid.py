@@ -17,9 +17,9 @@ from windrift.operators.joins import bracketed, k_nearest
 from windrift.operators.sequences import reflected
 
 
-def inverse_distance(queries: DataFrame, points: DataFrame, value: str, k: int, size: float, power: float = 2.0, floor: float = 1e-10) -> DataFrame:
+def inverse_distance(queries: DataFrame, points: DataFrame, value: str, k: int, power: float = 2.0, floor: float = 1e-10) -> DataFrame:
     """(qid, value): mean of the k nearest by 1 / distance^power."""
-    near = k_nearest(queries, points.select("vec_id", "px", "py"), k, size, 2).join(points.select("vec_id", value), "vec_id")
+    near = k_nearest(queries, points.select("vec_id", "px", "py"), k).join(points.select("vec_id", value), "vec_id")
     w = 1 / F.pow(F.greatest("distance", F.lit(floor)), power)
     return near.groupBy("qid").agg((F.sum(w * F.col(value)) / F.sum(w)).alias("value"))
 
@@ -52,9 +52,9 @@ def vertical(columns: DataFrame, keys: list[str], z: str, value: str, levels: li
     return asked.select(*keys, "level", F.when(lo.isNull(), hi["v"]).when(hi.isNull(), lo["v"]).otherwise(lo["v"] + (hi["v"] - lo["v"]) * (F.col("level") - lo["z"]) / (hi["z"] - lo["z"])).alias("value"))
 
 
-def terrain_surface(nodes: DataFrame, points: DataFrame, value: str, k: int, size: float, sigma: float, scale: float = 1.0, power: float = 2.0) -> DataFrame:
+def terrain_surface(nodes: DataFrame, points: DataFrame, value: str, k: int, sigma: float, scale: float = 1.0, power: float = 2.0) -> DataFrame:
     """(x, y, value) over a grid of nodes (qid, x, y, qx, qy): inverse distances, Gaussian smoothing, no negatives, from 0 up, scaled."""
-    raw = inverse_distance(nodes.select("qid", "qx", "qy"), points, value, k, size, power).join(nodes.select("qid", "x", "y"), "qid").select("x", "y", "value")
+    raw = inverse_distance(nodes.select("qid", "qx", "qy"), points, value, k, power).join(nodes.select("qid", "x", "y"), "qid").select("x", "y", "value")
     return surface(reflected(reflected(raw, "x", ["y"], "value", sigma), "y", ["x"], "value", sigma), "value", scale).select("x", "y", "value")
 
 
@@ -114,8 +114,8 @@ def mode_sum(points: DataFrame, modes: DataFrame, t: float | Column) -> DataFram
 # ---------------------------------------------------------------- dense solves
 
 
-def _neighbourhoods(queries: DataFrame, points: DataFrame, value: str, k: int, size: float) -> DataFrame:
-    near = k_nearest(queries, points.select("vec_id", "px", "py"), k, size, 2).join(points.select("vec_id", "px", "py", value), "vec_id").join(queries, "qid")
+def _neighbourhoods(queries: DataFrame, points: DataFrame, value: str, k: int) -> DataFrame:
+    near = k_nearest(queries, points.select("vec_id", "px", "py"), k).join(points.select("vec_id", "px", "py", value), "vec_id").join(queries, "qid")
     rows = near.groupBy("qid").agg(F.first("qx").alias("qx"), F.first("qy").alias("qy"), F.array_sort(F.collect_list(F.struct("rank", "px", "py", F.col(value).alias("v")))).alias("s"))
     return rows.select("qid", "qx", "qy", F.transform("s", lambda s: s["px"]).alias("xs"), F.transform("s", lambda s: s["py"]).alias("ys"), F.transform("s", lambda s: s["v"]).alias("vs"))
 
@@ -147,7 +147,7 @@ def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return out
 
 
-def kriging(queries: DataFrame, points: DataFrame, value: str, k: int, size: float, reach: float) -> DataFrame:
+def kriging(queries: DataFrame, points: DataFrame, value: str, k: int, reach: float) -> DataFrame:
     """(qid, value): ordinary kriging of the k nearest points with an exponential variogram of the given reach.
 
     A point at the query is taken as it is; equal values give that value; results stay within the
@@ -166,7 +166,7 @@ def kriging(queries: DataFrame, points: DataFrame, value: str, k: int, size: flo
         out = np.clip((w * v).sum(axis=1), v.min(axis=1), v.max(axis=1))
         return np.where(d0.min(axis=1) <= 1e-10, v[np.arange(m), d0.argmin(axis=1)], out)
 
-    return _solved(_neighbourhoods(queries, points, value, k, size), system)
+    return _solved(_neighbourhoods(queries, points, value, k), system)
 
 
 def _quadratic(dx: np.ndarray, dy: np.ndarray, v: np.ndarray, w: np.ndarray, ridge: float) -> np.ndarray:
@@ -177,7 +177,7 @@ def _quadratic(dx: np.ndarray, dy: np.ndarray, v: np.ndarray, w: np.ndarray, rid
     return _solve(a, np.einsum("rni,rn->ri", mw, v))[:, 0]
 
 
-def moving_least_squares(queries: DataFrame, points: DataFrame, value: str, k: int, size: float, ridge: float = 1e-9) -> DataFrame:
+def moving_least_squares(queries: DataFrame, points: DataFrame, value: str, k: int, ridge: float = 1e-9) -> DataFrame:
     """(qid, value): a quadratic fitted to the k nearest points with Wendland weights, a little regularised.
 
     A fit that leaves the neighbours' range by more than half of it has weights below zero that
@@ -194,10 +194,10 @@ def moving_least_squares(queries: DataFrame, points: DataFrame, value: str, k: i
         over = np.maximum(np.maximum(fit - high, low - fit) - 0.5 * (high - low), 0)
         return np.where(np.isfinite(fit), fit + (mean - fit) * over / np.maximum(over + high - low, 1e-300), mean)
 
-    return _solved(_neighbourhoods(queries, points, value, k, size), system)
+    return _solved(_neighbourhoods(queries, points, value, k), system)
 
 
-def face_fit(queries: DataFrame, samples: DataFrame, value: str, k: int = 64, size: float = 0.05) -> DataFrame:
+def face_fit(queries: DataFrame, samples: DataFrame, value: str, k: int = 64) -> DataFrame:
     """(qid, value): a quadratic over the k nearest samples of the query's own face, by Gaussian weights.
 
     queries: qid, face, qx, qy; samples: vec_id, face, px, py and value, places within the face. The
@@ -219,7 +219,7 @@ def face_fit(queries: DataFrame, samples: DataFrame, value: str, k: int = 64, si
     faces = [r[0] for r in samples.select("face").distinct().orderBy("face").collect()]  # the six sides of a box
     out = None
     for f in faces:
-        one = _solved(_neighbourhoods(queries.where(F.col("face") == f), samples.where(F.col("face") == f), value, k, size), system)
+        one = _solved(_neighbourhoods(queries.where(F.col("face") == f), samples.where(F.col("face") == f), value, k), system)
         out = one if out is None else out.unionByName(one)
     return out if out is not None else queries.select("qid", F.lit(None).cast("double").alias("value")).where("false")
 

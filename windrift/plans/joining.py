@@ -51,14 +51,14 @@ def knn_queries(spark, sf):
 @query(f"WITH {KNN} SELECT qid, vec_id, round(distance, 9) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12")
 def k_nearest(spark, sf):
     """The twelve nearest samples."""
-    return J.k_nearest(knn_queries(spark, sf), D.points(spark, sf), 12, 0.02, 2).select("qid", "vec_id", F.round("distance", 9).alias("distance"), "rank")
+    return J.k_nearest(knn_queries(spark, sf), D.points(spark, sf), 12).select("qid", "vec_id", F.round("distance", 9).alias("distance"), "rank")
 
 
 @query(f"WITH {KNN} SELECT qid, vec_id, val FROM r WHERE rank = 1")
 def nearest(spark, sf):
     """The nearest sample's value."""
     p = D.points(spark, sf)
-    return J.k_nearest(knn_queries(spark, sf), p, 1, 0.02, 1).join(p.select("vec_id", "val"), "vec_id").select("qid", "vec_id", "val")
+    return J.k_nearest(knn_queries(spark, sf), p, 1).join(p.select("vec_id", "val"), "vec_id").select("qid", "vec_id", "val")
 
 
 OVERLAPS = f"{D.BOXES}, o AS (SELECT a.vec_id AS a, b.vec_id AS b FROM boxes a JOIN boxes b ON a.vec_id < b.vec_id AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1)"

@@ -11,7 +11,7 @@ from windrift.plans.registry import query
 @query(f"WITH {KNN}, w AS (SELECT qid, val, 1 / pow(greatest(distance, 1e-10), 2) AS w FROM r WHERE rank <= 12) SELECT qid, round(sum(w * val) / sum(w), 6) AS value FROM w GROUP BY 1")
 def inverse_distance(spark, sf):
     """Means by inverse distance."""
-    return R.inverse_distance(knn_queries(spark, sf), D.points(spark, sf), "val", 12, 0.02).select("qid", F.round("value", 6).alias("value"))
+    return R.inverse_distance(knn_queries(spark, sf), D.points(spark, sf), "val", 12).select("qid", F.round("value", 6).alias("value"))
 
 
 @query(f"""WITH {D.GRID}, a AS (SELECT i, CAST(least(floor(i * 19.0 / 30), 18) AS BIGINT) AS lo, i * 19.0 / 30 - least(floor(i * 19.0 / 30), 18) AS t FROM range(31) r(i)), b AS (SELECT i, CAST(least(floor(i * 9.0 / 14), 8) AS BIGINT) AS lo, i * 9.0 / 14 - least(floor(i * 9.0 / 14), 8) AS t FROM range(15) r(i)),
@@ -68,7 +68,7 @@ def boundary_fields(spark, sf):
 
     def closest(face):
         q = face.withColumn("qid", (c("z") * 10 + c("y")) * 20 + c("x"))
-        near = k_nearest(q.select("qid", (c("y") * 0.02 - 0.1).alias("qx"), (c("z") * 0.02 - 0.2).alias("qy")), points, 1, 0.02)
+        near = k_nearest(q.select("qid", (c("y") * 0.02 - 0.1).alias("qx"), (c("z") * 0.02 - 0.2).alias("qy")), points, 1)
         return q.join(near, "qid").join(points.select("vec_id", c("val").alias("value")), "vec_id")
 
     ground = grid.groupBy("x", "y").agg(F.min("u").alias("h"))
@@ -147,16 +147,16 @@ def planted(spark, sf, f):
 @query(f"WITH {D.POINTS} SELECT vec_id AS qid, round(3.5, 6)::DOUBLE AS even, round(val, 6) AS own FROM points")
 def local_kriging(spark, sf):
     """Kriging of the nearest points: equal values give that value, a sample its own; the tests hold the rest against numpy."""
-    even = R.kriging(knn_queries(spark, sf), planted(spark, sf, "3.5 + 0 * {x} * {y}"), "val", 12, 0.02, 0.1).select("qid", F.round("value", 6).alias("even"))
+    even = R.kriging(knn_queries(spark, sf), planted(spark, sf, "3.5 + 0 * {x} * {y}"), "val", 12, 0.1).select("qid", F.round("value", 6).alias("even"))
     p = D.points(spark, sf)
-    own = R.kriging(p.select(F.col("vec_id").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy")), p, "val", 12, 0.02, 0.1).select("qid", F.round("value", 6).alias("own"))
+    own = R.kriging(p.select(F.col("vec_id").alias("qid"), F.col("px").alias("qx"), F.col("py").alias("qy")), p, "val", 12, 0.1).select("qid", F.round("value", 6).alias("own"))
     return even.join(own, "qid")
 
 
 @query(f"WITH {D.POINTS}, q AS (SELECT vec_id AS qid, px + 0.003 AS x, py - 0.002 AS y FROM points) SELECT qid, round({QUADRATIC.format(x='x', y='y')}, 4) AS value FROM q")
 def moving_least_squares(spark, sf):
     """Quadratic fits of the nearest points meet a planted quadratic."""
-    return R.moving_least_squares(knn_queries(spark, sf), planted(spark, sf, QUADRATIC), "val", 24, 0.02, 1e-13).select("qid", F.round("value", 4).alias("value"))
+    return R.moving_least_squares(knn_queries(spark, sf), planted(spark, sf, QUADRATIC), "val", 24, 1e-13).select("qid", F.round("value", 4).alias("value"))
 
 
 @query(f"WITH {D.POINTS}, q AS (SELECT vec_id AS qid, px + 0.003 AS x, py - 0.002 AS y FROM points) SELECT qid, round({QUADRATIC.format(x='x', y='y')} + 10 * (qid % 5), 4) AS value FROM q")
@@ -164,7 +164,7 @@ def face_fits(spark, sf):
     """Fits over the nearest samples of the same face meet that face's planted quadratic."""
     face = F.col("vec_id") % 5
     p = planted(spark, sf, QUADRATIC).withColumn("face", face).withColumn("val", F.col("val") + 10 * F.col("face"))
-    return R.face_fit(knn_queries(spark, sf).withColumn("face", F.col("qid") % 5), p, "val", 64, 0.1).select("qid", F.round("value", 4).alias("value"))
+    return R.face_fit(knn_queries(spark, sf).withColumn("face", F.col("qid") % 5), p, "val", 64).select("qid", F.round("value", 4).alias("value"))
 
 
 @query(f"""WITH {D.GRID}, t(target, x, y) AS (VALUES (0, 0, 0), (1, 3, 4), (2, 19, 9), (3, 7, 0), (4, 11, 5)) SELECT z, CAST(target AS BIGINT) AS target, round(u, 5) AS value FROM grid JOIN t USING (x, y) UNION ALL SELECT DISTINCT z, CAST(5 AS BIGINT), CAST(NULL AS DOUBLE) FROM grid""")
@@ -184,7 +184,7 @@ SELECT x, y, round((v - (SELECT min(v) FROM s)) * 1.5, 6) AS value FROM s""")
 def terrain_pipeline(spark, sf):
     """A terrain surface from scattered points: interpolated, smoothed, without negatives, from 0 up, scaled."""
     nodes = spark.range(200).select(F.col("id").alias("qid"), (F.col("id") % 20).alias("x"), F.expr("id div 20").alias("y")).withColumns({"qx": (F.col("x") - 9.5) * 0.02, "qy": (F.col("y") - 4.5) * 0.02})
-    return R.terrain_surface(nodes, D.points(spark, sf), "val", 12, 0.02, 1.0, 1.5).select("x", "y", F.round("value", 6).alias("value"))
+    return R.terrain_surface(nodes, D.points(spark, sf), "val", 12, 1.0, 1.5).select("x", "y", F.round("value", 6).alias("value"))
 
 
 @query(f"""WITH {D.GRID}, m AS (SELECT 0.1 * (i + 1) AS kx, 0.05 * i AS ky, 0.02 * i AS kz, 0.3 * i AS omega, 1.0 / (i + 1) AS a, 0.7 * i AS ph FROM range(16) r(i)), p AS (SELECT z, y, x, z % 13 AS step, (z % 13) // 5 * 5 AS s0 FROM grid)
