@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from windrift.operators import domain, geometry, graph, joins, regrid
+from windrift.operators import domain, geometry, graph, joins, regrid, triangles
 
 
 @pytest.fixture(scope="module")
@@ -48,16 +48,16 @@ def test_least_squares_meet_a_quadratic(plane, asked):
 def test_barycentric_weights_meet_planes(spark, plane, asked):
     df, p, _ = plane
     far = asked[0].union(spark.createDataFrame([(99, 50.0, 50.0)], asked[0].schema))
-    got = domain.barycentric(far, df).join(df, "vec_id").groupBy("qid").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("px")).alias("x"), F.count("*").alias("n")).collect()
+    got = triangles.barycentric(far, df).join(df, "vec_id").groupBy("qid").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("px")).alias("x"), F.count("*").alias("n")).collect()
     for r in got:
         assert r["w"] == pytest.approx(1)
         if r["qid"] == 99:
             assert r["n"] == 1
         else:
             assert r["x"] == pytest.approx(asked[1][r["qid"]][0], abs=1e-7)
-    # The same triangles, whatever the squares: one whose circle holds no other point.
-    for size in (0.03, 0.5, 40.0):
-        rows = domain.barycentric(asked[0], df, size).collect()
+    # The same triangles, however many are near: one whose circle holds no other point.
+    for near in (3, 40):
+        rows = triangles.barycentric(asked[0], df, near).collect()
         for i, q in enumerate(asked[1]):
             at = sorted(r["vec_id"] for r in rows if r["qid"] == i)
             assert len(at) == 3 and all(-1e-9 <= r["weight"] <= 1 for r in rows if r["qid"] == i)
@@ -67,12 +67,28 @@ def test_barycentric_weights_meet_planes(spark, plane, asked):
             assert (np.hypot(*(p - centre).T) >= np.hypot(*(a - centre)) * (1 - 1e-9)).all()
 
 
+def test_triangles_among_uneven_columns(spark):
+    """Most columns are crowded into two spots; triangles reach from one to the other and to the rim."""
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.random((300, 2)) * 1e-3 + 0.3, rng.random((300, 2)) * 1e-2 + 0.7, rng.random((30, 2)), [[0, 0], [1, 0], [0, 1], [1, 1]]])
+    q = np.concatenate([rng.random((40, 2)) * 1e-3 + 0.3, rng.random((60, 2)), [[0.5, 0.0], [1.0, 1.0]]])
+    columns = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(p)], "vec_id bigint, px double, py double")
+    places = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(q)], "qid bigint, qx double, qy double")
+    rows = triangles.barycentric(places, columns, 6).collect()
+    for i, v in enumerate(q):
+        own = {r["vec_id"]: r["weight"] for r in rows if r["qid"] == i}
+        assert len(own) == 3 and min(own.values()) >= -1e-9 and np.allclose(sum(w * p[k] for k, w in own.items()), v, atol=1e-9)
+        a, b, c = p[list(own)]
+        centre = np.linalg.solve(np.array([b - a, c - a]) * 2, [b @ b - a @ a, c @ c - a @ a])
+        assert (np.hypot(*(p - centre).T) >= np.hypot(*(a - centre)) * (1 - 1e-6)).all()
+
+
 def test_barycentric_weights_of_few_columns(spark):
     q = spark.createDataFrame([(1, 0.1, 0.1), (2, 9.0, 9.0)], "qid bigint, qx double, qy double")
     at = lambda rows: spark.createDataFrame(rows, "vec_id bigint, px double, py double")
-    assert domain.barycentric(q, at([])).count() == 0
-    assert sorted(map(tuple, domain.barycentric(q, at([(7, 0.0, 0.0)])).collect())) == [(1, 7, 1.0), (2, 7, 1.0)]
-    got = domain.barycentric(q, at([(5, 0.0, 0.0), (6, 1.0, 0.0), (8, 0.0, 1.0), (9, 0.0, 0.0)])).collect()
+    assert triangles.barycentric(q, at([])).count() == 0
+    assert sorted(map(tuple, triangles.barycentric(q, at([(7, 0.0, 0.0)])).collect())) == [(1, 7, 1.0), (2, 7, 1.0)]
+    got = triangles.barycentric(q, at([(5, 0.0, 0.0), (6, 1.0, 0.0), (8, 0.0, 1.0), (9, 0.0, 0.0)])).collect()
     assert sorted((r["qid"], r["vec_id"], round(r["weight"], 9)) for r in got)[:3] == [(1, 5, 0.8), (1, 6, 0.1), (1, 8, 0.1)] and len(got) == 4
 
 

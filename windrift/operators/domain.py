@@ -5,8 +5,6 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,145 +93,6 @@ def largest_grid(boxes: DataFrame, sides: tuple[str, str, str], memory: Column,
     return sized.select(*boxes.columns, *(n.cast("bigint").alias(c) for n, c in ((nx, "nx"), (ny, "ny"), (nz, "nz"))), grid_memory(nx, ny, nz, arrays).cast("bigint").alias("megabytes"))
 
 
-# ---------------------------------------------------------------- barycentric regrid
-
-
-def triangulated(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(triangles, circles): Delaunay triangles of a neighbourhood's points by insertion, and each one's circle (x, y, radius).
-
-    Each new point replaces the triangles whose circle holds it. Equal points take part once.
-    """
-    low, size = p.min(axis=0), np.ptp(p, axis=0).max() or 1.0
-    q = np.vstack([(p - low) / size, [(-900.0, -900.0), (900.0, -900.0), (0.0, 1200.0)]])
-    n = len(p)
-    room = 2 * n + 16
-    corner, circle, live = np.zeros((room, 3), np.int64), np.zeros((room, 3)), np.zeros(room, bool)
-    free = list(range(room - 1, -1, -1))
-
-    def put(a: int, b: int, c: int) -> None:
-        (ax, ay), (bx, by), (cx, cy) = q[b] - q[a], q[c] - q[a], q[a]
-        d = 2 * (ax * by - bx * ay)
-        if abs(d) < 1e-18:
-            return
-        x, y = (by * (ax * ax + ay * ay) - ay * (bx * bx + by * by)) / d, (ax * (bx * bx + by * by) - bx * (ax * ax + ay * ay)) / d
-        k = free.pop()
-        corner[k], circle[k], live[k] = (a, b, c), (x + cx, y + cy, x * x + y * y), True
-
-    put(n, n + 1, n + 2)
-    _, first = np.unique(p, axis=0, return_index=True)
-    for i in np.sort(first):
-        bad = np.flatnonzero(live & ((circle[:, 0] - q[i, 0]) ** 2 + (circle[:, 1] - q[i, 1]) ** 2 < circle[:, 2] * (1 + 1e-12)))
-        edges: dict[tuple[int, int], int] = {}
-        for a, b, c in corner[bad].tolist():
-            for e in ((a, b), (b, c), (c, a)):
-                k = (min(e), max(e))
-                edges[k] = edges.get(k, 0) + 1
-        live[bad] = False
-        free.extend(bad.tolist())
-        for (a, b), many in edges.items():
-            if many == 1:
-                put(a, b, int(i))
-    good = np.flatnonzero(live & (corner < n).all(axis=1))
-    return corner[good], np.column_stack([circle[good, :2] * size + low, np.sqrt(circle[good, 2]) * size])
-
-
-def outside_hull(queries: DataFrame, columns: DataFrame) -> Column:
-    """Whether a query (qx, qy) lies outside the convex hull of all columns: hulls of the tasks' points, then the hull of these."""
-    from windrift.operators.geometry import hull
-
-    def corners(batches):
-        for b in batches:
-            h = hull(b[["px", "py"]].to_numpy(float))
-            yield pd.DataFrame({"px": h[:, 0], "py": h[:, 1]}) if len(h) else pd.DataFrame({"px": [], "py": []})
-
-    spread = columns.select("px", "py").mapInPandas(corners, "px double, py double")
-    # Hulls have few corners: a batch of points leaves some tens of rows, and their hull as few again.
-    h = hull(spread.repartition(1).mapInPandas(corners, "px double, py double").toPandas().to_numpy(float).reshape(-1, 2))
-    if len(h) < 3:
-        return F.lit(True)
-    out = F.lit(False)
-    for (ax, ay), (bx, by) in zip(h.tolist(), np.roll(h, -1, axis=0).tolist(), strict=True):
-        out = out | ((bx - ax) * (F.col("qy") - ay) - (by - ay) * (F.col("qx") - ax) < 0)
-    return out
-
-
-def barycentric(queries: DataFrame, columns: DataFrame, size: float | None = None) -> DataFrame:
-    """(qid, vec_id, weight): the three source columns around each place and their weights; outside the hull the nearest one.
-
-    queries: qid, qx, qy; columns: vec_id, px, py. Places meet the columns of their square and the
-    squares around it. A triangle of these counts if no column elsewhere can lie in its circle: the
-    circle must not leave the squares, but where these reach beyond all columns. Places without such
-    a triangle are taken again with squares of twice the size. The weights serve every level: join
-    them to the levels and sum weight * value.
-    """
-    from windrift.operators.graph import checkpoint_folder
-    from windrift.operators.joins import k_nearest
-
-    spark = queries.sparkSession
-    x0, x1, y0, y1, n = columns.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py"), F.count("*")).first()
-    if not n:
-        return queries.select("qid", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("weight")).where("false")
-    size = size or 4 * max((x1 - x0) * (y1 - y0) / n, ((x1 - x0 + y1 - y0) / n) ** 2) ** 0.5 or 1.0
-    checkpoint_folder(spark)
-    away = outside_hull(queries, columns)
-    lone = queries.where(away)
-    done = k_nearest(lone, columns, 1).select("qid", "vec_id", F.lit(1.0).alias("weight"))
-    open_ = queries.where(~away).select("qid", "qx", "qy").checkpoint()
-
-    def locate(asked: pd.DataFrame, near: pd.DataFrame, size: float) -> pd.DataFrame:
-        near = near if len(near) else pd.DataFrame({"vec_id": np.empty(0, int), "px": np.empty(0), "py": np.empty(0)})
-        p, ids = near[["px", "py"]].to_numpy(float), near["vec_id"].to_numpy()
-        order = np.argsort(ids, kind="stable")  # of equal places the lowest stays
-        p, ids = p[order], ids[order]
-        bx, by = asked["bx"].iloc[0], asked["by"].iloc[0]
-        edges = (bx - 1) * size, (bx + 2) * size, (by - 1) * size, (by + 2) * size
-        beyond = edges[0] <= x0, edges[1] > x1, edges[2] <= y0, edges[3] > y1
-        t, c = triangulated(p) if len(p) > 2 else (np.empty((0, 3), int), np.empty((0, 3)))
-        held = [c[:, 0] - c[:, 2] >= edges[0], c[:, 0] + c[:, 2] <= edges[1], c[:, 1] - c[:, 2] >= edges[2], c[:, 1] + c[:, 2] <= edges[3]]
-        t = t[np.all([h | b for h, b in zip(held, beyond, strict=True)], axis=0)]
-        a, b, e = (p[t[:, k]] for k in range(3))
-        area = (b[:, 0] - a[:, 0]) * (e[:, 1] - a[:, 1]) - (e[:, 0] - a[:, 0]) * (b[:, 1] - a[:, 1])
-        x, y = asked["qx"].to_numpy()[:, None], asked["qy"].to_numpy()[:, None]
-        qid, at, w = [], [], []
-        for low in range(0, len(asked), 512):
-            u = ((b[:, 0] - x[low : low + 512]) * (e[:, 1] - y[low : low + 512]) - (e[:, 0] - x[low : low + 512]) * (b[:, 1] - y[low : low + 512])) / area
-            v = ((e[:, 0] - x[low : low + 512]) * (a[:, 1] - y[low : low + 512]) - (a[:, 0] - x[low : low + 512]) * (e[:, 1] - y[low : low + 512])) / area
-            own = asked["qid"].to_numpy()[low : low + 512]
-            least = np.minimum(np.minimum(u, v), 1 - u - v)
-            k = least.argmax(axis=1) if len(t) else np.zeros(len(own), int)
-            fine = least[np.arange(len(own)), k] >= -1e-9 if len(t) else np.zeros(len(own), bool)
-            r = np.flatnonzero(fine)
-            qid += [np.repeat(own[r], 3), own[~fine]]
-            if len(r):
-                at += [ids[t[k[r]]].ravel()]
-                w += [np.stack([u[r, k[r]], v[r, k[r]], 1 - u[r, k[r]] - v[r, k[r]]], axis=1).ravel()]
-            rest = np.flatnonzero(~fine)
-            if all(beyond):  # all columns are here: a place on the hull's rim, beside every triangle
-                far = np.hypot(p[:, 0] - x[low : low + 512][rest], p[:, 1] - y[low : low + 512][rest])
-                at += [ids[far.argmin(axis=1)]] if len(rest) else []
-                w += [np.ones(len(rest))]
-            else:
-                at += [np.full(len(rest), -1)]
-                w += [np.full(len(rest), np.nan)]
-        return pd.DataFrame({"qid": np.concatenate(qid), "vec_id": np.concatenate(at), "weight": np.concatenate(w)})
-
-    def located(size: float):
-        return lambda asked, near: locate(asked, near, size) if len(asked) else pd.DataFrame({"qid": [], "vec_id": [], "weight": []})
-
-    while not open_.isEmpty():
-        s = size
-        tiles = open_.withColumns({"bx": F.floor(F.col("qx") / s), "by": F.floor(F.col("qy") / s)})
-        around = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-        spread = columns.select("vec_id", "px", "py", F.explode(F.transform(around, lambda i: F.floor(F.col("px") / s) + i)).alias("bx"), F.floor(F.col("py") / s).alias("cy"))
-        spread = spread.select("vec_id", "px", "py", "bx", F.explode(F.transform(around, lambda j: F.col("cy") + j)).alias("by"))
-        spread = spread.join(tiles.select("bx", "by").distinct(), ["bx", "by"], "left_semi")
-        found = tiles.groupBy("bx", "by").cogroup(spread.groupBy("bx", "by")).applyInPandas(located(s), "qid bigint, vec_id bigint, weight double").checkpoint()
-        done = done.unionByName(found.where("weight is not null"))
-        open_ = open_.join(found.where("weight is null").select("qid"), "qid", "left_semi").checkpoint()
-        size *= 2
-    return done
-
-
 def generated_ranges(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """(key, value): the range of each column as a deck writes it; the deck itself stays as it is."""
     sums = df.agg(*(f(c).alias(f"{k}_{n}") for k, c in columns.items() for n, f in (("low", F.min), ("high", F.max))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from windrift.operators.graph import checkpoint_folder
 from windrift.operators.ordered import carried, in_ranges
-from windrift.operators.quadtree import candidates, tree
+from windrift.operators.quadtree import Tree, candidates, tree
 
 
 def bracketed(queries: DataFrame, profile: DataFrame, at: str, z: str, value: str) -> DataFrame:
@@ -93,8 +93,13 @@ def k_nearest(queries: DataFrame, points: DataFrame, k: int, crowd: int = 512) -
     squares = tree(points, crowd)
     if squares is None:
         return queries.select("qid", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("int").alias("rank")).where("false")
+    return nearest_in(squares, queries, k).select("qid", "vec_id", "distance", "rank")
+
+
+def nearest_in(squares: Tree, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, vec_id, px, py, distance, rank): as `k_nearest`, of the points (vec_id, px, py) that a tree holds."""
     d = F.sqrt((F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy")))
-    met = candidates(squares, queries, k).join(squares.places, ["level", "sx", "sy"]).select("qid", "vec_id", d.alias("distance"))
+    met = candidates(squares, queries, k).join(squares.places, ["level", "sx", "sy"]).select("qid", "vec_id", "px", "py", d.alias("distance"))
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from windrift.operators import domain as O
+from windrift.operators.triangles import barycentric
 from windrift.plans import adapters as D
 from windrift.plans.projection import A, E2, EP2, K0
 from windrift.plans.registry import query
@@ -97,7 +98,7 @@ def barycentric_regrid(spark, sf):
     p = D.points(spark, sf)
     q = p.select(F.col("vec_id").alias("qid"), (F.col("px") * 0.4 + 0.004).alias("qx"), (F.col("py") * 0.4 - 0.003).alias("qy"))
     sources = p.withColumn("val", 2 * F.col("px") - 3 * F.col("py") + 1)
-    w = O.barycentric(q, sources).join(sources.select("vec_id", "val"), "vec_id")
+    w = barycentric(q, sources).join(sources.select("vec_id", "val"), "vec_id")
     return w.groupBy("qid").agg(F.round(F.sum("weight"), 9).alias("weight"), F.round(F.sum(F.col("weight") * F.col("val")), 6).alias("value"))
 
 
