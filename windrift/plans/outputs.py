@@ -58,30 +58,29 @@ def named_fields(spark, sf):
     return S.aliased(named, {"speed": ("u_avg", "velocity")}).select("bottom_top", "lat", "lon", "u_avg", "speed", "tke")
 
 
-@query("""SELECT * FROM (VALUES ('exact', 'city_20990101.nc'), ('only one', 'rows.nc'), ('several', 'error'), ('terrain', 'b.tif'), ('terrain elsewhere', 'world.tif'), ('terrain done', 'dem.shp'), ('catalogue', 'avg-20.vtk,avg-100.vtk')) t(what, found)""")
+@query("""SELECT s_suppkey AS project, CASE s_suppkey % 7 WHEN 0 THEN 'case' || s_suppkey || '_20990101.nc' WHEN 1 THEN 'rows' || s_suppkey || '.nc' WHEN 2 THEN 'error' WHEN 3 THEN 'b' || s_suppkey || '.tif' WHEN 4 THEN 'world.tif' WHEN 5 THEN 'dem.shp'
+ELSE CAST(row_number() OVER (PARTITION BY s_suppkey % 7 = 6 ORDER BY s_suppkey) AS VARCHAR) || ' avg-' || s_suppkey || '.vtk' END AS found FROM supplier""")
 def chosen_files(spark, sf):
-    """Which file is meant: by case and time, else the only one; a project's own terrain, else the common one, unless it is made already; results by step."""
+    """Which file is meant in a supplier's project: by case and time, else the only one; a project's own terrain, else the common one, unless it is made already; results by step."""
     root = shared_folder(spark)
-    W.touch(f"{root}/a", "city_20990101.nc", "other.nc")
-    W.touch(f"{root}/b", "rows.nc")
-    W.touch(f"{root}/c", "x.nc", "y.nc")
-    W.touch(f"{root}/d", "b.tif", "a.txt")
+    keys = sorted(r["s_suppkey"] for r in D.read(spark, sf, "supplier").select("s_suppkey").collect())  # projects are folders
     W.touch(f"{root}/common", "world.tif")
-    W.touch(f"{root}/e", "dem.shp", "b.tif")
-    W.touch(f"{root}/f", "avg-100.vtk", "avg-20.vtk", "notes.txt")
-
-    def several():
+    W.touch(f"{root}/steps", "notes.txt", *(f"avg-{k}.vtk" for k in keys if k % 7 == 6))
+    made = {0: ["case{}_20990101.nc", "other.nc"], 1: ["rows{}.nc"], 2: ["x.nc", "y.nc"], 3: ["b{}.tif", "a.txt"], 4: ["a.txt"], 5: ["dem.shp", "b.tif"]}
+    rows = []
+    for k in keys:
+        if k % 7 == 6:
+            continue
+        folder = f"{root}/{k}"
+        W.touch(folder, *(n.format(k) for n in made[k % 7]))
         try:
-            return W.case_file(spark, f"{root}/c", "city", "20990101")
+            found = W.case_file(spark, folder, f"case{k}", "20990101") if k % 7 < 3 else W.terrain_source(spark, folder, f"{root}/common")
         except FileNotFoundError:
-            return "error"
-
-    steps = S.catalogue(spark, f"{root}/f").orderBy("step").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "name"))), lambda s: s["name"]), ",")).first()[0]
-    rows = [
-        ("exact", W.case_file(spark, f"{root}/a", "city", "20990101")), ("only one", W.case_file(spark, f"{root}/b", "city", "20990101")), ("several", several()),
-        ("terrain", W.terrain_source(spark, f"{root}/d", f"{root}/common")), ("terrain elsewhere", W.terrain_source(spark, f"{root}/b", f"{root}/common")), ("terrain done", W.terrain_source(spark, f"{root}/e", f"{root}/common")), ("catalogue", steps),
-    ]
-    return spark.createDataFrame([(a, b.rsplit("/", 1)[-1]) for a, b in rows], "what string, found string")
+            found = "error"
+        rows.append((k, found.rsplit("/", 1)[-1]))
+    steps = S.catalogue(spark, f"{root}/steps").orderBy("step").select("step", "name").collect()
+    rows += [(int(r["step"]), f"{i + 1} {r['name']}") for i, r in enumerate(steps)]
+    return spark.createDataFrame(rows, "project bigint, found string")
 
 
 @query("SELECT p_partkey, 'é' || p_size || '°' AS text FROM part")

@@ -274,10 +274,19 @@ def deck_validation(spark, sf):
     return deck.validated(deck.parse(d), d, ["casename", "cut_lon_manual", "cell_size"])
 
 
-@query("""SELECT m.mode, section, CAST(n AS BIGINT) AS fields FROM (VALUES ('standard', 'project', 2), ('standard', 'domain', 26), ('standard', 'generated', 5), ('standard', 'cfd', 10), ('standard', 'output', 6), ('standard', 'physics', 11), ('standard', 'vk', 13),
+@query("""WITH m(mode, section, n) AS (VALUES ('standard', 'project', 2), ('standard', 'domain', 26), ('standard', 'generated', 5), ('standard', 'cfd', 10), ('standard', 'output', 6), ('standard', 'physics', 11), ('standard', 'vk', 13),
 ('dataset', 'project', 2), ('dataset', 'domain', 18), ('dataset', 'generated', 5), ('dataset', 'cfd', 10), ('dataset', 'output', 6), ('dataset', 'physics', 11), ('dataset', 'vk', 13), ('dataset', 'batch', 4),
-('profile', 'project', 2), ('profile', 'domain', 26), ('profile', 'generated', 5), ('profile', 'cfd', 10), ('profile', 'output', 6), ('profile', 'physics', 11), ('profile', 'vk', 13), ('profile', 'batch', 3)) m(mode, section, n)""")
+('profile', 'project', 2), ('profile', 'domain', 26), ('profile', 'generated', 5), ('profile', 'cfd', 10), ('profile', 'output', 6), ('profile', 'physics', 11), ('profile', 'vk', 13), ('profile', 'batch', 3)),
+d AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'standard' WHEN 1 THEN 'dataset' ELSE 'profile' END AS mode, count(*) AS decks FROM orders GROUP BY 1)
+SELECT mode, section, CAST(n AS BIGINT) AS fields, CAST(decks * CASE section WHEN 'cfd' THEN 2 WHEN 'vk' THEN 1 WHEN 'domain' THEN CASE mode WHEN 'dataset' THEN 1 ELSE 2 END ELSE 0 END AS BIGINT) AS entries FROM m JOIN d USING (mode)""")
 def deck_fields_by_mode(spark, sf):
-    """How many fields each mode shows, by the mask of modes of each."""
+    """By the mask of modes of each field, how many fields each mode shows, and how many entries of decks of that mode."""
     modes = spark.createDataFrame(sorted(deck.MODES.items()), "mode string, bit int")
-    return deck.field_table(spark).join(F.broadcast(modes), F.col("modes").bitwiseAND(F.col("bit")) != 0).groupBy("mode", "section").agg(F.count("*").alias("fields"))
+    shown = deck.field_table(spark).join(F.broadcast(modes), F.col("modes").bitwiseAND(F.col("bit")) != 0)
+    k = F.col("deck") % 3
+    texts = decks(spark, sf).select("deck", F.concat("text", F.lit("\ngeometry_mode = 1")).alias("text"))
+    entries = deck.effective(deck.parse(texts)).where("known").select(F.when(k == 0, "standard").when(k == 1, "dataset").otherwise("profile").alias("mode"), "key")
+    counted = entries.join(F.broadcast(shown.select("mode", "key", "section")), ["mode", "key"]).groupBy("mode", "section").agg(F.count("*").alias("entries"))
+    there = entries.select("mode").distinct()
+    fields = shown.groupBy("mode", "section").agg(F.count("*").alias("fields")).join(there, "mode")
+    return fields.join(counted, ["mode", "section"], "left").select("mode", "section", "fields", F.coalesce("entries", F.lit(0)).alias("entries"))
