@@ -182,26 +182,53 @@ def bridged(outer: np.ndarray, holes: list[np.ndarray]) -> np.ndarray:
 
 
 def ears(p: np.ndarray) -> list[tuple[int, int, int]]:
-    """Triangles of a counter-clockwise ring that does not cross itself, by cutting ears."""
-    p = p - p[0]
-    least = 1e-10 * np.ptp(p, axis=0).max() ** 2
-    left, out = list(range(len(p))), []
-    while len(left) > 3:
-        # Corners on the new edge are passed by if any ear does without.
-        for k, slack in [(k, slack) for slack in (-least, least) for k in range(len(left))]:
-            i, j, m = left[k - 1], left[k], left[(k + 1) % len(left)]
-            if turn(p[i], p[j], p[m]) <= least:
-                continue
-            others = p[[q for q in left if not any(np.abs(p[q] - p[c]).max() ** 2 <= least**2 for c in (i, j, m))]].reshape(-1, 2)
-            a, b, c = (turn(u, v, others.T) for u, v in ((p[i], p[j]), (p[j], p[m]), (p[m], p[i])))
-            if not ((a >= -least) & (b >= -least) & (c > slack)).any():
-                out.append((i, j, m))
-                left.pop(k)
-                break
+    """Triangles of a counter-clockwise ring that does not cross itself, by cutting ears.
+
+    Corners are walked around once and again; only hollow corners can lie in an ear, so only these are
+    kept and tried. Plain numbers: rings are short, and arrays of three would cost more than they save.
+    """
+    n = len(p)
+    x, y = (p - p[0]).T.tolist()
+    least = 1e-10 * max(max(x) - min(x), max(y) - min(y)) ** 2
+    before, after = [(i - 1) % n for i in range(n)], [(i + 1) % n for i in range(n)]
+
+    def side(a: int, b: int, c: int) -> float:
+        return (x[b] - x[a]) * (y[c] - y[a]) - (y[b] - y[a]) * (x[c] - x[a])
+
+    hollow = {i for i in range(n) if side(before[i], i, after[i]) <= least}
+
+    def ear(i: int, j: int, m: int, slack: float) -> bool:
+        low, high, left, right = min(y[i], y[j], y[m]) - least, max(y[i], y[j], y[m]) + least, min(x[i], x[j], x[m]) - least, max(x[i], x[j], x[m]) + least
+        for q in hollow:
+            if left <= x[q] <= right and low <= y[q] <= high and not any(max(abs(x[q] - x[c]), abs(y[q] - y[c])) <= least for c in (i, j, m)):
+                if side(i, j, q) >= -least and side(j, m, q) >= -least and side(m, i, q) > slack:
+                    return False
+        return True
+
+    out, j, left, missed, slack = [], 0, n, 0, -least
+    while left > 3:
+        i, m = before[j], after[j]
+        if j not in hollow and ear(i, j, m, slack):
+            out.append((i, j, m))
+        elif missed < left:
+            j, missed = m, missed + 1
+            continue
+        elif slack < 0:  # corners on the new edge are passed by if no ear does without
+            slack, missed = least, 0
+            continue
         else:  # only flat corners are left: the flattest goes without a triangle
-            left.pop(min(range(len(left)), key=lambda k: abs(turn(p[left[k - 1]], p[left[k]], p[left[(k + 1) % len(left)]]))))
-    if len(left) == 3 and turn(*p[left]) > least:
-        out.append(tuple(left))
+            ring = [j]
+            while after[ring[-1]] != j:
+                ring.append(after[ring[-1]])
+            j = min(ring, key=lambda k: abs(side(before[k], k, after[k])))
+            i, m = before[j], after[j]
+        after[i], before[m] = m, i
+        hollow.discard(j)
+        for k in (i, m):
+            (hollow.add if side(before[k], k, after[k]) <= least else hollow.discard)(k)
+        j, left, missed, slack = m, left - 1, 0, -least
+    if left == 3 and side(before[j], j, after[j]) > least:
+        out.append((before[j], j, after[j]))
     return out
 
 
@@ -211,15 +238,17 @@ def extruded(buildings: DataFrame, key: str, rings: str, base: str, top: str) ->
     rings: outline first, then holes. Footprints without an area, and solids without a height, give nothing.
     """
 
+    from windrift.operators.overlay import rings_of
+
     point = pa.struct([("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])
 
     def run(batches):
         for b in batches:
             source, number, corners = [], [], []
-            for row, (some, low, high) in enumerate(zip(*(b.column(c).to_pylist() for c in (rings, base, top)), strict=True)):
+            for row, (some, low, high) in enumerate(zip(rings_of(b.column(rings)), *(b.column(c).to_pylist() for c in (base, top)), strict=True)):
                 if not some or low is None or high is None or not high > low:
                     continue
-                parts = [open_ring(np.array([(p["x"], p["y"]) for p in r], float), clockwise=i > 0) for i, r in enumerate(some)]
+                parts = [open_ring(r, clockwise=i > 0) for i, r in enumerate(some)]
                 flat = bridged(parts[0], parts[1:])
                 cut = np.array(ears(flat), int).reshape(-1, 3)
                 solid = [np.dstack([flat[cut[:, order]], np.full((len(cut), 3, 1), z)]) for order, z in (([0, 2, 1], low), ([0, 1, 2], high))]
