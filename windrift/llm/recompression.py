@@ -137,6 +137,16 @@ def anchors(w: Words, rules: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return fits, name_of, place_of
 
 
+def in_steps(keyed, b: pa.RecordBatch, limit: int = 1_000_000):
+    """What keyed gives for a batch of texts, from `limit` bytes of text at a time: its arrays are many times their texts."""
+    out, first = [], 0
+    for part in slices([b], limit=limit):
+        keys, text, *rest = keyed(part)
+        out.append((keys, text + first, *rest))
+        first += part.num_rows
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else keyed(b)
+
+
 def remove_repeats(scratch: Scratch, docs: DataFrame, rules: Repeats = Repeats(), with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 for each row; with_text adds `kept_text` (the text itself where
     nothing goes, else the kept words joined by a space) and the other columns of docs.
@@ -166,7 +176,7 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, rules: Repeats = Repeats()
         head = at[first]
         return name[head], text[first], head - w.bounds[text[first]], np.diff(np.r_[first, len(at)]), place[head] - w.bounds[text[first]]
 
-    shared = repeated(scratch, base.select("uid", "text"), anchor_runs).select("uid", "starts", "lengths")
+    shared = repeated(scratch, base.select("uid", "text"), lambda b: in_steps(anchor_runs, b)).select("uid", "starts", "lengths")
     chosen = scratch.save(shared.join(copied.where(~F.col("speaks")).select("uid"), "uid", "left_anti").dropDuplicates(["uid"]))
 
     def window_keys(b):
@@ -177,7 +187,7 @@ def remove_repeats(scratch: Scratch, docs: DataFrame, rules: Repeats = Repeats()
         place = np.concatenate(place) if place else np.empty(0, np.int64)
         return names128(w.hashes, place + w.bounds[text], size), text, place, np.ones(len(place), np.int64), place
 
-    again = repeated(scratch, base.select("uid", "text").join(chosen, "uid"), window_keys, width=2).select("uid", "starts").dropDuplicates(["uid"])
+    again = repeated(scratch, base.select("uid", "text").join(chosen, "uid"), lambda b: in_steps(window_keys, b), width=2).select("uid", "starts").dropDuplicates(["uid"])
     whole = copied.select("uid", F.lit(True).alias("copied"))
     verdict = scratch.save(again.join(whole, "uid", "full_outer"))
     scratch.drop(chosen, copied)
