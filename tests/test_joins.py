@@ -16,8 +16,8 @@ def test_repeated_queries_are_rows_of_their_own(spark):
     assert sorted((r["id"], r["value"] is None) for r in within) == [(1, False), (1, False), (1, False), (2, False), (3, True)]
 
 
-@pytest.mark.parametrize("parts", [1, 7, 40])
-def test_as_of_with_one_hot_key(spark, parts):
+@pytest.mark.parametrize("parts,one_task", [(1, 0), (7, 0), (40, 100), (7, 10**6)])
+def test_as_of_with_one_hot_key(spark, parts, one_task):
     """Half of all rows have one key, a few have none; repeated rows stay."""
     rng = np.random.default_rng(parts)
     keys = lambda n: [None if k > 9 else "hot" if k > 4 else f"k{k}" for k in rng.integers(0, 11, n).tolist()]
@@ -27,7 +27,7 @@ def test_as_of_with_one_hot_key(spark, parts):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        out = J.as_of(spark.createDataFrame(left, "k string, t int, id int"), spark.createDataFrame(right, "k string, rt int, v double"), ["k"], "t", "rt", "v").collect()
+        out = J.as_of(spark.createDataFrame(left, "k string, t int, id int"), spark.createDataFrame(right, "k string, rt int, v double"), ["k"], "t", "rt", "v", one_task).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     want = []

@@ -145,11 +145,12 @@ def parse(decks: DataFrame, fields: list[Field] = FIELDS) -> DataFrame:
     names = {k: f.key for f in fields for k in (f.key, *f.aliases)}
     known = F.create_map(*(F.lit(x) for kv in names.items() for x in kv))
     opens = F.create_map(*(F.lit(x) for kv in OPENS.items() for x in kv))
-    title = lambda line: F.lower(F.regexp_replace(F.regexp_extract(line, r"^\s*(?://|#)\s*(.*?)\s*$", 1), r"\s+", " "))
+    comment = lambda line: F.ltrim(line).startswith("#") | F.ltrim(line).startswith("//")  # noqa: E731 - only comments are looked at closely
+    title = lambda line: F.when(comment(line) | ~line.substr(1, 1).rlike(r"\S"), F.lower(F.regexp_replace(F.regexp_extract(line, r"^\s*(?://|#)\s*(.*?)\s*$", 1), r"\s+", " ")))
     # A deck's few titles stay beside each of its lines, so a line finds its section without its neighbours.
     rows = decks.select("deck", F.split("text", r"\r?\n").alias("lines"))
     rows = rows.withColumn("titles", F.filter(F.transform("lines", lambda line, i: F.struct(i.alias("i"), F.try_element_at(opens, title(line)).alias("section"))), lambda t: t["section"].isNotNull()))
-    rows = rows.select("deck", "titles", F.posexplode("lines").alias("line_no", "line")).where(F.col("line").rlike(r"^\s*[^=\s/#][^=]*="))
+    rows = rows.select("deck", "titles", F.posexplode("lines").alias("line_no", "line")).where(F.contains("line", F.lit("="))).where(F.col("line").rlike(r"^\s*[^=\s/#][^=]*="))
     entry = X.stripped_comment(F.col("line"))
     rows = rows.withColumn("entry", entry).where(F.col("entry").rlike(r"^\s*[^=\s][^=]*="))
     key = X.key_name(F.regexp_extract("entry", "^([^=]*)=", 1))
@@ -165,7 +166,8 @@ def duplicates(entries: DataFrame) -> DataFrame:
 def effective(entries: DataFrame) -> DataFrame:
     """The entries that hold: of a repeated key the last."""
     w = Window.partitionBy("deck", "key").orderBy(F.desc("line_no"))
-    return entries.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    # Dealt by decks, so that what is summed up by deck later needs no other shuffle.
+    return entries.repartition("deck").withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
 def typed(entries: DataFrame) -> DataFrame:

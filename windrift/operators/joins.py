@@ -49,24 +49,30 @@ def two_level(queries: DataFrame, samples: DataFrame, patch: str, a: str, b: str
     return met.groupBy("qid_", *queries.columns).agg(F.sum(c("side_.w") * held).alias("value")).drop("qid_")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str, one_task: int = 4_000_000) -> DataFrame:
     """left with the right value at or before `at` and the one after, for equal keys: one sorted pass over both.
 
-    Rows of both sides are dealt by ranges of (keys, time), so a key of any size spreads over tasks.
-    Within a range the last value seen from either end is carried along; where a key goes on in
-    further ranges, the last and first values of each range are carried over them: two keys a range.
-    Null keys are a key of their own.
+    The last value seen from either end is carried along. Keys of up to `one_task` rows are a window
+    each. If there is a larger one, rows are dealt by ranges of (keys, time), so a key of any size
+    spreads over tasks; where a key goes on in further ranges, the last and first values of each range
+    are carried over them: two keys a range. The result is the same. Null keys are a key of their own.
     """
     both = left.select(*keys, F.col(at).alias("t"), F.lit(1).alias("side"), F.struct(*left.columns).alias("row"), F.lit(None).cast(right.schema[value].dataType).alias("v"), F.lit(None).cast(right.schema[right_at].dataType).alias("vt")).unionByName(
         right.select(*keys, F.col(right_at).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("row")).schema["row"].dataType).alias("row"), F.col(value).alias("v"), F.col(right_at).alias("vt"))
     )
-    rows = in_ranges(both, *keys, "t", "side")
-    w = Window.partitionBy("part", *keys).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = [d.groupBy(*keys).agg(F.count("*").alias("n")) for d in (left, right)]
+    largest = sizes[0].unionByName(sizes[1]).groupBy(*keys).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    split = largest > one_task
+    rows = in_ranges(both, *keys, "t", "side") if split else both.withColumn("part", F.lit(0))
+    by = ["part", *keys] if split else keys
+    w = Window.partitionBy(*by).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
     # The next value is the last one seen from the other end, so either frame only grows.
-    ahead = Window.partitionBy("part", *keys).orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(F.desc("t"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
     one = F.when(F.col("side") == 0, F.struct("vt", "v"))
     found = rows.withColumn("before", F.last(one, ignorenulls=True).over(w)).withColumn("after", F.last(one, ignorenulls=True).over(ahead))
 
+    if not split:
+        return found.where("side = 1").select("row.*", F.col("before.v").alias("before"), F.col("before.vt").alias("before_at"), F.col("after.v").alias("after"), F.col("after.vt").alias("after_at"))
     # Only the first and the last key of a range can go on beyond it.
     key = F.struct(*keys)
     edges = rows.groupBy("part").agg(F.min(key).alias("a"), F.max(key).alias("b")).select("part", F.explode(F.array_distinct(F.array("a", "b"))).alias("key"))
@@ -81,7 +87,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     return met.select("row.*", F.col("before.v").alias("before"), F.col("before.vt").alias("before_at"), F.col("after.v").alias("after"), F.col("after.vt").alias("after_at"))
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, k: int, crowd: int = 512) -> DataFrame:
+def k_nearest(queries: DataFrame, points: DataFrame, k: int, crowd: int = 2048) -> DataFrame:
     """(qid, vec_id, distance, rank): the k nearest points of each query; ties go to the lower vec_id.
 
     queries: qid, qx, qy; points: vec_id, px, py. Points lie in the leaves of a quad-tree, `crowd` in
