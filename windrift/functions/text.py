@@ -29,6 +29,19 @@ def plain_name(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded as C's printf does it: by its exact binary value.
+
+    format_string rounds the shortest decimal that reads as the number: 0.1245 is a little less and gives 0.124, not 0.125.
+    """
+    x = x.cast("double")
+    unit, half = f"{10.0**-digits:.{digits}f}", float(f"5e-{digits + 1}")
+    # Below one unit format_number takes half a unit (0.0005) as if it were exact.
+    above = F.abs(x) >= half if f"{half:.{digits}f}" == unit else F.abs(x) > half
+    least = F.concat(F.when(x < 0, "-").otherwise(""), F.lit(unit))
+    return F.when((F.abs(x) < float(unit)) & above, least).otherwise(F.call_function("format_number", x, F.lit("0." + "0" * digits)))
+
+
 def file_stem(x: Column) -> Column:
     """A name safe for files and variables."""
     return F.regexp_replace(F.regexp_replace(F.trim(x), "[^A-Za-z0-9_]+", "_"), "^_+|_+$", "")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from windrift.functions import geo
+from windrift.functions.text import fixed
 
 log = logging.getLogger("windrift")
 
@@ -96,7 +97,7 @@ def largest_grid(boxes: DataFrame, sides: tuple[str, str, str], memory: Column,
 def generated_ranges(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """(key, value): the range of each column as a deck writes it; the deck itself stays as it is."""
     sums = df.agg(*(f(c).alias(f"{k}_{n}") for k, c in columns.items() for n, f in (("low", F.min), ("high", F.max))))
-    entry = lambda k: F.struct(F.lit(k).alias("key"), F.format_string("[%.3f, %.3f]", f"{k}_low", f"{k}_high").alias("value"))
+    entry = lambda k: F.struct(F.lit(k).alias("key"), F.concat(F.lit("["), fixed(F.col(f"{k}_low"), 3), F.lit(", "), fixed(F.col(f"{k}_high"), 3), F.lit("]")).alias("value"))
     return sums.select(F.explode(F.array(*map(entry, columns))).alias("e")).select("e.*")
 
 

@@ -9,6 +9,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from windrift.functions.text import fixed
+
 
 def write_levels(cube: DataFrame, path: str, level: str = "z", meta: dict[str, str] | None = None) -> None:
     """A cube as Parquet, one folder a level; rows of a level go to one file, sorted by row. meta (coordinate system, units) is kept beside it."""
@@ -28,7 +30,7 @@ def read_levels(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, st
 
 def boundary_csv(samples: DataFrame) -> DataFrame:
     """Boundary samples as they are written: places with three decimals."""
-    return samples.select(*(F.format_string("%.3f", c).alias(c) for c in ("X", "Y", "Z")), *(c for c in samples.columns if c not in ("X", "Y", "Z")))
+    return samples.select(*(fixed(F.col(c), 3).alias(c) for c in ("X", "Y", "Z")), *(c for c in samples.columns if c not in ("X", "Y", "Z")))
 
 
 def sampled_means(points: DataFrame, grid: DataFrame, spacing: float, dims: tuple[int, int, int]) -> DataFrame:
@@ -43,7 +45,7 @@ def sampled_means(points: DataFrame, grid: DataFrame, spacing: float, dims: tupl
 
 def summary_lines(weights: DataFrame) -> DataFrame:
     """A text line for each direction of a season's average, in order of angle."""
-    return weights.select("angle", F.format_string("%5.1f deg  p=%.6f  velocity=%.6f  energy=%.6f", "angle", "p", "velocity_weight", "energy_weight").alias("line"))
+    return weights.select("angle", F.concat(F.format_string("%5.1f deg", "angle"), *(x for n, c in (("p", "p"), ("velocity", "velocity_weight"), ("energy", "energy_weight")) for x in (F.lit(f"  {n}="), fixed(F.col(c), 6)))).alias("line"))
 
 
 def key_values(texts: DataFrame, text: str, *keys: str) -> DataFrame:
@@ -116,4 +118,4 @@ def write_report(parts: list[DataFrame], path: str) -> None:
 
 def run_records(runs: DataFrame, key: str) -> DataFrame:
     """(key, text): for each run its time step, steps and state as `name = value` lines. runs: key, dt, steps, state."""
-    return runs.select(key, F.concat_ws("\n", F.format_string("dt = %.3f s", "dt"), F.format_string("steps = %d", "steps"), F.concat(F.lit("state = "), "state")).alias("text"))
+    return runs.select(key, F.concat_ws("\n", F.concat(F.lit("dt = "), fixed(F.col("dt"), 3), F.lit(" s")), F.format_string("steps = %d", "steps"), F.concat(F.lit("state = "), "state")).alias("text"))
