@@ -5,8 +5,11 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrift.functions import geo
 from windrift.functions.text import fixed
@@ -71,27 +74,37 @@ def cached_points(cache: DataFrame, number: str, line: str, x0: Column, y0: Colu
     return cells.select((F.col("x0") + F.col("i") * F.col("step")).alias("x"), (F.col("y0") + F.col("j") * F.col("step")).alias("y"), "elevation")
 
 
-def grid_memory(nx: Column, ny: Column, nz: Column, arrays: tuple[int, ...]) -> Column:
+def grid_memory(nx: np.ndarray, ny: np.ndarray, nz: np.ndarray, arrays: tuple[int, ...]) -> np.ndarray:
     """Whole megabytes that a grid's arrays take together; arrays: the bytes a cell of each."""
-    return sum((F.floor(nx * ny * nz * b / 1048576) for b in arrays), F.lit(0))
+    return sum(np.floor(nx * ny * nz * b / 1048576) for b in arrays)
 
 
 def largest_grid(boxes: DataFrame, sides: tuple[str, str, str], memory: Column, arrays: tuple[int, ...], rounds: int = 48) -> DataFrame:
-    """boxes with nx, ny, nz and megabytes: the finest grid in a box's proportions whose arrays fit the memory, by halving the range of its scale."""
-    at = lambda scale: [F.greatest(F.floor(scale * F.col(s)), F.lit(1)).cast("double") for s in sides]
-    volume = F.col(sides[0]) * F.col(sides[1]) * F.col(sides[2])
-    guess = F.cbrt(memory * 1048576.0 / (sum(arrays) * volume))
-    start = F.struct((guess / 2).alias("low"), (guess * 4).alias("high"))
-
-    def halve(a: Column, _: Column) -> Column:
-        middle = (a["low"] + a["high"]) / 2
-        fits = grid_memory(*at(middle), arrays) <= memory
-        return F.struct(F.when(fits, middle).otherwise(a["low"]).alias("low"), F.when(fits, a["high"]).otherwise(middle).alias("high"))
-
-    scale = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)["low"]
-    nx, ny, nz = at(F.col("scale_"))
-    sized = boxes.withColumn("memory_", memory).withColumn("scale_", scale)
-    return sized.select(*boxes.columns, *(n.cast("bigint").alias(c) for n, c in ((nx, "nx"), (ny, "ny"), (nz, "nz"))), grid_memory(nx, ny, nz, arrays).cast("bigint").alias("megabytes"))
+    """boxes with nx, ny, nz and megabytes: the finest grid in a box's proportions whose arrays fit the memory, by halving the range of its scale.
+
+    Two sides may gain a cell at one scale; then the last bits of the first guess decide, so its product runs over the sides in order.
+    """
+    names, found = boxes.columns, ("nx", "ny", "nz", "megabytes")
+    rows = boxes.withColumns({"memory_": memory.cast("double"), **{f"side{i}_": F.col(s).cast("double") for i, s in enumerate(sides)}})
+    schema = T.StructType([*boxes.schema, *(T.StructField(c, T.LongType()) for c in found)])
+
+    def run(batches):
+        for b in batches:
+            m, *lengths = (b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("memory_", "side0_", "side1_", "side2_"))
+            at = lambda scale: [np.fmax(np.floor(scale * n), 1.0) for n in lengths]  # noqa: B023, E731
+            volume = sum(arrays) * lengths[0] * lengths[1] * lengths[2]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                guess = np.cbrt(m * 1048576.0 / volume)
+                low, high = guess / 2, guess * 4
+                for _ in range(rounds):
+                    middle = (low + high) / 2
+                    fits = grid_memory(*at(middle), arrays) <= m
+                    low, high = np.where(fits, middle, low), np.where(fits, high, middle)
+                cells = at(low)
+                numbers = [*cells, grid_memory(*cells, arrays)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(n, from_pandas=True).cast(pa.int64()) for n in numbers)], [*names, *found])
+
+    return rows.mapInArrow(run, schema)
 
 
 def generated_ranges(df: DataFrame, columns: dict[str, str]) -> DataFrame:
