@@ -33,7 +33,7 @@ def streamed_welford(spark, sf):
     """The same from explicit state, which leaves out steps that come again."""
     folder = shared_folder(spark)
     w = T.welford(stream(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
-    drain(w.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")), folder)
+    drain(w.writeStream.outputMode("append").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")), folder)
     rows = spark.read.parquet(f"{folder}/out").groupBy("user_id").agg(F.max_by(F.struct("n", "mean", "m2"), "n").alias("s"))
     return rows.select("user_id", "s.n", F.round(F.col("s.mean") + 1e-8, 5).alias("mean"), F.round(F.col("s.m2") / F.col("s.n"), 5).alias("variance"))
 

@@ -29,25 +29,27 @@ def online_statistics(stream: DataFrame, keys: list[str], value: str) -> DataFra
 
 
 def welford(stream: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """(key, n, mean, m2) after each batch, kept as explicit state, so that a step counts once.
+    """(key, n, mean, m2) after each batch, kept as explicit state; for append output.
 
-    A step at or below the last one seen for its key is a replay and is left out.
+    A step of a key counts once, in whatever order steps come: Spark's state of the steps seen leaves
+    out those that come again. A null value counts as no step. Blocks of a key's rows are merged by
+    their count, mean and sum of squares, so that their order and their cut do not matter.
     """
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, mean, m2, last = state.get if state.exists else (0, 0.0, 0.0, -1)
+        n, mean, m2 = state.get if state.exists else (0, 0.0, 0.0)
         for b in batches:
-            for t, x in b.sort_values(order)[[order, value]].itertuples(index=False):
-                if t > last:
-                    n, last = n + 1, int(t)
-                    d = x - mean
-                    mean += d / n
-                    m2 += d * (x - mean)
-        state.update((n, float(mean), float(m2), last))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "mean": [mean], "m2": [m2]})
+            x = b[value].dropna().to_numpy(float)
+            if len(x):
+                d, both = x.mean() - mean, n + len(x)
+                m2 += ((x - x.mean()) ** 2).sum() + d * d * n * len(x) / both
+                n, mean = both, mean + d * len(x) / both
+        state.update((n, float(mean), float(m2)))
+        yield pd.DataFrame({key: [k[0]], "n": [n], "mean": [mean if n else None], "m2": [m2]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n bigint, mean double, m2 double", "n bigint, mean double, m2 double, last bigint", "update", "NoTimeout")
+    once = stream.dropDuplicates([key, order])
+    return once.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, n bigint, mean double, m2 double", "n bigint, mean double, m2 double", "append", "NoTimeout")
 
 
 def probe_samples(stream: DataFrame, probes: DataFrame, cell: list[str], step: str, total: int, last: int) -> DataFrame:
