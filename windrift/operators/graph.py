@@ -17,6 +17,17 @@ def checkpoint_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="windrift-"))
 
 
+def spread_over(df: DataFrame) -> int:
+    """How many tasks to deal rows to that cost much each: four a core, at least as many as a shuffle has."""
+    spark = df.sparkSession
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores. Rows that Python works on long may come from a file of few megabytes, which is one or two tasks."""
+    return df.repartition(spread_over(df))
+
+
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the smallest node that links (a, b) reach, for every node.
 

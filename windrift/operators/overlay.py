@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from windrift.operators.graph import checkpoint_folder, spread, spread_over
 from windrift.operators.ordered import numbered
 
 Polygon = list[np.ndarray]
@@ -270,13 +272,38 @@ def overlay(rings: list[np.ndarray], layers: list[int], inside: Callable[[np.nda
     return assembled(e.steps, e.place, start, end)
 
 
+def convex(ring: np.ndarray) -> np.ndarray | None:
+    """A short ring that is convex beyond doubt, closed, counter-clockwise from its lowest corner; None if it may not be."""
+    p = ring.tolist()
+    p = p[:-1] if len(p) > 1 and p[0] == p[-1] else p
+    if not 2 < len(p) <= 16:
+        return None
+    d = [(b[0] - a[0], b[1] - a[1]) for a, b in zip(p, p[1:] + p[:1], strict=True)]
+    least = 1e-6 * max(max(abs(x), abs(y)) for x, y in d)  # far above the grid of an overlay
+    turn = [a[0] * b[1] - a[1] * b[0] for a, b in zip(d, d[1:] + d[:1], strict=True)]
+    way = 1 if turn[0] > 0 else -1
+    if not all(max(abs(x), abs(y)) > least for x, y in d) or not all(way * t > least * least for t in turn):
+        return None
+    right = [x > 0 for x, _ in d if x]
+    if sum(a != b for a, b in zip(right, right[1:] + right[:1], strict=True)) != 2:
+        return None  # it goes around more than once
+    p = p if way > 0 else p[::-1]
+    low = p.index(min(p))
+    p = p[low:] + p[:low]
+    return np.array([*p, p[0]])
+
+
 def simple(polygon: Polygon) -> list[Polygon]:
     """A polygon's area by even-odd, as simple polygons: crossings resolved, holes where they belong."""
+    if len(polygon) == 1 and (ring := convex(polygon[0])) is not None:
+        return [[ring]]
     return overlay(polygon, [0] * len(polygon), lambda w: w[:, 0] % 2 == 1)
 
 
 def united(polygons: list[Polygon]) -> list[Polygon]:
     """The area that any of the polygons covers."""
+    if len(polygons) == 1:
+        return simple(polygons[0])
     rings = [r for p in polygons for s in simple(p) for r in s]
     return overlay(rings, [0] * len(rings), lambda w: w[:, 0] > 0)
 
@@ -328,7 +355,7 @@ def in_parts(df: DataFrame, keys: list[str], rings: str, parts: Callable[[Polygo
             number = np.concatenate([np.arange(len(f)) for f in found] or [np.empty(0)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(row)) for k in keys), pa.array(number), polygons_to([p for f in found for p in f])], [*keys, "part", rings])
 
-    return df.select(*keys, rings).mapInArrow(run, schema)
+    return spread(df.select(*keys, rings)).mapInArrow(run, schema)
 
 
 def resolved(df: DataFrame, keys: list[str], rings: str) -> DataFrame:
@@ -357,7 +384,8 @@ def clipped_parts(df: DataFrame, keys: list[str], rings: str, outline: list[tupl
         room = 0.01 * (high - low).max() + 1e-12
         (a, b), (c, d) = low - room, high + room
         window = clip_ring(box if area(box) > 0 else box[::-1], np.array([(a, b), (c, b), (c, d), (a, d)]))
-        return common([p], [[window]]) if len(window) > 2 else []
+        # Both by even-odd, in one overlay.
+        return overlay([*p, window], [0] * len(p) + [1], lambda w: (w % 2 == 1).all(axis=1)) if len(window) > 2 else []
 
     return in_parts(near, keys, rings, cut)
 
@@ -367,28 +395,60 @@ def dissolved(df: DataFrame, group: str, order: str, rings: str, crowd: int = 25
 
     A group's footprints are united `crowd` at a time in the order given (near ones should be near in
     it), then the unions of these, until one is left: a task never holds more than `crowd` outlines.
-    order must tell a group's rows apart; null groups are a group.
+    order must tell a group's rows apart; null groups are a group. Rows are dealt by ranges of group and
+    order, and small groups are done in one pass over their range; only groups that are cut go on.
     """
     many = T.ArrayType(RINGS)
-    schema = T.StructType([df.schema[group], T.StructField("chunk", T.LongType()), T.StructField("parts", many)])
+    rows = df.select(group, F.col(order).alias("order"), F.array(F.col(rings).cast(RINGS)).alias("parts")).where(F.col(rings).isNotNull())
+    kinds = [rows.schema[group].dataType, rows.schema["order"].dataType]
+    types = to_arrow_schema(rows.select(group, "order").schema)
+
+    def packed(told: list[tuple]) -> pa.RecordBatch:
+        g, o, whole, parts = zip(*told, strict=True)
+        lists = listed([len(p) for p in parts], polygons_to([q for p in parts for q in p]))
+        return pa.RecordBatch.from_arrays([pa.array(g, types[0].type), pa.array(o, types[1].type), pa.array(whole), lists], [group, "order", "whole", "parts"])
+
+    def passed(batches):
+        """Runs of equal groups, united; whole where no other range and no other run holds rows of the group."""
+        told, held, key, first, cuts = [], [], None, None, 1
+        for b in batches:
+            polygons = rings_of(b.column("parts").flatten())
+            for g, o, p in zip(b.column(group).to_pylist(), b.column("order").to_pylist(), polygons, strict=True):
+                same = bool(held) and (g == key or (g != g and key != key))
+                if held and (not same or len(held) == crowd):
+                    told.append((key, first, not same and not cuts, united(held)))
+                    cuts, held = (1 if same else 0), []
+                if not held:
+                    key, first = g, o
+                held.append(p)
+            if len(told) > 1000:
+                yield packed(told)
+                told = []
+        if held:
+            told.append((key, first, False, united(held)))  # the range after this one may hold more of it
+        if told:
+            yield packed(told)
+
+    ranges = spread_over(df)
+    checkpoint_folder(df.sparkSession)
+    schema = T.StructType([T.StructField(group, kinds[0]), T.StructField("order", kinds[1]), T.StructField("whole", T.BooleanType()), T.StructField("parts", many)])
+    once = rows.repartitionByRange(ranges, group, "order").sortWithinPartitions(group, "order").mapInArrow(passed, schema).checkpoint()
+    out = lambda t: t.select(group, F.posexplode("parts").alias("part", rings)).select(group, F.col("part").cast("int").alias("part"), rings)
+    done = out(once.where("whole"))
+    rows = once.where("not whole").select(group, "order", "parts")
+    schema = T.StructType([rows.schema[group], T.StructField("chunk", T.LongType()), T.StructField("parts", many)])
 
     def unite(t: pa.Table) -> pa.Table:
         parts = t.column("parts").combine_chunks()
         found = united(rings_of(parts.flatten()))
         return pa.table({group: t.column(group).slice(0, 1), "chunk": t.column("chunk").slice(0, 1), "parts": listed([len(found)], polygons_to(found))})
 
-    rows = df.select(group, F.col(order).alias("order"), F.array(F.col(rings).cast(RINGS)).alias("parts")).where(F.col(rings).isNotNull())
-    done = None
     while True:
-        sizes = rows.groupBy(group).agg(F.count("*").alias("members"), F.min("order").alias("least"))
-        single = rows.join(sizes.where("members = 1").select(F.col(group).alias("_g"), F.col("least").alias("_l")), F.col(group).eqNullSafe(F.col("_g")) & (F.col("order") == F.col("_l")))
-        if done is None:  # single footprints are made simple, row by row
-            alone = in_parts(single.select(group, F.col("parts")[0].alias(rings)), [group], rings, simple)
-            done = alone
-        else:
-            ready = single.select(group, F.posexplode("parts").alias("part", rings))
-            done = done.unionByName(ready.select(group, F.col("part").cast("int").alias("part"), rings))
-        left = rows.join(sizes.where("members > 1").select(F.col(group).alias("_g")), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+        # Sizes are merged, not broadcast: there may be millions of groups, and the driver would hold them.
+        sizes = rows.groupBy(group).agg(F.count("*").alias("members")).select(F.col(group).alias("_g"), "members").hint("merge")
+        counted = rows.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+        done = done.unionByName(out(counted.where("members = 1")))
+        left = counted.where("members > 1").drop("members")
         if left.isEmpty():
             return done
         placed = numbered(left, [group, "order"]).withColumn("chunk", F.floor(F.col("at") / crowd))
