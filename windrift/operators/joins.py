@@ -5,8 +5,11 @@ None compares all pairs: values are bracketed by sorting, boxes meet in square b
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from windrift.operators.graph import checkpoint_folder
 from windrift.operators.ordered import carried, in_ranges
@@ -123,6 +126,55 @@ def overlapping(boxes: DataFrame, size: float) -> DataFrame:
     return a.join(b, on).where(meet & first).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"))
 
 
+def linked(boxes: DataFrame, size: float) -> DataFrame:
+    """(a, b): links that join boxes just as all pairs of `overlapping` do, but no more than one a box and bucket.
+
+    In a bucket boxes that reach each other by overlaps are linked to one of them, so a crowd of n
+    gives n - 1 links, not n^2 / 2. Pairs that overlap share a bucket.
+    """
+    cover = boxes.withColumn("bx", F.explode(F.sequence(F.floor(F.col("x0") / size), F.floor(F.col("x1") / size)))).withColumn("by", F.explode(F.sequence(F.floor(F.col("y0") / size), F.floor(F.col("y1") / size))))
+    kind = boxes.schema["vec_id"].dataType
+
+    def stars(bounds: np.ndarray) -> list[tuple[int, int]]:
+        links, left = [], np.arange(len(bounds))
+        while len(left) > 1:
+            root, left = int(left[0]), left[1:]
+            reached = [root]
+            while reached and len(left):
+                x0, x1, y0, y1 = bounds[reached.pop()]
+                o = bounds[left]
+                hit = (x0 < o[:, 1]) & (o[:, 0] < x1) & (y0 < o[:, 3]) & (o[:, 2] < y1)
+                near, left = left[hit].tolist(), left[~hit]
+                reached += near
+                links += [(root, i) for i in near]
+        return links
+
+    def run(batches):
+        def told(held: pa.Table) -> pa.RecordBatch:
+            bx, by = (held.column(c).to_numpy() for c in ("bx", "by"))
+            starts = np.flatnonzero(np.r_[True, (bx[1:] != bx[:-1]) | (by[1:] != by[:-1])])
+            bounds = np.stack([held.column(c).to_numpy() for c in ("x0", "x1", "y0", "y1")], axis=1)
+            links = np.array([(s + i, s + j) for s, e in zip(starts, np.r_[starts[1:], len(bx)], strict=True) if e - s > 1 for i, j in stars(bounds[s:e])], np.int64).reshape(-1, 2)
+            ids = held.column("vec_id").combine_chunks()
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(links[:, i])) for i in (0, 1)], ["a", "b"])
+
+        held = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            # The last bucket may go on in the next batch.
+            bx, by = (held.column(c).to_numpy() for c in ("bx", "by"))
+            other = np.flatnonzero((bx != bx[-1]) | (by != by[-1]))
+            if len(other):
+                yield told(held.slice(0, int(other[-1]) + 1))
+                held = held.slice(int(other[-1]) + 1)
+        if held is not None:
+            yield told(held)
+
+    columns = [F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")]
+    dealt = cover.select("vec_id", "bx", "by", *columns).repartition("bx", "by").sortWithinPartitions("bx", "by")
+    return dealt.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
 def bilinear(queries: DataFrame, cells: DataFrame, fx: Column, fy: Column, value: str) -> DataFrame:
     """queries with the value at fractional indices (fx, fy), from the four cells around; held inside the grid by the caller.
 

@@ -77,7 +77,7 @@ SELECT component, count(*) AS members, max(height) AS height, min(vec_id) AS fir
 def merged_buildings(spark, sf):
     """Overlapping footprints as one building: members, largest height, first member."""
     b = D.boxes(spark, sf)
-    comp = graph.components(J.overlapping(b, 0.02), b.select(F.col("vec_id").alias("node")))
+    comp = graph.components(J.linked(b, 0.02), b.select(F.col("vec_id").alias("node")))
     return comp.join(b, comp.node == b.vec_id).groupBy("component").agg(F.count("*").alias("members"), F.max("height").alias("height"), F.min("vec_id").alias("first_member"))
 
 

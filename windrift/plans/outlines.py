@@ -34,9 +34,11 @@ SELECT component, CAST(1 AS BIGINT) AS parts, round(sum((xn - x) * (yn - y)), 9)
 def dissolved_outlines(spark, sf):
     """Overlapping footprints as one building: its outline, by its area, and the largest height."""
     b = D.boxes(spark, sf)
-    comp = graph.components(J.overlapping(b, 0.02), b.select(F.col("vec_id").alias("node")))
+    comp = graph.components(J.linked(b, 0.02), b.select(F.col("vec_id").alias("node")))
     members = comp.join(b, comp.node == b.vec_id).withColumn("rings", F.array(rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))))
-    union = overlay.dissolved(members, "component", "vec_id", "rings")
+    # Near ones follow each other: squares of 8 x 8 smaller squares.
+    square = [F.floor(F.col(c) / side).alias(f"{c}_{i}") for i, side in enumerate((0.16, 0.02)) for c in ("x0", "y0")]
+    union = overlay.dissolved(members.withColumn("place", F.struct(*square, "vec_id")), "component", "place", "rings")
     whole = union.groupBy("component").agg(F.count("*").alias("parts"), F.round(F.sum(geometry.footprint_area(F.col("rings"))), 9).alias("area"))
     return whole.join(members.groupBy("component").agg(F.max("height").alias("height")), "component")
 
