@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from windrift.operators.graph import spread
 from windrift.operators.ordered import carried, in_ranges
 
 
@@ -100,7 +101,7 @@ def short_sides(buildings: DataFrame, key: str, ring: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({key: b[key], "short_side": [short_side(np.array([(p["x"], p["y"]) for p in r], float)) if r is not None and len(r) else 0.0 for r in b[ring]]})
 
-    return buildings.select(key, ring).mapInPandas(run, f"{key} {buildings.schema[key].dataType.simpleString()}, short_side double")
+    return spread(buildings.select(key, ring)).mapInPandas(run, f"{key} {buildings.schema[key].dataType.simpleString()}, short_side double")
 
 
 def clip_ring(p: np.ndarray, box: np.ndarray) -> np.ndarray:
@@ -265,7 +266,7 @@ def extruded(buildings: DataFrame, key: str, rings: str, base: str, top: str) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(xyz) + 1, 3, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(xyz[:, c]) for c in range(3)], fields=list(point)))
                 yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(np.concatenate(source))), pa.array(np.concatenate(number).astype(np.int32)), lists], [key, "triangle", "corners"])
 
-    return buildings.select(key, rings, base, top).mapInArrow(run, f"{key} {buildings.schema[key].dataType.simpleString()}, triangle int, corners {CORNERS}")
+    return spread(buildings.select(key, rings, base, top)).mapInArrow(run, f"{key} {buildings.schema[key].dataType.simpleString()}, triangle int, corners {CORNERS}")
 
 
 def base_block(spark: SparkSession, x0: float, x1: float, y0: float, y1: float, z0: float, z1: float) -> DataFrame:

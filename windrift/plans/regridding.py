@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from windrift.operators import geometry, regrid as R
+from windrift.operators.graph import spread
 from windrift.plans import adapters as D
 from windrift.plans.joining import KNN, knn_queries
 from windrift.plans.registry import query
@@ -285,5 +286,5 @@ def repaired_footprints(spark, sf):
         .when(k % 6 == 4, F.lit(None).cast("array<array<struct<x:double,y:double>>>"))
         .otherwise(F.array(outer, F.slice(hole, 1, 2)))
     )
-    fixed = rings(spark, sf).withColumn("fixed", geometry.repaired(spoilt)).where("fixed is not null")
+    fixed = spread(rings(spark, sf)).withColumn("fixed", geometry.repaired(spoilt)).where("fixed is not null")
     return fixed.select("p_partkey", F.size("fixed").alias("rings"), F.size(F.col("fixed")[0]).alias("points"), F.round(F.abs(geometry.ring_area(F.col("fixed")[0])) + 1e-7, 4).alias("area"))
