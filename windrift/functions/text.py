@@ -11,18 +11,25 @@ FALSE_WORDS = ["0", "false", "f", "no", "n", "off", "disable", "disabled"]
 COMPASS = ["N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW"]
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, where x is worked out once however often f names it, also within a lambda."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def stripped_comment(line: Column) -> Column:
     """The line without a // or # comment; comment signs inside quotes stay."""
-    return F.rtrim(F.regexp_replace(line, r"""^((?:[^"'/#]|"[^"]*"|'[^']*'|/(?!/))*)(?://|#).*$""", "$1"))
+    signs = F.contains(line, F.lit("#")) | F.contains(line, F.lit("//"))
+    return F.rtrim(F.when(signs, F.regexp_replace(line, r"""^((?:[^"'/#]|"[^"]*"|'[^']*'|/(?!/))*)(?://|#).*$""", "$1")).otherwise(line))
 
 
 def unquoted(x: Column) -> Column:
-    return F.regexp_replace(F.trim(x), r"""^(["'])(.*)\1$""", "$2")
+    quoted = lambda t: F.when(t.startswith('"') | t.startswith("'"), F.regexp_replace(t, r"""^(["'])(.*)\1$""", "$2")).otherwise(t)
+    return bound(F.trim(x), quoted)
 
 
 def key_name(x: Column) -> Column:
     """Lower case, blanks and dashes as one underscore."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), r"[\s-]+", "_"), "_+", "_")
+    return F.regexp_replace(F.lower(F.trim(x)), r"[\s_-]+", "_")
 
 
 def plain_name(x: Column) -> Column:
@@ -49,34 +56,30 @@ def file_stem(x: Column) -> Column:
 
 def number(x: Column) -> Column:
     """A finite number with p or comma as decimal point, %, or m/s after it; else null."""
-    t = F.regexp_replace(F.lower(F.trim(x)), r"\s*(%|m/s)$", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?<=\d)p(?=\d)", "."), ",", ".")
-    n = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), t.try_cast("double"))
-    return F.when(F.abs(n) < float("inf"), n)
+    bare = lambda t: F.when(F.contains(t, F.lit("%")) | F.contains(t, F.lit("m/s")), F.regexp_replace(t, r"\s*(%|m/s)$", "")).otherwise(t)
+    point = lambda t: F.replace(F.when(F.contains(t, F.lit("p")), F.regexp_replace(t, r"(?<=\d)p(?=\d)", ".")).otherwise(t), F.lit(","), F.lit("."))
+    read = lambda t: F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), t.try_cast("double"))
+    return bound(bound(bound(bound(F.lower(F.trim(x)), bare), point), read), lambda n: F.when(F.abs(n) < float("inf"), n))
 
 
 def truth(x: Column) -> Column:
-    t = F.lower(F.trim(x))
-    n = number(t)
-    return F.when(t.isin(TRUE_WORDS), F.lit(True)).when(t.isin(FALSE_WORDS), F.lit(False)).when(n.isNotNull(), n != 0)
+    return bound(F.lower(F.trim(x)), lambda t: F.when(t.isin(TRUE_WORDS), F.lit(True)).when(t.isin(FALSE_WORDS), F.lit(False)).otherwise(number(t) != 0))
 
 
 def tokens(x: Column) -> Column:
     """Items of '[a, b]' or 'a, b', blanks dropped."""
     inner = F.regexp_replace(F.trim(x), r"^\[|\]$", "")
-    return F.filter(F.transform(F.split(inner, ","), lambda v: unquoted(v)), lambda v: v != "")
+    return F.filter(F.transform(F.split(inner, ","), unquoted), lambda v: v != "")
 
 
 def floats(x: Column) -> Column:
     """All items as numbers; one bad item makes the list empty."""
-    values = F.transform(tokens(x), number)
-    return F.when(F.exists(values, lambda v: v.isNull()), F.array().cast("array<double>")).otherwise(values)
+    return bound(F.transform(tokens(x), number), lambda values: F.when(F.exists(values, lambda v: v.isNull()), F.array().cast("array<double>")).otherwise(values))
 
 
 def pair(x: Column) -> Column:
     """Two numbers in rising order, else null."""
-    values = floats(x)
-    return F.when(F.size(values) == 2, F.array_sort(values))
+    return bound(floats(x), lambda values: F.when(F.size(values) == 2, F.array_sort(values)))
 
 
 def compass_degrees(x: Column) -> Column:
