@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from windrift.operators.graph import checkpoint_folder
 from windrift.operators.ordered import carried, in_ranges
-from windrift.operators.quadtree import Tree, candidates, tree
+from windrift.operators.quadtree import CROWD, Tree, candidates, tree
 
 
 def bracketed(queries: DataFrame, profile: DataFrame, at: str, z: str, value: str) -> DataFrame:
@@ -90,7 +90,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     return met.select("row.*", F.col("before.v").alias("before"), F.col("before.vt").alias("before_at"), F.col("after.v").alias("after"), F.col("after.vt").alias("after_at"))
 
 
-def k_nearest(queries: DataFrame, points: DataFrame, k: int, crowd: int = 2048) -> DataFrame:
+def k_nearest(queries: DataFrame, points: DataFrame, k: int, crowd: int = CROWD) -> DataFrame:
     """(qid, vec_id, distance, rank): the k nearest points of each query; ties go to the lower vec_id.
 
     queries: qid, qx, qy; points: vec_id, px, py. Points lie in the leaves of a quad-tree, `crowd` in

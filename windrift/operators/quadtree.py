@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from windrift.operators.graph import checkpoint_folder
 
 STEP, DEPTH = 2, 24
+CROWD = 256  # a query meets all places of the few leaves it asks, so small leaves keep what is moved small
 
 
 @dataclass
@@ -31,7 +32,7 @@ class Tree:
         return F.lit(self.side) / F.pow(F.lit(2.0), level)
 
 
-def tree(points: DataFrame, crowd: int = 2048) -> Tree | None:
+def tree(points: DataFrame, crowd: int = CROWD) -> Tree | None:
     """The tree of points (px, py and other columns); None if there are none. Rows without a place must be left out before.
 
     No more than `crowd` points are one square, and go to every task that asks.
