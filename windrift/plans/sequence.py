@@ -189,5 +189,5 @@ def emitted_progress(spark, sf):
 
     e = D.read(spark, sf, "events")
     total = e.agg((F.max("event_id") + 1.0).alias("total"))
-    e = e.join(F.broadcast(total)).withColumn("t", F.sum(F.col("value") / 100).over(Window.partitionBy("user_id").orderBy("event_id")) / 10)
+    e = e.join(F.broadcast(total)).withColumn("t", S.summed_exactly("value", 100, Window.partitionBy("user_id").orderBy("event_id")) / 10)
     return S.emitted(e, ["user_id"], "event_id", "t", F.floor(F.col("event_id") / F.col("total") * 20)).select("user_id", "event_id")
