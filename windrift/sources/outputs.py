@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import fnmatch
 import os
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from windrift.functions.text import fixed
@@ -73,12 +74,34 @@ def case_file(spark: SparkSession, folder: str, case: str, date: str, ending: st
     raise FileNotFoundError(f"{len(names)} files *.{ending} in {folder}, none of them {case}_{date}.{ending}")
 
 
-def terrain_source(spark: SparkSession, project: str, common: str) -> str:
-    """What terrain is made from: the project's layer if it is made already, else its rasters (the first by name), else the common one."""
-    for folder, pattern in ((project, "*.shp"), (project, "*.tif"), (common, "*.tif")):
-        if names := _names(spark, folder, pattern):
-            return names[0]
-    raise FileNotFoundError(f"no terrain in {project} or {common}")
+def with_files(folders: DataFrame, folder: str) -> DataFrame:
+    """folders with `files`: names of a folder's own files (a project's, some tens) in order, none if there is no such folder.
+
+    Tasks list the folders of their rows, so these must be mounted by all executors; contents are not read.
+    """
+
+    @F.udf("array<string>")
+    def names(path):
+        try:
+            with os.scandir(path or "") as found:
+                return sorted(e.name for e in found if e.is_file())
+        except FileNotFoundError:
+            return []
+
+    return folders.withColumn("files", names.asNondeterministic()(folder))
+
+
+def chosen_case(files: Column, case: Column, date: str, ending: str = "nc") -> Column:
+    """As `case_file`, of a row's file names; null where that is an error."""
+    exact, own = F.concat(case, F.lit(f"_{date}.{ending}")), F.filter(files, lambda n: n.endswith(f".{ending}"))
+    return F.when(F.array_contains(own, exact), exact).when(F.size(own) == 1, F.try_element_at(own, F.lit(1)))
+
+
+def chosen_terrain(spark: SparkSession, files: Column, common: str) -> Column:
+    """What terrain is made from, of a row's file names in order: the project's layer if it is made already, else its rasters (the first by name), else that of the common folder; null if there is none."""
+    first = lambda ending: F.try_element_at(F.filter(files, lambda n: n.endswith(ending)), F.lit(1))
+    shared = next((n.rsplit("/", 1)[-1] for n in _names(spark, common, "*.tif")), None)
+    return F.coalesce(first(".shp"), first(".tif"), F.lit(shared).cast("string"))
 
 
 def _names(spark: SparkSession, folder: str, pattern: str) -> list[str]:
@@ -95,6 +118,16 @@ def touch(folder: str, *names: str) -> None:
             f.write("x")
 
 
+def touch_all(files: DataFrame, folder: str, names: str) -> None:
+    """For each row its folder with files of these names, made by the tasks; folders must be mounted by all executors."""
+
+    def run(rows: Iterator) -> None:
+        for r in rows:
+            touch(r[0], *r[1])
+
+    files.select(folder, names).foreachPartition(run)
+
+
 def spectrum_rows(shells: DataFrame, dk: float) -> DataFrame:
     """A spectrum as it is written: shell centre, energy density, the same by k^(5/3), energy and mode weight of each shell."""
     k = (F.col("shell") + 0.5) * dk
