@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from windrift.operators.graph import checkpoint_folder
+from windrift.operators.graph import checkpoint_folder, spread
 from windrift.operators.ordered import carried, in_ranges
 from windrift.operators.quadtree import CROWD, Tree, candidates, tree
 
@@ -40,23 +40,23 @@ def two_level(queries: DataFrame, samples: DataFrame, patch: str, a: str, b: str
     axes = samples.groupBy(patch).agg(F.array_sort(F.collect_set(a)).alias("axis"))
     checkpoint_folder(queries.sparkSession)
     # Numbered once: a checkpoint keeps the numbers when a lost task runs again.
-    q = queries.withColumn("qid_", F.monotonically_increasing_id()).checkpoint().join(axes, patch)
+    q = spread(queries).withColumn("qid_", F.monotonically_increasing_id()).checkpoint().join(F.broadcast(axes), patch)
     x = F.col(at_a)
     lo, hi = F.try_element_at(F.filter("axis", lambda c: c <= x), F.lit(-1)), F.try_element_at(F.filter("axis", lambda c: c > x), F.lit(1))
     t = F.when(lo.isNull() | hi.isNull(), 0.0).otherwise((x - lo) / (hi - lo))
     sides = F.array(F.struct(F.coalesce(lo, hi).alias("a"), (1 - t).alias("w")), F.struct(F.coalesce(hi, lo).alias("a"), t.alias("w")))
-    asked = q.withColumn("side_", F.explode(F.filter(sides, lambda s: s["w"] > 0))).drop("axis").withColumns({"p_": F.col(patch), "a_": F.col("side_.a"), "b_": F.col(at_b).cast("double")})
+    asked = q.withColumn("side_", F.explode(F.filter(sides, lambda s: s["w"] > 0))).select("qid_", *queries.columns, F.col(patch).alias("p_"), F.col("side_.a").alias("a_"), F.col("side_.w").alias("w_"), F.col(at_b).cast("double").alias("b_"))
     met = as_of(asked, samples.select(F.col(patch).alias("p_"), F.col(a).alias("a_"), F.col(b).cast("double").alias("z_"), F.col(value).cast("double").alias("v_")), ["p_", "a_"], "b_", "z_", "v_")
     c = F.col
     held = F.when(c("before").isNull(), c("after")).when(c("after").isNull(), c("before")).otherwise(c("before") + (c("after") - c("before")) * (c("b_") - c("before_at")) / (c("after_at") - c("before_at")))
-    return met.groupBy("qid_", *queries.columns).agg(F.sum(c("side_.w") * held).alias("value")).drop("qid_")
+    return met.groupBy("qid_", *queries.columns).agg(F.sum(c("w_") * held).alias("value")).drop("qid_")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str, one_task: int = 4_000_000) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str, one_task: int = 4_000_000, a_task: int = 100_000) -> DataFrame:
     """left with the right value at or before `at` and the one after, for equal keys: one sorted pass over both.
 
     The last value seen from either end is carried along. Keys of up to `one_task` rows are a window
-    each. If there is a larger one, rows are dealt by ranges of (keys, time), so a key of any size
+    each, dealt to a task for every `a_task` rows. If there is a larger one, rows are dealt by ranges of (keys, time), so a key of any size
     spreads over tasks; where a key goes on in further ranges, the last and first values of each range
     are carried over them: two keys a range. The result is the same. Null keys are a key of their own.
     """
@@ -64,9 +64,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
         right.select(*keys, F.col(right_at).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("row")).schema["row"].dataType).alias("row"), F.col(value).alias("v"), F.col(right_at).alias("vt"))
     )
     sizes = [d.groupBy(*keys).agg(F.count("*").alias("n")) for d in (left, right)]
-    largest = sizes[0].unionByName(sizes[1]).groupBy(*keys).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    largest, total = (n or 0 for n in sizes[0].unionByName(sizes[1]).groupBy(*keys).agg(F.sum("n").alias("n")).agg(F.max("n"), F.sum("n")).first())
     split = largest > one_task
-    rows = in_ranges(both, *keys, "t", "side") if split else both.withColumn("part", F.lit(0))
+    # Tasks grow in number with the rows; left to itself Spark joins them by bytes, and these rows compress well.
+    tasks = max(left.sparkSession.sparkContext.defaultParallelism, -(-total // a_task))
+    rows = in_ranges(both, *keys, "t", "side") if split else both.repartition(tasks, *keys)
     by = ["part", *keys] if split else keys
     w = Window.partitionBy(*by).orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
     # The next value is the last one seen from the other end, so either frame only grows.
