@@ -185,9 +185,7 @@ SELECT s.user_id, s.n, s.event_id, s.b <> r.b OR s.t - r.t >= 0.15, CASE WHEN s.
 SELECT user_id, event_id FROM r WHERE told""")
 def emitted_progress(spark, sf):
     """Progress rows that are told: a new bucket, or 0.15 s after the last one."""
-    from pyspark.sql import Window
-
     e = D.read(spark, sf, "events")
     total = e.agg((F.max("event_id") + 1.0).alias("total"))
-    e = e.join(F.broadcast(total)).withColumn("t", S.summed_exactly("value", 100, Window.partitionBy("user_id").orderBy("event_id")) / 10)
-    return S.emitted(e, ["user_id"], "event_id", "t", F.floor(F.col("event_id") / F.col("total") * 20)).select("user_id", "event_id")
+    e = e.join(F.broadcast(total))
+    return S.emitted(e, "user_id", "event_id", F.col("value") / 100, F.floor(F.col("event_id") / F.col("total") * 20), unit=10)
