@@ -22,11 +22,11 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def windrose(spark: SparkSession, sf: str) -> DataFrame:
-    """Joint counts of direction and speed bin as shares of all events."""
-    e = read(spark, sf, "events").select((22.5 * (F.col("user_id") % 16)).alias("angle"), F.least(F.floor(F.col("value") / 50), F.lit(6)).cast("bigint").alias("bin"))
-    cells = e.groupBy("angle", "bin").agg(F.count("*").alias("n"))
+    """Joint counts of direction and speed bin as shares of all events, each with the first event of its cell."""
+    e = read(spark, sf, "events").select("event_id", (22.5 * (F.col("user_id") % 16)).alias("angle"), F.least(F.floor(F.col("value") / 50), F.lit(6)).cast("bigint").alias("bin"))
+    cells = e.groupBy("angle", "bin").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
     total = cells.agg(F.sum("n").alias("total"))
-    return cells.join(F.broadcast(total)).select("angle", "bin", (F.col("n") / F.col("total")).alias("p"))
+    return cells.join(F.broadcast(total)).select("angle", "bin", (F.col("n") / F.col("total")).alias("p"), "first")
 
 
 def profile(spark: SparkSession, sf: str) -> DataFrame:

@@ -141,12 +141,12 @@ def headed(title: str, lines: DataFrame) -> DataFrame:
 
 
 def write_report(parts: list[DataFrame], path: str) -> None:
-    """A report of some tens of lines, part by part in order of rank, as one text file."""
+    """A report of some tens of lines, part by part in order of rank, as one text file. What is null makes no line."""
     lines = None
     for i, p in enumerate(parts):
         one = p.select(F.lit(i).alias("part"), F.col("rank").cast("double").alias("rank"), "line")
         lines = one if lines is None else lines.unionByName(one)
-    lines.coalesce(1).sortWithinPartitions("part", "rank").select("line").write.mode("overwrite").text(path)
+    lines.where("line IS NOT NULL").coalesce(1).sortWithinPartitions("part", "rank").select("line").write.mode("overwrite").text(path)
 
 
 def run_records(runs: DataFrame, key: str) -> DataFrame:
