@@ -46,7 +46,8 @@ def fixed(x: Column, digits: int) -> Column:
     # Below one unit format_number takes half a unit (0.0005) as if it were exact.
     above = F.abs(x) >= half if f"{half:.{digits}f}" == unit else F.abs(x) > half
     least = F.concat(F.when(x < 0, "-").otherwise(""), F.lit(unit))
-    return F.when((F.abs(x) < float(unit)) & above, least).otherwise(F.call_function("format_number", x, F.lit("0." + "0" * digits)))
+    odd = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
+    return F.coalesce(odd, F.when((F.abs(x) < float(unit)) & above, least).otherwise(F.call_function("format_number", x, F.lit("0." + "0" * digits))))
 
 
 def file_stem(x: Column) -> Column:

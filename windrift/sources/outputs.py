@@ -150,5 +150,5 @@ def write_report(parts: list[DataFrame], path: str) -> None:
 
 
 def run_records(runs: DataFrame, key: str) -> DataFrame:
-    """(key, text): for each run its time step, steps and state as `name = value` lines. runs: key, dt, steps, state."""
-    return runs.select(key, F.concat_ws("\n", F.concat(F.lit("dt = "), fixed(F.col("dt"), 3), F.lit(" s")), F.format_string("steps = %d", "steps"), F.concat(F.lit("state = "), "state")).alias("text"))
+    """(key, text): for each run its time step, steps and state as `name = value` lines; null where one of them is. runs: key, dt, steps, state."""
+    return runs.select(key, F.concat(F.lit("dt = "), fixed(F.col("dt"), 3), F.lit(" s\nsteps = "), F.col("steps").cast("string"), F.lit("\nstate = "), "state").alias("text"))
